@@ -83,14 +83,15 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / V.CHARS_PER_TOKEN)).cast("bigint")
 
 
-def format_size(size: Column) -> Column:
-    """``N B``, ``x.x KB`` or ``x.x MB``; exact ties go to the even digit."""
-    def scaled(unit: int, name: str) -> Column:
-        # An exact binary fraction, so a tie here is a tie in floating point too.
-        return F.format_string(f"%.1f {name}", F.bround(size / F.lit(unit), 1))
+def tenths(value: Column) -> Column:
+    """Number with one decimal; exact ties of the binary value go to the even digit."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0.0"))
+
 
+def format_size(size: Column) -> Column:
+    """``N B``, ``x.x KB`` or ``x.x MB``."""
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024 * 1024, scaled(1024, "KB"))
-        .otherwise(scaled(1024 * 1024, "MB"))
+        .when(size < 1024 * 1024, F.concat(tenths(size / 1024), F.lit(" KB")))
+        .otherwise(F.concat(tenths(size / (1024 * 1024)), F.lit(" MB")))
     )

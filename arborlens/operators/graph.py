@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from arborlens import fixed_values as V
 from arborlens.functions import imports, language, paths
+from arborlens.functions.content import tenths
 from arborlens.functions.text import rstrip
 
 FILE = ["repo_id", "path"]
@@ -313,8 +314,7 @@ def overview(degree: DataFrame) -> DataFrame:
         F.lit("### Entry Points\nFiles with no incoming dependencies:\n"), entry_lines,
         F.when(rest > 0, F.concat(F.lit("- ... and "), rest.cast("string"), F.lit(" more\n"))).otherwise(""),
         F.lit("\n")))
-    average = F.format_string("%.1f", F.bround(
-        F.col("total_dependencies").cast("decimal(20,0)") / F.col("total_files").cast("decimal(20,0)"), 1))
+    average = tenths(F.col("avg_dependencies_per_file"))
     number_lines = [
         ("Total files analyzed", F.col("total_files").cast("string")),
         ("Total dependencies", F.col("total_dependencies").cast("string")),

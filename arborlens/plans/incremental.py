@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from arborlens.fixed_values import CACHE_SCHEMA_VERSION
 from arborlens.functions.content import content_hash
 from arborlens.operators import enrich, summary_cache
+from arborlens.session import shared_folder
 from arborlens.sources.cache_store import CacheStore
 
 # A missed key is three short strings; so many stay well below 100 MB.
@@ -36,19 +37,20 @@ def cache_rows(documents: DataFrame, enriched: DataFrame, config_hash: str,
 
 def step(documents: DataFrame, cache: DataFrame, config_hash: str,
          run: Callable[[DataFrame], DataFrame] = enrich.default_enrich,
-         small: bool = False) -> Step:
+         small: bool = False, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Step:
     """Summaries of all documents and the cache they leave behind.
 
     ``documents`` has ``repo_id, file_path, language, content``. ``small`` says
     that the missed keys were counted and are few enough to broadcast; the
-    documents' texts then stay where they were read.
+    documents' texts then stay where they were read. ``hold`` materialises the
+    fresh rows, which are used more than once; pass it when ``run`` is costly.
     """
     usable = summary_cache.current(cache, config_hash)
     keys = summary_cache.keyed(documents)
     looked_up = summary_cache.lookup(keys, usable, config_hash)
     missed = summary_cache.misses(keys, usable, config_hash).select(*summary_cache.KEY)
     todo = documents.join(F.broadcast(missed) if small else missed, summary_cache.KEY, "left_semi")
-    fresh = cache_rows(documents, run(todo), config_hash)
+    fresh = hold(cache_rows(documents, run(todo), config_hash))
     hits = looked_up.where(F.col("summary").isNotNull()).select(
         *summary_cache.KEY, "summary", F.lit(None).cast("string").alias("error")
     )
@@ -64,4 +66,6 @@ def run_batch(documents: DataFrame, store: CacheStore, config_hash: str,
     cache = store.read()
     keys = summary_cache.keyed(documents)
     few = summary_cache.misses(keys, cache, config_hash).limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    store.write(step(documents, cache, config_hash, run, small=few).cache, batch)
+    shared_folder(store.spark)
+    result = step(documents, cache, config_hash, run, small=few, hold=DataFrame.checkpoint)
+    store.write(result.cache, batch)

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +42,21 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path of its own below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Send packages that are not installed on the executors along with the job."""
+    root = Path(__file__).resolve().parent.parent
+    for package in packages or (Path(__file__).resolve().parent.name,):
+        key = (spark.sparkContext.applicationId, package)
+        if key in _shipped:
+            continue
+        target = Path(tempfile.mkdtemp(prefix="arborlens-ship-")) / f"{package}.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in sorted((root / package).rglob("*.py")):
+                archive.write(source, source.relative_to(root).as_posix())
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(key)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from arborlens.operators import enrich, summary_cache
 from arborlens.plans.incremental import cache_rows
+from arborlens.session import shared_folder
 from arborlens.sources.cache_store import CacheStore
 
 VERSIONS = (
@@ -32,7 +33,9 @@ def apply_versions(versions: DataFrame, store: CacheStore, config_hash: str, bat
     usable = summary_cache.current(cache, config_hash)
     missed = summary_cache.misses(summary_cache.keyed(alive), usable, config_hash)
     todo = alive.join(missed.select(*summary_cache.KEY), summary_cache.KEY, "left_semi")
-    fresh = cache_rows(alive, run(todo), config_hash)
+    shared_folder(store.spark)
+    # Held, as the upsert uses the rows twice and the function may be costly.
+    fresh = cache_rows(alive, run(todo), config_hash).checkpoint()
     store.write(summary_cache.upsert(summary_cache.remove(usable, gone), fresh), batch)
 
 
