@@ -1,4 +1,8 @@
-"""File selection rules as one reason column: null means the file is kept."""
+"""File selection rules as one reason column: null means the file is kept.
+
+Functions whose argument is called ``normal`` expect the result of
+:func:`arborlens.functions.paths.normalise`.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,18 +16,18 @@ def check_limit(max_kb: int | None) -> None:
         raise ValueError(f"the size limit must be non-negative, got {max_kb}")
 
 
-def default_ignored(path: Column) -> Column:
-    """True for ignored names, endings and directories; ``path`` is in normal form."""
-    name = paths.base_name(path)
+def default_ignored(normal: Column) -> Column:
+    """True for ignored names, endings and directories."""
+    name = paths.base_name(normal)
     directory = "/(?:" + globs.one_of(V.IGNORED_DIRS) + ")/"
     return (
         name.isin(*V.IGNORED_FILES)
         | paths.extension(name).isin(*V.IGNORED_EXTENSIONS)
-        | F.concat(F.lit("/"), path, F.lit("/")).rlike(directory)
+        | F.concat(F.lit("/"), normal, F.lit("/")).rlike(directory)
     )
 
 
-def names_protected(path: Column, name: Column, include) -> Column:
+def names_protected(normal: Column, name: Column, include) -> Column:
     """True if a pattern names this protected file: by name, or by a path it matches."""
     hit = F.lit(False)
     for pattern in (globs.normal_pattern(p) for p in include or ()):
@@ -32,7 +36,7 @@ def names_protected(path: Column, name: Column, include) -> Column:
             continue
         same = name == F.lit(target)
         if "/" in pattern:
-            same = same & path.rlike(r"(?s)\A" + globs.glob_regex(pattern) + r"\z")
+            same = same & normal.rlike(r"(?s)\A" + globs.glob_regex(pattern) + r"\z")
         hit = hit | same
     return hit
 
@@ -56,19 +60,41 @@ def size_detail(length: Column, max_kb: int | None) -> Column:
     )
 
 
-def name_reason(path: Column, include=None, exclude=None) -> Column:
+def name_reason(normal: Column, include=None, exclude=None) -> Column:
     """Reason from the path alone, the first rule that rejects deciding."""
-    path = paths.normalise(path)
-    name = paths.base_name(path)
-    protected = name.isin(*V.PROTECTED_FILES) & ~names_protected(path, name, include)
-    return (
-        F.when(globs.any_glob(path, name, exclude), V.EXCLUDED)
-        .when(protected, V.PROTECTED)
-        .when(~globs.any_glob(path, name, include) & default_ignored(path), V.DEFAULT_IGNORED)
-    )
+    name = paths.base_name(normal)
+    protected = name.isin(*V.PROTECTED_FILES)
+    if include:
+        protected = protected & ~names_protected(normal, name, include)
+    ignored = default_ignored(normal)
+    if include:
+        ignored = ~globs.any_glob(normal, name, include) & ignored
+    reason = F.when(protected, V.PROTECTED).when(ignored, V.DEFAULT_IGNORED)
+    if exclude:
+        reason = F.when(globs.any_glob(normal, name, exclude), V.EXCLUDED).otherwise(reason)
+    return reason
 
 
 def file_reason(path: Column, length: Column, include=None, exclude=None,
                 max_kb: int | None = V.DEFAULT_MAX_KB) -> Column:
     """The whole chain: exclude, protected, include, default rules, size."""
-    return F.coalesce(name_reason(path, include, exclude), size_reason(length, max_kb))
+    return F.coalesce(
+        name_reason(paths.normalise(path), include, exclude), size_reason(length, max_kb)
+    )
+
+
+def may_lie_in_rejected(normal: Column, exclude=None) -> Column:
+    """Cheap test: false if no directory above the path can be rejected by name.
+
+    One search per kind of rule over the whole path, so that most files need no
+    look at their directories one by one.
+    """
+    names = "|".join((
+        globs.one_of(V.IGNORED_DIRS + V.IGNORED_FILES),
+        r"[^/]*(?:" + globs.one_of(V.IGNORED_EXTENSIONS) + ")",
+    ))
+    maybe = normal.rlike(f"(?:^|/)(?:{names})\\s*/")
+    for pattern in exclude or ():
+        glob = globs.glob_regex(globs.normal_pattern(pattern))
+        maybe = maybe | normal.rlike(rf"(?s)(?:\A|/)(?:{glob})\s*/")
+    return maybe

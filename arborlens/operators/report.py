@@ -28,44 +28,49 @@ def reason_rank(reason: Column) -> Column:
     return F.coalesce(F.nullif(place, F.lit(0).cast("bigint")), F.lit(99).cast("bigint"))
 
 
-def skip_counts(skips: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Skips per reason with the reason's place in reports."""
-    return skips.groupBy(*(by or []), "reason_code").agg(
-        F.count(F.lit(1)).cast("bigint").alias("skipped")
-    ).withColumn("place", reason_rank(F.col("reason_code")))
+def reason_totals(loaded: DataFrame) -> DataFrame:
+    """Files, tokens and bytes per repository and reason (null: selected).
 
-
-def dry_run(judged: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row per repository: selected files, tokens, size text, skips by reason.
-
-    The number of reasons is fixed, so the text of a report stays small. Both
-    groupings combine on the map side first.
+    One pass over the files. A pruned directory counts once, however many files
+    lie below it; both groupings combine on the map side first.
     """
+    if "is_dir" in loaded.columns:
+        loaded = loaded.where(~F.col("is_dir") | F.col("pruned_dir").isNotNull())
     selected = F.col("outcome") == COMPLETED
-    # A pruned directory counts once, however many files lie below it.
-    directories = (
-        judged.where(F.col("pruned_dir").isNotNull())
-        .groupBy("repo_id", "pruned_dir", "reason_code").agg(F.lit(1).alias("one"))
-        .groupBy("repo_id", "reason_code").agg(F.count(F.lit(1)).alias("n"))
-        .select("repo_id", "reason_code", "n", *[F.lit(0).cast("bigint").alias(c) for c in ("t", "b")])
-    )
-    files = outcomes.groupBy("repo_id", "reason_code").agg(
+    per_directory = loaded.groupBy("repo_id", "pruned_dir", "reason_code").agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.when(selected, C.tokens(F.col("text")))), F.lit(0)).alias("t"),
-        F.coalesce(F.sum(F.when(selected, C.size_bytes(F.col("text")))), F.lit(0)).alias("b"),
+        F.sum(F.when(selected, C.tokens(F.col("text"))).otherwise(0)).alias("tokens"),
+        F.sum(F.when(selected, C.size_bytes(F.col("text"))).otherwise(0)).alias("bytes"),
+    )
+    once = F.when(F.col("pruned_dir").isNull(), F.col("n")).otherwise(1)
+    return per_directory.groupBy("repo_id", "reason_code").agg(
+        F.sum(once).cast("bigint").alias("n"), F.sum("tokens").cast("bigint").alias("tokens"),
+        F.sum("bytes").cast("bigint").alias("bytes"),
     )
-    counts = files.unionByName(directories).groupBy("repo_id", "reason_code").agg(
-        F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")
+
+
+def skip_counts(loaded: DataFrame) -> DataFrame:
+    """Skips per repository and reason, with the reason's place in reports."""
+    return reason_totals(loaded).where(F.col("reason_code").isNotNull()).select(
+        "repo_id", "reason_code", F.col("n").alias("skipped"),
+        reason_rank(F.col("reason_code")).alias("place"),
     )
+
+
+def dry_run(loaded: DataFrame) -> DataFrame:
+    """One row per repository: selected files, tokens, size text, skips by reason.
+
+    The number of reasons is fixed, so the text of a report stays small.
+    """
     reason = F.col("reason_code")
     lines = F.array_sort(F.collect_list(
         F.when(reason.isNotNull(), F.struct(reason_rank(reason).alias("p"), reason.alias("r"), "n"))
     ))
-    report = counts.groupBy("repo_id").agg(
-        F.coalesce(F.sum(F.when(reason.isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("files_selected"),
-        F.sum("t").cast("bigint").alias("estimated_tokens"),
-        F.sum("b").cast("bigint").alias("total_bytes"),
-        F.coalesce(F.sum(F.when(reason.isNotNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("skipped"),
+    report = reason_totals(loaded).groupBy("repo_id").agg(
+        F.sum(F.when(reason.isNull(), F.col("n")).otherwise(0)).alias("files_selected"),
+        F.sum("tokens").alias("estimated_tokens"),
+        F.sum("bytes").alias("total_bytes"),
+        F.sum(F.when(reason.isNotNull(), F.col("n")).otherwise(0)).alias("skipped"),
         lines.alias("_lines"),
     )
     text = F.array_join(

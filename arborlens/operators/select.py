@@ -50,19 +50,13 @@ def with_rule_table(files: DataFrame, rule_table: DataFrame) -> DataFrame:
     return join_per_key(files, per_repo, ["repo_id"], ["relative_path"])
 
 
-def _directory_reason(path: Column, include, exclude, verdict) -> Column:
-    reason = rules.name_reason(path, include, exclude)
-    if verdict is None:
-        return reason
-    return F.coalesce(reason, F.when(ignore.directory_ignored(path, verdict), V.GITIGNORED))
-
-
 def judge(files: DataFrame, include=None, exclude=None, max_kb: int | None = V.DEFAULT_MAX_KB,
           ignore_rules: list[ignore.Rule] | DataFrame | None = None) -> DataFrame:
     """Add ``pruned_dir`` (topmost rejected directory) and ``reason_code``.
 
     A directory's verdict depends on its path alone, so every file works out
-    the fate of its own ancestors: pruning needs no shuffle and no join.
+    the fate of its own ancestors: pruning needs no shuffle and no join. Rows of
+    directories (``is_dir``) are judged as such and are never kept as files.
     ``ignore_rules`` is a list for all repositories, or a table
     ``(repo_id, ord, regex, ignored)``.
     """
@@ -77,25 +71,38 @@ def judge(files: DataFrame, include=None, exclude=None, max_kb: int | None = V.D
         def verdict(p):
             return ignore.ignored_by(p, ignore_rules)
 
-    path = F.col("relative_path")
+    def directory_reason(directory: Column, normal: Column) -> Column:
+        reason = rules.name_reason(normal, include, exclude)
+        if verdict is None:
+            return reason
+        ignored = F.when(ignore.directory_ignored(directory, verdict), V.GITIGNORED)
+        return F.coalesce(reason, ignored)
+
+    path, normal = F.col("relative_path"), F.col("_normal")
+    # Each step is a column of its own: Spark then works it out once per row.
+    files = files.withColumn("_normal", paths.normalise(path))
     above = paths.ancestors(path)
+    look = rules.may_lie_in_rejected(normal, exclude)
     if "is_dir" in files.columns:
         above = F.when(F.col("is_dir"), F.array_append(above, path)).otherwise(above)
-    rejected = F.filter(
-        above,
-        lambda d: _directory_reason(d, include, exclude, verdict).isNotNull(),
+        look = look | F.col("is_dir")
+    pairs = F.transform(
+        above, lambda d: F.struct(d.alias("dir"), paths.normalise(d).alias("normal"))
+    )
+    rejected = F.filter(pairs, lambda d: directory_reason(d["dir"], d["normal"]).isNotNull())
+    first = F.get(rejected, F.lit(0))
+    files = files.withColumn("_top", first if verdict is not None else F.when(look, first))
+    own = F.coalesce(
+        rules.name_reason(normal, include, exclude), rules.size_reason(F.col("length"), max_kb)
     )
-    # Two steps, so that each later use reads the column instead of redoing it.
-    files = files.withColumn("pruned_dir", F.get(rejected, F.lit(0)))
-    own = rules.file_reason(path, F.col("length"), include, exclude, max_kb)
     if verdict is not None:
         own = F.coalesce(own, F.when(verdict(path), V.GITIGNORED))
     reason = F.when(
-        F.col("pruned_dir").isNotNull(),
-        _directory_reason(F.col("pruned_dir"), include, exclude, verdict),
+        F.col("_top").isNotNull(), directory_reason(F.col("_top.dir"), F.col("_top.normal"))
     ).otherwise(own)
-    judged = files.withColumn("reason_code", reason)
-    return judged.drop("_rules") if "_rules" in judged.columns else judged
+    return files.withColumns({
+        "pruned_dir": F.col("_top.dir"), "reason_code": reason,
+    }).drop("_normal", "_top", "_rules")
 
 
 def kept(judged: DataFrame) -> DataFrame:
@@ -121,15 +128,13 @@ def load(judged: DataFrame, max_kb: int | None = V.DEFAULT_MAX_KB, content: str
          error: str | None = None) -> DataFrame:
     """Turn judged files into outcomes: stage, reason and decoded text.
 
-    ``rule_reason`` keeps the verdict of the rules, which needs no content.
-
     ``content`` holds the bytes, or text that was decoded before. A column
     named by ``error`` carries read failures of the source. Files below pruned
-    directories are left out; they have no outcome of their own.
+    directories stay with stage ``directory``; they are not outcomes of their
+    own, see :func:`outcomes`. ``rule_reason`` keeps the verdict of the rules,
+    which needs no content.
     """
-    files = judged.where(F.col("pruned_dir").isNull()).withColumnRenamed("reason_code", "rule_reason")
-    if "is_dir" in files.columns:
-        files = files.where(~F.col("is_dir"))
+    files = judged.withColumnRenamed("reason_code", "rule_reason")
     rejected = F.col("rule_reason").isNotNull()
     raw = F.col(content)
     if files.schema[content].dataType.simpleString() == "string":
@@ -144,8 +149,8 @@ def load(judged: DataFrame, max_kb: int | None = V.DEFAULT_MAX_KB, content: str
     decoded = F.col("text").isNotNull()
     return files.withColumns({
         "outcome": F.when(decoded, COMPLETED).otherwise(SKIPPED),
-        "stage": F.when(rejected, STAGES[1]).when(F.col("_binary"), STAGES[2])
-        .when(~decoded, STAGES[3]),
+        "stage": F.when(F.col("pruned_dir").isNotNull(), STAGES[0]).when(rejected, STAGES[1])
+        .when(F.col("_binary"), STAGES[2]).when(~decoded, STAGES[3]),
         "reason_code": F.when(rejected, F.col("rule_reason"))
         .when(failed.isNotNull(), V.LOAD_ERROR)
         .when(F.col("_binary"), V.BINARY)
@@ -156,10 +161,16 @@ def load(judged: DataFrame, max_kb: int | None = V.DEFAULT_MAX_KB, content: str
     }).drop("_binary")
 
 
-def documents(outcomes: DataFrame) -> DataFrame:
+def outcomes(loaded: DataFrame) -> DataFrame:
+    """Files that were reached: neither directories nor below a pruned one."""
+    reached = loaded.where(F.col("pruned_dir").isNull())
+    return reached.where(~F.col("is_dir")) if "is_dir" in loaded.columns else reached
+
+
+def documents(loaded: DataFrame) -> DataFrame:
     """The document table: kept files with their text."""
     name = paths.base_name(F.col("relative_path"))
-    return outcomes.where(F.col("outcome") == COMPLETED).select(
+    return outcomes(loaded).where(F.col("outcome") == COMPLETED).select(
         "repo_id",
         paths.forward_slashes(F.col("relative_path")).alias("file_path"),
         name.alias("file_name"),
@@ -169,12 +180,11 @@ def documents(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def skipped(judged: DataFrame, outcomes: DataFrame) -> DataFrame:
+def skipped(loaded: DataFrame) -> DataFrame:
     """Skipped directories and files with stage, reason and detail."""
-    return pruned_directories(judged).unionByName(
-        outcomes.where(F.col("outcome") == SKIPPED).select(
-            "repo_id", "relative_path", "stage", "reason_code", "reason_detail"
-        )
+    files = outcomes(loaded).where(F.col("outcome") == SKIPPED)
+    return pruned_directories(loaded.withColumn("reason_code", F.col("rule_reason"))).unionByName(
+        files.select("repo_id", "relative_path", "stage", "reason_code", "reason_detail")
     )
 
 

@@ -5,47 +5,50 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import paths
 
+# In a sort key this ends the name of a directory, and this starts that of a
+# file: a directory's own line comes first, then its files, then the rest.
+END_OF_DIRECTORY, START_OF_FILE = "\x02", "\x01"
+
 
 def lines(files: DataFrame, path: str = "relative_path") -> DataFrame:
     """Lines ``(repo_id, sort_key, depth, line)``: files of a directory, then subdirectories.
 
-    The last file of a directory has its own mark. It is found as the largest
-    path per directory and joined on that path, which is unique, so that a huge
-    directory is never gathered in one task.
+    The last file of a directory has its own mark. It is the largest path per
+    directory and meets its file in a grouping by path, which is unique, so that
+    a huge directory is never gathered in one task.
     """
     rows = files.select("repo_id", F.col(path).alias("path"))
-    home = paths.parent(F.col("path"))
-    last = rows.groupBy("repo_id", home.alias("dir")).agg(F.max("path").alias("path")).select(
-        "repo_id", "path", F.lit(True).alias("is_last")
+    per_dir = rows.groupBy("repo_id", paths.parent(F.col("path")).alias("dir")).agg(
+        F.max("path").alias("last")
     )
-    level = paths.depth(F.col("path"))
-    indent = F.repeat(F.lit("    "), level + 1)
-    mark = F.when(F.col("is_last"), "└── ").otherwise("├── ")
-    # In a sort key '\x02' ends the name of a directory and '\x01' starts that of
-    # a file: a directory's own line comes first, then its files, then the rest.
-    key_home = F.translate(home, "/", "\x02")
-    file_lines = rows.join(last, ["repo_id", "path"], "left").select(
-        "repo_id",
-        F.concat(
-            F.when(home == "", F.lit("")).otherwise(F.concat(key_home, F.lit("\x02"))),
-            F.lit("\x01"), paths.base_name(F.col("path")),
-        ).alias("sort_key"),
-        (level + 1).cast("int").alias("depth"),
-        F.concat(indent, mark, paths.base_name(F.col("path"))).alias("line"),
+
+    def entry(where, is_dir: bool, is_last: bool):
+        return F.struct(where.alias("path"), F.lit(is_dir).alias("is_dir"), F.lit(is_last).alias("is_last"))
+
+    # Each directory with files names its last file, itself, all above and the top.
+    above = F.array_append(paths.ancestors(F.col("dir")), F.col("dir"))
+    named = F.concat(
+        F.array(entry(F.col("last"), False, True), entry(F.lit(""), True, False)),
+        F.transform(above, lambda d: entry(d, True, False)),
+    )
+    found = (
+        rows.select("repo_id", "path", F.lit(False).alias("is_dir"), F.lit(False).alias("is_last"))
+        .unionByName(per_dir.select("repo_id", F.inline(named)))
+        .groupBy("repo_id", "path", "is_dir").agg(F.max("is_last").alias("is_last"))
     )
-    per_dir = rows.select("repo_id", home.alias("dir")).distinct()
-    dirs = per_dir.select(
-        "repo_id", F.explode(F.array_append(paths.ancestors(F.col("dir")), F.col("dir"))).alias("dir")
-    ).distinct()
-    below = F.col("dir") != ""
-    depth = F.when(below, paths.depth(F.col("dir")) + 1).otherwise(0).cast("int")
-    dir_lines = dirs.where(below).select(
-        "repo_id", F.concat(F.translate("dir", "/", "\x02"), F.lit("\x02")).alias("sort_key"),
-        depth.alias("depth"),
-        F.concat(F.repeat(F.lit("    "), depth), F.lit("├── "), paths.base_name(F.col("dir")), F.lit("/")).alias("line"),
+    top = F.col("is_dir") & (F.col("path") == "")
+    name, home = paths.base_name(F.col("path")), paths.parent(F.col("path"))
+    depth = F.when(top, 0).otherwise(paths.depth(F.col("path")) + 1).cast("int")
+    key_of = F.when(home == "", "").otherwise(
+        F.concat(F.translate(home, "/", END_OF_DIRECTORY), F.lit(END_OF_DIRECTORY))
     )
-    tops = rows.select("repo_id").distinct().select(
-        "repo_id", F.lit("").alias("sort_key"), F.lit(0).alias("depth"),
-        F.concat("repo_id", F.lit("/")).alias("line"),
+    sort_key = (
+        F.when(top, "")
+        .when(F.col("is_dir"), F.concat(key_of, name, F.lit(END_OF_DIRECTORY)))
+        .otherwise(F.concat(key_of, F.lit(START_OF_FILE), name))
     )
-    return tops.unionByName(dir_lines).unionByName(file_lines)
+    mark = F.when(F.col("is_last"), "└── ").otherwise("├── ")
+    line = F.when(top, F.concat("repo_id", F.lit("/"))).otherwise(F.concat(
+        F.repeat(F.lit("    "), depth), mark, name, F.when(F.col("is_dir"), "/").otherwise("")
+    ))
+    return found.select("repo_id", sort_key.alias("sort_key"), depth.alias("depth"), line.alias("line"))

@@ -12,19 +12,23 @@ from arborlens.sources import corpus, ignore_files
 
 class Traversal(NamedTuple):
     judged: DataFrame
-    outcomes: DataFrame
+    loaded: DataFrame
+
+    @property
+    def outcomes(self) -> DataFrame:
+        return select.outcomes(self.loaded)
 
     @property
     def documents(self) -> DataFrame:
-        return select.documents(self.outcomes)
+        return select.documents(self.loaded)
 
     @property
     def skipped(self) -> DataFrame:
-        return select.skipped(self.judged, self.outcomes)
+        return select.skipped(self.loaded)
 
     @property
     def dry_run(self) -> DataFrame:
-        return report.dry_run(self.judged, self.outcomes)
+        return report.dry_run(self.loaded)
 
 
 def traverse(files: DataFrame, include=None, exclude=None, max_kb: int | None = V.DEFAULT_MAX_KB,
@@ -55,5 +59,4 @@ def traverse_folders(spark: SparkSession, roots: dict[str, str], include=None, e
     rest = judged.where(~wanted).withColumns({
         "content": F.lit(None).cast("binary"), "read_error": F.lit(None).cast("string"),
     })
-    outcomes = select.load(loaded.unionByName(rest), max_kb, error="read_error")
-    return Traversal(judged, outcomes)
+    return Traversal(judged, select.load(loaded.unionByName(rest), max_kb, error="read_error"))

@@ -451,7 +451,7 @@ def cost_estimate(spark, sf):
 
 @query
 def skip_summary(spark, sf):
-    return report.skip_counts(walk(spark, sf, SMALL_KB).skipped, ["repo_id"])
+    return report.skip_counts(walk(spark, sf, SMALL_KB).loaded)
 
 
 @query
