@@ -16,6 +16,9 @@ from arborlens.functions.content import tenths
 from arborlens.functions.text import rstrip
 
 FILE = ["repo_id", "path"]
+# Where a key is looked for: script paths, beside the file, below package roots.
+SCRIPT, NEAR, FAR = 0, 1, 2
+OFFERS = "array<struct<scope: int, key: string, root: string, rank: int>>"
 
 
 def sources(documents: DataFrame, text: str = "content") -> DataFrame:
@@ -57,159 +60,167 @@ def resolve_dots(path: Column) -> Column:
     return F.array_join(walked, "/")
 
 
-def _python_requests(files: DataFrame) -> DataFrame:
-    asked = files.select(*FILE, F.explode(imports.python_requests(F.col("content"))).alias("module"))
-    module = F.col("module")
-    asked = asked.where((module != "") & ~F.startswith(module, F.lit("_")))
+def _slot(scope: int, key: Column) -> Column:
+    return F.struct(F.lit(scope).alias("scope"), key.alias("key"))
+
+
+def _python_slots(module: Column, home: Column, package_roots: bool) -> Column:
     dots = F.length(F.regexp_extract(module, r"\A(\.*)", 1))
     tail = F.replace(F.substr(module, dots + 1), F.lit("."), F.lit("/"))
-    home = paths.parent(F.col("path"))
     parts = F.split(home, "/")
-    up = F.greatest(dots - 1, F.lit(0))
-    base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), "/")
-    return asked.select(
-        *FILE, "module", (dots == 0).alias("absolute"), _under(base, tail).alias("key"),
-        tail.alias("tail"),
-    )
+    left = F.greatest(F.size(parts) - F.greatest(dots - 1, F.lit(0)), F.lit(0))
+    base = F.array_join(F.slice(parts, F.lit(1), left), "/")
+    near = _slot(NEAR, _under(base, tail))
+    if not package_roots:
+        return F.array(near)
+    return F.when(dots == 0, F.array(near, _slot(FAR, tail))).otherwise(F.array(near))
 
 
-def _script_requests(files: DataFrame, wide: bool) -> DataFrame:
-    asked = files.select(
-        *FILE, F.explode(F.array_distinct(imports.script_imports(F.col("content"), wide))).alias("module")
-    )
-    module = F.col("module")
+def _script_slots(module: Column, home: Column) -> Column:
     clean = F.substring_index(F.substring_index(module, "?", 1), "#", 1)
-    key = resolve_dots(F.concat(paths.parent(F.col("path")), F.lit("/"), clean))
-    return asked.where(F.startswith(module, F.lit("."))).select(
-        *FILE, "module", key.alias("key")
-    ).where(F.col("key").isNotNull())
+    key = resolve_dots(F.concat(home, F.lit("/"), clean))
+    return F.when(key.isNotNull(), F.array(_slot(SCRIPT, key)))
 
 
-# ---- offers ------------------------------------------------------------------
+def requests(documents: DataFrame, wide: bool = False, package_roots: bool = True) -> DataFrame:
+    """Keys asked for: ``(repo_id, path, module, scope, key)``.
 
-def _best(offers: DataFrame, *order: str) -> DataFrame:
-    return offers.groupBy("repo_id", "key").agg(
-        F.min(F.struct(*order, "path"))["path"].alias("target")
+    Texts are read in one pass for both kinds of files. Modules that can never
+    name a file here are dropped at once. Every file also asks, as module '',
+    for a key that nothing offers; that row keeps files without imports, and
+    spreads as its key is the file's own path.
+    """
+    body, module = F.col("content"), F.col("module")
+    python = F.col("language") == "python"
+    named = F.when(
+        python,
+        F.filter(imports.python_requests(body), lambda m: (m != "") & ~F.startswith(m, F.lit("_"))),
+    ).otherwise(F.filter(
+        F.array_distinct(imports.script_imports(body, wide)), lambda m: F.startswith(m, F.lit("."))
+    ))
+    asked = sources(documents).select(
+        *FILE, "language", F.explode(F.array_append(named, F.lit(""))).alias("module")
     )
+    home = paths.parent(F.col("path"))
+    slots = (
+        F.when(module == "", F.array(_slot(SCRIPT, F.concat(F.lit("\x01"), F.col("path")))))
+        .when(python, _python_slots(module, home, package_roots))
+        .otherwise(_script_slots(module, home))
+    )
+    return asked.select(*FILE, "module", F.inline(slots))
 
 
-def _offer(key: Column, rank: int) -> Column:
-    return F.struct(key.alias("key"), F.lit(rank).alias("rank"))
+# ---- offers ------------------------------------------------------------------
+
+def _offer(scope: int, key: Column, rank: int | Column, root: Column | None = None) -> Column:
+    rank = F.lit(rank) if isinstance(rank, int) else rank
+    return F.struct(
+        F.lit(scope).alias("scope"), key.alias("key"),
+        (F.lit("") if root is None else root).alias("root"), rank.alias("rank"),
+    )
 
 
-def _python_offers(files: DataFrame) -> DataFrame:
-    """A package answers before a module of the same name."""
-    path = F.col("path")
-    package = F.regexp_extract(path, r"(?s)\A(?:(.*)/)?__init__\.py\z", 1)
-    is_package = paths.base_name(path) == "__init__.py"
-    offers = F.array_compact(F.array(
-        F.when(is_package, _offer(package, 0)),
-        _offer(F.regexp_replace(path, r"\.py\z", ""), 1),
-    ))
-    return files.where(F.endswith(path, F.lit(".py"))).select(*FILE, F.inline(offers))
+def _seen_from_roots(offer: Column) -> Column:
+    """An offer from every directory above it, as a package root."""
+    key = offer["key"]
 
+    def from_root(level: Column) -> Column:
+        root = F.call_function("substring_index", key, F.lit("/"), level)
+        tail = F.when(level == 0, key).otherwise(F.substr(key, F.length(root) + 2))
+        return _offer(FAR, tail, offer["rank"], root)
 
-def _suffix_offers(offers: DataFrame) -> DataFrame:
-    """The same offers seen from every directory as a package root."""
-    levels = F.sequence(F.lit(0), paths.depth(F.col("key")))
-    cut = F.transform(
-        levels, lambda i: F.call_function("substring_index", F.col("key"), F.lit("/"), i)
-    )
-    rows = offers.select(*FILE, "rank", F.col("key").alias("full"), F.explode(cut).alias("root"))
-    tail = F.when(F.col("root") == "", F.col("full")).otherwise(
-        F.substr(F.col("full"), F.length("root") + 2)
-    )
-    return rows.select(*FILE, "rank", "root", tail.alias("key"))
+    return F.transform(F.sequence(F.lit(0), paths.depth(key)), from_root)
 
 
-def _script_offers(files: DataFrame) -> DataFrame:
-    path, name = F.col("path"), paths.base_name(F.col("path"))
+def offers(documents: DataFrame, package_roots: bool = True) -> DataFrame:
+    """The best file for each key: ``(repo_id, scope, key, target)``, unique on the key.
+
+    A script answers to its path with and without ending, a folder by its index
+    file. A package answers before a module of the same name, and the first
+    package root by name before the others.
+    """
+    path = F.col("relative_path")
+    name = paths.base_name(path)
     endings = [
         F.when(F.endswith(path, F.lit(e)),
-               _offer(F.substr(path, F.lit(1), F.length(path) - len(e)), i))
+               _offer(SCRIPT, F.substr(path, F.lit(1), F.length(path) - len(e)), i))
         for i, e in enumerate(V.SCRIPT_ENDINGS)
     ]
     indexes = [
-        F.when(name == n, _offer(paths.parent(path), len(V.SCRIPT_ENDINGS) + i))
+        F.when(name == n, _offer(SCRIPT, paths.parent(path), len(V.SCRIPT_ENDINGS) + i))
         for i, n in enumerate(V.SCRIPT_INDEXES)
     ]
-    return files.select(*FILE, F.inline(F.array_compact(F.array(*endings, *indexes))))
-
-
-# ---- resolution --------------------------------------------------------------
+    python = F.when(F.endswith(path, F.lit(".py")), F.array_compact(F.array(
+        F.when(name == "__init__.py", _offer(NEAR, paths.parent(path), 0)),
+        _offer(NEAR, F.regexp_replace(path, r"\.py\z", ""), 1),
+    ))).otherwise(F.array().cast(OFFERS))
+    script = F.array_compact(F.array(*endings, *indexes))
+    files = documents.select("repo_id", path.alias("path"), script.alias("s"), python.alias("p"))
+    everything = F.concat("s", "p")
+    if package_roots:
+        everything = F.concat("s", "p", F.flatten(F.transform("p", _seen_from_roots)))
+    return (
+        files.select(*FILE, F.inline(everything))
+        .groupBy("repo_id", "scope", "key")
+        .agg(F.min(F.struct("root", "rank", "path"))["path"].alias("target"))
+    )
 
-def _paths(documents: DataFrame) -> DataFrame:
-    return documents.select("repo_id", F.col("relative_path").alias("path"))
 
+# ---- links -------------------------------------------------------------------
 
-def python_targets(documents: DataFrame, package_roots: bool = True) -> DataFrame:
-    """Resolved modules ``(repo_id, path, module, target)`` of Python files.
+def links(documents: DataFrame, wide: bool = False, package_roots: bool = True) -> DataFrame:
+    """Distinct ``(repo_id, src, dst)`` of resolved imports; dst is null once per file.
 
-    A module is looked for beside the file first; an absolute one then below
-    every package root, the first root by name deciding.
+    A module is taken from beside its file before any package root. After the
+    join everything about a file is brought together once; choosing among
+    places and dropping repeats need no further shuffle.
     """
-    asked = _python_requests(sources(documents).where(F.col("language") == "python"))
-    offers = _python_offers(_paths(documents))
-    near = asked.join(_best(offers, "rank"), ["repo_id", "key"], "left")
-    if not package_roots:
-        return near.where(F.col("target").isNotNull()).select(*FILE, "module", "target")
-    far = _best(_suffix_offers(offers), "root", "rank").select(
-        "repo_id", F.col("key").alias("tail"), F.col("target").alias("far_target")
+    asked = requests(documents, wide, package_roots)
+    found = asked.join(offers(documents, package_roots), ["repo_id", "scope", "key"], "left")
+    known = found.where(F.col("target").isNotNull() | (F.col("module") == ""))
+    chosen = known.repartition(*FILE).groupBy(*FILE, "module").agg(
+        F.min(F.struct("scope", "target"))["target"].alias("target")
     )
-    # Only open absolute requests look further; a null key never matches.
-    open_tail = F.when(F.col("target").isNull() & F.col("absolute"), F.col("tail"))
-    both = near.withColumn("tail", open_tail).join(far, ["repo_id", "tail"], "left")
-    found = F.coalesce("target", "far_target")
-    return both.select(*FILE, "module", found.alias("target")).where(F.col("target").isNotNull())
+    return chosen.select("repo_id", F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
 
 
-def script_targets(documents: DataFrame, wide: bool = False) -> DataFrame:
-    """Resolved modules ``(repo_id, path, module, target)`` of script files."""
-    asked = _script_requests(sources(documents).where(F.col("language") != "python"), wide)
-    offers = _best(_script_offers(_paths(documents)), "rank")
-    return asked.join(offers, ["repo_id", "key"]).select(*FILE, "module", "target")
+def _linked() -> Column:
+    return F.coalesce(F.col("dst") != F.col("src"), F.lit(False))
 
 
-def as_edges(targets: DataFrame) -> DataFrame:
+def edges_of(link_rows: DataFrame) -> DataFrame:
     """Each edge once, without edges to oneself."""
-    return (
-        targets.where(F.col("path") != F.col("target"))
-        .select("repo_id", F.col("path").alias("src"), F.col("target").alias("dst"))
-        .distinct()
-    )
+    return link_rows.where(_linked())
 
 
 def edges(documents: DataFrame, wide: bool = False, package_roots: bool = True) -> DataFrame:
-    # A file is read by one of the two parsers, so their edges never coincide.
-    return as_edges(python_targets(documents, package_roots)).unionByName(
-        as_edges(script_targets(documents, wide))
-    )
+    return edges_of(links(documents, wide, package_roots))
 
 
 # ---- nodes, degrees and questions --------------------------------------------
 
-def degrees(documents: DataFrame, edge_rows: DataFrame) -> DataFrame:
+def degrees(link_rows: DataFrame) -> DataFrame:
     """Nodes with outgoing and incoming counts: source files and edge ends.
 
-    One grouping of nodes and edge ends together gives the node set and both
-    counts, without joins; a hub is counted on the map side first.
+    One grouping of both ends of all links gives the node set and both counts,
+    without joins; a hub is counted on the map side first.
     """
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    alone = sources(documents).select(*FILE, zero.alias("o"), zero.alias("i"))
-    ends = edge_rows.select("repo_id", F.inline(F.array(
-        F.struct(F.col("src").alias("path"), one.alias("o"), zero.alias("i")),
-        F.struct(F.col("dst").alias("path"), zero.alias("o"), one.alias("i")),
-    )))
-    return alone.unionByName(ends).groupBy(*FILE).agg(
+    linked = _linked()
+    ends = F.array_compact(F.array(
+        F.struct(F.col("src").alias("path"), F.when(linked, one).otherwise(zero).alias("o"), zero.alias("i")),
+        F.when(linked, F.struct(F.col("dst").alias("path"), zero.alias("o"), one.alias("i"))),
+    ))
+    return link_rows.select("repo_id", F.inline(ends)).groupBy(*FILE).agg(
         F.sum("o").alias("outgoing"), F.sum("i").alias("incoming")
     )
 
 
-def nodes(documents: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """Source files and edge targets, each once; edge sources are source files."""
+def nodes(link_rows: DataFrame) -> DataFrame:
+    """Source files and edge ends, each once, with their language."""
+    ends = F.array_compact(F.array("src", "dst"))
     lang = language.graph_language(paths.extension(paths.base_name(F.col("path"))))
-    ends = edge_rows.select("repo_id", F.col("dst").alias("path"))
-    return sources(documents).select(*FILE).union(ends).distinct().withColumn("language", lang)
+    return link_rows.select("repo_id", F.explode(ends).alias("path")).distinct().withColumn("language", lang)
 
 
 def entry_points(degree: DataFrame) -> DataFrame:
@@ -283,30 +294,33 @@ def dependents(edge_rows: DataFrame, repo_id: str, path: str) -> DataFrame:
 
 # ---- report ------------------------------------------------------------------
 
-def _top(degree: DataFrame, keep: Column, order: list, limit: int, kind: str) -> DataFrame:
-    window = Window.partitionBy("repo_id").orderBy(*order)
-    return degree.where(keep).withColumn("n", F.row_number().over(window)).where(
-        F.col("n") <= limit
-    ).select("repo_id", F.lit(kind).alias("kind"), "n", "path", "incoming")
-
-
 def overview(degree: DataFrame) -> DataFrame:
-    """Markdown overview ``(repo_id, overview)`` of each repository's graph."""
-    core = _top(degree, F.col("incoming") > 0, [F.desc("incoming"), "path"], V.REPORT_CORE, "core")
-    entry = _top(degree, F.col("incoming") == 0, ["path"], V.REPORT_ENTRIES, "entry")
-    listed = core.unionByName(entry).groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "n", "path", "incoming"))).alias("rows")
+    """Markdown overview ``(repo_id, overview)`` of each repository's graph.
+
+    ``degree`` is used twice: pass a table that was written or checkpointed.
+    Core modules and entry points are both first rows of one ranking.
+    """
+    is_core = F.col("incoming") > 0
+    order = Window.partitionBy("repo_id", "core").orderBy(F.desc("incoming"), "path")
+    most = max(V.REPORT_CORE, V.REPORT_ENTRIES)
+    listed = (
+        degree.select(*FILE, "incoming", is_core.alias("core"))
+        .withColumn("n", F.row_number().over(order))
+        .where(F.col("n") <= most)
+        .where(F.when(F.col("core"), F.col("n") <= V.REPORT_CORE).otherwise(F.col("n") <= V.REPORT_ENTRIES))
+        .groupBy("repo_id")
+        .agg(F.array_sort(F.collect_list(F.struct("core", "n", "path", "incoming"))).alias("rows"))
     )
     stats = statistics(degree, ["repo_id"])
 
-    def lines(kind: str, form) -> Column:
-        picked = F.filter("rows", lambda r: r["kind"] == kind)
+    def lines(core: bool, form) -> Column:
+        picked = F.filter("rows", lambda r: r["core"] == core)
         return F.array_join(F.transform(picked, form), "")
 
-    core_lines = lines("core", lambda r: F.concat(
+    core_lines = lines(True, lambda r: F.concat(
         F.lit("- `"), paths.base_name(r["path"]), F.lit("` ("), r["incoming"].cast("string"),
         F.lit(" incoming dependencies)\n")))
-    entry_lines = lines("entry", lambda r: F.concat(F.lit("- `"), paths.base_name(r["path"]), F.lit("`\n")))
+    entry_lines = lines(False, lambda r: F.concat(F.lit("- `"), paths.base_name(r["path"]), F.lit("`\n")))
     rest = F.col("entry_points") - V.REPORT_ENTRIES
     core_part = F.when(core_lines != "", F.concat(
         F.lit("### Core Modules\nFiles most depended on by other modules:\n"), core_lines, F.lit("\n")))

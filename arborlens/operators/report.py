@@ -83,39 +83,48 @@ def dry_run(loaded: DataFrame) -> DataFrame:
     )
 
 
-def progress(outcomes: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def progress(outcomes: DataFrame, judged: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """One discovery event per repository, then one terminal event per file.
 
     Files rejected by the rules are counted first, as they never reach the
     later stages; within that, by path. A repository with more than
     ``rows_per_block`` files is numbered in even blocks whose starts are added
-    up, so no task has to sort all of its files.
+    up, so no task has to sort all of its files. ``judged`` is the table that
+    ``outcomes`` was loaded from: totals and starts are counted on it, as that
+    takes no content.
     """
-    # Known without content, so the counting passes below skip that column.
-    early = F.when(F.col("rule_reason").isNotNull(), 0).otherwise(1)
-    events = outcomes.select(
-        "repo_id", "relative_path", early.alias("_early"),
+    names = outcomes.select(
+        "repo_id", "relative_path", F.col("rule_reason").isNull().cast("int").alias("_late"),
         F.when(F.col("outcome") == COMPLETED, "file_completed")
         .when(F.col("outcome") == SKIPPED, "file_skipped")
         .otherwise("file_failed").alias("event_type"),
         F.col("reason_code").alias("detail"),
     )
-    totals = outcomes.groupBy("repo_id").agg(F.count(F.lit(1)).cast("bigint").alias("total"))
-    events = join_per_key(events, totals, ["repo_id"], ["relative_path"], "inner")
-    events = events.withColumn("_block", blocks(F.col("total"), ["relative_path"], rows_per_block))
-    block = ["repo_id", "_early", "_block"]
-    starts = events.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+    reached = judged.where(F.col("pruned_dir").isNull())
+    if "is_dir" in judged.columns:
+        reached = reached.where(~F.col("is_dir"))
+    reached = reached.select(
+        "repo_id", "relative_path", F.col("reason_code").isNull().cast("int").alias("_late")
+    )
+    totals = reached.groupBy("repo_id").agg(F.count(F.lit(1)).cast("bigint").alias("total"))
+
+    def blocked(files: DataFrame) -> DataFrame:
+        files = join_per_key(files, totals, ["repo_id"], ["relative_path"], "inner")
+        return files.withColumn("_block", blocks(F.col("total"), ["relative_path"], rows_per_block))
+
+    block = ["repo_id", "_late", "_block"]
+    starts = blocked(reached).groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_start",
         F.coalesce(
             F.sum("_n").over(
-                Window.partitionBy("repo_id").orderBy("_early", "_block")
+                Window.partitionBy("repo_id").orderBy("_late", "_block")
                 .rowsBetween(Window.unboundedPreceding, -1)
             ),
             F.lit(0),
         ),
     ).drop("_n")
     place = F.row_number().over(Window.partitionBy(*block).orderBy("relative_path"))
-    numbered = events.withColumn("_place", place).join(starts, block).select(
+    numbered = blocked(names).withColumn("_place", place).join(starts, block).select(
         "repo_id", "event_type", (F.col("_start") + F.col("_place")).cast("bigint").alias("completed"),
         "total", "relative_path", "detail",
     )

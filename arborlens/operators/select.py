@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from arborlens import fixed_values as V
 from arborlens.functions import content as C
 from arborlens.functions import ignore, language, paths, rules
-from arborlens.operators.skew import join_per_key
+from arborlens.operators.skew import join_per_key, settle
 
 COMPLETED, SKIPPED = "completed", "skipped"
 STAGES = ("directory", "filter", "binary", "load")
@@ -100,9 +100,10 @@ def judge(files: DataFrame, include=None, exclude=None, max_kb: int | None = V.D
     reason = F.when(
         F.col("_top").isNotNull(), directory_reason(F.col("_top.dir"), F.col("_top.normal"))
     ).otherwise(own)
-    return files.withColumns({
+    judged = files.withColumns({
         "pruned_dir": F.col("_top.dir"), "reason_code": reason,
     }).drop("_normal", "_top", "_rules")
+    return settle(judged, "pruned_dir", "reason_code")
 
 
 def kept(judged: DataFrame) -> DataFrame:
@@ -146,6 +147,7 @@ def load(judged: DataFrame, max_kb: int | None = V.DEFAULT_MAX_KB, content: str
         "_binary", F.when(~rejected & failed.isNull(), C.is_binary(raw, F.col("length")))
     )
     files = files.withColumn("text", F.when(~F.col("_binary"), C.decode(raw)))
+    files = settle(files, "_binary", "text")
     decoded = F.col("text").isNotNull()
     return files.withColumns({
         "outcome": F.when(decoded, COMPLETED).otherwise(SKIPPED),

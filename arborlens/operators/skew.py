@@ -1,4 +1,4 @@
-"""Helpers that keep one hot key from landing in one task."""
+"""Helpers for the shape of plans: hot keys, and columns worked out once."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,3 +27,13 @@ def blocks(total: Column, order_by: list[str], rows_per_block: int) -> Column:
     """
     count = F.ceil(total / F.lit(rows_per_block)).cast("bigint")
     return F.pmod(F.xxhash64(*order_by), F.greatest(count, F.lit(1).cast("bigint")))
+
+
+def settle(rows: DataFrame, *names: str) -> DataFrame:
+    """Fix computed columns, so that filters on them do not compute them again.
+
+    Spark moves a filter below the projection it refers to by copying the
+    projected expression into it. It does not move one below a generator.
+    """
+    keep = [c for c in rows.columns if c not in names]
+    return rows.select(*keep, F.inline(F.array(F.struct(*names))))

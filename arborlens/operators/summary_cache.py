@@ -24,9 +24,10 @@ ROOT_FIELDS = ("schema_version", "config_hash")
 def keyed(documents: DataFrame, path: str = "file_path", language: str = "language",
           text: str = "content") -> DataFrame:
     """Cache keys of documents, without their text."""
+    extra = [c for c in ("modification_time",) if c in documents.columns]
     return documents.select(
         "repo_id", F.col(path).alias("file_path"),
-        content_hash(F.col(text)).alias("content_hash"), F.col(language).alias("language"),
+        content_hash(F.col(text)).alias("content_hash"), F.col(language).alias("language"), *extra,
     )
 
 

@@ -21,36 +21,36 @@ class Step(NamedTuple):
     cache: DataFrame
 
 
-def cache_rows(documents: DataFrame, enriched: DataFrame, config_hash: str,
+def cache_rows(enriched: DataFrame, keys: DataFrame, config_hash: str,
                version: str = CACHE_SCHEMA_VERSION) -> DataFrame:
-    """Enriched rows as cache rows, with the keys of their documents."""
-    changed = F.col("modification_time") if "modification_time" in documents.columns else F.lit(None)
-    keys = documents.select(
-        "repo_id", "file_path", content_hash(F.col("content")).alias("content_hash"), "language",
-        changed.cast("timestamp").alias("modification_time"),
-    )
+    """Enriched rows as cache rows, with the keys they were made for."""
+    changed = F.col("modification_time") if "modification_time" in keys.columns else F.lit(None)
     return enriched.join(keys, summary_cache.KEY).select(
-        *summary_cache.KEY, "content_hash", "language", "summary", "modification_time",
+        *summary_cache.KEY, "content_hash", "language", enriched["summary"],
+        changed.cast("timestamp").alias("modification_time"),
         F.lit(config_hash).alias("config_hash"), F.lit(version).alias("schema_version"), "error",
     )
 
 
 def step(documents: DataFrame, cache: DataFrame, config_hash: str,
          run: Callable[[DataFrame], DataFrame] = enrich.default_enrich,
-         small: bool = False, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Step:
+         looked_up: DataFrame | None = None, small: bool = False,
+         hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Step:
     """Summaries of all documents and the cache they leave behind.
 
-    ``documents`` has ``repo_id, file_path, language, content``. ``small`` says
-    that the missed keys were counted and are few enough to broadcast; the
-    documents' texts then stay where they were read. ``hold`` materialises the
-    fresh rows, which are used more than once; pass it when ``run`` is costly.
+    ``documents`` has ``repo_id, file_path, language, content``. Texts are read
+    once for their hashes and once for the misses. ``small`` says that the
+    misses in ``looked_up`` were counted and are few enough to broadcast; texts
+    then stay where they were read. ``hold`` materialises the fresh rows, which
+    are used more than once; pass it when ``run`` is costly.
     """
     usable = summary_cache.current(cache, config_hash)
-    keys = summary_cache.keyed(documents)
-    looked_up = summary_cache.lookup(keys, usable, config_hash)
-    missed = summary_cache.misses(keys, usable, config_hash).select(*summary_cache.KEY)
-    todo = documents.join(F.broadcast(missed) if small else missed, summary_cache.KEY, "left_semi")
-    fresh = hold(cache_rows(documents, run(todo), config_hash))
+    if looked_up is None:
+        looked_up = summary_cache.lookup(summary_cache.keyed(documents), usable, config_hash)
+    missed = looked_up.where(F.col("summary").isNull()).drop("summary")
+    names = missed.select(*summary_cache.KEY)
+    todo = documents.join(F.broadcast(names) if small else names, summary_cache.KEY, "left_semi")
+    fresh = hold(cache_rows(run(todo), missed, config_hash))
     hits = looked_up.where(F.col("summary").isNotNull()).select(
         *summary_cache.KEY, "summary", F.lit(None).cast("string").alias("error")
     )
@@ -61,11 +61,20 @@ def step(documents: DataFrame, cache: DataFrame, config_hash: str,
 
 def run_batch(documents: DataFrame, store: CacheStore, config_hash: str,
               run: Callable[[DataFrame], DataFrame] = enrich.default_enrich,
-              batch: str | None = None) -> None:
-    """Bring the stored cache up to date with a full set of documents."""
-    cache = store.read()
-    keys = summary_cache.keyed(documents)
-    few = summary_cache.misses(keys, cache, config_hash).limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+              batch: str | None = None) -> DataFrame:
+    """Bring the stored cache up to date with a full set of documents.
+
+    Returns the summaries of all documents. The looked-up keys and the fresh
+    rows are checkpointed, so that texts are hashed once and ``run`` is called
+    once per miss.
+    """
     shared_folder(store.spark)
-    result = step(documents, cache, config_hash, run, small=few, hold=DataFrame.checkpoint)
+    cache = store.read()
+    looked_up = summary_cache.lookup(
+        summary_cache.keyed(documents), cache, config_hash
+    ).checkpoint()
+    misses = looked_up.where(F.col("summary").isNull()).count()
+    result = step(documents, cache, config_hash, run, looked_up,
+                  small=misses <= BROADCAST_KEYS, hold=DataFrame.checkpoint)
     store.write(result.cache, batch)
+    return result.summaries

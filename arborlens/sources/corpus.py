@@ -20,8 +20,8 @@ LISTING = (
 )
 ROWS_PER_BATCH = 4096
 BYTES_PER_BATCH = 16 * 1024 * 1024
-# Directories of every root that the driver may look into to find work units.
-DEFAULT_UNITS = 256
+# Units of work per core; the driver opens no more directories than units.
+UNITS_PER_CORE = 3
 
 _ARROW = pa.schema([
     ("repo_id", pa.string()), ("root", pa.string()), ("relative_path", pa.string()),
@@ -54,7 +54,7 @@ class Unit(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [(r, local_path(p)) for r, p in json.loads(options["roots"])]
-        self.units = int(options.get("units", DEFAULT_UNITS))
+        self.units = int(options["units"])
         self.closed = set(json.loads(options.get("closed", "[]")))
 
     def _subdirectories(self, root: str, below: str) -> list[str]:
@@ -144,13 +144,14 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def scan(spark: SparkSession, roots: dict[str, str], units: int = DEFAULT_UNITS,
+def scan(spark: SparkSession, roots: dict[str, str], units: int | None = None,
          closed: tuple[str, ...] = ()) -> DataFrame:
     """Listing of several roots, keyed by ``repo_id``.
 
     ``closed`` names directories that are listed but not opened. Pass the
     ignored names there when no include pattern could bring them back.
     """
+    units = units or UNITS_PER_CORE * spark.sparkContext.defaultParallelism
     spark.dataSource.register(TreeSource)
     return (
         spark.read.format("corpus_tree")

@@ -31,11 +31,11 @@ def apply_versions(versions: DataFrame, store: CacheStore, config_hash: str, bat
     alive = last.where(~F.coalesce(F.col("deleted"), F.lit(False)))
     gone = last.where(F.col("deleted"))
     usable = summary_cache.current(cache, config_hash)
+    shared_folder(store.spark)
     missed = summary_cache.misses(summary_cache.keyed(alive), usable, config_hash)
     todo = alive.join(missed.select(*summary_cache.KEY), summary_cache.KEY, "left_semi")
-    shared_folder(store.spark)
     # Held, as the upsert uses the rows twice and the function may be costly.
-    fresh = cache_rows(alive, run(todo), config_hash).checkpoint()
+    fresh = cache_rows(run(todo), missed, config_hash).checkpoint()
     store.write(summary_cache.upsert(summary_cache.remove(usable, gone), fresh), batch)
 
 

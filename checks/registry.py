@@ -136,7 +136,8 @@ def documents_table(spark, sf):
 def report_write(spark, sf):
     path = fresh_folder(spark, "reports")
     docs = view(spark, sf, "vcode", spread=True)
-    sinks.write_reports(graph.overview(_degrees(docs)), path, "overview")
+    shared_folder(spark)
+    sinks.write_reports(graph.overview(_degrees(docs).checkpoint()), path, "overview")
     return spark.read.text(path, wholetext=True).select("repo_id", c("value").alias("text"))
 
 
@@ -355,7 +356,7 @@ def lang_sample(spark, sf):
 # ---- imports and graph -------------------------------------------------------
 
 def _degrees(docs: DataFrame) -> DataFrame:
-    return graph.degrees(docs, graph.edges(docs))
+    return graph.degrees(graph.links(docs))
 
 
 def _degree_view(spark, sf) -> DataFrame:
@@ -374,12 +375,14 @@ def js_imports(spark, sf):
 
 @query
 def py_edges(spark, sf):
-    return graph.as_edges(graph.python_targets(view(spark, sf, "vcode", spread=True)))
+    docs = view(spark, sf, "vcode", spread=True)
+    return graph.edges(docs).where(F.endswith("src", F.lit(".py")))
 
 
 @query
 def js_edges(spark, sf):
-    return graph.as_edges(graph.script_targets(view(spark, sf, "vcode", spread=True)))
+    docs = view(spark, sf, "vcode", spread=True)
+    return graph.edges(docs).where(~F.endswith("src", F.lit(".py")))
 
 
 @query
@@ -390,7 +393,7 @@ def graph_edges(spark, sf):
 @query
 def graph_nodes(spark, sf):
     docs = view(spark, sf, "vcode", spread=True)
-    return graph.nodes(docs, graph.edges(docs))
+    return graph.nodes(graph.links(docs))
 
 
 @query
@@ -430,7 +433,8 @@ def graph_core(spark, sf):
 
 @query
 def graph_report(spark, sf):
-    return graph.overview(_degree_view(spark, sf))
+    shared_folder(spark)
+    return graph.overview(_degree_view(spark, sf).checkpoint())
 
 
 @query
@@ -461,7 +465,8 @@ def dry_run(spark, sf):
 
 @query
 def progress_events(spark, sf):
-    return report.progress(walk(spark, sf, SMALL_KB).outcomes)
+    run = walk(spark, sf, SMALL_KB)
+    return report.progress(run.outcomes, run.judged)
 
 
 @query

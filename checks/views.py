@@ -34,7 +34,8 @@ select doc_id, repo_id, case doc_id%100 when 12 then 'src/utils/index.ts' when 1
    else relative_path end as relative_path, concat(head, text) as content from (
  select doc_id, text, {_REPO} as repo_id, {_PLACE} as relative_path, head
  from (select doc_id, text, case doc_id%10 when 6 then '.py' else {_EXT} end as ext, {_DIR} as dir,
-  case when doc_id%10 = 0 then concat('import os, sys as s', chr(10), 'from .m', {_TWIN}, ' import x', chr(10),
+  case when doc_id%100 >= 40 then case when doc_id%10 in (0,6) then concat('import os', chr(10)) else '' end
+   when doc_id%10 = 0 then concat('import os, sys as s', chr(10), 'from .m', {_TWIN}, ' import x', chr(10),
      'import utils, m0 # note', chr(10), '  from src.utils.m20 import y', chr(10))
    when doc_id%10 = 6 then concat('from . import m', {_TWIN}, ', m10 as t', chr(10), 'from ..m0 import y', chr(10), chr(10),
      'import src.utils.m10', chr(10), 'import utils.m60 as u', chr(10), 'from . import (m16,', chr(10), ' m20)', chr(10),
