@@ -26,10 +26,8 @@ def is_binary(content: Column, length: Column | None = None, size: int = V.SAMPL
     """
     sample = _prefix(content, size)
     whole = (F.octet_length(content) if length is None else length) <= size
-    signed = F.lit(False)
-    for signature in V.BINARY_SIGNATURES:
-        if len(signature) <= V.SIGNATURE_PREFIX:
-            signed = signed | F.startswith(sample, _hex(signature))
+    signatures = [s.hex().upper() for s in V.BINARY_SIGNATURES if len(s) <= V.SIGNATURE_PREFIX]
+    signed = F.hex(_prefix(content, V.SIGNATURE_PREFIX)).rlike(r"\A(?:" + "|".join(signatures) + ")")
     cut = F.lit(False)
     for tail in (1, 2, 3):
         cut = cut | _valid(_prefix(content, size - tail))

@@ -17,13 +17,15 @@ def check_limit(max_kb: int | None) -> None:
 
 
 def default_ignored(normal: Column) -> Column:
-    """True for ignored names, endings and directories."""
-    name = paths.base_name(normal)
-    directory = "/(?:" + globs.one_of(V.IGNORED_DIRS) + ")/"
-    return (
-        name.isin(*V.IGNORED_FILES)
-        | paths.extension(name).isin(*V.IGNORED_EXTENSIONS)
-        | F.concat(F.lit("/"), normal, F.lit("/")).rlike(directory)
+    """True for ignored directories, names and endings, found in one search.
+
+    An ending counts only after a character that is not a leading dot.
+    """
+    directories = globs.one_of(V.IGNORED_DIRS)
+    names = globs.one_of(V.IGNORED_FILES)
+    endings = globs.one_of(V.IGNORED_EXTENSIONS)
+    return normal.rlike(
+        rf"(?:\A|/)(?:(?:{directories})(?:/|\z)|(?:{names})\z|\.*[^./][^/]*(?:{endings})\z)"
     )
 
 

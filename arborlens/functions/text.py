@@ -24,8 +24,8 @@ def rstrip(text: Column) -> Column:
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """Value of ``key`` in a small constant table, null when absent."""
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{word}', '{value}'" for word, value in table.items())
+    return F.element_at(F.expr(f"map({pairs})"), key)
 
 
 def fill(template: str, **values: Column) -> Column:
