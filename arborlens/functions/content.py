@@ -18,20 +18,18 @@ def _valid(data: Column) -> Column:
     return F.is_valid_utf8(data.cast("string"))
 
 
-def is_binary(content: Column, length: Column | None = None, size: int = V.SAMPLE_SIZE) -> Column:
-    """Binary if the first bytes hold a NUL, a known signature or no UTF-8.
+def is_binary(content: Column, size: int = V.SAMPLE_SIZE) -> Column:
+    """Binary if the first ``size`` bytes hold a NUL, a known signature or no UTF-8.
 
-    ``content`` may be the whole file or a sample of it that is longer than
-    ``size``. A character cut by the end of the sample does not count as bad.
+    ``content`` is the whole file, or at least three bytes more than ``size``: a
+    character that straddles the end of the sample is read to its end.
     """
     sample = _prefix(content, size)
-    whole = (F.octet_length(content) if length is None else length) <= size
     signatures = [s.hex().upper() for s in V.BINARY_SIGNATURES if len(s) <= V.SIGNATURE_PREFIX]
     signed = F.hex(_prefix(content, V.SIGNATURE_PREFIX)).rlike(r"\A(?:" + "|".join(signatures) + ")")
-    cut = F.lit(False)
-    for tail in (1, 2, 3):
-        cut = cut | _valid(_prefix(content, size - tail))
-    text = _valid(sample) | (~whole & cut)
+    text = _valid(sample)
+    for more in (1, 2, 3):
+        text = text | _valid(_prefix(content, size + more))
     return (
         F.when(F.octet_length(content) == 0, False)
         .when(F.contains(sample, _hex(b"\x00")), True)

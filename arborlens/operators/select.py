@@ -144,7 +144,7 @@ def load(judged: DataFrame, max_kb: int | None = V.DEFAULT_MAX_KB, content: str
     # Rejected files end here: their content is never looked at. Each step is
     # a column of its own, so that the tests run once per file.
     files = files.withColumn(
-        "_binary", F.when(~rejected & failed.isNull(), C.is_binary(raw, F.col("length")))
+        "_binary", F.when(~rejected & failed.isNull(), C.is_binary(raw))
     )
     files = files.withColumn("text", F.when(~F.col("_binary"), C.decode(raw)))
     files = settle(files, "_binary", "text")

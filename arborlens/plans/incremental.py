@@ -75,6 +75,6 @@ def run_batch(documents: DataFrame, store: CacheStore, config_hash: str,
     ).checkpoint()
     misses = looked_up.where(F.col("summary").isNull()).count()
     result = step(documents, cache, config_hash, run, looked_up,
-                  small=misses <= BROADCAST_KEYS, hold=DataFrame.checkpoint)
+                  small=misses <= BROADCAST_KEYS, hold=lambda rows: rows.checkpoint())
     store.write(result.cache, batch)
     return result.summaries

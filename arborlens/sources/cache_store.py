@@ -59,8 +59,9 @@ class CacheStore:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Stored cache texts ``(repo_id, raw)``, one whole file per row."""
+    """Stored cache texts ``(repo_id, raw)`` below ``path/repo_id=<id>/``, one file a row."""
+    folder = F.regexp_extract("_metadata.file_path", r"repo_id=([^/]*)/", 1)
     return spark.read.text(path, wholetext=True).select(
-        F.substring_index(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*\z", 1), "=", -1).alias("repo_id"),
+        F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("repo_id"),
         F.col("value").alias("raw"),
     )

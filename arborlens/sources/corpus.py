@@ -201,8 +201,8 @@ def read_content(listing: DataFrame, partitions: int | None = None) -> DataFrame
 def scan_binary_files(spark: SparkSession, roots: dict[str, str], max_kb: int | None = None) -> DataFrame:
     """Listing with content by Spark's own reader, for any file system.
 
-    Fast, and the size limit reaches the scan; but names starting with ``.`` or
-    ``_`` are left out by Spark, so this suits only corpora without them.
+    Fast, and the size limit reaches the scan; but Spark leaves out empty files
+    and names starting with ``.`` or ``_``. It suits only corpora without them.
     """
     parts = []
     for repo, root in sorted(roots.items()):

@@ -311,10 +311,10 @@ def sql() -> dict[str, str]:
                              f"on t.kind = {kind.replace('repo_id', 'f.repo_id')} and regexp_full_match(f.relative_path, t.rx) group by all",
         "dir_prune": using("vrepo", **judged(200, EXCLUDED + "|docs")) + "select distinct repo_id, concat(pruned_dir, '/') as relative_path, reason_code from judged where pruned_dir is not null "
                      "union all select repo_id, relative_path, reason_code from judged where pruned_dir is null",
-        "binary_filter": using("vbytes", h="select doc_id, content, octet_length(content) as n, left(hex(content), 16384) as x from vbytes")
+        "binary_filter": using("vbytes", h="select doc_id, content, octet_length(content) as n, left(hex(content), 16384) as x, hex(content) as w from vbytes")
         + "select doc_id, case when n = 0 then false when regexp_matches(x, '^([0-9A-F]{2})*?00') then true when "
         + " or ".join(f"starts_with(x, '{s.hex().upper()}')" for s in V.BINARY_SIGNATURES if len(s) <= V.SIGNATURE_PREFIX)
-        + " then true when n <= 8192 then try(decode(content)) is null else coalesce(try(decode(unhex(x))), try(decode(unhex(left(x, 16382)))), try(decode(unhex(left(x, 16380)))), try(decode(unhex(left(x, 16378))))) is null end as is_binary from h",
+        + " then true when n <= 8192 then try(decode(content)) is null else coalesce(try(decode(unhex(x))), try(decode(unhex(left(w, 16386)))), try(decode(unhex(left(w, 16388)))), try(decode(unhex(left(w, 16390))))) is null end as is_binary from h",
         "manifest_alias": using("vmanifest", w="select repo_id, resolved_path, min(case when is_link then concat('1', relative_path) else concat('0', relative_path) end) as first from vmanifest group by all")
         + "select m.repo_id, m.relative_path, case when not (m.resolved_path = concat('/repo/', m.repo_id) or starts_with(m.resolved_path, concat('/repo/', m.repo_id, '/'))) then 'symbolic link outside repository' "
           "when first[1] = '1' then 'broken symbolic link' when first[2:] <> m.relative_path then 'circular or duplicate symbolic link' end as reason_code from vmanifest m join w on w.repo_id = m.repo_id and w.resolved_path = m.resolved_path",
