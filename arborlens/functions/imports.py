@@ -56,16 +56,25 @@ def python_requests(text: Column) -> Column:
     return F.array_distinct(F.concat(modules, F.flatten(named)))
 
 
+def _script_kinds(text: Column, wide: bool) -> tuple[Column, Column]:
+    """Modules of ``import … from``, and those of all other kinds."""
+    rest = (_JS_CALL, _JS_REQUIRE) + ((_JS_BARE, _JS_WIDE) if wide else ())
+    return (
+        F.transform(_all(text, _JS_FROM), strip),
+        F.transform(F.concat(*[_all(text, regex) for regex in rest]), strip),
+    )
+
+
 def script_imports(text: Column, wide: bool = False) -> Column:
     """Modules of ``import … from``, ``import()`` and ``require()``.
 
     The later two kinds add only modules that are not listed yet. ``wide`` adds
     bare imports, re-exports and statements that span lines.
     """
-    listed = F.transform(_all(text, _JS_FROM), strip)
-    extra = (_JS_CALL, _JS_REQUIRE) + ((_JS_BARE, _JS_WIDE) if wide else ())
-    for regex in extra:
-        listed = F.concat(
-            listed, F.array_except(F.transform(_all(text, regex), strip), listed)
-        )
-    return listed
+    listed, rest = _script_kinds(text, wide)
+    return F.concat(listed, F.array_except(rest, listed))
+
+
+def script_requests(text: Column, wide: bool = False) -> Column:
+    """Modules to resolve, each once."""
+    return F.array_distinct(F.concat(*_script_kinds(text, wide)))

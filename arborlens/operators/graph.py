@@ -64,8 +64,7 @@ def _slot(scope: int, key: Column) -> Column:
     return F.struct(F.lit(scope).alias("scope"), key.alias("key"))
 
 
-def _python_slots(module: Column, home: Column, package_roots: bool) -> Column:
-    dots = F.length(F.regexp_extract(module, r"\A(\.*)", 1))
+def _python_slots(module: Column, dots: Column, home: Column, package_roots: bool) -> Column:
     tail = F.replace(F.substr(module, dots + 1), F.lit("."), F.lit("/"))
     parts = F.split(home, "/")
     left = F.greatest(F.size(parts) - F.greatest(dots - 1, F.lit(0)), F.lit(0))
@@ -96,15 +95,18 @@ def requests(documents: DataFrame, wide: bool = False, package_roots: bool = Tru
         python,
         F.filter(imports.python_requests(body), lambda m: (m != "") & ~F.startswith(m, F.lit("_"))),
     ).otherwise(F.filter(
-        F.array_distinct(imports.script_imports(body, wide)), lambda m: F.startswith(m, F.lit("."))
+        imports.script_requests(body, wide), lambda m: F.startswith(m, F.lit("."))
     ))
     asked = sources(documents).select(
         *FILE, "language", F.explode(F.array_append(named, F.lit(""))).alias("module")
-    )
-    home = paths.parent(F.col("path"))
+    ).withColumns({
+        "dots": F.length(F.regexp_extract(module, r"\A(\.*)", 1)),
+        "home": paths.parent(F.col("path")),
+    })
+    dots, home = F.col("dots"), F.col("home")
     slots = (
         F.when(module == "", F.array(_slot(SCRIPT, F.concat(F.lit("\x01"), F.col("path")))))
-        .when(python, _python_slots(module, home, package_roots))
+        .when(python, _python_slots(module, dots, home, package_roots))
         .otherwise(_script_slots(module, home))
     )
     return asked.select(*FILE, "module", F.inline(slots))

@@ -1,5 +1,6 @@
 """Directory facts and roll-up of file summaries."""
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlens.fixed_values import ROLLUP_THRESHOLD
 from arborlens.functions import paths
+from arborlens.operators.skew import join_per_key
 
 CONTENTS_PER_CALL = 1000
 
@@ -109,26 +111,30 @@ def roll_up(summaries: DataFrame, threshold: int = ROLLUP_THRESHOLD) -> DataFram
     directory, with the default description of the directories summarised.
     """
     files = usable(summaries).select("repo_id", "file_path", "description")
-    facts = directories(files)
-    # The facts of the tree's top give the size of the repository.
-    big = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
-    stands = representatives(files).where(F.instr("dir", "/") == 0)
-    chosen = stands.join(big.select("repo_id"), "repo_id", "left_semi").select(
-        "repo_id", F.col("representative").alias("file_path")
+    sizes = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    stands = representatives(files).where(F.instr("dir", "/") == 0).select(
+        "repo_id", F.col("representative").alias("file_path"), F.lit(True).alias("stands")
     )
-    described = facts.where(F.col("dir") != "").select(
+    # Directories: what stands for a top-level one, described.
+    described = directories(files).where(F.col("dir") != "").select(
         "repo_id", F.col("dir").alias("file_path"), F.lit("directory").alias("kind"),
         default_description(F.col("n_files"), F.col("n_dirs"), F.col("n_below")).alias("description"),
     )
-    rolled = chosen.join(described, ["repo_id", "file_path"])
-    own = files.select("repo_id", "file_path", F.lit("file").alias("kind"), "description")
-    # Files that stand for a directory, or lie at the top, or all of a small one.
-    lone = own.join(chosen, ["repo_id", "file_path"], "left_semi").where(F.instr("file_path", "/") > 0)
-    top = own.where(F.instr("file_path", "/") == 0)
-    small = own.where(F.instr("file_path", "/") > 0).join(
-        big.select("repo_id"), "repo_id", "left_anti"
-    )
-    return rolled.unionByName(lone).unionByName(top).unionByName(small)
+    rolled = join_per_key(
+        stands.join(described, ["repo_id", "file_path"]), sizes, ["repo_id"], ["file_path"], "inner"
+    ).where(F.col("n") > threshold)
+    # Files: all of a small repository, those at the top, those that stand for a
+    # directory. Paths are unique, so the join with ``stands`` cannot be skewed.
+    own = join_per_key(
+        files.join(stands, ["repo_id", "file_path"], "left"), sizes, ["repo_id"], ["file_path"], "inner"
+    ).where((F.col("n") <= threshold) | (F.instr("file_path", "/") == 0) | F.col("stands"))
+    out = ["repo_id", "file_path", "kind", "description"]
+    return rolled.select(*out).unionByName(own.withColumn("kind", F.lit("file")).select(*out))
+
+
+def contents_text(contents: list[str]) -> str:
+    """Summaries of a directory's contents as one JSON list."""
+    return json.dumps([json.loads(c) for c in contents], indent=2)
 
 
 GROUP_OUT = "repo_id string, dir string, block bigint, summary string, error string"
@@ -139,7 +145,9 @@ def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]],
                           per_call: int = CONTENTS_PER_CALL) -> DataFrame:
     """Directory summaries from a user function of a directory and its contents.
 
-    Works from the deepest directories up, one level a round. A directory with
+    ``call`` gets the path and the summaries of the contents, in order of their
+    names; :func:`contents_text` makes one JSON text of them. Works from the
+    deepest directories up, one level a round. A directory with
     more than ``per_call`` items is summarised in even blocks and then over the
     blocks' summaries, until one is left: no call and no task ever holds an
     unbounded directory. Each level is checkpointed, so that later levels do

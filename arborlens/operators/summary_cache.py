@@ -73,16 +73,18 @@ def latest(rows: DataFrame, order: str) -> DataFrame:
     return picked.select(*KEY, "_row.*")
 
 
+def storable(fresh: DataFrame, order: str | None = None) -> DataFrame:
+    """Fresh rows without the failed ones; ``order`` says which one of a file is last."""
+    good = fresh.where(F.col("error").isNull()) if "error" in fresh.columns else fresh
+    return latest(good, order) if order else good
+
+
 def upsert(cache: DataFrame, fresh: DataFrame, order: str | None = None) -> DataFrame:
     """New rows replace old rows of the same file; failed ones are not stored.
 
-    Fresh rows hold one row per file, or ``order`` says which one is last.
     Old rows only meet the new keys, so few changes never move the old table.
     """
-    good = fresh.where(F.col("error").isNull()) if "error" in fresh.columns else fresh
-    if order:
-        good = latest(good, order)
-    rows = good.select(*cache.columns)
+    rows = storable(fresh, order).select(*cache.columns)
     return remove(cache, rows).unionByName(rows)
 
 

@@ -18,6 +18,7 @@ BROADCAST_KEYS = 200_000
 
 class Step(NamedTuple):
     summaries: DataFrame
+    fresh: DataFrame
     cache: DataFrame
 
 
@@ -56,7 +57,7 @@ def step(documents: DataFrame, cache: DataFrame, config_hash: str,
     )
     summaries = hits.unionByName(fresh.select(*summary_cache.KEY, "summary", "error"))
     after = summary_cache.remove_stale(summary_cache.upsert(usable, fresh), documents)
-    return Step(summaries, after)
+    return Step(summaries, fresh, after)
 
 
 def run_batch(documents: DataFrame, store: CacheStore, config_hash: str,
@@ -76,5 +77,7 @@ def run_batch(documents: DataFrame, store: CacheStore, config_hash: str,
     misses = looked_up.where(F.col("summary").isNull()).count()
     result = step(documents, cache, config_hash, run, looked_up,
                   small=misses <= BROADCAST_KEYS, hold=lambda rows: rows.checkpoint())
-    store.write(result.cache, batch)
+    # Only what is new, changed or gone is written.
+    gone = summary_cache.stale(cache, documents)
+    store.change(summary_cache.storable(result.fresh), gone, batch)
     return result.summaries

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
 from arborlens.operators import report, select
+from arborlens.session import shared_folder
 from arborlens.sources import corpus, ignore_files
 
 
@@ -51,7 +52,10 @@ def traverse_folders(spark: SparkSession, roots: dict[str, str], include=None, e
     # the walk need not open it.
     closed = () if include else tuple(d for d in V.IGNORED_DIRS if "/" not in d and "*" not in d)
     listing = corpus.scan(spark, roots, closed=closed)
-    judged = select.judge(listing, include, exclude, max_kb, rules)
+    # The walk is done once and held: names only, and every later step sees the
+    # same files even if the trees change meanwhile.
+    shared_folder(spark)
+    judged = select.judge(listing, include, exclude, max_kb, rules).checkpoint()
     wanted = (
         F.col("reason_code").isNull() & F.col("pruned_dir").isNull() & ~F.col("is_dir")
     )

@@ -1,4 +1,4 @@
-"""Versioned cache table: a new folder per state and a pointer to the last one."""
+"""Versioned cache table: whole states, changes on top of them, and pointers."""
 
 import uuid
 
@@ -6,56 +6,93 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.operators.summary_cache import SCHEMA
+from arborlens.operators.summary_cache import KEY, SCHEMA, latest, remove
 
-POINTER = "seq bigint, version string, batch string"
+POINTER = "seq bigint, version string, kind string, batch string"
+NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
+# So many changes are read on top of a state before they are folded into one.
+CHANGES_PER_STATE = 16
 
 
 class CacheStore:
-    """Cache states below one folder.
+    """Cache states and changes below one folder.
 
-    A state is written to a folder of its own and counts only once its pointer
-    row is committed; a run that dies halfway leaves the last state in force,
-    and the folder that is being read is never written.
+    Each commit writes a folder of its own and counts only once its pointer row
+    is there: a run that dies halfway leaves the last commit in force, and what
+    is being read is never written. A small change costs a small write; after
+    ``changes_per_state`` of them they are folded into a new whole state.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, changes_per_state: int = CHANGES_PER_STATE):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.changes_per_state = changes_per_state
 
-    def _pointers(self) -> DataFrame | None:
+    def _pointers(self) -> list:
+        """All pointer rows in order; one short row per commit."""
         try:
-            return self.spark.read.schema(POINTER).parquet(f"{self.path}/pointers")
+            rows = self.spark.read.schema(POINTER).parquet(f"{self.path}/pointers")
         except AnalysisException:
-            return None  # nothing was written yet
-
-    def _last(self):
-        pointers = self._pointers()
-        return None if pointers is None else pointers.orderBy(F.desc("seq")).first()
+            return []  # nothing was written yet
+        return rows.orderBy("seq").collect()
 
     def holds(self, batch: str) -> bool:
-        """True if the state of this batch is already committed."""
-        pointers = self._pointers()
-        return pointers is not None and not pointers.where(F.col("batch") == batch).isEmpty()
+        """True if this batch is already committed."""
+        return any(p["batch"] == batch for p in self._pointers())
 
     def read(self) -> DataFrame:
         """The state in force; empty before the first write."""
-        last = self._last()
-        if last is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{last['version']}")
-
-    def write(self, rows: DataFrame, batch: str | None = None) -> str:
-        """Commit a new state; it may be derived from :meth:`read`."""
-        last = self._last()
-        seq = 0 if last is None else last["seq"] + 1
-        version = f"v{seq:08d}-{uuid.uuid4().hex}"
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        rows.select(*names).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(seq, version, batch)], POINTER).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{self.path}/pointers")
-        return version
+        return self._state(self._pointers())
+
+    def _state(self, pointers: list) -> DataFrame:
+        states = [i for i, p in enumerate(pointers) if p["kind"] == "state"]
+        start = states[-1] if states else -1
+        if states:
+            state = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{pointers[start]['version']}")
+        else:
+            state = self.spark.createDataFrame([], SCHEMA)
+        changes = pointers[start + 1:]
+        if not changes:
+            return state
+        rows = None
+        for pointer in changes:
+            part = self.spark.read.schema(SCHEMA + ", removed boolean").parquet(
+                f"{self.path}/{pointer['version']}"
+            ).withColumn("_seq", F.lit(pointer["seq"]))
+            rows = part if rows is None else rows.unionByName(part)
+        last = latest(rows, "_seq")
+        # The state only meets the keys of the changes.
+        return remove(state, last).unionByName(last.where(~F.col("removed")).select(*NAMES))
+
+    def write(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Commit a whole new state; it may be derived from :meth:`read`."""
+        self._commit(self._pointers(), rows.select(*NAMES), "state", batch)
+
+    def change(self, rows: DataFrame, removed: DataFrame | None = None, batch: str | None = None) -> None:
+        """Commit new and changed rows (one per file) and the keys of removed ones.
+
+        A file that is both removed and in ``rows`` stays.
+        """
+        out = rows.select(*NAMES, F.lit(False).alias("removed"))
+        if removed is not None:
+            gone = remove(removed.select(*KEY), rows).select(*KEY, F.lit(True).alias("removed"))
+            out = out.unionByName(gone, allowMissingColumns=True)
+        pointers = self._commit(self._pointers(), out, "change", batch)
+        recent = 0
+        for pointer in reversed(pointers):
+            if pointer["kind"] == "state":
+                break
+            recent += 1
+        if recent >= self.changes_per_state:
+            self._commit(pointers, self._state(pointers), "state", None)
+
+    def _commit(self, pointers: list, rows: DataFrame, kind: str, batch: str | None) -> list:
+        seq = pointers[-1]["seq"] + 1 if pointers else 0
+        version = f"{kind}-{seq:08d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{version}")
+        pointer = self.spark.createDataFrame([(seq, version, kind, batch)], POINTER)
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
+        return pointers + pointer.collect()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -36,7 +36,7 @@ def apply_versions(versions: DataFrame, store: CacheStore, config_hash: str, bat
     todo = alive.join(missed.select(*summary_cache.KEY), summary_cache.KEY, "left_semi")
     # Held, as the upsert uses the rows twice and the function may be costly.
     fresh = cache_rows(run(todo), missed, config_hash).checkpoint()
-    store.write(summary_cache.upsert(summary_cache.remove(usable, gone), fresh), batch)
+    store.change(summary_cache.storable(fresh), gone, batch)
 
 
 def start(versions: DataFrame, store: CacheStore, config_hash: str, checkpoint: str,

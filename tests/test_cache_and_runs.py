@@ -92,10 +92,24 @@ def test_store_keeps_the_last_committed_state(spark, tmp_path):
     store.write(store.read().withColumn("summary", F.lit("s2")))
     assert store.read().first()["summary"] == "s2" and before.first()["summary"] == "s1" and store.holds("b1")
     # A state without a pointer, as a run leaves it that died, does not count.
-    cache(spark, ("z.py", "x", "l", "s", "c", "1.0")).write.parquet(str(tmp_path / "store" / "v00000099-dead"))
+    cache(spark, ("z.py", "x", "l", "s", "c", "1.0")).write.parquet(str(tmp_path / "store" / "state-00000099-dead"))
     assert store.read().first()["summary"] == "s2"
 
 
+def test_changes_on_top_of_a_state_and_their_folding(spark, tmp_path):
+    store, want = CacheStore(spark, str(tmp_path / "store"), changes_per_state=3), {}
+    for n in range(8):
+        rows = {f"f{n}.py": f"s{n}", "hot.py": f"h{n}"}
+        gone = [f"f{n - 2}.py", "hot.py", "never.py"]
+        want = {k: v for k, v in want.items() if k not in gone} | rows
+        store.change(cache(spark, *[(p, "x", "l", s, "c", "1.0") for p, s in rows.items()]),
+                     spark.createDataFrame([("r", g) for g in gone], "repo_id string, file_path string"), f"b{n}")
+        assert {r["file_path"]: r["summary"] for r in store.read().collect()} == want
+        assert store.holds(f"b{n}") and not store.holds(f"b{n + 1}")
+    kinds = [p["kind"] for p in store._pointers()]
+    assert kinds == ["change", "change", "change", "state"] * 2 + ["change", "change"]
+
+
 def counting(spark, tmp_path):
     """An enrichment that notes each call in a file and fails for some texts."""
     log = tmp_path / "calls"

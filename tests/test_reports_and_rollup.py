@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arborlens.operators import manifest, refine, report, rollup, select, tree
+from arborlens.operators import manifest, refine, report, rollup, select, tree, watch
 from arborlens.plans.traverse import traverse
 
 FILES = "repo_id string, relative_path string, length bigint, content binary"
@@ -190,3 +190,14 @@ def test_links(spark):
         "src": None, "file": None, "a_link": "circular or duplicate symbolic link", "b_link": "circular or duplicate symbolic link",
         "gone": "broken symbolic link", "gone2": "broken symbolic link", "out": "symbolic link outside repository",
         "near": "symbolic link outside repository"}
+
+
+def test_observer_gets_counts_and_cannot_break_the_run(spark):
+    watched = watch.Watch(traverse(listing(spark, TREE), max_kb=1).outcomes)
+    assert watched.rows.collect()
+
+    def broken(counts):
+        raise RuntimeError("observer")
+
+    assert watched.tell(broken) == {"total": 7, "completed": 3, "skipped": 4}
+    assert watched.errors == ["RuntimeError: observer"]
