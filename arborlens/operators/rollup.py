@@ -137,6 +137,27 @@ def contents_text(contents: list[str]) -> str:
     return json.dumps([json.loads(c) for c in contents], indent=2)
 
 
+def list_or_count(where: str, contents: list[str], limit: int = 20_000) -> str:
+    """The items as lines while they are short, else how many there are."""
+    text = "\n".join(contents)
+    return text if len(text) <= limit else f"{len(contents)} groups of items in {where}"
+
+
+def condense(items: DataFrame, call: Callable[[str, list[str]], str],
+             per_call: int = CONTENTS_PER_CALL) -> DataFrame:
+    """One text ``(repo_id, contents)`` of the items of each repository.
+
+    A repository with more than ``per_call`` items is condensed in blocks first.
+    """
+    rows = items.select(
+        "repo_id", F.lit(".").alias("dir"), F.col("file_path").alias("item"),
+        F.concat_ws(": ", "file_path", "description").alias("summary"),
+    )
+    return _fold(rows, call, per_call).select(
+        "repo_id", F.coalesce("summary", "error").alias("contents")
+    )
+
+
 GROUP_OUT = "repo_id string, dir string, block bigint, summary string, error string"
 
 
@@ -200,6 +221,7 @@ def _fold(items: DataFrame, call, per_call: int) -> DataFrame:
 
     key = ["repo_id", "dir"]
     while True:
+        items = items.checkpoint()  # counted, then dealt out
         counts = items.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         most = counts.agg(F.max("n")).first()[0]
         if most is None:
@@ -211,4 +233,6 @@ def _fold(items: DataFrame, call, per_call: int) -> DataFrame:
         out = blocked.groupBy(*key, "block").applyInPandas(summarise, GROUP_OUT)
         if most <= per_call:
             return out.select(*key, "summary", "error")
-        items = out.select(*key, F.col("block").cast("string").alias("item"), F.coalesce("summary", "error").alias("summary")).checkpoint()
+        items = out.select(
+            *key, F.col("block").cast("string").alias("item"), F.coalesce("summary", "error").alias("summary")
+        )

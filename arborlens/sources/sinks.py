@@ -5,17 +5,21 @@ from pyspark.sql import functions as F
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "errorifexists",
-                    partition_by: list[str] | None = None) -> None:
+                    partition_by: list[str] | None = None, ordered: bool = True) -> None:
     """Documents in path order, cut into ranges of even size.
 
     Row groups then cover short ranges of ``repo_id``, so that reading one
-    repository skips the rest, and a huge repository spans many files. With
-    ``partition_by`` folders per value are written too; keep that for few values.
+    repository skips the rest, and a huge repository spans many files. Finding
+    the ranges takes a pass of its own over the input; with ``ordered=False``
+    rows are written where they are, in one pass. With ``partition_by`` folders
+    per value are written too; keep that for few values.
     """
-    order = ["repo_id", "relative_path"]
-    writer = documents.repartitionByRange(*order).sortWithinPartitions(
-        *(partition_by or []), *order
-    ).write.mode(mode)
+    if ordered:
+        order = ["repo_id", "relative_path"]
+        documents = documents.repartitionByRange(*order).sortWithinPartitions(
+            *(partition_by or []), *order
+        )
+    writer = documents.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
