@@ -158,7 +158,7 @@ def condense(items: DataFrame, call: Callable[[str, list[str]], str],
     )
 
 
-GROUP_OUT = "repo_id string, dir string, block bigint, summary string, error string"
+GROUP_OUT = "repo_id string, dir string, block bigint, blocks bigint, summary string, error string"
 
 
 def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]], str],
@@ -205,7 +205,11 @@ def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]],
 
 
 def _fold(items: DataFrame, call, per_call: int) -> DataFrame:
-    """One summary per directory, over blocks of at most about ``per_call`` items."""
+    """One summary per directory, over blocks of about ``per_call`` items at most.
+
+    Directories that fit one block are done with it; the others go on with the
+    summaries of their blocks.
+    """
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
         contents = group.sort_values("item")["summary"].tolist()
@@ -215,24 +219,28 @@ def _fold(items: DataFrame, call, per_call: int) -> DataFrame:
         except Exception as problem:  # noqa: BLE001 - any failure is the directory's own
             error = f"{type(problem).__name__}: {problem}"
         return pd.DataFrame(
-            [(first["repo_id"], first["dir"], first["block"], summary, error)],
-            columns=["repo_id", "dir", "block", "summary", "error"],
+            [(first["repo_id"], first["dir"], first["block"], first["blocks"], summary, error)],
+            columns=["repo_id", "dir", "block", "blocks", "summary", "error"],
         )
 
     key = ["repo_id", "dir"]
+    done = None
     while True:
         items = items.checkpoint()  # counted, then dealt out
-        counts = items.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        most = counts.agg(F.max("n")).first()[0]
-        if most is None:
-            return items.select(*key, "summary", F.lit(None).cast("string").alias("error"))
-        blocks = F.ceil(F.col("n") / F.lit(per_call))
-        blocked = items.join(counts, key).withColumn(
-            "block", F.pmod(F.xxhash64("item"), blocks).cast("bigint")
-        ).drop("n")
-        out = blocked.groupBy(*key, "block").applyInPandas(summarise, GROUP_OUT)
-        if most <= per_call:
-            return out.select(*key, "summary", "error")
-        items = out.select(
-            *key, F.col("block").cast("string").alias("item"), F.coalesce("summary", "error").alias("summary")
+        counts = items.groupBy(*key).agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(per_call)).cast("bigint").alias("blocks")
+        )
+        # Salted, and so dealt out anew by block: a huge directory is many tasks.
+        blocked = join_per_key(items, counts, key, ["item"], "inner").withColumn(
+            "block", F.pmod(F.xxhash64("item"), F.col("blocks"))
+        )
+        out = blocked.groupBy(*key, "block").applyInPandas(summarise, GROUP_OUT).checkpoint()
+        whole = out.where(F.col("blocks") == 1).select(*key, "summary", "error")
+        done = whole if done is None else done.unionByName(whole)
+        rest = out.where(F.col("blocks") > 1)
+        if rest.isEmpty():
+            return done
+        items = rest.select(
+            *key, F.col("block").cast("string").alias("item"),
+            F.coalesce("summary", "error").alias("summary"),
         )

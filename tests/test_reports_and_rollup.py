@@ -132,17 +132,18 @@ def test_user_function_per_directory(spark):
 
 
 def test_user_function_on_a_huge_directory_and_failures(spark):
-    names = [f"big/f{i:03}" for i in range(50)] + ["bad/1", "bad/2"]
+    names = [f"big/f{i:03}" for i in range(50)] + ["bad/1", "bad/2", "fine/1", "fine/2", "fine/3"]
 
     def call(where, contents):
         if where == "bad":
             raise ValueError("no")
         if len(contents) > 20:
             raise ValueError("too many")
-        return str(sum(int(c) if c.isdigit() else 1 for c in contents))
+        return "n" + str(sum(int(c[1:]) if c[0] == "n" else 1 for c in contents))
 
     done = rollup.summarise_directories(summaries(spark, names), call, threshold=3, per_call=8)
-    assert {r["dir"]: (r["summary"], r["error"]) for r in done.collect()} == {"big": ("50", None), "bad": (None, "ValueError: no")}
+    assert {r["dir"]: (r["summary"], r["error"]) for r in done.collect()} == {
+        "big": ("n50", None), "fine": ("n3", None), "bad": (None, "ValueError: no")}
 
 
 def attempts(spark, scores):
