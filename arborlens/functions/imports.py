@@ -22,8 +22,11 @@ _JS_BARE = f"import[{BLANK}]+[\"']([^\"']+)[\"']"
 _JS_WIDE = f"(?:import|export)[{BLANK}]+[^;\"']*?from[{BLANK}]+[\"']([^\"']+)[\"']"
 
 
-def _all(text: Column, regex: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+def _all(text: Column, regex: str, word: str, group: int = 1) -> Column:
+    """All matches; a text without the pattern's keyword is not searched."""
+    found = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(text, F.lit(word)), found).otherwise(none)
 
 
 def _first_words(names: Column, extra: str = "") -> Column:
@@ -36,8 +39,8 @@ def _first_words(names: Column, extra: str = "") -> Column:
 
 def python_imports(text: Column) -> Column:
     """Modules in statement order: all ``import`` statements, then all ``from``."""
-    plain = F.flatten(F.transform(_all(text, _IMPORT), lambda m: _first_words(m)))
-    return F.concat(plain, _all(text, _FROM))
+    plain = F.flatten(F.transform(_all(text, _IMPORT, "import"), lambda m: _first_words(m)))
+    return F.concat(plain, _all(text, _FROM, "from"))
 
 
 def python_requests(text: Column) -> Column:
@@ -46,8 +49,8 @@ def python_requests(text: Column) -> Column:
     ``from . import a, b`` asks for the modules ``.a`` and ``.b``.
     """
     named = F.zip_with(
-        _all(text, _FROM_DOTS, 1),
-        _all(text, _FROM_DOTS, 2),
+        _all(text, _FROM_DOTS, "from", 1),
+        _all(text, _FROM_DOTS, "from", 2),
         lambda dots, names: F.transform(
             _first_words(names, extra="()"), lambda n: F.concat(dots, n)
         ),
@@ -58,10 +61,12 @@ def python_requests(text: Column) -> Column:
 
 def _script_kinds(text: Column, wide: bool) -> tuple[Column, Column]:
     """Modules of ``import … from``, and those of all other kinds."""
-    rest = (_JS_CALL, _JS_REQUIRE) + ((_JS_BARE, _JS_WIDE) if wide else ())
+    rest = [_all(text, _JS_CALL, "import"), _all(text, _JS_REQUIRE, "require")]
+    if wide:
+        rest += [_all(text, _JS_BARE, "import"), _all(text, _JS_WIDE, "from")]
     return (
-        F.transform(_all(text, _JS_FROM), strip),
-        F.transform(F.concat(*[_all(text, regex) for regex in rest]), strip),
+        F.transform(_all(text, _JS_FROM, "from"), strip),
+        F.transform(F.concat(*rest), strip),
     )
 
 

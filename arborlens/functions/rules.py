@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
 from arborlens.functions import globs, paths
+from arborlens.functions.text import BLANK
 
 
 def check_limit(max_kb: int | None) -> None:
@@ -95,8 +96,9 @@ def may_lie_in_rejected(normal: Column, exclude=None) -> Column:
         globs.one_of(V.IGNORED_DIRS + V.IGNORED_FILES),
         r"[^/]*(?:" + globs.one_of(V.IGNORED_EXTENSIONS) + ")",
     ))
-    maybe = normal.rlike(f"(?:^|/)(?:{names})\\s*/")
+    end = f"[{BLANK}]*/"  # blanks at the end of a directory's path do not count
+    maybe = normal.rlike(rf"(?:\A|/)(?:{names}){end}")
     for pattern in exclude or ():
         glob = globs.glob_regex(globs.normal_pattern(pattern))
-        maybe = maybe | normal.rlike(rf"(?s)(?:\A|/)(?:{glob})\s*/")
+        maybe = maybe | normal.rlike(rf"(?s)(?:\A|/)(?:{glob}){end}")
     return maybe

@@ -170,8 +170,9 @@ def outcomes(loaded: DataFrame) -> DataFrame:
 
 
 def documents(loaded: DataFrame) -> DataFrame:
-    """The document table: kept files with their text."""
+    """The document table: kept files with their text, and their time if listed."""
     name = paths.base_name(F.col("relative_path"))
+    extra = [c for c in ("modification_time",) if c in loaded.columns]
     return outcomes(loaded).where(F.col("outcome") == COMPLETED).select(
         "repo_id",
         paths.forward_slashes(F.col("relative_path")).alias("file_path"),
@@ -179,13 +180,14 @@ def documents(loaded: DataFrame) -> DataFrame:
         paths.extension(name).alias("file_type"),
         "relative_path",
         F.col("text").alias("content"),
+        *extra,
     )
 
 
-def skipped(loaded: DataFrame) -> DataFrame:
+def skipped(judged: DataFrame, loaded: DataFrame) -> DataFrame:
     """Skipped directories and files with stage, reason and detail."""
     files = outcomes(loaded).where(F.col("outcome") == SKIPPED)
-    return pruned_directories(loaded.withColumn("reason_code", F.col("rule_reason"))).unionByName(
+    return pruned_directories(judged).unionByName(
         files.select("repo_id", "relative_path", "stage", "reason_code", "reason_detail")
     )
 

@@ -25,7 +25,7 @@ class Traversal(NamedTuple):
 
     @property
     def skipped(self) -> DataFrame:
-        return select.skipped(self.loaded)
+        return select.skipped(self.judged, self.loaded)
 
     @property
     def dry_run(self) -> DataFrame:

@@ -34,7 +34,8 @@ def test_from_trees_to_reports(spark, tmp_path):
     assert "- `core.ts` (20 incoming dependencies)" in reports["two"] and "- ... and 10 more" in reports["two"]
     assert {(r["k"], r["iteration"]) for r in run.attempts.collect()} == {(k, i) for k in trees for i in (1, 2)}
     assert {r["relative_path"] for r in run.skipped.collect()} == {"a.log"}
-    assert store.read().count() == 25
+    stored = store.read().collect()
+    assert len(stored) == 25 and all(r["modification_time"] is not None for r in stored)
     with open(next(os.path.join(output, "reports", "repo_id=one", f) for f in os.listdir(os.path.join(output, "reports", "repo_id=one"))
                    if f.startswith("part"))) as handle:
         assert handle.read() == reports["one"] + "\n"
