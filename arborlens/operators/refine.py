@@ -46,14 +46,16 @@ def best_texts(attempts: DataFrame, **options) -> DataFrame:
 
 
 def refine(keys: DataFrame, generate: Callable[[dict], str], review: Callable[[str], tuple[float, str]],
-           good: float = GOOD_SCORE, rounds: int = MAX_ROUNDS) -> DataFrame:
+           good: float = GOOD_SCORE, rounds: int = MAX_ROUNDS,
+           concurrency: int | None = None) -> DataFrame:
     """Attempts of every key: generate, review, and go on while not good enough.
 
     ``generate`` gets the row with ``iteration``, ``latest`` (its last text) and
     ``feedback`` (all feedback so far); ``review`` gets the text. Only keys that
     are not done enter the next round. A round is one distributed pass, its
     result checkpointed so that no attempt is made twice; the driver only
-    counts rounds.
+    counts rounds. ``concurrency`` sets the number of tasks of a round: rows are
+    few and small here, and Spark would put them into few partitions.
     """
     def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,6 +71,8 @@ def refine(keys: DataFrame, generate: Callable[[dict], str], review: Callable[[s
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields)
+    if concurrency:
+        keys = keys.repartition(concurrency, "k")
     state = keys.withColumns({
         "latest": F.lit(""), "feedback": F.array().cast("array<string>"), "iteration": F.lit(0),
     })

@@ -31,12 +31,13 @@ def full_run(spark: SparkSession, roots: dict[str, str], store: CacheStore, conf
              condense: Callable[[str, list[str]], str] = rollup.list_or_count,
              include=None, exclude=None, max_kb: int | None = V.DEFAULT_MAX_KB,
              respect_ignore_files: bool = False, output: str | None = None,
-             force: bool = False) -> FullRun:
+             force: bool = False, concurrency: int | None = None) -> FullRun:
     """Select, read, describe, roll up, write and review, and keep the best texts.
 
     ``describe`` enriches documents, ``condense`` makes one text of a bounded
     list of items, ``generate`` and ``review`` run per repository on a row with
-    ``k``, ``overview``, ``contents``, ``documents`` and ``total_bytes``.
+    ``k``, ``overview``, ``contents``, ``documents`` and ``total_bytes``, in
+    ``concurrency`` tasks.
     Reports and trees go below ``output``. What is used more than once is
     written to the shared folder first: documents, degrees, fresh summaries and
     attempts. No step brings a whole repository into one task.
@@ -64,7 +65,7 @@ def full_run(spark: SparkSession, roots: dict[str, str], store: CacheStore, conf
         .join(contents.withColumnRenamed("repo_id", "k"), "k", "left")
         .fillna("", ["overview", "contents"])
     )
-    attempts = refine.refine(keys, generate, review)
+    attempts = refine.refine(keys, generate, review, concurrency=concurrency)
     best = refine.best_texts(attempts).select(F.col("k").alias("repo_id"), "best_score", "text")
     reports = best.join(overviews, "repo_id", "left").select(
         "repo_id", "best_score", graph.append_section(F.col("text"), F.col("overview")).alias("report")

@@ -26,7 +26,7 @@ def test_from_trees_to_reports(spark, tmp_path):
         return (9.0 if " v2" in text else 5.0), "more"
 
     output = str(tmp_path / "out")
-    run = full_run(spark, roots, store, "cfg", generate, review, output=output)
+    run = full_run(spark, roots, store, "cfg", generate, review, output=output, concurrency=2)
     reports = {r["repo_id"]: r["report"] for r in run.reports.collect()}
     assert reports["one"].startswith("# one v2\n3 files\nREADME.md: # One\nsrc/main.py: # Main\nsrc/util.py: # Util\n\n## Dependency Overview\n")
     assert "- `util.py` (1 incoming dependencies)" in reports["one"]

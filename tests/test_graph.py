@@ -141,6 +141,13 @@ def test_one_content_scan_and_no_wide_joins(spark, tmp_path):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_top_n_is_cut_before_the_shuffle(spark):
+    degree = graph.degrees(links(spark, [("a", "b")]))
+    for rows in (graph.core_modules(degree, 3), graph.overview(degree)):
+        assert "Partial" in [line for line in rows._jdf.queryExecution().executedPlan().toString().split("\n")
+                             if "WindowGroupLimit" in line][-1]
+
+
 def test_against_a_plain_resolver(spark):
     """Random trees: the joined result equals trying every candidate in turn."""
     rng = random.Random(7)
