@@ -39,11 +39,12 @@ def step(documents: DataFrame, cache: DataFrame, config_hash: str,
          hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Step:
     """Summaries of all documents and the cache they leave behind.
 
-    ``documents`` has ``repo_id, file_path, language, content``. Texts are read
-    once for their hashes and once for the misses. ``small`` says that the
-    misses in ``looked_up`` were counted and are few enough to broadcast; texts
-    then stay where they were read. ``hold`` materialises the fresh rows, which
-    are used more than once; pass it when ``run`` is costly.
+    ``documents`` has ``repo_id, file_path, language, content``. Pass
+    ``looked_up`` checkpointed: it is used for hits and for misses, and texts are
+    then read once for their hashes and once for the misses. ``small`` says that
+    the misses were counted and are few enough to broadcast; texts then stay
+    where they were read. ``hold`` materialises the fresh rows, which are used
+    more than once; pass it when ``run`` is costly.
     """
     usable = summary_cache.current(cache, config_hash)
     if looked_up is None:

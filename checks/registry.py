@@ -305,7 +305,9 @@ def cache_upsert(spark, sf):
 def incremental_run(spark, sf):
     docs = _cache_documents(spark, sf).where(c("doc_id") % 7 != 0)
     cache = view(spark, sf, "vcache").withColumn("modification_time", F.lit(None).cast("timestamp"))
-    after = incremental.step(docs, cache, "cfg-a").cache
+    shared_folder(spark)
+    looked_up = summary_cache.lookup(summary_cache.keyed(docs), cache, "cfg-a").checkpoint()
+    after = incremental.step(docs, cache, "cfg-a", looked_up=looked_up).cache
     said = F.coalesce(F.get_json_object("summary", "$.description"), c("summary"))
     return after.select("repo_id", "file_path", "content_hash", "language", said.alias("said"), "config_hash")
 
