@@ -5,10 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from arborlens.session import fresh_folder
 
 
-def hold(rows: DataFrame, name: str) -> DataFrame:
+def hold(rows: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write rows to the shared folder and read them back: one computation, lineage cut, safe when executors go."""
     path = fresh_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", compression).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
