@@ -96,13 +96,15 @@ class _Writer:
         return self.name, len(self.docs), self.ids
 
 
-def _absolute(folder: str) -> str:
-    return folder if "://" in folder or folder.startswith("file:") else "file://" + posixpath.abspath(folder)
+def absolute(folder: str) -> str:
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = folder.removeprefix("file:")
+    return folder if "://" in folder else "file://" + posixpath.abspath(folder)
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files to an existing or new folder and return the manifest ``file, n_docs, n_ids`` as a table."""
-    folder = _absolute(folder)
+    folder = absolute(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, written = encoder(tokenizer), None, []
@@ -152,7 +154,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
 
     A task reads a file block by block and holds one document at a time.
     """
-    folder = _absolute(folder)
+    folder = absolute(folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
