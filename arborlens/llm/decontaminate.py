@@ -28,29 +28,43 @@ from arborlens.operators.skew import settle
 WIDTH = 13
 SHARE = 20
 BROADCAST_WINDOWS = 1_000_000
-_OTHER = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+_OTHER = r"[\x00-/:-`{-\x7f]+"
 _ANY_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
     """The normalised words of a text; none for null."""
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    plain = F.octet_length(text) == F.char_length(text)  # then the faster function does the same
+    lower = F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     return F.coalesce(F.array_remove(F.split(lower, _OTHER), ""), F.array().cast("array<string>"))
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """Word hashes (``hashes``) and their number (``n_words``), worked out once."""
-    return settle(rows.withColumn("hashes", F.transform(words(F.col("text").cast("string")), lambda w: F.xxhash64(w))), "hashes").drop(
-        "text").withColumn("n_words", F.size("hashes").cast("bigint"))
+    """Hashes of the words, of all two and of all four neighbouring words, and the number of words, worked out once."""
+    rows = rows.withColumn("h", F.transform(words(F.col("text").cast("string")), lambda w: F.xxhash64(w)))
+    rows = settle(rows, "h").drop("text").withColumn("n_words", F.size("h").cast("bigint"))
+    rows = settle(rows.withColumn("h2", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))), "h2")
+    return settle(rows.withColumn("h4", F.transform("h2", lambda x, i: F.xxhash64(x, F.get("h2", i + 2)))), "h4")
+
+
+def _piece_hash(i: Column, sizes: list[int], first: int) -> Column:
+    """Hash of a window that is made of pieces of four, two or one words."""
+    parts, at = [], 0
+    for size in sizes:
+        parts.append(F.get({4: "h4", 2: "h2", 1: "h"}[size], i + at))
+        at += size
+    return F.xxhash64(F.lit(first), *parts)
 
 
 def _windows(length: int) -> Column:
-    """All windows of a length: place, length and two hashes."""
+    """All windows of a length: place, length and two hashes, of the words put together in two ways."""
+    sizes = [4] * (length // 4) + [2] * (length % 4 // 2) + [1] * (length % 2)
+
     def window(i: Column) -> Column:
-        part = F.slice(F.col("hashes"), i, F.lit(length))
-        return F.struct((i - 1).alias("pos"), F.lit(length).alias("len"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
+        return F.struct(i.alias("pos"), F.lit(length).alias("len"), _piece_hash(i, sizes, length).alias("h1"),
+                        _piece_hash(i, sizes[::-1], -length).alias("h2"))
 
-    places = F.when(F.col("n_words") >= length, F.sequence(F.lit(1), F.col("n_words").cast("int") - (length - 1)))
+    places = F.when(F.col("n_words") >= length, F.sequence(F.lit(0), F.col("n_words").cast("int") - length))
     return F.coalesce(F.transform(places, window), F.array().cast("array<struct<pos:int,len:int,h1:bigint,h2:bigint>>"))
 
 
@@ -70,12 +84,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     """
     known = hold(benchmark_windows(benchmark, width), "windows")
     lengths = sorted(r[0] for r in known.select("len").distinct().collect())  # 1 to width
-    if known.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
+    small = known.count() <= BROADCAST_WINDOWS
     rows = _hashed(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), "text"))
     itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("h1"), F.lit(None).cast("bigint").alias("h2")))
     places = rows.select("doc_id", "text_key", "n_words", F.inline(F.concat(itself, *map(_windows, lengths))))
-    found = places.join(known, ["h1", "h2", "len"], "left").filter("pos < 0 or items is not null")
+    known = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("len").alias("k_len"), "items")
+    known = F.broadcast(known) if small else known
+    # One long key makes the fastest hash table; the rest is checked on what it finds.
+    same = (F.col("h1") == F.col("k1")) & (F.col("h2").bitwiseXOR(F.col("k2")) == 0) & (F.col("len").bitwiseXOR(F.col("k_len")) == 0)
+    found = places.join(known, same, "left").filter("pos < 0 or items is not null")
     spot = F.when(F.col("pos") >= 0, F.struct("pos", "len"))
     per = found.groupBy("doc_id", "text_key").agg(
         F.count_if(F.col("pos") < 0).alias("copies"), F.max("n_words").alias("n_words"),

@@ -1,29 +1,70 @@
 """Token ids of whole texts by a public tokenizer file, with words encoded once.
 
-A text is cut before every single blank that stands between two other characters. The tokenizers used here never join
-characters across such a place, so the ids of a text are those of its parts, one after the other. Parts are remembered;
-new ones are encoded together, parted by a special token.
+A text is cut before every single blank that stands between two other characters. The two kinds of tokenizers known here
+(``_kind``) never join characters across such a place, so the ids of a text are those of its parts, one after the other.
+Parts are remembered. A new part of Latin letters and signs goes to the library's model directly, others to the whole
+tokenizer. With any other kind of tokenizer, texts are encoded as they are.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
-REMEMBERED = 1 << 18  # parts kept by a worker; the memory starts anew beyond
+REMEMBERED = 5 << 18  # parts kept by a worker; the memory starts anew beyond
 LONG_PART = 200  # longer parts are not remembered
-BLOCK = 1 << 16  # characters encoded in one call
+BLOCK = 1 << 16  # characters of a part beyond which it is cut further
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|^ | $")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
+_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"  # besides the blank and the line feed
+_WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _FINER = re.compile(r"(?<=\S)(?=\s\S)")
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+# The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SIGN = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 def parts_of(text: str) -> list[str]:
     """Parts of a text; all but the first have lost the blank they begin with."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    odd = (
+        "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(c in text for c in _BLANKS)
+        or not text.isascii() and any(c in text for c in _WIDE_BLANKS))
+    return _CUT.split(text) if odd else text.split(" ")
+
+
+def _kind(path: str) -> str:
+    """``bytes``: byte-level words with their blank; ``lower``: lower-cased words without it; else empty."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    before, model = rules["pre_tokenizer"] or {}, rules["model"]
+    if model["type"] != "BPE" or model.get("dropout"):
+        return ""
+    if before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and rules["normalizer"] is None:
+        return "bytes"
+    steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+    splits = [x["type"] for x in before.get("pretokenizers", [])]
+    return "lower" if steps == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"] and model["end_of_word_suffix"] else ""
+
+
+class _Memory(dict):
+    """Encoding of parts, worked out when first asked for."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, part: str) -> bytes:
+        value = self.encoder.part(self.lead, part)
+        if len(part) <= LONG_PART:
+            self[part] = value
+        return value
 
 
 class Encoder:
@@ -36,99 +77,90 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        special = sorted((i, t.content) for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special)
-        self._mark_id, self._mark = special[-1]
-        self._specials = [content for _, content in special]
-        self._offsets = offsets
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
-
-    def _packed(self, encoding, start: int = 0) -> np.ndarray:
-        if self._offsets:
-            return np.array(encoding.offsets, np.int64).reshape(-1, 2) - start
-        return np.array(encoding.ids, np.uint32)
-
-    def _encode(self, text: str):
-        call = self._tokenizer.encode_batch if self._offsets else self._tokenizer.encode_batch_fast
-        return call([text], add_special_tokens=False)[0]
+        self._model, self._offsets, self._by = self._tokenizer.model, offsets, _kind(path)
+        self._first, self._later = _Memory(self, ""), _Memory(self, " ")
+        self._signs: dict[str, bytes] = {}
 
-    def _encode_alone(self, part: str) -> bytes:
-        out, start = [], 0
-        for piece in _FINER.split(part) if len(part) > BLOCK else [part]:
-            out.append(self._packed(self._encode(piece), -start))
+    def _whole(self, text: str) -> np.ndarray:
+        if self._offsets:
+            return np.array(self._tokenizer.encode_batch([text], add_special_tokens=False)[0].offsets, np.int64).reshape(-1, 2)
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _word(self, word: str) -> bytes:
+        """A word of Latin letters, with its blank if it has one."""
+        raw = (word if self._by == "bytes" else word.strip(" ").lower()).encode()
+        shown = raw.decode("latin-1")
+        tokens = self._model.tokenize(shown.replace(" ", _SIGN[32]) if shown.isascii() else shown.translate(_SIGN))
+        if not self._offsets:
+            return array("I", [t.id for t in tokens]).tobytes()
+        spans, start = array("q"), 0
+        at = None if len(raw) == len(word) else [i for i, c in enumerate(word) for _ in c.encode()]  # the character of each byte
+        for token in tokens:
+            end = start + len(token.value)
+            spans.append(start if at is None else at[start])
+            spans.append(end if at is None else at[end - 1] + 1)
+            start = end
+        return spans.tobytes()
+
+    def part(self, lead: str, part: str) -> bytes:
+        simple = _SIMPLE.fullmatch(part)
+        if simple and not (self._offsets and self._by == "lower"):
+            word, signs = simple.groups()
+            if not signs:
+                return self._word(lead + word)
+            more = self._signs.get(signs)
+            if more is None:
+                more = self._signs[signs] = self._whole(signs).tobytes()
+            if self._offsets:
+                more = (np.frombuffer(more, np.int64) + len(lead) + len(word)).tobytes()
+            return (self._later if lead else self._first)[word] + more
+        if "\n" in part and _LINES.fullmatch(part) and len(part) <= LONG_PART:
+            return self._lines(lead, part.split("\n"))
+        text, out, start = lead + part, [], 0
+        for piece in _FINER.split(text) if len(text) > BLOCK else [text]:
+            out.append(self._whole(piece) + (start if self._offsets else np.uint32(0)))
             start += len(piece)
         return np.concatenate(out).tobytes()
 
-    def _encode_together(self, parts: list[str]) -> list[bytes]:
-        encoding = self._encode(self._mark.join(parts))
-        ids = np.array(encoding.ids, np.uint32)
-        marks = np.flatnonzero(ids == self._mark_id)
-        rows = self._packed(encoding) if self._offsets else ids
-        out, low, start = [], 0, 0
-        for part, high in zip(parts, [*marks.tolist(), len(ids)]):
-            out.append((rows[low:high] - start if self._offsets else rows[low:high]).tobytes())
-            low, start = high + 1, start + len(part) + len(self._mark)
-        return out
-
-    def _learn(self, memory: dict[str, bytes], parts: set[str], lead: str) -> dict[str, bytes]:
-        """Encodings of parts not in the memory; short ones are put there."""
-        once: dict[str, bytes] = {}
-        block: list[str] = []
-        size = 0
-
-        def flush() -> None:
-            if block:
-                memory.update(zip(block, self._encode_together([lead + p for p in block])))
-                block.clear()
-
-        for part in parts:
-            if len(part) > LONG_PART or any(s in lead + part for s in self._specials):
-                once[part] = self._encode_alone(lead + part)
-                continue
-            block.append(part)
-            size += len(part)
-            if size > BLOCK:
-                flush()
-                size = 0
-        flush()
-        return once
+    def _lines(self, lead: str, pieces: list[str]) -> bytes:
+        """Parts with single line feeds between them."""
+        feed = self._signs.get("\n")
+        if feed is None:
+            feed = self._signs["\n"] = self._whole("\n").tobytes()
+        raw, start = [self.part(lead, pieces[0])], len(lead) + len(pieces[0])
+        for piece in pieces[1:]:
+            more = self._first[piece]
+            if self._offsets:
+                raw.append((np.frombuffer(feed, np.int64) + start).tobytes())
+                raw.append((np.frombuffer(more, np.int64) + start + 1).tobytes())
+                start += 1 + len(piece)
+            else:
+                raw += [feed, more]
+        return b"".join(raw)
 
     def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids (uint32), or spans (int64, two columns), of each text; null counts as empty."""
         if len(self._first) + len(self._later) > REMEMBERED:
-            self._first.clear()
-            self._later.clear()
-        split = [parts_of(t) if t else [] for t in texts]
-        first, later = self._first, self._later
-        new_first = {p[0] for p in split if p and p[0] not in first}
-        new_later = {p for parts in split for p in parts[1:] if p not in later}
-        once_first = self._learn(first, new_first, "")
-        once_later = self._learn(later, new_later, " ")
-        out = []
-        for parts in split:
-            if not parts:
-                raw = []
-            elif once_first or once_later:
-                raw = [once_first.get(parts[0]) or first.get(parts[0], b"")]
-                raw += [later[p] if p in later else once_later[p] for p in parts[1:]]
-            else:
-                raw = [first[parts[0]], *[later[p] for p in parts[1:]]]
-            if self._offsets:
-                out.append(_moved(raw, parts))
-            else:
-                out.append(np.frombuffer(b"".join(raw), np.uint32))
+            for memory in (self._first, self._later, self._signs):
+                memory.clear()
+        later, out = self._later, []
+        for text in texts:
+            if not text or not self._by:
+                out.append(self._whole(text or ""))
+                continue
+            parts = parts_of(text)
+            raw = [self._first[parts[0]], *map(later.__getitem__, parts[1:])]
+            out.append(_moved(raw, parts) if self._offsets else np.frombuffer(b"".join(raw), np.uint32))
         return out
 
 
 def _moved(raw: list[bytes], parts: list[str]) -> np.ndarray:
     """Spans within parts as spans within the text."""
-    if not raw:
-        return np.empty((0, 2), np.int64)
     spans = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-    lengths = np.array([len(p) for p in parts], np.int64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     lengths[1:] += 1
     starts = np.cumsum(lengths) - lengths
-    return spans + np.repeat(starts, [len(r) // 16 for r in raw])[:, None]
+    return spans + np.repeat(starts, np.fromiter(map(len, raw), np.int64, len(raw)) // 16)[:, None]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
