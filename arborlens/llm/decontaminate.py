@@ -4,8 +4,9 @@ Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII. A b
 consecutive words; an item of fewer words, but not none, is one window. The windows become a hash set, which is broadcast
 while it has at most ``BROADCAST_WINDOWS`` entries (counted first; some 100 bytes each); beyond, the same join shuffles.
 Documents are scanned once: each gives the hashes of its windows, one row each, and one row for the document itself. A hit is
-found by a 64-bit hash and verified by a second, independent one and the length, so that what is found together is
-right but for one chance in 2^128. Only hits and one row per document are shuffled.
+found by the 64-bit hash of the window and verified by its length and by another hash, that of its last four words; two
+windows that pass both and differ must share those words and still collide in 64 bits. Only hits and one row per document
+are shuffled.
 
 A document word inside any occurrence of a window is hit. A document is contaminated if it has a hit and
 ``share * hits >= words``.
@@ -47,25 +48,19 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return settle(rows.withColumn("h4", F.transform("h2", lambda x, i: F.xxhash64(x, F.get("h2", i + 2)))), "h4")
 
 
-def _piece_hash(i: Column, sizes: list[int], first: int) -> Column:
-    """Hash of a window that is made of pieces of four, two or one words."""
-    parts, at = [], 0
-    for size in sizes:
-        parts.append(F.get({4: "h4", 2: "h2", 1: "h"}[size], i + at))
-        at += size
-    return F.xxhash64(F.lit(first), *parts)
-
-
 def _windows(length: int) -> Column:
-    """All windows of a length: place, length and two hashes, of the words put together in two ways."""
+    """All windows of a length: place, length, hash of all words, and for the check the hash of the last of them."""
     sizes = [4] * (length // 4) + [2] * (length % 4 // 2) + [1] * (length % 2)
+    of = {4: "h4", 2: "h2", 1: "h"}
+    lead, *rest = [(of[size], sum(sizes[:k])) for k, size in enumerate(sizes)]
+    last = max(w for w in (4, 2, 1) if w <= length)
 
-    def window(i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.lit(length).alias("len"), _piece_hash(i, sizes, length).alias("h1"),
-                        _piece_hash(i, sizes[::-1], -length).alias("h2"))
+    def window(x: Column, i: Column) -> Column:
+        return F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.lit(length), x, *[F.get(c, i + at) for c, at in rest]).alias("h1"),
+                        F.get(of[last], i + (length - last)).alias("h2"))
 
-    places = F.when(F.col("n_words") >= length, F.sequence(F.lit(0), F.col("n_words").cast("int") - length))
-    return F.coalesce(F.transform(places, window), F.array().cast("array<struct<pos:int,len:int,h1:bigint,h2:bigint>>"))
+    starts = F.slice(lead[0], F.lit(1), F.greatest(F.col("n_words").cast("int") - (length - 1), F.lit(0)))
+    return F.transform(starts, window)
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

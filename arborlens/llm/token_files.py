@@ -182,7 +182,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(
+    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(
         read, "file string, place bigint, doc_id bigint, n_tokens bigint, ids binary")
 
 

@@ -223,7 +223,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(rows, pa.large_binary())], names=["file", "record"])
 
-    return manifest.select("file").repartition("file").mapInArrow(read, "file string, record binary")
+    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(read, "file string, record binary")
 
 
 _FIELDS = ("record_id", "type", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "block")
