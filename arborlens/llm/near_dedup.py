@@ -8,10 +8,11 @@ with probability (1 - 0.75^2)^16 = 2e-6.
 
 A region (equal prefix) wider than the neighbours looked at is *crowded*. After the links between neighbours are known,
 crowded regions that still hold several groups are compared in full, in blocks: all sets outside the region's largest
-group against all sets of the region. The depth of such a region adapts: it is the first prefix length that leaves at
+group against all sets of the region; such a block has the full sets at hand and gives one confirmed link for each set and
+other group that it meets, no pairs. The depth of such a region adapts: it is the first prefix length that leaves at
 most ``OUTSIDERS`` sets outside the largest group, or the whole key.
 
-Candidates pass a check of the signatures first (estimate >= ``ESTIMATE``; at a true similarity of 0.75 that misses by
+Neighbours pass a check of the signatures first (estimate >= ``ESTIMATE``; at a true similarity of 0.75 that misses by
 chance once in 10^7) and are then confirmed on full sets; equal signatures stand for nothing by themselves. Pairs inside
 one group already need no confirmation, so that large groups cost a few confirmations per member, not all pairs.
 
@@ -38,8 +39,9 @@ LEAST = 2
 NEIGHBOURS = 3
 ESTIMATE = 0.55
 OUTSIDERS = 2048
-QUERY_BLOCK = 512
-DATA_BLOCK = 2048
+QUERY_BLOCK = 256
+DATA_BLOCK = 1024
+BROADCAST_IDS = 2_000_000  # 16 bytes each
 HASHES = TREES * DEPTH
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -204,7 +206,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    wanted = pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct()
+    return _sets_for(docs, pairs.select("a").union(pairs.select("b")).toDF("doc_id"))
+
+
+def _sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full sets of some documents; their ids go to the texts while there are few enough, else texts and ids are shuffled."""
+    wanted = hold(ids.distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
     return hold(texts.mapInArrow(_gather, "doc_id bigint, shingles array<bigint>"), "sets")
 
@@ -241,58 +249,71 @@ def _link(docs: DataFrame, pairs: DataFrame, labels: DataFrame | None, percent:
     return merge(labels, hold(_confirmed(rest, sets, percent), "links"))
 
 
-def _compare_block(table: pa.Table) -> pa.Table:
-    query = table.column("query").to_numpy()
-    ids, comps = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
-    data = np.flatnonzero(~query)
-    a, b, estimate = [], [], []
-    for q in np.flatnonzero(query):
-        other = data[comps[data] != comps[q]]
-        same = (sketch[other] == sketch[q]).mean(1)
-        other, same = other[same >= ESTIMATE], same[same >= ESTIMATE]
-        a.append(np.minimum(ids[other], ids[q]))
-        b.append(np.maximum(ids[other], ids[q]))
-        estimate.append(same)
-    none = [np.empty(0, np.int64)]
-    return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none),
-                     "estimate": np.concatenate(estimate or [np.empty(0)])})
-
-
-def _crowded(rows: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame | None:
-    """Likely pairs in crowded regions that hold several groups; None if there is no such region."""
+def _comparer(deepest: int, percent: int):
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        """Confirmed links of the block's queries, one for each query and other group.
+
+        A pair whose keys agree on ``deepest`` hashes in an earlier tree has been together in a region of that tree.
+        """
+        tree = key[0].as_py()
+        query = table.column("query").to_numpy()
+        ids, comps = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        lists = table.column("shingles").combine_chunks()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        values, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(np.r_[0, ends])
+        data, a, b = np.flatnonzero(~query), [], []
+        for q in np.flatnonzero(query):
+            low, high = np.minimum(sizes[data], sizes[q]), np.maximum(sizes[data], sizes[q])
+            other = data[(comps[data] != comps[q]) & (100 * low >= percent * high)]
+            agree = sketch[other] == sketch[q]
+            fresh = (agree.mean(1) >= ESTIMATE) & ~agree.reshape(-1, TREES, DEPTH)[:, :tree, :deepest].all(2).any(1)
+            other, agree = other[fresh], agree[fresh]
+            own, linked = values[ends[q] - sizes[q]:ends[q]], set()
+            for o in other[np.argsort(-agree.sum(1), kind="stable")]:
+                if comps[o] in linked:
+                    continue
+                theirs = values[ends[o] - sizes[o]:ends[o]]
+                common = int((own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs).sum())
+                if 100 * common >= percent * (len(own) + len(theirs) - common):
+                    linked.add(comps[o])
+                    a.append(min(ids[o], ids[q]))
+                    b.append(max(ids[o], ids[q]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between groups that meet in crowded regions."""
     todo = hold(rows.join(labels.toDF("doc_id", "label"), "doc_id", "left").select(
         "tree", "key", "doc_id", F.coalesce("label", "doc_id").alias("comp")), "crowded")
-    found = None
+    members, deepest = None, LEAST
     for depth in range(LEAST, DEPTH + 1):
-        region = F.expr(f"substring(key, 1, {4 * depth})")
-        at = todo.withColumn("region", region)
+        at = todo.withColumn("region", F.expr(f"substring(key, 1, {4 * depth})"))
         groups = at.groupBy("tree", "region", "comp").agg(F.count("*").alias("n"))
         regions = hold(
             groups.groupBy("tree", "region").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("top"))
             .select("tree", "region", "total", F.col("top.comp").alias("largest"), (F.col("total") - F.col("top.n")).alias("outside"))
             .filter("outside > 0"), "regions")
         fits = F.lit(depth == DEPTH) | (F.col("outside") <= OUTSIDERS)
-        ready = regions.filter(fits)
-        members = at.join(ready, ["tree", "region"]).join(sketches, "doc_id").select(
-            "tree", "region", "doc_id", "comp", "largest", "sketch",
+        part = at.join(regions.filter(fits), ["tree", "region"]).select(
+            "tree", "region", "doc_id", "comp", "largest",
             F.ceil(F.col("outside") / QUERY_BLOCK).cast("int").alias("rows"), F.ceil(F.col("total") / DATA_BLOCK).cast("int").alias("columns"))
-        spot = F.xxhash64("doc_id")
-        last = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        keep = ["tree", "region", "doc_id", "comp", "sketch"]
-        data = members.select(*keep, F.lit(False).alias("query"), F.explode(last("rows")).alias("r"),
-                              F.pmod(spot, F.col("columns")).cast("int").alias("c"))
-        queries = members.filter("comp <> largest").select(
-            *keep, F.lit(True).alias("query"), F.pmod(spot, F.col("rows")).cast("int").alias("r"), F.explode(last("columns")).alias("c"))
-        part = hold(data.union(queries).groupBy("tree", "region", "r", "c").applyInArrow(
-            _compare_block, "a bigint, b bigint, estimate double"), "likely")
-        found = part if found is None else found.union(part)
+        members, deepest = part if members is None else members.union(part), depth
         deeper = regions.filter(~fits)
         if deeper.isEmpty():
             break
         todo = hold(at.join(deeper.select("tree", "region"), ["tree", "region"]).select("tree", "key", "doc_id", "comp"), "crowded")
-    found = hold(found.distinct(), "likely")
-    return None if found.isEmpty() else found
+    members = hold(members, "members")
+    full = members.join(sketches, "doc_id").join(_sets_for(docs, members.select("doc_id")), "doc_id")
+    spot = F.xxhash64("doc_id")
+    last = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    keep = ["tree", "region", "doc_id", "comp", "sketch", "shingles"]
+    data = full.select(*keep, F.lit(False).alias("query"), F.explode(last("rows")).alias("r"), F.pmod(spot, F.col("columns")).cast("int").alias("c"))
+    queries = full.filter("comp <> largest").select(
+        *keep, F.lit(True).alias("query"), F.pmod(spot, F.col("rows")).cast("int").alias("r"), F.explode(last("columns")).alias("c"))
+    return hold(data.union(queries).groupBy("tree", "region", "r", "c").applyInArrow(_comparer(deepest, percent), "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -307,11 +328,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = hold(_likely(found.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches), "likely")
     labels = _link(docs, pairs, None, percent)
     crowded = found.filter(F.col("kind") == CROWDED).select("tree", "key", F.col("a").alias("doc_id"))
-    more = _crowded(crowded, labels, sketches)
-    if more is not None:
-        more = hold(_apart(more, labels), "apart")
-        if not more.isEmpty():
-            labels = _link(docs, more, labels, percent)
+    links = _crowded(docs, crowded, labels, sketches, percent)
+    if not links.isEmpty():
+        labels = merge(labels, links)
     named = signed.join(owners, "set_key", "left").join(labels.toDF("owner", "label"), "owner", "left")
     component = F.coalesce("label", "owner", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
