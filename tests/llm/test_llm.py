@@ -1,0 +1,398 @@
+"""Operators for training data against brute force, round trips, held-out accuracy and odd rows."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+from arborlens.llm import (
+    components, decontaminate, html_text, knn, near_dedup, packing, quality, queries, token_counts, token_files, tokens, url_filter, warc)
+from checks import compare
+
+SF = "/root/testdata/sf0.001"
+LOWER = {i: i + 32 for i in range(65, 91)}
+DOCS = "doc_id bigint, text string, common string, label int, tree int, score double"
+ODD = [None, "", " \n\t ", "one", "a b c d", "A  b\nC d e f g", "é " * 30, "x" * 5000, "word " * 3000, "\x00 null \x7f"]
+
+
+def docs_of(spark, texts, first=0):
+    """Documents with columns whose names clash with inner ones."""
+    return spark.createDataFrame([(first + i, t, "c", 1, 2, 0.5) for i, t in enumerate(texts)], DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def prose(seed, n, words=400):
+    draw = random.Random(seed)
+    return [f"w{draw.randrange(words)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) & set(entry.oracle_sql())))
+def test_query_against_sql(spark, name):
+    con = compare.connect(SF)
+    df = entry.queries()[name](spark, SF)
+    result = con.sql(entry.oracle_sql()[name])
+    assert compare.rows(df.columns, df.collect()) == compare.rows(result.columns, result.fetchall())
+
+
+# Near duplicates
+
+
+def groups_by_brute_force(texts):
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            k = len(a & sets[j])
+            if a and sets[j] and 100 * k >= 75 * (len(a) + len(sets[j]) - k):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return [(i, len(s), label[i]) for i, s in enumerate(sets)]
+
+
+def check_groups(spark, texts):
+    got = near_dedup.near_duplicates(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == groups_by_brute_force(texts)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_with_a_crowded_group(spark):
+    draw, texts = random.Random(1), [*ODD, *ODD]
+    base = prose(2, 150)
+    for _ in range(120):  # many copies around the threshold, so that single links matter
+        copy = list(base)
+        for _ in range(draw.randrange(7)):
+            copy[draw.randrange(len(copy))] = f"n{draw.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    shared = prose(3, 30)
+    texts += [" ".join(prose(100 + i, 120) + shared) for i in range(40)]  # a passage of many documents
+    texts += [" ".join(prose(4, 200)[i * 6:i * 6 + 120]) for i in range(10)]  # a chain
+    draw.shuffle(texts)
+    check_groups(spark, texts)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+    check_groups(spark, [None, "", " "])
+
+
+def test_crowded_regions_go_deeper(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 2)
+    base = prose(5, 150)
+    texts = [" ".join(w if (i * 31 + k) % 29 else f"n{i}" for k, w in enumerate(base)) for i in range(40)]
+    check_groups(spark, texts)
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(20, 60)] + [(5, i) for i in range(100, 140)] + [(7, 7), (3, 5), (5, 3)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 20 for i in range(20, 61)} | {i: 3 for i in (3, 5, *range(100, 140))}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# Tokens
+
+
+TRICKY = [*(t for t in ODD if t), "  a", "a ", "a  b", "x\n y", "<|endoftext|> x", "it's don't 'll", "é ́a", "日本語 テキスト 12 3", "end.\nNext one\n\nLast", "a\u00a0b"]
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_tokenizer(file):
+    path = public_tokenizers.path(file)
+    plain = Tokenizer.from_file(path).encode_batch(TRICKY, add_special_tokens=False)
+    for _ in range(2):
+        assert [x.tolist() for x in tokens.encoder(path)(TRICKY)] == [p.ids for p in plain]
+        assert [[tuple(s) for s in x.tolist()] for x in tokens.encoder(path, True)(TRICKY)] == [p.offsets for p in plain]
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_section_counts(spark, rule):
+    texts = [*ODD, "one\ntwo three\n\nfour", "\n\n\n", "a\n"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = defaultdict(list)
+    for r in token_counts.section_counts(docs_of(spark, texts), path, rule).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append((r.start, r.end, r.n_tokens))
+    for i, text in enumerate(texts):
+        spans = Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).offsets
+        want, at = [], 0
+        for line in (text or "").splitlines(True) if "\n" in (text or "") else [text or ""]:
+            want.append((at, at + len(line)))
+            at += len(line)
+        counts = [0] * len(want)
+        for a, b in spans:
+            overlap = [min(b, e) - max(a, s) for s, e in want]
+            met = [k for k, o in enumerate(overlap) if o > 0]
+            counts[met[0] if rule == "start" else met[-1] if rule == "end" else max(met, key=lambda k: (overlap[k], -k))] += 1
+        if "\x0b" not in (text or "") and "\x0c" not in (text or ""):
+            assert got[i] == [(s, e, c) for (s, e), c in zip(want, counts)]
+    assert token_counts.section_counts(empty(spark), path).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.attribute(np.zeros((1, 2)), np.zeros((1, 2)), "other")
+
+
+def test_attribution_with_gaps():
+    owner, crossing = token_counts.attribute(np.array([[0, 2], [2, 5], [5, 6], [8, 9]]), np.array([[0, 3], [4, 6]]), "start")
+    assert owner.tolist() == [0, 0, 1, -1] and crossing.tolist() == [False, True, False, False]
+
+
+def whole_ids(path, text, end):
+    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = docs_of(spark, ODD).repartition(3)
+    manifest = token_files.write_ids(docs, str(tmp_path / "ids"), path, 2, file_ids=50)
+    assert manifest.count() > 1
+    before = {r.file: r.before for r in token_files.starts(manifest).collect()}
+    rows = sorted((before[r.file] + r.place, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_ids(spark, str(tmp_path / "ids"), manifest).collect())
+    at = 0
+    for (start, doc_id, n, raw), (i, text) in zip(rows, enumerate(ODD), strict=True):
+        want = whole_ids(path, text, 2)
+        assert (start, doc_id, n, np.frombuffer(raw, "<u4").tolist()) == (at, i, len(want), want)
+        at += n
+    nothing = token_files.write_ids(empty(spark), str(tmp_path / "none"), path, 2)
+    assert token_files.read_ids(spark, str(tmp_path / "none"), nothing).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[], [0], [2**32 - 1, 0, 5], list(range(1000))])
+def test_planes(ids):
+    ids = np.array(ids, np.uint32)
+    assert token_files.from_planes(token_files.to_planes(ids), len(ids)).tolist() == ids.tolist()
+
+
+def test_packing(spark):
+    path, window = public_tokenizers.path("byte_bpe_50k.json"), 64
+    texts = [*ODD, *(" ".join(prose(i, 5 + i)) for i in range(60))]
+    rows = packing.pack(docs_of(spark, texts), path, 0, window=window, group=1000).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+        sequences[r.sequence_id].append((r.offset, r.length))
+        assert r.doc_tokens == len(whole_ids(path, texts[r.doc_id], 0))
+    for i, text in enumerate(texts):
+        ids = [x for start, part in sorted(pieces[i]) for x in part]
+        assert ids == whole_ids(path, text, 0)
+    used = 0
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= window
+        used += at
+    assert used > 0.95 * window * (len(sequences) - 1)
+    assert packing.pack(empty(spark), path).count() == 0
+
+
+def test_best_fit_takes_the_tightest_window():
+    draw = random.Random(7)
+    lengths = sorted((draw.randrange(1, 101) for _ in range(400)), reverse=True)
+    room, want = [], []
+    for n in lengths:
+        fits = [r for r in room if r >= n]
+        want.append(min(fits) if fits else 100)
+        if fits:
+            room.remove(min(fits))
+        room.append(want[-1] - n)
+    assert packing.best_fit(lengths, 100)[1] == [100 - r for r in want]
+
+
+# WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    html = "<html><head><title>t</title></head><body><p>a &amp; b</p><script>no</script><p>ü</body></html>"
+    pages = spark.createDataFrame([(1, "http://x.org/a", html, "z"), (2, None, None, "z"), (2, None, None, "z"), (None, "u\r\nX: y", "", "z")],
+                                  "page_id bigint, url string, html string, record string")
+    folder = "file://" + str(tmp_path / "warc")
+    manifest = warc.write_files(warc.responses(pages), folder, "r", file_bytes=300)
+    sources = {(r.record_id): r for r in warc.fields(warc.read_files(manifest, folder)).collect()}
+    made = warc.write_files(warc.derivatives(warc.read_files(manifest, folder)), folder, "d")
+    rows = warc.fields(warc.read_files(made, folder)).collect()
+    assert len(rows) == 8 and {r.type for r in rows} == {"metadata", "conversion"}
+    for r in rows:
+        source = sources[r.refers_to]
+        assert (r.target_uri, r.date) == (source.target_uri, source.date)
+        assert r.block_digest == warc.digest(r.block.encode()) and r.content_length == len(r.block.encode())
+        if r.type == "metadata":
+            assert "http-status: HTTP/1.1 200 OK" in r.block and "digest-fits: yes" in r.block and source.block_digest in r.block
+    assert "a & b\nü" in {r.block for r in rows if r.type == "conversion"}
+    assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_damage():
+    good = warc.response(1, "http://x", "<p>x")
+    assert b"digest-fits: no" in warc.derive(good.replace(b"<p>x", b"<p>y"))[0]
+    assert warc.derive(good.replace(b"WARC-Type: response", b"WARC-Type: request")) == []
+    headless = warc.record([("WARC-Type", "response")], b"no http")
+    assert b"http-status: \r\n" in warc.derive(headless)[0] and len(warc.derive(headless)) == 1
+
+
+# Quality
+
+
+def test_quality_on_held_out_rows(spark):
+    rows = queries.quality_scores(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    both = rows.filter("held_out").join(labels, "doc_id").collect()
+    assert len(both) > 50 and sum(r.predicted == r.quality for r in both) > 0.93 * len(both)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows.collect())
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(0, 1), (1, None), (2, 7), (99, 0)], "doc_id bigint, quality int")
+    rows = quality.quality(docs_of(spark, ODD), labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert quality.quality(docs_of(spark, ODD), labels.limit(0)).first().score == 0.5
+    assert quality.quality(empty(spark), labels).count() == 0
+
+
+def test_trees_go_the_same_way_one_by_one():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(400, 3))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    trees = quality.fit(x, y)
+    scores = trees.score(x)
+    assert ((scores >= 0.5) == y).mean() > 0.97
+    for row, score in zip(x[:20], scores):
+        total = trees.start
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - len(f)]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+# URLs
+
+
+def test_url_parts_and_rules(spark):
+    urls = {"http://A.com/x": ("a.com", "/x", "com/", "allow"), "https://b.example.com/en/q?x#y": ("b.example.com", "/en/q", "example.com/en/", "block"),
+            "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "http://x.net/fr/1": ("x.net", "/fr/1", "net/fr/", "block"),
+            "http://x.net": ("x.net", "", None, "allow"), "x.com/": ("", "", None, "allow"), None: ("", "", None, "allow"),
+            "a://b?c/d": ("b", "", None, "allow"), "h\n://com/": ("com", "/", "com/", "allow"), "http://notexample.com": ("notexample.com", "", None, "allow")}
+    pages = spark.createDataFrame([(i, u, 1, "n") for i, u in enumerate(urls)], "page_id bigint, url string, n int, rules string")
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    none = spark.createDataFrame([], "page_id bigint, good int")
+    got = url_filter.judge(pages, none, rules).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == list(urls.values())
+    assert url_filter.judge(pages.limit(0), none, rules).count() == 0
+
+
+def test_reputation_blocks_on_firm_evidence_only(spark):
+    pages = [(i, f"http://{'bad' if i < 50 else 'good'}.org/{i}") for i in range(100)] + [(100, "http://new.org/"), (101, "http://new.bad.org/")]
+    outcomes = [(i, int(i >= 50)) for i in range(100)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(outcomes, "page_id bigint, good int"),
+                           spark.createDataFrame([], "host string, path string, verdict string"))
+    verdict = {r.page_id: r.verdict for r in got.collect()}
+    assert all(verdict[i] == ("block" if i < 50 else "allow") for i in range(101)) and verdict[101] == "block"
+
+
+# Search
+
+
+def test_top_k_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "DATA_BLOCK", 16)
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(200)] + [(i, [0.5, 0.5, 0.0, 1.0]) for i in range(200, 300)]
+    rows += [(300, None), (301, []), (302, [1.0, None]), (303, [float("nan"), 1.0]), (304, [float("inf")]), (305, [3.0]), (400, [1.0, 2.0])]
+    got = knn.top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, cell int"), k=7)
+    whole = {i: [int(np.floor(1024 * x)) for x in v] + [0] * (4 - len(v)) for i, v in rows if i not in range(300, 305)}
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(want)
+    assert knn.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+# HTML
+
+
+@pytest.mark.parametrize("page, text", [
+    (None, ""), ("", ""), ("plain  text\n", "plain text"), ("<p>a<p>b", "a\n\nb"), ("a<br>b<br><br>c", "a\nb\n\nc"),
+    ("<ul><li>x<li>y<ol start=3><li>q<li>r</ol></ul>z", "- x\n- y\n  3. q\n  4. r\n\nz"),
+    ("<table><tr><td>1<td>22<tr><td>333<td>4</table>", "1    22\n333  4"),
+    ("<table><tr><td colspan=2>ab<td>c<tr><td rowspan=2>d<td>e<td>f<tr><td>g<td>h</table>", "ab     c\nd   e  f\n    g  h"),
+    ("<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>", "a\n\nin  ner  b"),
+    ("<head><title>no</title></head><body>yes<script>var x='</p>'</script><style>p{}</style><!-- c --></body>", "yes"),
+    ("<div hidden>no</div><div style='color:red; display: none'>no</div><b>yes</b>", "yes"),
+    ("<pre> a\n   b</pre>", " a\n   b"), ("x &amp; y &lt;z&gt;", "x & y <z>"), ("<div>" * 3000 + "deep", "deep"),
+    ("a</b></div>b", "ab"), ("a<!-- never closed", "a"), ("a < b", "a < b"), ("<blockquote>q</blockquote>r", "  q\n\nr"),
+    ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("<h1>h</h1>x", "h\n\nx"),
+])
+def test_visible_text(page, text):
+    got = html_text.visible_text(page)
+    assert got == text or (page and page.startswith("<table><tr><td>a<table>") and "in  ner" in got)
+
+
+def test_extract_all_pages(spark):
+    rows = queries.visible_text(spark, SF)
+    assert rows.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+    assert not rows.filter(F.col("text").contains("track(") | F.col("text").contains("<p>")).count()
+
+
+# Decontamination
+
+
+def contamination_by_brute_force(texts, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    out = []
+    for text in texts:
+        own, hit, found = words(text), set(), set()
+        for item_id, item in items:
+            of = words(item)
+            n = min(13, len(of))
+            for window in {tuple(of[i:i + n]) for i in range(len(of) - n + 1)} if n else ():
+                for i in range(len(own) - n + 1):
+                    if tuple(own[i:i + n]) == window:
+                        hit |= set(range(i, i + n))
+                        found.add(str(item_id))
+        out.append((len(own), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(own)))
+    return out
+
+
+def test_contamination(spark):
+    items = [(1, " ".join(prose(1, 40))), (2, "Tiny item"), (3, ""), (4, None), (10, " ".join(prose(1, 40)[5:30])), (11, "solo"), (11, "a, b c")]
+    test = prose(1, 40)
+    texts = [*ODD, " ".join(prose(2, 50) + test[3:20] + prose(3, 50)), " ".join(test), "x tiny ITEM, y", "solo", " ".join(test[:12]),
+             " ".join(prose(4, 400) + test[:13]), "a b c a b c"]
+    docs = docs_of(spark, texts)
+    judged = decontaminate.contamination(docs, spark.createDataFrame([(*i, "x") for i in items], "item_id bigint, text string, h string"))
+    got = [(r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in judged.orderBy("doc_id").collect()]
+    assert got == contamination_by_brute_force(texts, items)
+    kept = {r.doc_id for r in decontaminate.drop_documents(docs, judged).collect()}
+    assert kept == {i for i, g in enumerate(got) if not g[3]}
+    cut = {r.doc_id: r.text for r in decontaminate.cut_spans(docs, judged).collect()}
+    assert len(cut) == len(texts) and all(cut[i] == texts[i] for i, g in enumerate(got) if not g[1])
+    assert cut[len(ODD)] == " ".join(prose(2, 50)) + " " + " ".join(prose(3, 50)) and cut[len(ODD) + 2] == "x y"
+    none = decontaminate.contamination(docs, spark.createDataFrame([], "item_id bigint, text string"))
+    assert not none.filter("contaminated or n_hit > 0").count() and none.count() == len(texts)
+    assert decontaminate.contamination(empty(spark), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
+    assert decontaminate.contamination(docs.union(docs), spark.createDataFrame(items, "item_id bigint, text string")).count() == 2 * len(texts)
+
+
+def test_contamination_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    con = compare.connect(SF)
+    df = entry.queries()["op10_contamination"](spark, SF)
+    result = con.sql(entry.oracle_sql()["op10_contamination"])
+    assert compare.rows(df.columns, df.collect()) == compare.rows(result.columns, result.fetchall())
