@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-REMEMBERED = 5 << 18  # parts kept by a worker; the memory starts anew beyond
+REMEMBERED = 1 << 21  # parts kept by a worker; the memory starts anew beyond
 LONG_PART = 200  # longer parts are not remembered
 BLOCK = 1 << 16  # characters of a part beyond which it is cut further
 
