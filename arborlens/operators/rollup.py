@@ -137,10 +137,9 @@ def contents_text(contents: list[str]) -> str:
     return json.dumps([json.loads(c) for c in contents], indent=2)
 
 
-def list_or_count(where: str, contents: list[str], limit: int = 20_000) -> str:
-    """The items as lines while they are short, else how many there are."""
-    text = "\n".join(contents)
-    return text if len(text) <= limit else f"{len(contents)} groups of items in {where}"
+def as_lines(where: str, contents: list[str]) -> str:
+    """The items as lines."""
+    return "\n".join(contents)
 
 
 def condense(items: DataFrame, call: Callable[[str, list[str]], str],

@@ -28,7 +28,7 @@ class FullRun(NamedTuple):
 def full_run(spark: SparkSession, roots: dict[str, str], store: CacheStore, config_hash: str,
              generate: Callable[[dict], str], review: Callable[[str], tuple[float, str]],
              describe: Callable[[DataFrame], DataFrame] = enrich.default_enrich,
-             condense: Callable[[str, list[str]], str] = rollup.list_or_count,
+             condense: Callable[[str, list[str]], str] = rollup.as_lines,
              include=None, exclude=None, max_kb: int | None = V.DEFAULT_MAX_KB,
              respect_ignore_files: bool = False, output: str | None = None,
              force: bool = False, concurrency: int | None = None) -> FullRun:

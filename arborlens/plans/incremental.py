@@ -12,9 +12,6 @@ from arborlens.operators import enrich, summary_cache
 from arborlens.session import shared_folder
 from arborlens.sources.cache_store import CacheStore
 
-# A missed key is three short strings; so many stay well below 100 MB.
-BROADCAST_KEYS = 200_000
-
 
 class Step(NamedTuple):
     summaries: DataFrame
@@ -35,15 +32,13 @@ def cache_rows(enriched: DataFrame, keys: DataFrame, config_hash: str,
 
 def step(documents: DataFrame, cache: DataFrame, config_hash: str,
          run: Callable[[DataFrame], DataFrame] = enrich.default_enrich,
-         looked_up: DataFrame | None = None, small: bool = False,
+         looked_up: DataFrame | None = None,
          hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Step:
     """Summaries of all documents and the cache they leave behind.
 
     ``documents`` has ``repo_id, file_path, language, content``. Pass
     ``looked_up`` checkpointed: it is used for hits and for misses, and texts are
-    then read once for their hashes and once for the misses. ``small`` says that
-    the misses were counted and are few enough to broadcast; texts then stay
-    where they were read. ``hold`` materialises the fresh rows, which are used
+    then read once for their hashes and once for the misses. ``hold`` materialises the fresh rows, which are used
     more than once; pass it when ``run`` is costly.
     """
     usable = summary_cache.current(cache, config_hash)
@@ -51,7 +46,7 @@ def step(documents: DataFrame, cache: DataFrame, config_hash: str,
         looked_up = summary_cache.lookup(summary_cache.keyed(documents), usable, config_hash)
     missed = looked_up.where(F.col("summary").isNull()).drop("summary")
     names = missed.select(*summary_cache.KEY)
-    todo = documents.join(F.broadcast(names) if small else names, summary_cache.KEY, "left_semi")
+    todo = documents.join(names, summary_cache.KEY, "left_semi")
     fresh = hold(cache_rows(run(todo), missed, config_hash))
     hits = looked_up.where(F.col("summary").isNotNull()).select(
         *summary_cache.KEY, "summary", F.lit(None).cast("string").alias("error")
@@ -75,9 +70,7 @@ def run_batch(documents: DataFrame, store: CacheStore, config_hash: str,
     looked_up = summary_cache.lookup(
         summary_cache.keyed(documents), cache, config_hash
     ).checkpoint()
-    misses = looked_up.where(F.col("summary").isNull()).count()
-    result = step(documents, cache, config_hash, run, looked_up,
-                  small=misses <= BROADCAST_KEYS, hold=lambda rows: rows.checkpoint())
+    result = step(documents, cache, config_hash, run, looked_up, hold=lambda rows: rows.checkpoint())
     # Only what is new, changed or gone is written.
     gone = summary_cache.stale(cache, documents)
     store.change(summary_cache.storable(result.fresh), gone, batch)

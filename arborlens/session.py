@@ -1,5 +1,6 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,11 +28,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors reach.
 
-    It is the one named by ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary one is made.
+    It is the one named by ``spark.checkpoint.dir``. Only where that is unset
+    and all runs in this process, as in local tests, a temporary one is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="arborlens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():

@@ -28,12 +28,13 @@ def write_documents(documents: DataFrame, path: str, mode: str = "errorifexists"
 def write_reports(reports: DataFrame, path: str, text: str, force: bool = False) -> None:
     """One text per repository in a folder of its own.
 
-    An existing target is an error unless ``force`` is set.
+    An existing target is an error unless ``force`` is set; then the reports of
+    the given repositories are replaced and all others stay.
     """
     mode = "overwrite" if force else "errorifexists"
-    reports.select("repo_id", F.col(text).alias("value")).write.mode(mode).partitionBy(
-        "repo_id"
-    ).text(path)
+    reports.select("repo_id", F.col(text).alias("value")).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("repo_id").text(path)
 
 
 def write_tree(lines: DataFrame, path: str, force: bool = False) -> None:

@@ -1,5 +1,6 @@
 """Document versions as a stream that keeps a cache table up to date."""
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -46,10 +47,10 @@ def start(versions: DataFrame, store: CacheStore, config_hash: str, checkpoint:
     A file stream reports a path once, so files changed in place or deleted
     would be missed; a table of versions carries both.
     """
-    name = f"cache-{config_hash[:12]}-{checkpoint.rstrip('/').rsplit('/', 1)[-1]}"
-
     def each(batch: DataFrame, number: int) -> None:
-        apply_versions(batch, store, config_hash, f"{name}-{number}", run)
+        # The stream's own id: the same after a restart, another with a new checkpoint.
+        known = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+        apply_versions(batch, store, config_hash, f"{json.loads(known)['id']}-{number}", run)
 
     return (
         versions.writeStream.foreachBatch(each)

@@ -321,12 +321,12 @@ def sql() -> dict[str, str]:
         # cache
         "cache_lookup": cache + f"select v.repo_id, v.relative_path as file_path, c.summary from vrepo v left join vcache c on {MATCH}",
         "cache_miss": cache + f"select v.repo_id, v.relative_path as file_path, sha256(v.content) as content_hash, v.file_type as language from vrepo v where not exists (select 1 from vcache c where {MATCH})",
-        "cache_stale": cache + "select c.repo_id, c.file_path, case when v.doc_id is null then 'stale' else 'kept' end as state from vcache c left join vrepo v on v.repo_id = c.repo_id and v.relative_path = c.file_path and v.doc_id % 7 <> 0",
+        "cache_stale": cache + "select c.repo_id, c.file_path, case when v.doc_id is null then 'stale' else 'kept' end as state from vcache c left join (select doc_id, repo_id, case when doc_id % 7 = 0 then concat('moved/', relative_path) else relative_path end as relative_path from vrepo) v on v.repo_id = c.repo_id and v.relative_path = c.file_path",
         "cache_invalidate": cache + "select repo_id, file_path, summary from vcache where config_hash = 'cfg-a' and schema_version = '1.0'",
-        "cache_upsert": cache + ", n as (select repo_id, relative_path as file_path, sha256(content) as content_hash, concat('n', doc_id, 'v2') as summary from vrepo where doc_id % 4 < 3 and doc_id % 8 <> 5) "
+        "cache_upsert": cache + ", n as (select repo_id, case when doc_id % 4 = 3 then concat('new/', relative_path) else relative_path end as file_path, sha256(content) as content_hash, concat('n', doc_id, 'v2') as summary from vrepo where doc_id % 8 <> 5) "
                         "select repo_id, file_path, content_hash, summary from n union all select c.repo_id, c.file_path, c.content_hash, c.summary from vcache c anti join n on n.repo_id = c.repo_id and n.file_path = c.file_path",
         "incremental_run": cache + f"select v.repo_id, v.relative_path as file_path, sha256(v.content) as content_hash, v.file_type as language, coalesce(c.summary, {FIRST_LINE.replace('content', 'v.content')}) as said, 'cfg-a' as config_hash "
-                                   f"from vrepo v left join vcache c on {MATCH} where v.doc_id % 7 <> 0",
+                                   f"from (select doc_id, repo_id, content, file_type, case when doc_id % 7 = 0 then concat('moved/', relative_path) else relative_path end as relative_path from vrepo) v left join vcache c on {MATCH}",
         # language
         "lang_ext": v + f"select doc_id, {by_extension('file_name')} as language from vrepo",
         "lang_name": f"select doc_id, {mapped('lower(n)', {k: V.LANGUAGE_BY_NAME[k] for k in ('makefile', 'dockerfile', 'gemfile.lock')} | {'x/cmakelists.txt': 'cmake'})} as language from "

@@ -273,9 +273,15 @@ def cache_miss(spark, sf):
     return summary_cache.misses(keys, view(spark, sf, "vcache"), "cfg-a")
 
 
+def _moved(docs, of, rest, folder):
+    """Documents of which some lie in another folder now, so that their old places are gone."""
+    moved = F.concat(F.lit(folder), c("file_path"))
+    return docs.withColumn("file_path", F.when(c("doc_id") % of == rest, moved).otherwise(c("file_path")))
+
+
 @query
 def cache_stale(spark, sf):
-    docs = _cache_documents(spark, sf).where(c("doc_id") % 7 != 0)
+    docs = _moved(_cache_documents(spark, sf), 7, 0, "moved/")
     cache = view(spark, sf, "vcache")
     gone = summary_cache.stale(cache, docs).select("repo_id", "file_path")
     left = summary_cache.remove(cache, gone).select("repo_id", "file_path")
@@ -290,7 +296,7 @@ def cache_invalidate(spark, sf):
 @query
 def cache_upsert(spark, sf):
     cache = view(spark, sf, "vcache")
-    docs = _cache_documents(spark, sf).where(c("doc_id") % 4 < 3)
+    docs = _moved(_cache_documents(spark, sf), 4, 3, "new/")
     rows = summary_cache.keyed(docs.withColumn("n", c("doc_id"))).join(
         docs.select("repo_id", "file_path", "doc_id"), ["repo_id", "file_path"])
     writes = rows.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("ord")).select(
@@ -303,7 +309,7 @@ def cache_upsert(spark, sf):
 
 @query
 def incremental_run(spark, sf):
-    docs = _cache_documents(spark, sf).where(c("doc_id") % 7 != 0)
+    docs = _moved(_cache_documents(spark, sf), 7, 0, "moved/")
     cache = view(spark, sf, "vcache").withColumn("modification_time", F.lit(None).cast("timestamp"))
     shared_folder(spark)
     looked_up = summary_cache.lookup(summary_cache.keyed(docs), cache, "cfg-a").checkpoint()

@@ -69,10 +69,10 @@ select user_id as k, cast(row_number() over (partition by user_id order by ts, e
 
 # State left by an earlier run.
 VCACHE = f"""
-select repo_id, relative_path as file_path, case doc_id%4 when 1 then 'old' else {{SHA:content}} end as content_hash,
+select repo_id, case doc_id%4 when 2 then concat('old/', relative_path) else relative_path end as file_path, case doc_id%4 when 1 then 'old' else {{SHA:content}} end as content_hash,
  case doc_id%4 when 3 then 'other' else file_type end as language, concat('s', cast(doc_id as varchar(20))) as summary,
  case when doc_id%40=4 then 'cfg-b' else 'cfg-a' end as config_hash, '1.0' as schema_version
-from ({VREPO}) v where doc_id%4 <> 2
+from ({VREPO}) v
 union all
 select distinct {_REPO}, 'ghost.py', 'old', '.py', 'ghost', 'cfg-a', '1.0' from {{documents}}
 """

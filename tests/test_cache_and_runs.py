@@ -205,3 +205,29 @@ def test_enrichment_does_not_depend_on_partitions(spark, tmp_path, partitions):
     docs = documents(spark, {f"f{i}": ("go", f"t{i}" if i % 3 else "bad") for i in range(20)}).repartition(partitions)
     rows = run(docs).collect()
     assert len(rows) == 20 and sum(r["error"] is not None for r in rows) == 7
+
+
+def test_reports_of_other_repositories_stay(spark, tmp_path):
+    from arborlens.sources.sinks import write_reports
+
+    both = spark.createDataFrame([("a", "one"), ("b", "two")], "repo_id string, report string")
+    write_reports(both, str(tmp_path / "r"), "report")
+    write_reports(spark.createDataFrame([("a", "new")], both.schema), str(tmp_path / "r"), "report", force=True)
+    assert {tuple(r) for r in spark.read.text(str(tmp_path / "r")).collect()} == {("new", "a"), ("two", "b")}
+
+
+def test_long_lists_stay_whole():
+    from arborlens.operators.rollup import as_lines
+
+    items = [f"item {i} " + "x" * 100 for i in range(5000)]
+    assert as_lines(".", items).split("\n") == items
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from arborlens.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
