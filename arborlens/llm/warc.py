@@ -144,10 +144,15 @@ def responses(pages: DataFrame) -> DataFrame:
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        made, size = [], 0
         for raw in batch.column(0):
-            made = derive(raw.as_py())
-            if made:
+            made += derive(raw.as_py())
+            size += len(made[-1]) if made else 0
+            if size > 1 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.large_binary())], names=["record"])
+                made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.large_binary())], names=["record"])
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -173,7 +178,7 @@ def write_files(records: DataFrame, folder: str, prefix: str, file_bytes: int =
                 if out is None:
                     draft, size, count = posixpath.join(root, f".{uuid.uuid4().hex}"), 0, 0
                     out = system.open_output_stream(draft, compression=None)
-                member = gzip.compress(raw.as_py(), 4, mtime=0)
+                member = gzip.compress(raw.as_py(), 1, mtime=0)
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= file_bytes:
@@ -188,7 +193,7 @@ def write_files(records: DataFrame, folder: str, prefix: str, file_bytes: int =
     return hold(records.select("record").mapInArrow(write, "file string, n_records bigint"), "manifest")
 
 
-def members(stream, size: int = 1 << 18) -> Iterator[bytes]:
+def members(stream, size: int = 1 << 15) -> Iterator[bytes]:
     """The content of each gzip member of a stream."""
     pending = b""
     while True:
