@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from checks import compare, views
+from checks import compare, registry, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ def con():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     mine = compare.rows(df.columns, df.collect())
