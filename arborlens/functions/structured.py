@@ -58,12 +58,19 @@ def config_hash_column(provider: Column, model: Column, base_url: Column,
     )
 
 
+def json_part(answer: Column) -> Column:
+    """The answer if it is JSON, else what stands in its fenced block, if it has one."""
+    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*)```", 1)
+    return F.when(F.try_parse_json(answer).isNull() & (fenced != ""), F.rtrim(fenced)).otherwise(answer)
+
+
 def parse_summary(answer: Column, path: Column) -> Column:
     """Struct of file_path, description, summary (VARIANT) and error.
 
-    An answer that is not a JSON object becomes an error for its path.
+    The answer may stand in a fenced block. One that is not a JSON object becomes
+    an error for its path.
     """
-    parsed = F.try_parse_json(answer)
+    parsed = F.try_parse_json(json_part(answer))
     good = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
     return F.struct(
         F.when(good, F.try_variant_get(parsed, "$.file_path", "string")).otherwise(path).alias("file_path"),

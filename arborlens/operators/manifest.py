@@ -12,6 +12,35 @@ def inside(resolved: Column, root: Column) -> Column:
     return (resolved == root) | F.startswith(resolved, F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))
 
 
+def link_reason(root: Column) -> Column:
+    """Why a link of a listing is left out; null for other rows and for file links that stay inside.
+
+    Links to directories are not followed: what they show has a name of its own
+    inside the root.
+    """
+    gone = ~F.col("is_dir") & F.col("length").isNull()
+    return F.when(
+        F.col("is_link"),
+        F.when(gone, V.LINK_BROKEN)
+        .when(~inside(F.col("resolved_path"), root), V.LINK_OUTSIDE)
+        .when(F.col("is_dir"), V.LINK_DUPLICATE),
+    )
+
+
+def reject_links(judged: DataFrame, tops: DataFrame) -> DataFrame:
+    """Judged rows of a listing with the verdicts on links; ``tops`` holds ``repo_id`` and the real path of its root.
+
+    Directories follow the rules of names first, files their links first. Nothing
+    below a pruned directory is judged again.
+    """
+    reason = link_reason(F.col("_top"))
+    fresh = F.col("pruned_dir").isNull() & reason.isNotNull()
+    return judged.join(tops.toDF("repo_id", "_top"), "repo_id", "left").withColumns({
+        "reason_code": F.when(fresh, reason).otherwise(F.col("reason_code")),
+        "pruned_dir": F.when(fresh & F.col("is_dir"), F.col("relative_path")).otherwise(F.col("pruned_dir")),
+    }).drop("_top")
+
+
 def judge_links(manifest: DataFrame, root: Column) -> DataFrame:
     """Add ``reason_code``: null for the one row that stands for its target.
 

@@ -190,7 +190,7 @@ def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]],
             "repo_id", paths.parent(F.col("dir")).alias("dir"), F.col("representative").alias("item")
         )
         from_dirs = children.join(
-            done.select("repo_id", F.col("dir").alias("item"), "summary"), ["repo_id", "item"]
+            done.select("repo_id", F.col("dir").alias("item"), _said().alias("summary")), ["repo_id", "item"]
         )
         from_files = children.join(
             files.select("repo_id", F.col("file_path").alias("item"), "summary"), ["repo_id", "item"]
@@ -203,6 +203,13 @@ def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]],
     return done
 
 
+def _said() -> Column:
+    """The summary of a directory, or its failure as a parent sees it."""
+    return F.coalesce(
+        "summary", F.to_json(F.struct(F.col("dir").alias("file_path"), "error"))
+    )
+
+
 def _fold(items: DataFrame, call, per_call: int) -> DataFrame:
     """One summary per directory, over blocks of about ``per_call`` items at most.
 
@@ -240,6 +247,5 @@ def _fold(items: DataFrame, call, per_call: int) -> DataFrame:
         if rest.isEmpty():
             return done
         items = rest.select(
-            *key, F.col("block").cast("string").alias("item"),
-            F.coalesce("summary", "error").alias("summary"),
+            *key, F.col("block").cast("string").alias("item"), _said().alias("summary"),
         )

@@ -154,6 +154,7 @@ def load(judged: DataFrame, max_kb: int | None = V.DEFAULT_MAX_KB, content: str
         "stage": F.when(F.col("pruned_dir").isNotNull(), STAGES[0]).when(rejected, STAGES[1])
         .when(F.col("_binary"), STAGES[2]).when(~decoded, STAGES[3]),
         "reason_code": F.when(rejected, F.col("rule_reason"))
+        .when(F.startswith(failed, F.lit(V.PERMISSION_ERROR)), V.PERMISSION_ERROR)
         .when(failed.isNotNull(), V.LOAD_ERROR)
         .when(F.col("_binary"), V.BINARY)
         .when(~decoded, V.ENCODING),
@@ -195,7 +196,7 @@ def skipped(judged: DataFrame, loaded: DataFrame) -> DataFrame:
 def errors(skips: DataFrame) -> DataFrame:
     """Skips that were failures to read, not decisions."""
     return skips.where(
-        (F.col("stage") == STAGES[3]) & F.col("reason_code").isin(V.ENCODING, V.LOAD_ERROR)
+        (F.col("stage") == STAGES[3]) & F.col("reason_code").isin(V.ENCODING, V.LOAD_ERROR, V.PERMISSION_ERROR)
     )
 
 

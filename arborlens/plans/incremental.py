@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.fixed_values import CACHE_SCHEMA_VERSION
-from arborlens.functions.content import content_hash
+from arborlens.functions import structured
 from arborlens.operators import enrich, summary_cache
 from arborlens.session import shared_folder
 from arborlens.sources.cache_store import CacheStore
@@ -21,10 +21,18 @@ class Step(NamedTuple):
 
 def cache_rows(enriched: DataFrame, keys: DataFrame, config_hash: str,
                version: str = CACHE_SCHEMA_VERSION) -> DataFrame:
-    """Enriched rows as cache rows, with the keys they were made for."""
+    """Enriched rows as cache rows, with the keys they were made for.
+
+    Answers are checked here: one that is no JSON object, or that reports an
+    error, becomes the error of its row and is not stored.
+    """
     changed = F.col("modification_time") if "modification_time" in keys.columns else F.lit(None)
-    return enriched.join(keys, summary_cache.KEY).select(
-        *summary_cache.KEY, "content_hash", "language", enriched["summary"],
+    said = structured.parse_summary(F.col("summary"), F.col("file_path"))["error"]
+    checked = enriched.select(
+        *summary_cache.KEY, "summary", F.coalesce(F.col("error"), said).alias("error")
+    ).withColumn("summary", F.when(F.col("error").isNull(), structured.json_part(F.col("summary"))))
+    return checked.join(keys, summary_cache.KEY).select(
+        *summary_cache.KEY, "content_hash", "language", "summary",
         changed.cast("timestamp").alias("modification_time"),
         F.lit(config_hash).alias("config_hash"), F.lit(version).alias("schema_version"), "error",
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
-from arborlens.operators import report, select
+from arborlens.operators import manifest, report, select
 from arborlens.session import shared_folder
 from arborlens.sources import corpus, ignore_files
 
@@ -55,7 +55,12 @@ def traverse_folders(spark: SparkSession, roots: dict[str, str], include=None, e
     # The walk is done once and held: names only, and every later step sees the
     # same files even if the trees change meanwhile.
     shared_folder(spark)
-    judged = select.judge(listing, include, exclude, max_kb, rules).checkpoint()
+    tops = spark.createDataFrame(
+        [(repo, corpus.real_root(root)) for repo, root in sorted(roots.items())], "repo_id string, top string"
+    )
+    judged = manifest.reject_links(
+        select.judge(listing, include, exclude, max_kb, rules), tops
+    ).checkpoint()
     wanted = (
         F.col("reason_code").isNull() & F.col("pruned_dir").isNull() & ~F.col("is_dir")
     )

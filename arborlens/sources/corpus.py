@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from arborlens.fixed_values import PERMISSION_ERROR
+
 LISTING = (
     "repo_id string, root string, relative_path string, length bigint, "
     "modification_time timestamp, is_dir boolean, is_link boolean, resolved_path string"
@@ -43,6 +45,11 @@ def _printable(text: str) -> str:
     return text.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
+def real_root(path: str) -> str:
+    """The root with its own links resolved, as ``resolved_path`` shows it."""
+    return _printable(os.path.realpath(local_path(path)))
+
+
 class Unit(InputPartition):
     """Directories of one or more roots, each with or without its subdirectories."""
 
@@ -182,7 +189,7 @@ def read_content(listing: DataFrame, partitions: int | None = None) -> DataFrame
                     with open(os.path.join(root[i].as_py(), relative[i].as_py()), "rb") as handle:
                         data = handle.read()
                 except OSError as problem:
-                    error = str(problem)
+                    error = f"{PERMISSION_ERROR}: {problem}"
                 contents.append(data)
                 errors.append(error)
                 held += len(data or b"")

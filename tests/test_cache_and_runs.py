@@ -154,6 +154,21 @@ def test_incremental_runs_call_only_for_changes(spark, tmp_path):
     assert {r["config_hash"] for r in store.read().collect()} == {"cfg-2"}
 
 
+def test_only_good_answers_are_stored(spark, tmp_path):
+    said = {
+        "plain.py": '{"file_path": "plain.py", "description": "use ```x```"}',
+        "fenced.py": 'Here it is:\n```json\n{"file_path": "fenced.py", "description": "d"}\n```\n',
+        "words.py": "Sorry, I cannot", "list.py": "[1]", "error.py": '{"file_path": "error.py", "error": "busy"}',
+    }
+    store = CacheStore(spark, str(tmp_path / "store"))
+    run = lambda rows: enrich.enrich(rows, lambda: lambda row: said[row["file_path"]])
+    done = incremental.run_batch(documents(spark, {n: ("python", n) for n in said}), store, "cfg", run)
+    assert {r["file_path"]: r["error"] for r in done.collect()} == {
+        "plain.py": None, "fenced.py": None, "words.py": "invalid JSON", "list.py": "invalid JSON", "error.py": "busy"}
+    kept = {r["file_path"]: json.loads(r["summary"]) for r in store.read().collect()}
+    assert kept == {"plain.py": json.loads(said["plain.py"]), "fenced.py": {"file_path": "fenced.py", "description": "d"}}
+
+
 VERSIONS = [
     [("r", "a.py", "python", "one", 1, False), ("r", "b.py", "python", "two", 1, False), ("r", "a.py", "python", "one!", 2, False)],
     [("r", "b.py", "python", "two", 3, False), ("r", "c.py", "python", "three", 3, False)],

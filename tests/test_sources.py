@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from arborlens.operators import manifest, tree
-from arborlens.plans.traverse import traverse_folders
+from arborlens.plans.traverse import traverse, traverse_folders
 from arborlens.sources import corpus, ignore_files, sinks
 
 TREE = {
@@ -118,6 +118,37 @@ def test_links_are_listed_and_judged(spark, root, tmp_path):
         "out.py": "symbolic link outside repository", "src/loop": "circular or duplicate symbolic link", "src": None}
 
 
+def test_traversal_reads_nothing_through_bad_links(spark, root, tmp_path):
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "secret.py").write_text("secret")
+    links = {"leak.py": outside / "secret.py", "src/leak_too.py": outside / "secret.py", "broken.py": root + "/none.py", "far": outside,
+             "again": root + "/src", "same.py": root + "/src/main.py", "node_modules/leak.py": outside / "secret.py",
+             "beside.py": root + "-2/x.py"}
+    (tmp_path / "repo-2").mkdir()
+    (tmp_path / "repo-2" / "x.py").write_text("secret")
+    for name, target in links.items():
+        os.symlink(target, os.path.join(root, name))
+    os.symlink(root, tmp_path / "by_link")
+    for top in (root, str(tmp_path / "by_link")):
+        run = traverse_folders(spark, {"r": top})
+        documents = {r["relative_path"]: r["content"] for r in run.documents.collect()}
+        assert "secret" not in documents.values() and documents["same.py"] == documents["src/main.py"] == "import os\n"
+        skipped = {r["relative_path"]: r["reason_code"] for r in run.skipped.collect()}
+        assert {n: skipped.get(n) for n in ("leak.py", "src/leak_too.py", "beside.py", "broken.py", "far/", "again/", "node_modules/leak.py")} == {
+            "leak.py": "symbolic link outside repository", "src/leak_too.py": "symbolic link outside repository",
+            "beside.py": "symbolic link outside repository", "broken.py": "broken symbolic link", "far/": "symbolic link outside repository",
+            "again/": "circular or duplicate symbolic link", "node_modules/leak.py": None}
+        assert not {"far", "again"} & set(skipped)
+
+
+def test_files_that_cannot_be_read_are_reported(spark, root):
+    listing = corpus.scan(spark, {"r": root}).where(~F.col("is_dir"))
+    gone = listing.limit(1).withColumn("relative_path", F.lit("gone.py"))
+    run = traverse(corpus.read_content(gone))
+    assert [(r["relative_path"], r["stage"], r["reason_code"]) for r in run.skipped.collect()] == [("gone.py", "load", "permission_error")]
+
+
 def test_fast_reader_agrees_where_no_name_is_hidden(spark, root):
     fast = corpus.scan_binary_files(spark, {"r": root}, max_kb=1)
     names = {r["relative_path"]: bytes(r["content"]) for r in fast.select("relative_path", "content").collect()}
