@@ -40,7 +40,6 @@ _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for
 _NOT_SHOWN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|pre|blockquote|hr|dt|dd)(?=[\s/>])[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_BLANKS, _LINES = re.compile(r"[ \t\r\f]+"), re.compile(r" ?\n[ \n]*")
 
 
 def digest(data: bytes) -> str:
@@ -50,7 +49,8 @@ def digest(data: bytes) -> str:
 def plain_text(html: str) -> str:
     """The text of a page, a line for each block."""
     text = _TAG.sub("", _BREAKS.sub("\n", _NOT_SHOWN.sub(" ", html).replace("\n", " ")))
-    return _LINES.sub("\n", _BLANKS.sub(" ", unescape(text))).strip(" \n")
+    text = unescape(text).replace("\t", " ").replace("\r", " ").replace("\f", " ")
+    return "\n".join(filter(None, [" ".join(filter(None, line.split(" "))) for line in text.split("\n")]))
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
