@@ -2,14 +2,11 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arborlens import fixed_values as V
 from arborlens.functions import content as C
 from arborlens.operators.select import COMPLETED, SKIPPED
-from arborlens.operators.skew import blocks, join_per_key
-
-ROWS_PER_BLOCK = 1_000_000
+from arborlens.operators.skew import positions
 
 
 def cost(documents: DataFrame, by: list[str] | None = None, text: str = "content") -> DataFrame:
@@ -83,15 +80,11 @@ def dry_run(loaded: DataFrame) -> DataFrame:
     )
 
 
-def progress(outcomes: DataFrame, judged: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def progress(outcomes: DataFrame) -> DataFrame:
     """One discovery event per repository, then one terminal event per file.
 
     Files rejected by the rules are counted first, as they never reach the
-    later stages; within that, by path. A repository with more than
-    ``rows_per_block`` files is numbered in even blocks whose starts are added
-    up, so no task has to sort all of its files. ``judged`` is the table that
-    ``outcomes`` was loaded from: totals and starts are counted on it, as that
-    takes no content.
+    later stages; within that, by path, whatever the size of the repository.
     """
     names = outcomes.select(
         "repo_id", "relative_path", F.col("rule_reason").isNull().cast("int").alias("_late"),
@@ -100,36 +93,11 @@ def progress(outcomes: DataFrame, judged: DataFrame, rows_per_block: int = ROWS_
         .otherwise("file_failed").alias("event_type"),
         F.col("reason_code").alias("detail"),
     )
-    reached = judged.where(F.col("pruned_dir").isNull())
-    if "is_dir" in judged.columns:
-        reached = reached.where(~F.col("is_dir"))
-    reached = reached.select(
-        "repo_id", "relative_path", F.col("reason_code").isNull().cast("int").alias("_late")
-    )
-    totals = reached.groupBy("repo_id").agg(F.count(F.lit(1)).cast("bigint").alias("total"))
-
-    def blocked(files: DataFrame) -> DataFrame:
-        files = join_per_key(files, totals, ["repo_id"], ["relative_path"], "inner")
-        return files.withColumn("_block", blocks(F.col("total"), ["relative_path"], rows_per_block))
-
-    block = ["repo_id", "_late", "_block"]
-    starts = blocked(reached).groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_start",
-        F.coalesce(
-            F.sum("_n").over(
-                Window.partitionBy("repo_id").orderBy("_late", "_block")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*block).orderBy("relative_path"))
-    numbered = blocked(names).withColumn("_place", place).join(starts, block).select(
-        "repo_id", "event_type", (F.col("_start") + F.col("_place")).cast("bigint").alias("completed"),
-        "total", "relative_path", "detail",
+    numbered = positions(names, ["repo_id"], ["_late", "relative_path"], "completed", "total").select(
+        "repo_id", "event_type", "completed", "total", "relative_path", "detail"
     )
     none = F.lit(None).cast("string")
-    discovery = totals.select(
+    discovery = numbered.where(F.col("completed") == 1).select(
         "repo_id", F.lit("files_discovered").alias("event_type"),
         F.lit(0).cast("bigint").alias("completed"), "total",
         none.alias("relative_path"), none.alias("detail"),

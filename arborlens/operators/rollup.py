@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlens.fixed_values import ROLLUP_THRESHOLD
 from arborlens.functions import paths
-from arborlens.operators.skew import join_per_key
+from arborlens.operators.skew import join_per_key, positions
 
 CONTENTS_PER_CALL = 1000
 
@@ -143,35 +143,37 @@ def as_lines(where: str, contents: list[str]) -> str:
 
 
 def condense(items: DataFrame, call: Callable[[str, list[str]], str],
-             per_call: int = CONTENTS_PER_CALL) -> DataFrame:
+             per_call: int = CONTENTS_PER_CALL, merge: Callable[[str, list[str]], str] = as_lines) -> DataFrame:
     """One text ``(repo_id, contents)`` of the items of each repository.
 
-    A repository with more than ``per_call`` items is condensed in blocks first.
+    ``call`` gets runs of up to ``per_call`` items in path order; ``merge``,
+    which must be associative, puts their texts together in that order.
     """
     rows = items.select(
         "repo_id", F.lit(".").alias("dir"), F.col("file_path").alias("item"),
         F.concat_ws(": ", "file_path", "description").alias("summary"),
     )
-    return _fold(rows, call, per_call).select(
+    return _fold(rows, call, merge, per_call).select(
         "repo_id", F.coalesce("summary", "error").alias("contents")
     )
 
 
-GROUP_OUT = "repo_id string, dir string, block bigint, blocks bigint, summary string, error string"
+RUN_OUT = "repo_id string, dir string, place bigint, blocks bigint, summary string, error string"
 
 
 def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]], str],
                           threshold: int = ROLLUP_THRESHOLD,
-                          per_call: int = CONTENTS_PER_CALL) -> DataFrame:
+                          per_call: int = CONTENTS_PER_CALL,
+                          merge: Callable[[str, list[str]], str] = as_lines) -> DataFrame:
     """Directory summaries from a user function of a directory and its contents.
 
     ``call`` gets the path and the summaries of the contents, in order of their
     names; :func:`contents_text` makes one JSON text of them. Works from the
-    deepest directories up, one level a round. A directory with
-    more than ``per_call`` items is summarised in even blocks and then over the
-    blocks' summaries, until one is left: no call and no task ever holds an
-    unbounded directory. Each level is checkpointed, so that later levels do
-    not call the function again.
+    deepest directories up, one level a round. A directory with more than
+    ``per_call`` items is summarised in runs of them, in that order, and
+    ``merge``, which must be associative, puts the runs' summaries together: no
+    task ever holds an unbounded directory. Each level is checkpointed, so that
+    later levels do not call the function again.
     """
     files = usable(summaries)
     big = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
@@ -199,7 +201,7 @@ def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]],
         items = held_files.select(columns).union(from_dirs.select(columns)).union(
             from_files.select(columns)
         ).join(here, ["repo_id", "dir"], "left_semi")
-        done = done.union(_fold(items, call, per_call)).checkpoint()
+        done = done.union(_fold(items, call, merge, per_call)).checkpoint()
     return done
 
 
@@ -210,42 +212,35 @@ def _said() -> Column:
     )
 
 
-def _fold(items: DataFrame, call, per_call: int) -> DataFrame:
-    """One summary per directory, over blocks of about ``per_call`` items at most.
+def _fold(items: DataFrame, call, merge, per_call: int) -> DataFrame:
+    """One summary per directory: runs of ``per_call`` items in order of their names, merged in that order.
 
-    Directories that fit one block are done with it; the others go on with the
-    summaries of their blocks.
+    A failed run makes its directory fail, with the first error.
     """
-    def summarise(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        contents = group.sort_values("item")["summary"].tolist()
-        summary, error = None, None
-        try:
-            summary = call(first["dir"], contents)
-        except Exception as problem:  # noqa: BLE001 - any failure is the directory's own
-            error = f"{type(problem).__name__}: {problem}"
-        return pd.DataFrame(
-            [(first["repo_id"], first["dir"], first["block"], first["blocks"], summary, error)],
-            columns=["repo_id", "dir", "block", "blocks", "summary", "error"],
-        )
+    def over(function):
+        def one(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("place")
+            first, summary = group.iloc[0], None
+            error = next((e for e in group["error"] if isinstance(e, str)), None)
+            try:
+                summary = function(first["dir"], group["summary"].tolist()) if error is None else None
+            except Exception as problem:  # noqa: BLE001 - any failure is the directory's own
+                error = f"{type(problem).__name__}: {problem}"
+            return pd.DataFrame(
+                [(first["repo_id"], first["dir"], first["block"], first["blocks"], summary, error)],
+                columns=["repo_id", "dir", "place", "blocks", "summary", "error"],
+            )
+        return one
 
     key = ["repo_id", "dir"]
-    done = None
+    runs, function, done = positions(items, key, ["item"], "place", "blocks").select(
+        *key, (F.col("place") - 1).alias("place"), "blocks", "summary", F.lit(None).cast("string").alias("error")), call, None
     while True:
-        items = items.checkpoint()  # counted, then dealt out
-        counts = items.groupBy(*key).agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(per_call)).cast("bigint").alias("blocks")
-        )
-        # Salted, and so dealt out anew by block: a huge directory is many tasks.
-        blocked = join_per_key(items, counts, key, ["item"], "inner").withColumn(
-            "block", F.pmod(F.xxhash64("item"), F.col("blocks"))
-        )
-        out = blocked.groupBy(*key, "block").applyInPandas(summarise, GROUP_OUT).checkpoint()
-        whole = out.where(F.col("blocks") == 1).select(*key, "summary", "error")
+        runs = runs.withColumn("block", F.floor(F.col("place") / per_call)).withColumn(
+            "blocks", F.ceil(F.col("blocks") / per_call)
+        ).groupBy(*key, "block").applyInPandas(over(function), RUN_OUT).checkpoint()
+        whole = runs.where(F.col("blocks") == 1).select(*key, "summary", "error")
         done = whole if done is None else done.unionByName(whole)
-        rest = out.where(F.col("blocks") > 1)
-        if rest.isEmpty():
+        runs, function = runs.where(F.col("blocks") > 1), merge
+        if runs.isEmpty():
             return done
-        items = rest.select(
-            *key, F.col("block").cast("string").alias("item"), _said().alias("summary"),
-        )

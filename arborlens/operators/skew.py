@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from arborlens.session import shared_folder
 
 SALTS = 32
 
@@ -20,13 +23,23 @@ def join_per_key(facts: DataFrame, per_key: DataFrame, keys: list[str], spread_b
     return left.join(right, keys + ["_salt"], how).drop("_salt")
 
 
-def blocks(total: Column, order_by: list[str], rows_per_block: int) -> Column:
-    """Block number of a row so that a group of ``total`` rows is cut evenly.
+def positions(rows: DataFrame, group: list[str], order: list[str], place: str, total: str) -> DataFrame:
+    """Number the rows of each group from 1 by ``order``, and add the size of the group.
 
-    Groups up to ``rows_per_block`` rows stay in block 0.
+    Rows are dealt out by ranges of group and order, numbered within each range
+    and moved up by the sizes of the ranges before it. No task holds a whole
+    group, and the numbers are the same for every number of ranges.
     """
-    count = F.ceil(total / F.lit(rows_per_block)).cast("bigint")
-    return F.pmod(F.xxhash64(*order_by), F.greatest(count, F.lit(1).cast("bigint")))
+    shared_folder(rows.sparkSession)
+    # Held first, as finding the ranges reads the rows as well; then again, so that ranges stay as they are.
+    dealt = rows.checkpoint().repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias(total))
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    return dealt.withColumn(place, inside).join(sizes, [*group, "_range"]).withColumn(
+        place, (F.col("_start") + F.col(place)).cast("bigint")).drop("_range", "_start")
 
 
 def settle(rows: DataFrame, *names: str) -> DataFrame:

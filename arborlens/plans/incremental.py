@@ -79,7 +79,6 @@ def run_batch(documents: DataFrame, store: CacheStore, config_hash: str,
         summary_cache.keyed(documents), cache, config_hash
     ).checkpoint()
     result = step(documents, cache, config_hash, run, looked_up, hold=lambda rows: rows.checkpoint())
-    # Only what is new, changed or gone is written.
     gone = summary_cache.stale(cache, documents)
-    store.change(summary_cache.storable(result.fresh), gone, batch)
+    store.change(summary_cache.storable(result.fresh), gone, batch, config_hash=config_hash)
     return result.summaries

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from arborlens.operators import enrich, summary_cache
 from arborlens.plans.incremental import cache_rows
 from arborlens.session import shared_folder
-from arborlens.sources.cache_store import CacheStore
+from arborlens.sources.cache_store import CacheStore, Conflict
 
 VERSIONS = (
     "repo_id string, file_path string, language string, content string, "
@@ -22,22 +22,37 @@ def apply_versions(versions: DataFrame, store: CacheStore, config_hash: str, bat
                    run: Callable[[DataFrame], DataFrame] = enrich.default_enrich) -> None:
     """Apply one batch of document versions to the stored cache, once.
 
-    Only the last version of a file in the batch counts. A batch that was
-    committed before changes nothing, so a replay after a failure is harmless.
+    Only the last version of a file counts, in the batch and against what is
+    stored: a late older one changes nothing, nor does one before a deletion.
+    Versions whose enrichment failed are kept and tried again with the next
+    batch. A batch that was committed before changes nothing, so a replay after
+    a failure is harmless; if another writer commits in between, the batch is
+    worked out anew.
     """
-    if store.holds(batch):
-        return
-    cache = store.read()
-    last = summary_cache.latest(versions, "version")
-    alive = last.where(~F.coalesce(F.col("deleted"), F.lit(False)))
-    gone = last.where(F.col("deleted"))
-    usable = summary_cache.current(cache, config_hash)
     shared_folder(store.spark)
-    missed = summary_cache.misses(summary_cache.keyed(alive), usable, config_hash)
-    todo = alive.join(missed.select(*summary_cache.KEY), summary_cache.KEY, "left_semi")
-    # Held, as the upsert uses the rows twice and the function may be costly.
-    fresh = cache_rows(run(todo), missed, config_hash).checkpoint()
-    store.change(summary_cache.storable(fresh), gone, batch)
+    while not store.holds(batch):
+        base = store.number()
+        stored = store.stored()
+        tried, waiting = store.waiting(VERSIONS)
+        had = stored.select(*summary_cache.KEY, F.col("version").alias("_had"))
+        rows = versions.unionByName(waiting).withColumn("_order", F.col("version"))
+        last = summary_cache.latest(rows, "_order").join(had, summary_cache.KEY, "left").where(
+            F.col("_had").isNull() | (F.col("version") > F.col("_had"))).drop("_had")
+        alive = last.where(~F.coalesce(F.col("deleted"), F.lit(False)))
+        gone = last.where(F.col("deleted"))
+        usable = summary_cache.current(stored.where(~F.col("removed")), config_hash)
+        missed = summary_cache.misses(summary_cache.keyed(alive), usable, config_hash)
+        todo = alive.join(missed.select(*summary_cache.KEY), summary_cache.KEY, "left_semi")
+        numbers = alive.select(*summary_cache.KEY, "version")
+        # Held, as the rows are used more than once and the function may be costly.
+        fresh = cache_rows(run(todo), missed, config_hash).join(numbers, summary_cache.KEY).checkpoint()
+        bad = fresh.where(F.col("error").isNotNull())
+        failed = alive.join(bad.select(*summary_cache.KEY), summary_cache.KEY, "left_semi").select(versions.columns)
+        try:
+            store.change(summary_cache.storable(fresh), gone, batch, summary_cache.remove(numbers, bad),
+                         failed=failed, tried=tried, base=base)
+        except Conflict:
+            continue
 
 
 def start(versions: DataFrame, store: CacheStore, config_hash: str, checkpoint: str,

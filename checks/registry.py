@@ -474,7 +474,7 @@ def dry_run(spark, sf):
 @query
 def progress_events(spark, sf):
     run = walk(spark, sf, SMALL_KB)
-    return report.progress(run.outcomes, run.judged)
+    return report.progress(run.outcomes)
 
 
 @query

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arborlens.operators import enrich, summary_cache
 from arborlens.plans import incremental
-from arborlens.sources.cache_store import CacheStore, read_documents
+from arborlens.sources.cache_store import CacheStore, Conflict, read_documents
 from arborlens.streaming import incremental as stream
 
 DOC = "repo_id string, file_path string, language string, content string"
@@ -96,9 +96,9 @@ def test_store_keeps_the_last_committed_state(spark, tmp_path):
     assert store.read().first()["summary"] == "s2"
 
 
-def test_changes_on_top_of_a_state_and_their_folding(spark, tmp_path):
-    store, want = CacheStore(spark, str(tmp_path / "store"), changes_per_state=3), {}
-    for n in range(8):
+def test_changes_on_top_of_a_state(spark, tmp_path):
+    store, want = CacheStore(spark, str(tmp_path / "store")), {}
+    for n in range(4):
         rows = {f"f{n}.py": f"s{n}", "hot.py": f"h{n}"}
         gone = [f"f{n - 2}.py", "hot.py", "never.py"]
         want = {k: v for k, v in want.items() if k not in gone} | rows
@@ -106,8 +106,51 @@ def test_changes_on_top_of_a_state_and_their_folding(spark, tmp_path):
                      spark.createDataFrame([("r", g) for g in gone], "repo_id string, file_path string"), f"b{n}")
         assert {r["file_path"]: r["summary"] for r in store.read().collect()} == want
         assert store.holds(f"b{n}") and not store.holds(f"b{n + 1}")
-    kinds = [p["kind"] for p in store._pointers()]
-    assert kinds == ["change", "change", "change", "state"] * 2 + ["change", "change"]
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def add(n):
+        CacheStore(spark, str(tmp_path / "store")).change(cache(spark, (f"f{n}.py", "x", "l", "s", "c", "1.0")), batch=f"q{n}-0")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(4)))
+    store = CacheStore(spark, str(tmp_path / "store"))
+    assert sorted(r["file_path"] for r in store.read().collect()) == [f"f{n}.py" for n in range(4)] and store.number() == 3
+    # A whole state derived from an older one is refused.
+    late = CacheStore(spark, str(tmp_path / "store"))
+    rows = late.read()
+    add(4)
+    with pytest.raises(Conflict):
+        late.write(rows)
+    assert store.read().count() == 5 and not [f for f in (tmp_path / "store").iterdir() if f.name.startswith("draft")]
+
+
+def test_an_unreadable_pointer_is_not_an_empty_cache(spark, tmp_path):
+    store = CacheStore(spark, str(tmp_path / "store"))
+    store.write(cache(spark, ("a.py", "x", "l", "s1", "c", "1.0")))
+    (tmp_path / "store" / "pointers" / "00000001.json").write_text("{oops")
+    with pytest.raises(ValueError):
+        store.read()
+
+
+def test_late_versions_deletions_and_failures_of_a_stream(spark, tmp_path):
+    run, calls = counting(spark, tmp_path)
+    store = CacheStore(spark, str(tmp_path / "store"))
+
+    def apply(number, *rows):
+        data = [("r", p, "python", text, None, v, gone) for p, text, v, gone in rows]
+        stream.apply_versions(spark.createDataFrame(data, stream.VERSIONS), store, "cfg", f"q-{number}", run)
+        return {r["file_path"]: json.loads(r["summary"])["description"] for r in store.read().collect()}
+
+    assert apply(0, ("a.py", "new", 5, False), ("b.py", "x", 3, False), ("c.py", "bad", 1, False)) == {"a.py": "NEW", "b.py": "X"}
+    assert apply(1, ("a.py", "old", 2, False), ("b.py", "", 7, True)) == {"a.py": "NEW"}
+    assert apply(2, ("b.py", "late", 6, False), ("a.py", "new", 9, False)) == {"a.py": "NEW"}
+    assert apply(3, ("a.py", "between", 8, False), ("b.py", "back", 8, False)) == {"a.py": "NEW", "b.py": "BACK"}
+    assert calls() == ["a.py", "b.py", "b.py", *["c.py"] * 4]
+    assert apply(4, ("c.py", "good", 2, False)) == {"a.py": "NEW", "b.py": "BACK", "c.py": "GOOD"}
+    assert store.waiting(stream.VERSIONS)[1].count() == 0
 
 
 def counting(spark, tmp_path):

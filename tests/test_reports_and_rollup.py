@@ -46,12 +46,19 @@ def test_cost(spark):
     assert tuple(report.cost(docs.limit(0)).first()) == (0, 0, 0)
 
 
-@pytest.mark.parametrize("block", [1_000_000, 7])
-def test_progress_counts_every_file_once(spark, block):
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_progress_counts_every_file_once_in_path_order(spark, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
     files = {f"d{i % 3}/f{i:03}.{'py' if i % 4 else 'csv'}": b"x" if i % 5 else b"MZ" for i in range(60)} | {"build/x.py": b"1"}
     both = listing(spark, files).union(listing(spark, {"a.py": b"1", "b.txt": b"1", "c.py": b"1"}, "s"))
     run = traverse(both)
-    events = report.progress(run.outcomes, run.judged, rows_per_block=block).collect()
+    try:
+        events = report.progress(run.outcomes).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     for repo, total in (("r", 60), ("s", 3)):
         mine = sorted((e for e in events if e["repo_id"] == repo), key=lambda e: e["completed"])
         assert [e["completed"] for e in mine] == list(range(total + 1))
@@ -59,9 +66,8 @@ def test_progress_counts_every_file_once(spark, block):
         assert len({e["relative_path"] for e in mine[1:]}) == total
         early = [e["detail"] == "ignored by default rules" for e in mine[1:]]
         assert early == sorted(early, reverse=True)
-        if block > total:
-            late = [e["relative_path"] for e in mine[1:] if e["detail"] != "ignored by default rules"]
-            assert late == sorted(late)
+        late = [e["relative_path"] for e in mine[1:] if e["detail"] != "ignored by default rules"]
+        assert late == sorted(late)
     kinds = {e["relative_path"]: e["event_type"] for e in events if e["repo_id"] == "s"}
     assert kinds == {None: "files_discovered", "a.py": "file_completed", "b.txt": "file_skipped", "c.py": "file_completed"}
 
@@ -141,11 +147,19 @@ def test_user_function_on_a_huge_directory_and_failures(spark):
             raise ValueError("too many")
         return "n" + str(sum(int(c[1:]) if c[0] == "n" else 1 for c in contents))
 
-    done = rollup.summarise_directories(summaries(spark, names), call, threshold=3, per_call=8)
+    done = rollup.summarise_directories(summaries(spark, names), call, threshold=3, per_call=8, merge=call)
     assert {r["dir"]: (r["summary"], r["error"]) for r in done.collect()} == {
         "big": ("n50", None), "fine": ("n3", None), "bad": (None, "ValueError: no")}
 
 
+def test_lists_of_every_length_come_in_path_order(spark):
+    rows = [("many", f"d/{i:05}", f"text {i}") for i in range(5000)] + [("few", "a", "one"), ("few", "b", "two")]
+    items = spark.createDataFrame(rows, "repo_id string, file_path string, description string").repartition(5)
+    for per_call in (7, 1000, 10_000):
+        got = {r["repo_id"]: r["contents"] for r in rollup.condense(items, rollup.as_lines, per_call).collect()}
+        assert got == {k: "\n".join(f"{p}: {t}" for r, p, t in rows if r == k) for k in ("many", "few")}
+
+
 def attempts(spark, scores):
     rows = [(k, i + 1, s, f"{k}{i + 1}") for k, line in scores.items() for i, s in enumerate(line)]
     return spark.createDataFrame(rows, "k string, iteration int, score double, text string")
