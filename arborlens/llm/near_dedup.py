@@ -12,6 +12,10 @@ group against all sets of the region; such a block has the full sets at hand and
 other group that it meets, no pairs. The depth of such a region adapts: it is the first prefix length that leaves at
 most ``OUTSIDERS`` sets outside the largest group, or the whole key.
 
+Going deeper splits a region, and pairs that fall apart there may meet in no tree. So all sets of split regions are joined
+exactly afterwards, between different groups: of the shingles in order of their frequency, two similar sets share one at
+the beginning, with enough shingles left behind it in both for the similarity (prefix, size and place filter in one).
+
 Neighbours pass a check of the signatures first (estimate >= ``ESTIMATE``; at a true similarity of 0.75 that misses by
 chance once in 10^7) and are then confirmed on full sets; equal signatures stand for nothing by themselves. Pairs inside
 one group already need no confirmation, so that large groups cost a few confirmations per member, not all pairs.
@@ -41,6 +45,7 @@ ESTIMATE = 0.55
 OUTSIDERS = 2048
 QUERY_BLOCK = 256
 DATA_BLOCK = 1024
+PREFIX_BLOCK = 1024  # sets with one shingle that are joined at a time
 BROADCAST_IDS = 2_000_000  # 16 bytes each
 HASHES = TREES * DEPTH
 
@@ -176,11 +181,14 @@ def neighbours(signed: DataFrame) -> DataFrame:
     return hold(found.filter(F.col("kind") != EDGE).union(borders).distinct(), "candidates")
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same = (_matrix(batch.column(2), HASHES) == _matrix(batch.column(3), HASHES)).mean(1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], names=["a", "b", "estimate"]).filter(
-            pa.array(same >= ESTIMATE))
+def _agreement(least: float):
+    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_matrix(batch.column(2), HASHES) == _matrix(batch.column(3), HASHES)).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], names=["a", "b", "estimate"]).filter(
+                pa.array(same >= least))
+
+    return agreement
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +198,12 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "sketch"])
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, least: float = ESTIMATE) -> DataFrame:
     """Pairs whose sketches agree enough, with the estimate."""
     left = sketches.toDF("a", "sketch_a")
     right = sketches.toDF("b", "sketch_b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(
-        _agreement, "a bigint, b bigint, estimate double")
+        _agreement(least), "a bigint, b bigint, estimate double")
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +292,11 @@ def _comparer(deepest: int, percent: int):
     return compare
 
 
-def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between groups that meet in crowded regions."""
+def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Confirmed links between groups that meet in crowded regions, and the sets of regions that were split, if any."""
     todo = hold(rows.join(labels.toDF("doc_id", "label"), "doc_id", "left").select(
         "tree", "key", "doc_id", F.coalesce("label", "doc_id").alias("comp")), "crowded")
-    members, deepest = None, LEAST
+    members, deepest, split = None, LEAST, None
     for depth in range(LEAST, DEPTH + 1):
         at = todo.withColumn("region", F.expr(f"substring(key, 1, {4 * depth})"))
         groups = at.groupBy("tree", "region", "comp").agg(F.count("*").alias("n"))
@@ -305,6 +313,7 @@ def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sketches: Data
         if deeper.isEmpty():
             break
         todo = hold(at.join(deeper.select("tree", "region"), ["tree", "region"]).select("tree", "key", "doc_id", "comp"), "crowded")
+        split = todo.select("doc_id") if split is None else split  # those of deeper levels are among them
     members = hold(members, "members")
     full = members.join(sketches, "doc_id").join(_sets_for(docs, members.select("doc_id")), "doc_id")
     spot = F.xxhash64("doc_id")
@@ -313,7 +322,39 @@ def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sketches: Data
     data = full.select(*keep, F.lit(False).alias("query"), F.explode(last("rows")).alias("r"), F.pmod(spot, F.col("columns")).cast("int").alias("c"))
     queries = full.filter("comp <> largest").select(
         *keep, F.lit(True).alias("query"), F.pmod(spot, F.col("rows")).cast("int").alias("r"), F.explode(last("columns")).alias("c"))
-    return hold(data.union(queries).groupBy("tree", "region", "r", "c").applyInArrow(_comparer(deepest, percent), "a bigint, b bigint"), "links")
+    return hold(data.union(queries).groupBy("tree", "region", "r", "c").applyInArrow(_comparer(deepest, percent), "a bigint, b bigint"), "links"), split
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a, b`` of different groups that can be similar enough.
+
+    Shingles of one group only come first in the order and are counted, not joined; the others follow by frequency. All that
+    two sets have in common lies at or behind their first common shingle.
+    """
+    rows = sets.join(labels.toDF("doc_id", "label"), "doc_id", "left").select(
+        "doc_id", F.coalesce("label", "doc_id").alias("comp"), F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
+    several = F.min("comp") != F.max("comp")
+    met = rows.groupBy("shingle").agg(F.count("*").alias("seen"), several.alias("several")).filter("several").drop("several")
+    ordered = rows.join(met, "shingle").groupBy("doc_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("order"))
+    prefix = hold(
+        ordered.select("doc_id", "comp", "n", F.size("order").alias("size"), F.posexplode("order").alias("at", "next"))
+        .select(F.col("next.shingle").alias("shingle"), "doc_id", "comp", "n", (F.col("size") - F.col("at")).cast("bigint").alias("left"))
+        .filter(100 * F.col("left") >= percent * F.col("n")), "prefix")
+    blocks = prefix.groupBy("shingle").agg(F.ceil(F.count("*") / PREFIX_BLOCK).cast("int").alias("blocks"), several.alias("several")).filter("several")
+    dealt = prefix.join(blocks.drop("several"), "shingle").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = dealt.select("shingle", F.col("own").alias("r"), every.alias("c"), *(F.col(x).alias(x + "_a") for x in ("doc_id", "comp", "n", "left")))
+    second = dealt.select("shingle", every.alias("r"), F.col("own").alias("c"), *(F.col(x).alias(x + "_b") for x in ("doc_id", "comp", "n", "left")))
+    return first.join(second, ["shingle", "r", "c"]).filter(
+        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b"))
+        & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
+def _rejoin(docs: DataFrame, split: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Labels after the exact join of the sets of split regions; the estimate decides on the order of the pairs only."""
+    pairs = hold(_prefix_pairs(_sets_for(docs, split), labels, percent), "pairs")
+    return labels if pairs.isEmpty() else _link(docs, hold(_likely(pairs, sketches, 0.0), "likely"), labels, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -328,9 +369,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = hold(_likely(found.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches), "likely")
     labels = _link(docs, pairs, None, percent)
     crowded = found.filter(F.col("kind") == CROWDED).select("tree", "key", F.col("a").alias("doc_id"))
-    links = _crowded(docs, crowded, labels, sketches, percent)
+    links, split = _crowded(docs, crowded, labels, sketches, percent)
     if not links.isEmpty():
         labels = merge(labels, links)
+    if split is not None:
+        labels = _rejoin(docs, split, labels, sketches, percent)
     named = signed.join(owners, "set_key", "left").join(labels.toDF("owner", "label"), "owner", "left")
     component = F.coalesce("label", "owner", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

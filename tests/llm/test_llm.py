@@ -95,6 +95,42 @@ def test_crowded_regions_go_deeper(spark, monkeypatch):
     check_groups(spark, texts)
 
 
+def pairs_in_a_passage(n_docs, n_pairs, words, own, alike):
+    """Texts that share a passage and are no links, and pairs of them that are links by a few words more."""
+    passage, texts = prose(7, words, 10**6), []
+    for i in range(n_docs):
+        mine = [f"d{i}x{k}" for k in range(own)]
+        if i < 2 * n_pairs:
+            mine[:alike] = [f"p{i // 2}x{k}" for k in range(alike)]
+        texts.append(" ".join(passage + mine))
+    order = list(range(n_docs))
+    random.Random(8).shuffle(order)
+    return [texts[i] for i in order], [order.index(i) for i in range(2 * n_pairs)]
+
+
+def check_pairs(spark, texts, places):
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    want = {i: i for i in range(len(texts))}
+    for a, b in zip(places[::2], places[1::2]):
+        want[a] = want[b] = min(a, b)
+    assert got == want
+
+
+def test_pairs_that_split_regions_part(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 2)
+    texts, places = pairs_in_a_passage(200, 50, 74, 12, 1)
+    assert [c for _, _, c in groups_by_brute_force([texts[i] for i in places[:40]])] == [i // 2 * 2 for i in range(40)]
+    check_pairs(spark, texts, places)
+
+
+def test_more_than_2048_outsiders(spark, monkeypatch):
+    rejoin, seen = near_dedup._rejoin, []
+    monkeypatch.setattr(near_dedup, "_rejoin", lambda docs, split, *rest: seen.append(split.distinct().count()) or rejoin(docs, split, *rest))
+    texts, places = pairs_in_a_passage(3500, 60, 44, 22, 14)
+    check_pairs(spark, texts, places)
+    assert seen and seen[0] > 2048
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(20, 60)] + [(5, i) for i in range(100, 140)] + [(7, 7), (3, 5), (5, 3)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
