@@ -198,6 +198,22 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "sketch"])
 
 
+def _rooted(deepest: int):
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sketches, and for each tree a 64-bit hash of the first ``deepest`` whole hashes of the key."""
+        for batch in batches:
+            rows = _matrix(batch.column(1), 4 * HASHES)
+            keys = rows.view("<u4").reshape(-1, TREES, DEPTH).astype(np.uint64)
+            roots = np.zeros(keys.shape[:2], np.uint64)
+            for k in range(deepest):
+                roots = mix((roots << np.uint64(32) | roots >> np.uint64(32)) ^ keys[:, :, k])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r.tobytes() for r in rows[:, ::4]], pa.binary()), pa.array([r.tobytes() for r in roots], pa.binary())],
+                names=["doc_id", "sketch", "roots"])
+
+    return rooted
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, least: float = ESTIMATE) -> DataFrame:
     """Pairs whose sketches agree enough, with the estimate."""
     left = sketches.toDF("a", "sketch_a")
@@ -257,16 +273,17 @@ def _link(docs: DataFrame, pairs: DataFrame, labels: DataFrame | None, percent:
     return merge(labels, hold(_confirmed(rest, sets, percent), "links"))
 
 
-def _comparer(deepest: int, percent: int):
+def _comparer(percent: int):
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         """Confirmed links of the block's queries, one for each query and other group.
 
-        A pair whose keys agree on ``deepest`` hashes in an earlier tree has been together in a region of that tree.
+        A pair with equal roots in an earlier tree has been together in a region of that tree.
         """
         tree = key[0].as_py()
         query = table.column("query").to_numpy()
         ids, comps = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        roots = np.frombuffer(b"".join(table.column("roots").to_pylist()), np.uint64).reshape(-1, TREES)
         lists = table.column("shingles").combine_chunks()
         ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
         values, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(np.r_[0, ends])
@@ -275,7 +292,7 @@ def _comparer(deepest: int, percent: int):
             low, high = np.minimum(sizes[data], sizes[q]), np.maximum(sizes[data], sizes[q])
             other = data[(comps[data] != comps[q]) & (100 * low >= percent * high)]
             agree = sketch[other] == sketch[q]
-            fresh = (agree.mean(1) >= ESTIMATE) & ~agree.reshape(-1, TREES, DEPTH)[:, :tree, :deepest].all(2).any(1)
+            fresh = (agree.mean(1) >= ESTIMATE) & ~(roots[other, :tree] == roots[q, :tree]).any(1)
             other, agree = other[fresh], agree[fresh]
             own, linked = values[ends[q] - sizes[q]:ends[q]], set()
             for o in other[np.argsort(-agree.sum(1), kind="stable")]:
@@ -292,7 +309,7 @@ def _comparer(deepest: int, percent: int):
     return compare
 
 
-def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Confirmed links between groups that meet in crowded regions, and the sets of regions that were split, if any."""
     todo = hold(rows.join(labels.toDF("doc_id", "label"), "doc_id", "left").select(
         "tree", "key", "doc_id", F.coalesce("label", "doc_id").alias("comp")), "crowded")
@@ -315,14 +332,15 @@ def _crowded(docs: DataFrame, rows: DataFrame, labels: DataFrame, sketches: Data
         todo = hold(at.join(deeper.select("tree", "region"), ["tree", "region"]).select("tree", "key", "doc_id", "comp"), "crowded")
         split = todo.select("doc_id") if split is None else split  # those of deeper levels are among them
     members = hold(members, "members")
+    sketches = sets.mapInArrow(_rooted(deepest), "doc_id bigint, sketch binary, roots binary")
     full = members.join(sketches, "doc_id").join(_sets_for(docs, members.select("doc_id")), "doc_id")
     spot = F.xxhash64("doc_id")
     last = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    keep = ["tree", "region", "doc_id", "comp", "sketch", "shingles"]
+    keep = ["tree", "region", "doc_id", "comp", "sketch", "roots", "shingles"]
     data = full.select(*keep, F.lit(False).alias("query"), F.explode(last("rows")).alias("r"), F.pmod(spot, F.col("columns")).cast("int").alias("c"))
     queries = full.filter("comp <> largest").select(
         *keep, F.lit(True).alias("query"), F.pmod(spot, F.col("rows")).cast("int").alias("r"), F.explode(last("columns")).alias("c"))
-    return hold(data.union(queries).groupBy("tree", "region", "r", "c").applyInArrow(_comparer(deepest, percent), "a bigint, b bigint"), "links"), split
+    return hold(data.union(queries).groupBy("tree", "region", "r", "c").applyInArrow(_comparer(percent), "a bigint, b bigint"), "links"), split
 
 
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -369,7 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = hold(_likely(found.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches), "likely")
     labels = _link(docs, pairs, None, percent)
     crowded = found.filter(F.col("kind") == CROWDED).select("tree", "key", F.col("a").alias("doc_id"))
-    links, split = _crowded(docs, crowded, labels, sketches, percent)
+    links, split = _crowded(docs, crowded, labels, sets, percent)
     if not links.isEmpty():
         labels = merge(labels, links)
     if split is not None:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -131,6 +132,20 @@ def test_more_than_2048_outsiders(spark, monkeypatch):
     assert seen and seen[0] > 2048
 
 
+def test_keys_that_agree_by_their_low_bytes_only():
+    same = near_dedup._minima([np.arange(1, 200, dtype=np.uint64)])
+    other = same.copy()
+    other[0, :2] ^= np.uint32(0x100)  # the first tree: equal low bytes, other hashes
+    rooted = pa.Table.from_batches(near_dedup._rooted(2)(iter([pa.RecordBatch.from_arrays(
+        [pa.array([1, 2]), pa.array([same.tobytes(), other.tobytes()], pa.binary())], names=["doc_id", "signature"])])))
+    values = np.arange(1, 200)
+    block = rooted.append_column("query", pa.array([True, False])).append_column("comp", pa.array([1, 2])).append_column(
+        "shingles", pa.array([values, values], pa.list_(pa.int64())))
+    compare_in = near_dedup._comparer(75)
+    assert compare_in((pa.scalar(1),), block).to_pylist() == [{"a": 1, "b": 2}]  # not together in tree 0
+    assert compare_in((pa.scalar(2),), block).num_rows == 0  # together in tree 1
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(20, 60)] + [(5, i) for i in range(100, 140)] + [(7, 7), (3, 5), (5, 3)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
