@@ -20,8 +20,12 @@ Neighbours pass a check of the signatures first (estimate >= ``ESTIMATE``; at a
 chance once in 10^7) and are then confirmed on full sets; equal signatures stand for nothing by themselves. Pairs inside
 one group already need no confirmation, so that large groups cost a few confirmations per member, not all pairs.
 
-Defined results: null or blank texts have empty sets and are linked with nothing; repeated ids give one row each, and a
-repeated id counts as one document; extra columns of the input are ignored; an empty table gives an empty result.
+Inside, a set goes by the smallest 64-bit hash of its texts (``doc_id`` in the tables below), so that ids may be null or stand
+for several texts.
+
+Defined results: null or blank texts have empty sets and are linked with nothing; each row is grouped by its own text, also
+where an id is null or has other texts too, and repeated rows give a row each; a group is named by its smallest id, null if
+it has none; extra columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.llm.components import components, merge
@@ -70,7 +74,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
-        ids, counts, keys, signatures = batch.column(0), [], [], []
+        counts, keys, signatures = [], [], []
         waiting: list[np.ndarray] = []
 
         def settle() -> None:
@@ -79,7 +83,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting.clear()
 
         size = 0
-        for values in sets_of(text.as_py() for text in batch.column(1)):
+        for values in sets_of(text.as_py() for text in batch.column(2)):
             counts.append(len(values))
             keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
             if not len(values):
@@ -93,14 +97,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = 0
         settle()
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "signature"])
+            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, signature`` of whole texts."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        _sign, "doc_id bigint, n_shingles bigint, set_key binary, signature binary")
+    """``doc_id, text_key, n_shingles, set_key, signature`` of whole texts."""
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), F.col("text").cast("string")).mapInArrow(
+        _sign, "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, signature binary")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -234,11 +242,13 @@ def _full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full sets of some documents; their ids go to the texts while there are few enough, else texts and ids are shuffled."""
+    """Full sets by the keys of their texts; the keys go to the texts while there are few enough, else both are shuffled."""
     wanted = hold(ids.distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    return hold(texts.mapInArrow(_gather, "doc_id bigint, shingles array<bigint>"), "sets")
+    count = wanted.count()
+    wanted = F.broadcast(wanted) if count <= BROADCAST_IDS else wanted
+    texts = docs.select(text_key().alias("doc_id"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
+    sets = hold(texts.mapInArrow(_gather, "doc_id bigint, shingles array<bigint>"), "sets")
+    return sets if sets.count() == count else hold(sets.dropDuplicates(["doc_id"]), "sets")  # more rows: texts that stand several times
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -375,13 +385,13 @@ def _rejoin(docs: DataFrame, split: DataFrame, labels: DataFrame, sketches: Data
     return labels if pairs.isEmpty() else _link(docs, hold(_likely(pairs, sketches, 0.0), "likely"), labels, percent)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: groups of documents linked by ``100 * common >= percent * united``."""
+def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``doc_id, text_key, n_shingles, group`` of each row; no group for empty sets."""
     signed = hold(signatures(docs), "signatures")
     full = signed.filter("n_shingles > 0")
-    owners = hold(full.groupBy("set_key").agg(F.min("doc_id").alias("owner")), "owners")
-    distinct = full.join(owners.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = hold(distinct.select("doc_id", "signature"), "distinct")
+    owners = hold(full.groupBy("set_key").agg(F.min("text_key").alias("owner")), "owners")
+    distinct = full.join(owners.select(F.col("owner").alias("text_key")), "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = hold(distinct.select(F.col("text_key").alias("doc_id"), "signature"), "distinct")
     sketches = sets.mapInArrow(_shorten, "doc_id bigint, sketch binary")
     found = neighbours(sets)
     pairs = hold(_likely(found.filter(F.col("kind") == PAIR).select("a", "b").distinct(), sketches), "likely")
@@ -392,6 +402,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         labels = merge(labels, links)
     if split is not None:
         labels = _rejoin(docs, split, labels, sketches, percent)
-    named = signed.join(owners, "set_key", "left").join(labels.toDF("owner", "label"), "owner", "left")
-    component = F.coalesce("label", "owner", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = signed.filter("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "set_key").join(owners, "set_key").join(
+        labels.toDF("owner", "label"), "owner", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "owner").alias("group"))
+    none = signed.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("bigint").alias("group"))
+    return hold(named.union(none), "grouped")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``: groups of documents linked by ``100 * common >= percent * united``."""
+    rows = grouped(docs, percent)
+    names = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("first"))
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+    return rows.join(names, "group", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each group, that with the smallest id (null last); all rows without words but repeated ones with an id."""
+    rows = grouped(docs, percent).filter("group is not null").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    firsts = rows.groupBy("group").agg(F.min("rank").alias("first"))
+    copies = hold(rows.join(firsts, "group").filter(F.col("rank") != F.col("first")).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "copies")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    rest = docs.join(copies, same, "left_anti")
+    lone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rest.filter(~lone).withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key").union(rest.filter(lone))

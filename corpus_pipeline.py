@@ -2,7 +2,8 @@
 
 Each stage reads what the one before has written. All but the last return whole documents, with their columns; the last
 returns the packed pieces. The quality stage drops documents with a score below one half; the near-duplicate stage keeps
-the one with the smallest id of each group (repeated rows of one id count as copies); the decontamination stage drops
+the one with the smallest id of each group, where each row stands for its own text, also if its id is null or has other texts
+(repeated rows count as copies, but rows with neither id nor words do not); the decontamination stage drops
 contaminated documents and leaves all others as they are. Columns beyond ``doc_id`` and ``text`` pass through. Empty tables
 stay empty.
 """
@@ -24,9 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_dedup.near_duplicates(docs)
-    copies = hold(groups.filter(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return near_dedup.drop_copies(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

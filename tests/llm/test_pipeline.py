@@ -43,3 +43,17 @@ def test_empty_and_repeated(spark):
     few = docs.limit(5)
     assert corpus_pipeline.keep_one_of_each(spark, few.union(few), SF).count() <= 5
     assert public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_rows_without_ids_and_ids_with_several_texts(spark):
+    text = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1] + " end"), (None, None), (None, None), (None, " "), (1, text[2]), (1, text[3]),
+            (2, text[3].upper()), (0, text[4]), (3, text[4]), (3, text[5]), (3, text[5]), (4, None), (4, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, extra string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
+    ones = [(None, text[1]), (None, text[1] + " end")]
+    assert sum(x in ones for x in got) == 1
+    want = [(None, text[0]), (None, None), (None, None), (None, " "), (1, text[2]), (1, text[3]), (0, text[4]), (3, text[5]), (4, None), (4, "")]
+    assert sorted(map(repr, (x for x in got if x not in ones))) == sorted(map(repr, want))
+    same = near_dedup.near_duplicates(docs)
+    assert same.count() == len(rows) and same.filter("kept is null").count() == 0
