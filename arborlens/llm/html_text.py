@@ -48,7 +48,9 @@ SCOPE = frozenset("html table td th caption button object template".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-_HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_MAYBE_HIDDEN = re.compile("hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?")
+_NOT_DISPLAYED = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _NUMBER = {name: re.compile(rf"\b{name}\s*=\s*[\"']?\s*(-?\d+)", re.I) for name in ("colspan", "rowspan", "start", "value")}
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -64,6 +66,21 @@ class Node:
         return int(found[1][:9]) if found else default
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether there is an attribute ``hidden``, or a style that hides; of repeated attributes the first counts."""
+    if not _MAYBE_HIDDEN.search(attributes) and "&" not in attributes:
+        return False
+    seen = set()
+    for found in _ATTRIBUTE.finditer(attributes):
+        name = found[1].lower()
+        if name == "hidden":
+            return True
+        if name == "style" and name not in seen and _NOT_DISPLAYED.search(unescape(found[2] or found[3] or found[4] or "")):
+            return True
+        seen.add(name)
+    return False
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
@@ -242,7 +259,7 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if enter:
-            if tag in UNSEEN or node.attributes and _HIDDEN.search(node.attributes):
+            if tag in UNSEEN or node.attributes and _hidden(node.attributes):
                 continue
             if tag == "br":
                 page.end(force=True)

@@ -447,3 +447,11 @@ def test_contamination_without_broadcast(spark, monkeypatch):
     df = entry.queries()["op10_contamination"](spark, SF)
     result = con.sql(entry.oracle_sql()["op10_contamination"])
     assert compare.rows(df.columns, df.collect()) == compare.rows(result.columns, result.fetchall())
+
+
+@pytest.mark.parametrize("attributes, seen", [
+    ('class="menu hidden md:block"', True), ('title="a hidden gem"', True), ("data-x='the hidden part'", True), ("data-hidden", True),
+    ('data-style="display:none"', True), ('title="style=display:none"', True), ("hidden", False), ('hidden=""', False), ("id=a HIDDEN class=b", False),
+    ('style="color:red; display : none"', False), ("style=visibility:hidden", False), ('style="display:block"', True), ('title="x"hidden', False)])
+def test_hidden_is_an_attribute(attributes, seen):
+    assert html_text.visible_text(f"<body><div {attributes}>text</div>") == ("text" if seen else "")
