@@ -37,8 +37,14 @@ FILE_BYTES = 1 << 26
 DATE = "1970-01-01T00:00:00Z"  # of records made from pages, which carry no date
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
 
-_NOT_SHOWN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|pre|blockquote|hr|dt|dd)(?=[\s/>])[^>]*>", re.I)
+_NOT_SHOWN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.S | re.I)
+# What is left of a head after that: a text or any tag that cannot be in it ends it.
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?:\s+|<(?:meta|link|base|!)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</(?!head|body|html)[^>]*>)*+(?:</head\s*>)?", re.I)
+_BREAKS = re.compile(
+    r"</?(?:p|div|br|li|ul|ol|menu|dir|tr|table|thead|tbody|tfoot|h[1-6]|hgroup|section|article|header|footer|nav|main|aside|address|search|"
+    r"figure|figcaption|form|fieldset|legend|details|summary|dialog|center|caption|option|optgroup|select|textarea|pre|blockquote|hr|dl|dt|dd|body)"
+    r"(?=[\s/>])[^>]*>", re.I)
+_CELL = re.compile(r"</?(?:td|th)(?=[\s/>])[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 
 
@@ -48,7 +54,8 @@ def digest(data: bytes) -> str:
 
 def plain_text(html: str) -> str:
     """The text of a page, a line for each block."""
-    text = _TAG.sub("", _BREAKS.sub("\n", _NOT_SHOWN.sub(" ", html).replace("\n", " ")))
+    shown = _HEAD.sub(" ", _NOT_SHOWN.sub(" ", html))
+    text = _TAG.sub("", _CELL.sub(" ", _BREAKS.sub("\n", shown.replace("\n", " "))))
     text = unescape(text).replace("\t", " ").replace("\r", " ").replace("\f", " ")
     return "\n".join(filter(None, [" ".join(filter(None, line.split(" "))) for line in text.split("\n")]))
 

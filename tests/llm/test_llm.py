@@ -455,3 +455,12 @@ def test_contamination_without_broadcast(spark, monkeypatch):
     ('style="color:red; display : none"', False), ("style=visibility:hidden", False), ('style="display:block"', True), ('title="x"hidden', False)])
 def test_hidden_is_an_attribute(attributes, seen):
     assert html_text.visible_text(f"<body><div {attributes}>text</div>") == ("text" if seen else "")
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>t</title><body><p>a", "a"), ("<head><title>t</title><p>a<p>b", "a\nb"), ("<head><meta x>\n<script>1<2</script>a<b>c</b>", "ac"),
+    ("<html><head><meta content='1 > 0'><link y></head><body>a</body>", "a"), ("<head></head><header>a</header>b", "a\nb"),
+    ("<table><tr><td>Price</td><td>10</td><tr><th>a<th>b</table>", "Price 10\na b"), ("<select><option>a<option>b</select>", "a\nb"),
+    ("<main>a</main>b<aside>c</aside><figcaption>d</figcaption>e", "a\nb\nc\nd\ne")])
+def test_plain_text_of_a_record(page, text):
+    assert warc.plain_text(page) == text
