@@ -72,4 +72,64 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(covered.n, 0) as
 from d left join covered using (doc_id) left join items using (doc_id)
 """
 
-SQL = {"op1_near_duplicates": OP1, "op5_url_verdicts": OP5, "op7_nearest": OP7, "op10_contamination": OP10}
+# Lengths of the written turns: marks and escapes added to the texts. Roles of the given tables need no escapes.
+OP11 = r"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+told as (select conv_id, count(*) as n, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as whole,
+  coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as learnt,
+  sum(length('### ' || role || ': ' || replace(replace(text, '### ', '\### '), '</turn>', '\</turn>') || chr(10) || '</turn>' || chr(10))) as size
+  from rows group by conv_id)
+select conv_id, n as n_turns, sha256(whole) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256,
+  cast(size as bigint) as formatted_chars
+from told
+"""
+
+# Every prefix as a list; subtrees by comparing prefixes. The check sum of an id is worked out bit by bit.
+_CRC = """xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint)),
+  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))))"""
+OP12 = f"""
+with own as (select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as t
+  from conversations where conv_id is not null group by conv_id),
+h as (select *, {_CRC} % 6 as h from own),
+seqs as (select h.conv_id, coalesce(own.t[:h.h], []) || h.t[h.h + 1:] as s from h left join own on own.conv_id = h.conv_id - h.conv_id % 100),
+steps as (select conv_id, s, unnest(range(len(s) + 1)) as d from seqs),
+nodes as (select d as depth, s[:d] as p, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * coalesce(length(any_value(s)[d].text), 0) as worth,
+  coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(s) = d), '') as ends from steps group by d, s[:d]),
+kids as (select depth - 1 as depth, p[:depth - 1] as p, count(*) as n from nodes where depth > 0 group by all),
+full_nodes as (select nodes.*, coalesce(kids.n, 0) as n_children from nodes left join kids on kids.depth = nodes.depth and kids.p = nodes.p),
+below as (select a.depth, a.p, count(*) filter (b.n_children = 0) as n_leaves, sum(b.worth) as saved
+  from (select depth, p from full_nodes) a join full_nodes b on b.p[:a.depth] = a.p and b.depth >= a.depth group by a.depth, a.p)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, cast(n.n_children as bigint) as n_children, below.n_leaves,
+  cast(below.saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from full_nodes n join below on below.depth = n.depth and below.p = n.p left join nodes up on up.depth = n.depth - 1 and up.p = n.p[:n.depth - 1]
+"""
+
+
+def _rounds(k: int = 8, rounds: int = 10) -> str:
+    """Round after round: nearest centroid of every vector, then floors of exact means."""
+    steps = ["""v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+             f"c0 as (select row_number() over (order by sha256('3:' || vec_id)) - 1 as c, e from v qualify c < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as (select vec_id, e, w.c, w.d from (select vec_id, any_value(v.e) as e, min(struct_pack(
+    d := list_sum(list_transform(list_zip(v.e, m.e), lambda z: cast((z[1] - z[2]) * (z[1] - z[2]) as hugeint))), c := m.c)) as w
+  from v, c{i} m group by vec_id))""")
+        if i < rounds:
+            steps.append(f"""s{i} as (select c, i, sum(e[i]) as s, count(*) as n from a{i}, (select unnest(range(1, 65)) as i) group by c, i),
+c{i + 1} as (select m.c, coalesce(x.e, m.e) as e from c{i} m left join (
+  select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as e from s{i} group by c) x on x.c = m.c)""")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, cast(c as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(m.e, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} m using (c)
+"""
+
+
+OP13 = _rounds()
+
+SQL = {
+    "op1_near_duplicates": OP1, "op5_url_verdicts": OP5, "op7_nearest": OP7, "op10_contamination": OP10, "op11_chats": OP11,
+    "op12_conversation_trie": OP12, "op13_centroids": OP13,
+}

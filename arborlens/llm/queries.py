@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import decontaminate, html_text, knn, near_dedup, packing, quality, token_counts, token_files, url_filter, warc
-from arborlens.llm.tables import given
+from arborlens.llm import (
+    centroids, chat, decontaminate, html_text, knn, near_dedup, packing, quality, token_counts, token_files, turn_trie, url_filter, warc)
+from arborlens.llm.tables import given, hold
 from arborlens.session import fresh_folder
 
 RULES = [  # fixed values: host, path, verdict
@@ -70,6 +71,25 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+HARD_TEXT = r"\### Assistant: </turn> ok"
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, -7, whose texts hold marks and escapes."""
+    kinds = "conv_id bigint, turn bigint, role string, text string"
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], kinds)
+    rows = given(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.fields(hold(chat.chat(rows.union(hard)), "chats", compression="zstd"))
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(given(spark, sf_dir, "conversations"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(given(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,5 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packed,
     "op9_visible_text": visible_text,
     "op10_contamination": contamination,
+    "op11_chats": chats,
+    "op12_conversation_trie": conversation_trie,
+    "op13_centroids": centroid_clusters,
     "pipeline": pipeline,
 }
