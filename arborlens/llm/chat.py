@@ -20,6 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,8 +51,16 @@ def write(role: Column, text: Column) -> Column:
     return F.concat(F.lit("### "), role, F.lit(": "), text, F.lit("\n</turn>\n"))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a text, as an array of ``(role, text)``; null where the text is not one of the grammar."""
+    # The mark comes first in the patterns: the look-behind is only tried where there is one.
+    starts, end = r"### (?<!\\### )", r"</turn>(?<!\\</turn>)"
+
     def turn(ends: Column) -> Column:
         inner, colon = ends[0], F.locate(":", ends[0])
         sound = (F.size(ends) == 2) & (ends[1] == "\n") & (colon > 0) & (inner.substr(colon + 1, F.lit(1)) == " ") & (
@@ -60,10 +69,12 @@ def parse(formatted: Column) -> Column:
             unescape_role(inner.substr(F.lit(1), colon - 1)).alias("role"),
             unescape_text(inner.substr(colon + 2, F.length(inner) - colon - 2)).alias("text")))
 
-    parts = F.split(formatted, r"(?<!\\)### ")
-    later = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    turns = F.transform(F.transform(later, lambda part: F.split(part, r"(?<!\\)</turn>")), turn)
-    return F.when((parts[0] == "") & ~F.exists(turns, lambda t: t.isNull()), turns)
+    def turns(parts: Column) -> Column:
+        later = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        found = F.transform(F.transform(later, lambda part: F.split(part, end)), turn)
+        return F.when(parts[0] == "", _with(found, lambda t: F.when(~F.exists(t, lambda x: x.isNull()), t)))
+
+    return _with(F.split(formatted, starts), turns)
 
 
 def render(conversations: DataFrame) -> DataFrame:
