@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,6 +65,21 @@ def json_part(answer: Column) -> Column:
     return F.when(F.try_parse_json(answer).isNull() & (fenced != ""), F.rtrim(fenced)).otherwise(answer)
 
 
+def summary_fault(answer: str | None) -> str | None:
+    """The error that :func:`parse_summary` finds in an answer, for code that has it as a Python string."""
+    fenced = re.search(r"```(?:json)?\s*(.*)```", answer or "", re.DOTALL)
+    for text in [answer, fenced and fenced.group(1)]:
+        try:
+            found = json.loads(text or "")
+        except ValueError:
+            continue
+        if not isinstance(found, dict):
+            break
+        error = found.get("error")
+        return error if error is None or isinstance(error, str) else json.dumps(error, separators=(",", ":"), ensure_ascii=False)
+    return "invalid JSON"
+
+
 def parse_summary(answer: Column, path: Column) -> Column:
     """Struct of file_path, description, summary (VARIANT) and error.
 

@@ -25,9 +25,10 @@ def keyed(documents: DataFrame, path: str = "file_path", language: str = "langua
           text: str = "content") -> DataFrame:
     """Cache keys of documents, without their text."""
     extra = [c for c in ("modification_time",) if c in documents.columns]
+    hashed = F.col("content_hash") if "content_hash" in documents.columns else content_hash(F.col(text))
     return documents.select(
         "repo_id", F.col(path).alias("file_path"),
-        content_hash(F.col(text)).alias("content_hash"), F.col(language).alias("language"), *extra,
+        hashed.alias("content_hash"), F.col(language).alias("language"), *extra,
     )
 
 
@@ -49,6 +50,24 @@ def misses(keys: DataFrame, cache: DataFrame, config_hash: str,
     return keys.join(usable.select(*MATCH), MATCH, "left_anti")
 
 
+HIT, MISS, STALE = "hit", "miss", "stale"
+
+
+def compare(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """Every file of the documents or of the cache, with its ``state``, in one join.
+
+    A hit is a file whose row was made for the same text and language, a miss any
+    other file of the documents, and stale a row whose file is no longer there.
+    ``keys`` come as they are (null for stale rows), the cache row as ``cached``
+    (null for files it does not know). Of tables bucketed by file, no row moves.
+    """
+    now = keys.select(*KEY, F.struct(*[c for c in keys.columns if c not in KEY]).alias("now"))
+    had = cache.select(*KEY, F.struct(*[c for c in cache.columns if c not in KEY]).alias("cached"))
+    same = (F.col("now.content_hash") == F.col("cached.content_hash")) & (F.col("now.language") == F.col("cached.language"))
+    state = F.when(F.col("now").isNull(), STALE).when(same & F.col("cached.summary").isNotNull(), HIT).otherwise(MISS)
+    return now.join(had, KEY, "full_outer").withColumn("state", state)
+
+
 def stale(cache: DataFrame, documents: DataFrame) -> DataFrame:
     """Cached rows whose file is no longer there."""
     return cache.join(documents.select(*KEY), KEY, "left_anti")

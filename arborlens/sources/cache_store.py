@@ -1,174 +1,67 @@
-"""Versioned cache table: a folder for each state, and a pointer to the one in force."""
+"""Versioned cache table: Spark writes a folder for each state, then one pointer to the one in force."""
 
 import json
-import os
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.operators.summary_cache import KEY, SCHEMA, current, remove
+from arborlens.operators.summary_cache import KEY, SCHEMA
+from arborlens.sources import bucketed
 
-# ``version`` is the version of the document a row was made for; ``removed`` rows remember that of a deletion.
-STORED = SCHEMA + ", version bigint, removed boolean"
-
-
-def _names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
-
-
-class Conflict(RuntimeError):
-    """Another writer has committed since the state was read."""
+KEPT = 2  # states that stay: the one in force, and the one before it for those who still read it
 
 
 class CacheStore:
-    """Cache states below one folder.
-
-    A commit writes a new folder and then its pointer, numbered one above the
-    last. A run that dies halfway leaves the last state in force, and what is
-    being read is never written. A pointer appears whole and is never replaced:
-    of two writers with the same number one comes second and works its change
-    out anew on the other's state. This needs a file system whose rename does
-    not replace a file, as HDFS; on local ones a hard link serves.
+    """Cache states below one folder, for one writer at a time.
 
-    A pointer names the state, the last batch of each stream, and the folders of
-    document versions that are to be tried again.
+    A commit writes a new folder, bucketed by file, and then replaces the
+    pointer. A run that dies before that leaves the last state in force, and
+    what is being read is not written. On a cluster's file system the pointer is
+    replaced in one step; on a local disk there is a moment between the two.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.buckets = buckets or bucketed.buckets_of(spark)
         self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._pointers = self._hadoop.Path(f"{self.path}/pointers")
-        self._files = self._pointers.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._seen: int | None = None
-
-    def _last(self) -> tuple[int, dict]:
-        """Number and content of the pointer in force; -1 only if there is none."""
-        found = self._files.listStatus(self._pointers) if self._files.exists(self._pointers) else []
-        numbers = [int(f.getPath().getName().removesuffix(".json")) for f in found if f.getPath().getName().endswith(".json")]
-        if not numbers:
-            return -1, {"state": None, "batches": {}, "waiting": []}
-        text = self.spark.read.text(f"{self.path}/pointers/{max(numbers):08d}.json", wholetext=True)
-        return max(numbers), json.loads(text.first()[0])
-
-    def _publish(self, number: int, pointer: dict) -> bool:
-        """Set a pointer in force; False if there is one of this number."""
-        draft = self._hadoop.Path(f"{self.path}/draft-{uuid.uuid4().hex}")
-        target = self._hadoop.Path(f"{self.path}/pointers/{number:08d}.json")
-        self._files.mkdirs(self._pointers)
-        out = self._files.create(draft, False)
-        out.write(json.dumps(pointer).encode())
-        out.close()
-        try:
-            if self._files.getUri().getScheme() != "file":
-                return not self._files.exists(target) and self._files.rename(draft, target)
-            os.link(draft.toUri().getPath(), target.toUri().getPath())
-            return True
-        except FileExistsError:
-            return False
-        finally:
-            self._files.delete(draft, False)
-
-    @staticmethod
-    def _has(pointer: dict, batch: str) -> bool:
-        stream, _, number = batch.rpartition("-")
-        if number.isdigit():
-            return pointer["batches"].get(stream, -1) >= int(number)
-        return batch in pointer["batches"]
-
-    def number(self) -> int:
-        """Number of the state in force; -1 before the first write."""
-        return self._last()[0]
-
-    def holds(self, batch: str) -> bool:
-        """True if this batch, named ``stream-number`` or otherwise, is already committed."""
-        return self._has(self._last()[1], batch)
+        self._pointer = self._hadoop.Path(f"{self.path}/current.json")
+        self._files = self._pointer.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _state(self, pointer: dict) -> DataFrame:
-        if pointer["state"] is None:
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(f"{self.path}/{pointer['state']}")
-
-    def stored(self) -> DataFrame:
-        """The state in force with versions and deletions."""
-        return self._state(self._last()[1])
+    def _states(self) -> list[dict]:
+        """The states that are kept, the one in force first."""
+        if not self._files.exists(self._pointer):
+            return []
+        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])["states"]
 
     def read(self) -> DataFrame:
-        """The cache rows in force; empty before the first write."""
-        self._seen, pointer = self._last()
-        return self._state(pointer).where(~F.col("removed")).select(*_names(SCHEMA))
-
-    def waiting(self, schema: str) -> tuple[list[str], DataFrame]:
-        """Folders and rows of document versions that failed and are to be tried again."""
-        folders = self._last()[1]["waiting"]
-        if not folders:
-            return [], self.spark.createDataFrame([], schema)
-        return folders, self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
-
-    def write(self, rows: DataFrame, batch: str | None = None) -> None:
-        """Commit a whole new state, which may be derived from the last :meth:`read`.
-
-        A commit of another writer since that read is a :class:`Conflict`.
-        """
-        whole = self._whole(rows)
-        self._commit(lambda _: whole, batch, base=self._seen)
-
-    def change(self, rows: DataFrame, removed: DataFrame | None = None, batch: str | None = None,
-               touched: DataFrame | None = None, config_hash: str | None = None,
-               failed: DataFrame | None = None, tried: list[str] = (), base: int | None = None) -> None:
-        """Commit new and changed rows (one per file) without the removed ones.
-
-        A file that is both removed and in ``rows`` stays. With a ``version``
-        deletions are remembered; ``touched`` gives unchanged files a newer one.
-        With ``config_hash`` rows of other configurations go. ``failed``
-        document versions are kept to be tried again, in place of the folders
-        ``tried``. Given a ``base``, a later commit is a :class:`Conflict`.
-        """
-        def make(state: DataFrame) -> DataFrame:
-            out = self._whole(rows)
-            if removed is not None:
-                gone = remove(removed, rows).select(
-                    *KEY, *(["version"] if "version" in removed.columns else []), F.lit(True).alias("removed"))
-                out = out.unionByName(gone, allowMissingColumns=True)
-            if config_hash is not None:
-                state = current(state.where(~F.col("removed")), config_hash).unionByName(state.where("removed"))
-            kept = remove(state, out)
-            if touched is not None:
-                newer = touched.select(*KEY, F.col("version").alias("_newer"))
-                kept = kept.join(newer, KEY, "left").withColumn(
-                    "version", F.coalesce("_newer", "version")).drop("_newer")
-            return kept.unionByName(out.where(~F.col("removed") | F.col("version").isNotNull()))
-
-        self._commit(make, batch, failed, tried, base)
-
-    def _whole(self, rows: DataFrame) -> DataFrame:
-        version = F.col("version") if "version" in rows.columns else F.lit(None)
-        return rows.select(*_names(SCHEMA), version.cast("bigint").alias("version"), F.lit(False).alias("removed"))
-
-    def _commit(self, make: Callable[[DataFrame], DataFrame], batch: str | None, failed: DataFrame | None = None,
-                tried: list[str] = (), base: int | None = None) -> None:
-        waits = None
-        if failed is not None:
-            waits = f"waiting-{uuid.uuid4().hex}"
-            failed.write.parquet(f"{self.path}/{waits}")
-        while True:
-            last, pointer = self._last()
-            if batch is not None and self._has(pointer, batch):
-                return
-            if base is not None and last != base:
-                raise Conflict(f"state {last} was committed after state {base} had been read")
-            name = f"state-{last + 1:08d}-{uuid.uuid4().hex}"
-            make(self._state(pointer)).write.parquet(f"{self.path}/{name}")
-            batches = dict(pointer["batches"])
-            if batch is not None:
-                stream, _, number = batch.rpartition("-")
-                batches |= {stream: int(number)} if number.isdigit() else {batch: 0}
-            waiting = [f for f in pointer["waiting"] if f not in tried] + ([waits] if waits else [])
-            if self._publish(last + 1, {"state": name, "batches": batches, "waiting": waiting}):
-                self._seen = last + 1
-                return
+        """The rows in force; empty before the first commit."""
+        for state in self._states()[:1]:
+            return bucketed.read(self.spark, f"{self.path}/{state['folder']}", SCHEMA, KEY, state["buckets"])
+        return self.spark.createDataFrame([], SCHEMA)
+
+    def write(self, rows: DataFrame) -> None:
+        """Commit a whole new state, which may be derived from the last :meth:`read`."""
+        before, folder = self._states(), f"state-{uuid.uuid4().hex}"
+        names = [field.split()[0] for field in SCHEMA.split(", ")]
+        bucketed.write(rows.select(*names), f"{self.path}/{folder}", KEY, self.buckets)
+        states = [{"folder": folder, "buckets": self.buckets}, *before]
+        self._point(json.dumps({"states": states[:KEPT]}))
+        for old in states[KEPT:]:
+            bucketed.forget(self.spark, f"{self.path}/{old['folder']}")
+            self._files.delete(self._hadoop.Path(f"{self.path}/{old['folder']}"), True)
+
+    def _point(self, text: str) -> None:
+        draft = self._hadoop.Path(f"{self.path}/next.json")
+        out = self._files.create(draft, True)
+        out.write(text.encode())
+        out.close()
+        kind = getattr(self._hadoop, "Options$Rename")
+        how = self.spark._sc._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context = self._hadoop.FileContext.getFileContext(self._pointer.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._files.makeQualified(draft), self._files.makeQualified(self._pointer), how)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -1,75 +1,158 @@
-"""Document versions as a stream that keeps a cache table up to date."""
+"""Document versions as a stream of summaries, on keyed state.
 
-import json
-from collections.abc import Callable
+The state of a file is the last version seen, whether it was a deletion, what
+its summary was made for, and, while a description has failed, the version to be
+tried again. It lies in Spark's state store, so a restart goes on where the
+stream was and a replayed batch changes nothing; the changes are an append-only
+table, in which a file's last good row counts (:func:`summaries`).
+"""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from arborlens.operators import enrich, summary_cache
-from arborlens.plans.incremental import cache_rows
-from arborlens.session import shared_folder
-from arborlens.sources.cache_store import CacheStore, Conflict
+from arborlens.fixed_values import CACHE_SCHEMA_VERSION
+from arborlens.functions import structured
+from arborlens.functions.content import content_hash
+from arborlens.operators import summary_cache
+from arborlens.operators.skew import settle
 
 VERSIONS = (
     "repo_id string, file_path string, language string, content string, "
     "modification_time timestamp, version bigint, deleted boolean"
 )
+# ``removed`` rows tell of deletions; ``error`` rows of descriptions that failed and are tried again.
+CHANGES = summary_cache.SCHEMA + ", version bigint, removed boolean, error string"
+_SAID = ("repo_id string, file_path string, content_hash string, language string, answer string, "
+         "modification_time timestamp, version bigint, removed boolean, error string")
+_STATE = "version bigint, deleted boolean, content_hash string, language string, config_hash string"
+_WAITING = "language string, content string, content_hash string, modification_time timestamp, version bigint"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def apply_versions(versions: DataFrame, store: CacheStore, config_hash: str, batch: str,
-                   run: Callable[[DataFrame], DataFrame] = enrich.default_enrich) -> None:
-    """Apply one batch of document versions to the stored cache, once.
+class Describe(StatefulProcessor):
+    """Per file: the last version counts; describe it if its text or language is new.
 
-    Only the last version of a file counts, in the batch and against what is
-    stored: a late older one changes nothing, nor does one before a deletion.
-    Versions whose enrichment failed are kept and tried again with the next
-    batch. A batch that was committed before changes nothing, so a replay after
-    a failure is harmless; if another writer commits in between, the batch is
-    worked out anew.
+    ``make()`` returns the user's function from a row (a dict) to an answer. A
+    failed version is kept, and a timer asks again once ``retry_ms`` have passed,
+    until it succeeds or a later version takes its place.
     """
-    shared_folder(store.spark)
-    while not store.holds(batch):
-        base = store.number()
-        stored = store.stored()
-        tried, waiting = store.waiting(VERSIONS)
-        had = stored.select(*summary_cache.KEY, F.col("version").alias("_had"))
-        rows = versions.unionByName(waiting).withColumn("_order", F.col("version"))
-        last = summary_cache.latest(rows, "_order").join(had, summary_cache.KEY, "left").where(
-            F.col("_had").isNull() | (F.col("version") > F.col("_had"))).drop("_had")
-        alive = last.where(~F.coalesce(F.col("deleted"), F.lit(False)))
-        gone = last.where(F.col("deleted"))
-        usable = summary_cache.current(stored.where(~F.col("removed")), config_hash)
-        missed = summary_cache.misses(summary_cache.keyed(alive), usable, config_hash)
-        todo = alive.join(missed.select(*summary_cache.KEY), summary_cache.KEY, "left_semi")
-        numbers = alive.select(*summary_cache.KEY, "version")
-        # Held, as the rows are used more than once and the function may be costly.
-        fresh = cache_rows(run(todo), missed, config_hash).join(numbers, summary_cache.KEY).checkpoint()
-        bad = fresh.where(F.col("error").isNotNull())
-        failed = alive.join(bad.select(*summary_cache.KEY), summary_cache.KEY, "left_semi").select(versions.columns)
+
+    def __init__(self, make: Callable[[], Callable[[dict], str]], config_hash: str, retry_ms: int = 1):
+        self._make, self._config, self._retry = make, config_hash, retry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._call = self._make()
+        self._handle = handle
+        self._known = handle.getValueState("known", _STATE)
+        self._waiting = handle.getValueState("waiting", _WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = None
+        for row in rows:  # versions of one file may be many: only the last is held
+            if row["version"] is not None and (last is None or row["version"] > last["version"]):
+                last = row
+        known = self._known.get() if self._known.exists() else None
+        if last is None or (known is not None and last["version"] <= known[0]):
+            return
+        if last["deleted"]:
+            self._known.update((last["version"], True, None, None, None))
+            self._waiting.clear()
+            if known is not None and not known[1]:
+                yield self._row(key, last, removed=True)
+            return
+        made_for = (last["content_hash"], last["language"], self._config)
+        if known is not None and tuple(known[2:]) == made_for:  # the summary at hand is still right
+            self._known.update((last["version"], False, *made_for))
+            self._waiting.clear()
+            return
+        yield self._describe(key, last, known, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self._waiting.exists():
+            return  # a later version has come since
+        language, content, hashed, changed, version = self._waiting.get()
+        row = Row(language=language, content=content, content_hash=hashed, modification_time=changed, version=version)
+        yield self._describe(key, row, self._known.get(), timerValues)
+
+    def _describe(self, key, row: Row, known, timers) -> Row:
+        answer = error = None
         try:
-            store.change(summary_cache.storable(fresh), gone, batch, summary_cache.remove(numbers, bad),
-                         failed=failed, tried=tried, base=base)
-        except Conflict:
-            continue
+            answer = self._call({"repo_id": key[0], "file_path": key[1], "language": row["language"], "content": row["content"]})
+            error = self._fault(answer)
+        except Exception as problem:  # noqa: BLE001 - any failure is the row's own
+            error = f"{type(problem).__name__}: {problem}"
+        if error is None:
+            self._known.update((row["version"], False, row["content_hash"], row["language"], self._config))
+            self._waiting.clear()
+        else:
+            # What is stored was made for an older text, if for any: it is no hit for a later version.
+            self._known.update((row["version"], False, *(known[2:] if known is not None else (None, None, None))))
+            self._waiting.update((row["language"], row["content"], row["content_hash"], row["modification_time"], row["version"]))
+            self._handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self._retry)
+        return self._row(key, row, answer, error)
 
+    @staticmethod
+    def _fault(answer: str | None) -> str | None:
+        return structured.summary_fault(answer)
 
-def start(versions: DataFrame, store: CacheStore, config_hash: str, checkpoint: str,
-          run: Callable[[DataFrame], DataFrame] = enrich.default_enrich, **trigger) -> StreamingQuery:
-    """Start the stream. Versions come from an append-only table of documents.
+    @staticmethod
+    def _row(key, row: Row, answer: str | None = None, error: str | None = None, removed: bool = False) -> Row:
+        return Row(
+            repo_id=key[0], file_path=key[1], content_hash=row["content_hash"], language=row["language"], answer=None if error else answer,
+            modification_time=row["modification_time"], version=row["version"], removed=removed, error=error)
 
-    A file stream reports a path once, so files changed in place or deleted
-    would be missed; a table of versions carries both.
-    """
-    def each(batch: DataFrame, number: int) -> None:
-        # The stream's own id: the same after a restart, another with a new checkpoint.
-        known = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
-        apply_versions(batch, store, config_hash, f"{json.loads(known)['id']}-{number}", run)
+    def close(self) -> None:
+        pass
+
+
+def changes(versions: DataFrame, config_hash: str, make: Callable[[], Callable[[dict], str]], retry_ms: int = 1) -> DataFrame:
+    """The stream of changes (``CHANGES``) that a stream of document versions makes."""
+    hashed = versions.select(
+        "repo_id", "file_path", "language", "content", content_hash(F.col("content")).alias("content_hash"),
+        "modification_time", "version", F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted"))
+    said = hashed.groupBy("repo_id", "file_path").transformWithState(
+        Describe(make, config_hash, retry_ms), _SAID, "append", "processingTime")
+    return said.select(
+        "repo_id", "file_path", "content_hash", "language", structured.json_part(F.col("answer")).alias("summary"),
+        "modification_time", F.lit(config_hash).alias("config_hash"), F.lit(CACHE_SCHEMA_VERSION).alias("schema_version"),
+        "version", "removed", "error")
 
+
+def start(versions: DataFrame, path: str, config_hash: str, checkpoint: str,
+          make: Callable[[], Callable[[dict], str]], retry_ms: int = 1, **trigger) -> StreamingQuery:
+    """Append the changes to the table at ``path``. Each stream has a table and a checkpoint of its own.
+
+    Versions come from an append-only table of documents: a file stream reports
+    a path once, so files changed in place or deleted would be missed.
+
+    A stream that runs on (``processingTime=...``) asks again for failed
+    descriptions also while nothing new comes. One that ends when all is read
+    (``availableNow``) does so with its next batch of new versions.
+    """
+    trigger = trigger or {"availableNow": True}
+    conf = versions.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # With timers, Spark would go on to run empty batches for ever.
+    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str("availableNow" not in trigger).lower())
     return (
-        versions.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+        changes(versions, config_hash, make, retry_ms).writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
+
+
+def told(spark: SparkSession, *paths: str) -> DataFrame:
+    """All changes that streams have written."""
+    tables = [spark.read.schema(CHANGES).parquet(path) for path in paths]
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def summaries(changes: DataFrame) -> DataFrame:
+    """Cache rows of files that are there: the last change of each that is no failure."""
+    last = settle(summary_cache.latest(changes.where(F.col("error").isNull()).withColumn("_order", F.col("version")), "_order"), "removed")
+    return last.where(~F.col("removed")).select(*[field.split()[0] for field in summary_cache.SCHEMA.split(", ")])

@@ -327,6 +327,8 @@ def sql() -> dict[str, str]:
                         "select repo_id, file_path, content_hash, summary from n union all select c.repo_id, c.file_path, c.content_hash, c.summary from vcache c anti join n on n.repo_id = c.repo_id and n.file_path = c.file_path",
         "incremental_run": cache + f"select v.repo_id, v.relative_path as file_path, sha256(v.content) as content_hash, v.file_type as language, coalesce(c.summary, {FIRST_LINE.replace('content', 'v.content')}) as said, 'cfg-a' as config_hash "
                                    f"from (select doc_id, repo_id, content, file_type, case when doc_id % 7 = 0 then concat('moved/', relative_path) else relative_path end as relative_path from vrepo) v left join vcache c on {MATCH}",
+        "stream_run": v + "select repo_id, relative_path as file_path, sha256(t) as content_hash, concat(length(t), ' characters') as said "
+                          "from (select *, case when doc_id % 5 = 1 then concat(content, '!') else content end as t from vrepo) x where doc_id % 7 <> 0",
         # language
         "lang_ext": v + f"select doc_id, {by_extension('file_name')} as language from vrepo",
         "lang_name": f"select doc_id, {mapped('lower(n)', {k: V.LANGUAGE_BY_NAME[k] for k in ('makefile', 'dockerfile', 'gemfile.lock')} | {'x/cmakelists.txt': 'cmake'})} as language from "

@@ -1,5 +1,6 @@
 """One query per operator over the given tables."""
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,7 @@ from arborlens.plans.traverse import Traversal, traverse
 from arborlens.session import fresh_folder, shared_folder
 from arborlens.sources import corpus, ignore_files, sinks
 from arborlens.sources.cache_store import CacheStore
+from arborlens.streaming import incremental as stream
 from checks.views import table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,10 +284,9 @@ def _moved(docs, of, rest, folder):
 @query
 def cache_stale(spark, sf):
     docs = _moved(_cache_documents(spark, sf), 7, 0, "moved/")
-    cache = view(spark, sf, "vcache")
-    gone = summary_cache.stale(cache, docs).select("repo_id", "file_path")
-    left = summary_cache.remove(cache, gone).select("repo_id", "file_path")
-    return gone.withColumn("state", F.lit("stale")).unionByName(left.withColumn("state", F.lit("kept")))
+    known = summary_cache.compare(summary_cache.keyed(docs), view(spark, sf, "vcache"))
+    return known.where(c("cached").isNotNull()).select(
+        "repo_id", "file_path", F.when(c("state") == summary_cache.STALE, "stale").otherwise("kept").alias("state"))
 
 
 @query
@@ -310,12 +311,34 @@ def cache_upsert(spark, sf):
 @query
 def incremental_run(spark, sf):
     docs = _moved(_cache_documents(spark, sf), 7, 0, "moved/")
-    cache = view(spark, sf, "vcache").withColumn("modification_time", F.lit(None).cast("timestamp"))
-    shared_folder(spark)
-    looked_up = summary_cache.lookup(summary_cache.keyed(docs), cache, "cfg-a").checkpoint()
-    after = incremental.step(docs, cache, "cfg-a", looked_up=looked_up).cache
+    store = CacheStore(spark, fresh_folder(spark, "cache"))
+    store.write(view(spark, sf, "vcache").withColumn("modification_time", F.lit(None).cast("timestamp")))
+    incremental.run_batch(docs, store, "cfg-a")
     said = F.coalesce(F.get_json_object("summary", "$.description"), c("summary"))
-    return after.select("repo_id", "file_path", "content_hash", "language", said.alias("said"), "config_hash")
+    return store.read().select("repo_id", "file_path", "content_hash", "language", said.alias("said"), "config_hash")
+
+
+def _counted() -> Callable[[dict], str]:
+    return lambda row: json.dumps({"file_path": row["file_path"], "description": f"{len(row['content'])} characters"})
+
+
+@query
+def stream_run(spark, sf):
+    """Three tables of versions, one after the other: all files, new texts of some (some late), deletions of some."""
+    folder = fresh_folder(spark, "stream")
+    docs = _cache_documents(spark, sf)
+
+    def put(rows, version, deleted=False):
+        rows.select("repo_id", "file_path", "language", "content", F.lit(None).cast("timestamp").alias("modification_time"),
+                    version.cast("bigint").alias("version"), F.lit(deleted).alias("deleted")).write.mode("append").parquet(f"{folder}/versions")
+        versions = spark.readStream.schema(stream.VERSIONS).parquet(f"{folder}/versions")
+        stream.start(versions, f"{folder}/changes", "cfg-a", f"{folder}/checkpoint", _counted).awaitTermination()
+
+    put(docs, F.lit(2))
+    put(docs.where(c("doc_id") % 5 < 2).withColumn("content", F.concat("content", F.lit("!"))), c("doc_id") % 5 * 2 + 1)
+    put(docs.where(c("doc_id") % 7 == 0), F.lit(4), deleted=True)
+    return stream.summaries(stream.told(spark, f"{folder}/changes")).select(
+        "repo_id", "file_path", "content_hash", F.get_json_object("summary", "$.description").alias("said"))
 
 
 # ---- language ----------------------------------------------------------------

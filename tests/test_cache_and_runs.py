@@ -1,11 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from arborlens.operators import enrich, summary_cache
 from arborlens.plans import incremental
-from arborlens.sources.cache_store import CacheStore, Conflict, read_documents
+from arborlens.sources.cache_store import CacheStore, read_documents
 from arborlens.streaming import incremental as stream
 
 DOC = "repo_id string, file_path string, language string, content string"
@@ -85,72 +86,71 @@ def test_stored_texts_are_read_whole(spark, tmp_path):
 
 
 def test_store_keeps_the_last_committed_state(spark, tmp_path):
-    store = CacheStore(spark, str(tmp_path / "store"))
-    assert store.read().count() == 0 and not store.holds("b1")
-    store.write(cache(spark, ("a.py", "x", "l", "s1", "c", "1.0")), "b1")
+    store = CacheStore(spark, str(tmp_path / "store"), buckets=3)
+    assert store.read().count() == 0
+    store.write(cache(spark, ("a.py", "x", "l", "s1", "c", "1.0")))
     before = store.read()
     store.write(store.read().withColumn("summary", F.lit("s2")))
-    assert store.read().first()["summary"] == "s2" and before.first()["summary"] == "s1" and store.holds("b1")
-    # A state without a pointer, as a run leaves it that died, does not count.
-    cache(spark, ("z.py", "x", "l", "s", "c", "1.0")).write.parquet(str(tmp_path / "store" / "state-00000099-dead"))
+    assert store.read().first()["summary"] == "s2" and before.first()["summary"] == "s1"
+    # A state that the pointer does not name, as a run leaves it that died, does not count.
+    cache(spark, ("z.py", "x", "l", "s", "c", "1.0")).write.parquet(str(tmp_path / "store" / "state-dead"))
     assert store.read().first()["summary"] == "s2"
-
-
-def test_changes_on_top_of_a_state(spark, tmp_path):
-    store, want = CacheStore(spark, str(tmp_path / "store")), {}
-    for n in range(4):
-        rows = {f"f{n}.py": f"s{n}", "hot.py": f"h{n}"}
-        gone = [f"f{n - 2}.py", "hot.py", "never.py"]
-        want = {k: v for k, v in want.items() if k not in gone} | rows
-        store.change(cache(spark, *[(p, "x", "l", s, "c", "1.0") for p, s in rows.items()]),
-                     spark.createDataFrame([("r", g) for g in gone], "repo_id string, file_path string"), f"b{n}")
-        assert {r["file_path"]: r["summary"] for r in store.read().collect()} == want
-        assert store.holds(f"b{n}") and not store.holds(f"b{n + 1}")
-
-
-def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
-    from concurrent.futures import ThreadPoolExecutor
-
-    def add(n):
-        CacheStore(spark, str(tmp_path / "store")).change(cache(spark, (f"f{n}.py", "x", "l", "s", "c", "1.0")), batch=f"q{n}-0")
-
-    with ThreadPoolExecutor(4) as pool:
-        list(pool.map(add, range(4)))
-    store = CacheStore(spark, str(tmp_path / "store"))
-    assert sorted(r["file_path"] for r in store.read().collect()) == [f"f{n}.py" for n in range(4)] and store.number() == 3
-    # A whole state derived from an older one is refused.
-    late = CacheStore(spark, str(tmp_path / "store"))
-    rows = late.read()
-    add(4)
-    with pytest.raises(Conflict):
-        late.write(rows)
-    assert store.read().count() == 5 and not [f for f in (tmp_path / "store").iterdir() if f.name.startswith("draft")]
+    for n in range(3):
+        store.write(store.read().withColumn("summary", F.lit(f"n{n}")))
+    assert CacheStore(spark, str(tmp_path / "store")).read().first()["summary"] == "n2"
+    assert len([f for f in (tmp_path / "store").iterdir() if f.is_dir()]) == 3  # two states and the dead one
 
 
 def test_an_unreadable_pointer_is_not_an_empty_cache(spark, tmp_path):
     store = CacheStore(spark, str(tmp_path / "store"))
     store.write(cache(spark, ("a.py", "x", "l", "s1", "c", "1.0")))
-    (tmp_path / "store" / "pointers" / "00000001.json").write_text("{oops")
+    (tmp_path / "store" / "current.json").write_text("{oops")
+    (tmp_path / "store" / ".current.json.crc").unlink()
     with pytest.raises(ValueError):
         store.read()
 
 
-def test_late_versions_deletions_and_failures_of_a_stream(spark, tmp_path):
-    run, calls = counting(spark, tmp_path)
-    store = CacheStore(spark, str(tmp_path / "store"))
+def test_one_join_labels_every_file(spark):
+    docs = documents(spark, {"same.py": ("python", "x"), "text.py": ("python", "new"), "lang.py": ("go", "x"), "first.py": ("python", "x"), "empty.py": ("python", "x")})
+    old = cache(spark, ("same.py", "x", "python", "s", "c", "1.0"), ("text.py", "x", "python", "s", "c", "1.0"), ("lang.py", "x", "python", "s", "c", "1.0"),
+                ("empty.py", "x", "python", None, "c", "1.0"), ("gone.py", "x", "python", "s", "c", "1.0"))
+    keys = summary_cache.keyed(docs)
+    odd = spark.createDataFrame([("r", None, "h", "l"), (None, "x", "h", None)], keys.schema)
+    known = summary_cache.compare(keys.union(odd), old)
+    assert {(r["repo_id"], r["file_path"]): r["state"] for r in known.collect()} == {
+        ("r", "same.py"): "hit", ("r", "text.py"): "miss", ("r", "lang.py"): "miss", ("r", "first.py"): "miss", ("r", "empty.py"): "miss",
+        ("r", "gone.py"): "stale", ("r", None): "miss", (None, "x"): "miss"}
+    assert {r["file_path"] for r in known.where("state = 'hit'").collect()} == {r["file_path"] for r in keys.join(summary_cache.misses(keys, old, "c"), "file_path", "left_anti").collect()}
+    assert summary_cache.compare(keys.limit(0), old.limit(0)).count() == 0
+
 
-    def apply(number, *rows):
-        data = [("r", p, "python", text, None, v, gone) for p, text, v, gone in rows]
-        stream.apply_versions(spark.createDataFrame(data, stream.VERSIONS), store, "cfg", f"q-{number}", run)
-        return {r["file_path"]: json.loads(r["summary"])["description"] for r in store.read().collect()}
+def plan_of(rows):
+    import contextlib
+    import io
 
-    assert apply(0, ("a.py", "new", 5, False), ("b.py", "x", 3, False), ("c.py", "bad", 1, False)) == {"a.py": "NEW", "b.py": "X"}
-    assert apply(1, ("a.py", "old", 2, False), ("b.py", "", 7, True)) == {"a.py": "NEW"}
-    assert apply(2, ("b.py", "late", 6, False), ("a.py", "new", 9, False)) == {"a.py": "NEW"}
-    assert apply(3, ("a.py", "between", 8, False), ("b.py", "back", 8, False)) == {"a.py": "NEW", "b.py": "BACK"}
-    assert calls() == ["a.py", "b.py", "b.py", *["c.py"] * 4]
-    assert apply(4, ("c.py", "good", 2, False)) == {"a.py": "NEW", "b.py": "BACK", "c.py": "GOOD"}
-    assert store.waiting(stream.VERSIONS)[1].count() == 0
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        rows.explain("formatted")
+    return out.getvalue()
+
+
+def test_no_text_moves_in_a_run_over_a_document_table(spark, tmp_path):
+    docs = documents(spark, {f"f{i}.py": ("python", f"text {i}") for i in range(50)})
+    store = CacheStore(spark, str(tmp_path / "store"))
+    store.write(cache(spark, *[(f"f{i}.py", f"text {i}", "python", '{"description": "d"}', "c", "1.0") for i in range(25)]))
+    table = incremental.document_table(docs, str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = plan_of(summary_cache.compare(summary_cache.keyed(table), store.read()))
+        assert "Exchange" not in labels  # both sides lie in the same buckets
+        assert not re.search(r"ReadSchema: .*[<,]content:", labels)  # hashes are stored
+        asked = []
+        result = incremental.step(table, store.read(), "c", lambda todo: asked.append(todo) or enrich.default_enrich(todo))
+        moved = re.findall(r"\) Exchange\nInput[^\n]*", plan_of(asked[0]) + plan_of(result.cache))
+        assert moved and not [line for line in moved if "content#" in line]  # keys and summaries only
+        assert "SortMergeJoin" not in plan_of(asked[0]) and asked[0].count() == 25 and result.cache.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def counting(spark, tmp_path):
@@ -174,11 +174,11 @@ def counting(spark, tmp_path):
     def calls():
         return sorted(f.read_text() for f in log.iterdir())
 
-    return (lambda rows: enrich.enrich(rows, make)), calls
+    return (lambda rows: enrich.enrich(rows, make)), calls, make
 
 
 def test_incremental_runs_call_only_for_changes(spark, tmp_path):
-    run, calls = counting(spark, tmp_path)
+    run, calls, _ = counting(spark, tmp_path)
     store = CacheStore(spark, str(tmp_path / "store"))
     first = {"a.py": ("python", "one"), "b.py": ("python", "two"), "c.py": ("python", "bad")}
     done = incremental.run_batch(documents(spark, first), store, "cfg", run).collect()
@@ -220,33 +220,94 @@ VERSIONS = [
 ]
 
 
+class Stream:
+    """A table of versions and the stream over it; ``put`` appends rows and runs the stream until it has seen them."""
+
+    def __init__(self, spark, folder, make, config="cfg"):
+        self.spark, self.folder, self.make, self.config = spark, folder, make, config
+
+    def put(self, *rows, columns=stream.VERSIONS):
+        if rows:
+            self.spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
+        versions = self.spark.readStream.schema(stream.VERSIONS).parquet(f"{self.folder}/versions")
+        query = stream.start(versions, f"{self.folder}/changes", self.config, f"{self.folder}/checkpoint", self.make)
+        assert query.awaitTermination(60) and query.exception() is None
+        return self.state()
+
+    def told(self):
+        return stream.told(self.spark, f"{self.folder}/changes")
+
+    def state(self):
+        return {r["file_path"]: json.loads(r["summary"])["description"] for r in stream.summaries(self.told()).collect()}
+
+
+def version(path, text, number, gone=False, repo="r"):
+    from datetime import datetime
+
+    return (repo, path, "python", text, datetime.fromtimestamp(number or 0), number, gone)
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
-    run, calls = counting(spark, tmp_path)
-    source, store = str(tmp_path / "versions"), CacheStore(spark, str(tmp_path / "store"))
+    run, calls, make = counting(spark, tmp_path)
+    flow = Stream(spark, str(tmp_path), make)
     for rows in VERSIONS:
-        batch = spark.createDataFrame(rows, "repo_id string, file_path string, language string, content string, version bigint, deleted boolean")
-        batch.withColumn("modification_time", F.timestamp_seconds("version")).coalesce(1).write.mode("append").parquet(source)
-        versions = spark.readStream.schema(stream.VERSIONS).parquet(source)
-        query = stream.start(versions, store, "cfg", str(tmp_path / "checkpoint"), run)
-        query.awaitTermination(120)
-        assert query.exception() is None
-    state = {(r["file_path"], json.loads(r["summary"])["description"], r["modification_time"].second) for r in store.read().collect()}
+        flow.put(*[version(p, text, n, gone) for _, p, _, text, n, gone in rows])
+    state = {(r["file_path"], json.loads(r["summary"])["description"], r["modification_time"].second) for r in stream.summaries(flow.told()).collect()}
     assert state == {("b.py", "TWO", 1), ("d.py", "FOUR", 5)}
     assert calls() == ["a.py", "b.py", "c.py", "d.py"]
     final = documents(spark, {"b.py": ("python", "two"), "d.py": ("python", "four")})
     other = CacheStore(spark, str(tmp_path / "other"))
     incremental.run_batch(final, other, "cfg", run)
     fields = ["file_path", "content_hash", "language", "summary"]
-    assert sorted(map(tuple, other.read().select(fields).collect())) == sorted(map(tuple, store.read().select(fields).collect()))
+    assert sorted(map(tuple, other.read().select(fields).collect())) == sorted(map(tuple, stream.summaries(flow.told()).select(fields).collect()))
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
-    run, calls = counting(spark, tmp_path)
-    store = CacheStore(spark, str(tmp_path / "store"))
-    rows = spark.createDataFrame([("r", "a.py", "python", "one", None, 1, False)], stream.VERSIONS)
-    stream.apply_versions(rows, store, "cfg", "q-0", run)
-    stream.apply_versions(rows, store, "cfg", "q-0", run)
-    assert calls() == ["a.py"] and store.read().count() == 1
+def test_late_versions_deletions_and_failures_of_a_stream(spark, tmp_path):
+    _, calls, make = counting(spark, tmp_path)
+    flow = Stream(spark, str(tmp_path), make)
+    assert flow.put(version("a.py", "new", 5), version("b.py", "x", 3), version("c.py", "bad", 1)) == {"a.py": "NEW", "b.py": "X"}
+    assert flow.put(version("a.py", "old", 2), version("b.py", "", 7, True)) == {"a.py": "NEW"}
+    assert flow.put(version("b.py", "late", 6), version("a.py", "new", 9)) == {"a.py": "NEW"}
+    assert flow.put(version("a.py", "between", 8), version("b.py", "back", 8)) == {"a.py": "NEW", "b.py": "BACK"}
+    assert [p for p in calls() if p != "c.py"] == ["a.py", "b.py", "b.py"] and calls().count("c.py") > 1  # asked again on a timer
+    assert flow.put(version("c.py", "good", 2)) == {"a.py": "NEW", "b.py": "BACK", "c.py": "GOOD"}
+    asked = len(calls())
+    assert flow.put(version("d.py", "", 1, True), version("a.py", "late", None)) == {"a.py": "NEW", "b.py": "BACK", "c.py": "GOOD"}
+    assert len(calls()) == asked  # no more retries, none for a deletion of what was never there or a row without a version
+    assert {(r["file_path"], r["error"]) for r in flow.told().where("error is not null").collect()} == {("c.py", "ValueError: cannot")}
+    assert {r["file_path"] for r in flow.told().where("removed").collect()} == {"b.py"}
+
+
+def test_replayed_versions_change_nothing(spark, tmp_path):
+    _, calls, make = counting(spark, tmp_path)
+    flow = Stream(spark, str(tmp_path), make)
+    flow.put(version("a.py", "one", 1))
+    flow.put()
+    flow.put(version("a.py", "one", 1), version("a.py", "other", 1))
+    assert calls() == ["a.py"] and flow.told().count() == 1
+
+
+def test_two_streams_and_a_new_configuration(spark, tmp_path):
+    _, calls, make = counting(spark, tmp_path)
+    one, two = (Stream(spark, str(tmp_path / n), make) for n in ("one", "two"))
+    one.put(version("a.py", "one", 1), version("b.py", "two", 4))
+    two.put(version("a.py", "later", 2), version("b.py", "", 3, True))
+    both = stream.summaries(stream.told(spark, f"{one.folder}/changes", f"{two.folder}/changes"))
+    assert {r["file_path"]: json.loads(r["summary"])["description"] for r in both.collect()} == {"a.py": "LATER", "b.py": "TWO"}
+    before = len(calls())
+    one.config = "cfg-2"
+    one.put(version("a.py", "one", 5))
+    assert len(calls()) == before + 1
+    assert {r["config_hash"] for r in summary_cache.current(stream.summaries(one.told()), "cfg-2").collect()} == {"cfg-2"}
+
+
+@pytest.mark.parametrize("answer", ['{"a": 1}', '{"error": "x"}', '{"error": null}', '{"error": {"a": [1]}}', "[1]", "oops", "", None, "1", '"x"', "null",
+                                    'so:\n```json\n{"a": "```"}\n```', "```\n[1]\n```", '```{"error": "e"}```', '{"error": ""}', '{"error": 5}'])
+def test_faults_of_answers_are_the_same_for_streams(spark, answer):
+    from arborlens.functions import structured
+
+    column = spark.createDataFrame([(answer,)], "a string").select(structured.parse_summary(F.col("a"), F.lit("p"))["error"]).first()[0]
+    assert structured.summary_fault(answer) == column
 
 
 def test_default_summary(spark):
@@ -259,7 +320,7 @@ def test_default_summary(spark):
 
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_enrichment_does_not_depend_on_partitions(spark, tmp_path, partitions):
-    run, calls = counting(spark, tmp_path)
+    run, calls, _ = counting(spark, tmp_path)
     docs = documents(spark, {f"f{i}": ("go", f"t{i}" if i % 3 else "bad") for i in range(20)}).repartition(partitions)
     rows = run(docs).collect()
     assert len(rows) == 20 and sum(r["error"] is not None for r in rows) == 7
