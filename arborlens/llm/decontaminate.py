@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.tables import hold
+from arborlens.llm.tables import free, hold, quoted
 from arborlens.operators.skew import settle
 
 WIDTH = 13
@@ -108,23 +108,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
 
 def drop_documents(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, as they are."""
-    bad = judged.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    """The documents that are not contaminated, as they are. The ids to drop are written first, so that their size is known."""
+    an_id, key = free(docs.columns, "judged_id", "judged_key")
+    bad = hold(judged.filter("contaminated").select("doc_id", "text_key").distinct().toDF(an_id, key), "contaminated")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(an_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
     return docs.join(bad, same, "left_anti")
 
 
 def cut_spans(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """All documents; the words that are hit are removed from their texts, with what follows each up to the next word."""
-    spots = judged.filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spots").alias("_spots")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
-    joined = settle(docs.join(spots, same, "left").drop("_id", "_key").withColumn(
-        "_words", F.when(F.col("_spots").isNotNull(), F.regexp_extract_all("text", F.lit(_ANY_WORD), F.lit(0)))).withColumn(
-        "_gaps", F.when(F.col("_spots").isNotNull(), F.split("text", _ANY_WORD))), "_words", "_gaps")
+    an_id, key, spots, of_text, gaps = free(docs.columns, "judged_id", "judged_key", "spots", "words", "gaps")
+    hits = judged.filter("n_hit > 0").select("doc_id", "text_key", "spots").distinct().toDF(an_id, key, spots)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(an_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+    cut = F.col(spots).isNotNull()
+    joined = docs.join(hits, same, "left").drop(an_id, key)
+    joined = settle(joined.withColumn(of_text, F.when(cut, F.regexp_extract_all("text", F.lit(_ANY_WORD), F.lit(0)))).withColumn(
+        gaps, F.when(cut, F.split("text", _ANY_WORD))), of_text, gaps)
 
     def kept(i: Column) -> Column:
-        hit = F.exists("_spots", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
-        return F.when(hit, F.lit("")).otherwise(F.concat(F.get("_words", i), F.get("_gaps", i + 1)))
+        hit = F.exists(spots, lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
+        return F.when(hit, F.lit("")).otherwise(F.concat(F.get(of_text, i), F.get(gaps, i + 1)))
 
-    rest = F.concat(F.get("_gaps", F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(0), F.size("_words") - 1), kept), ""))
-    return joined.withColumn("text", F.when(F.col("_spots").isNotNull(), rest).otherwise(F.col("text"))).select(*docs.columns)
+    rest = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(0), F.size(of_text) - 1), kept), ""))
+    return joined.withColumn("text", F.when(cut, rest).otherwise(F.col("text"))).select(*map(quoted, docs.columns))

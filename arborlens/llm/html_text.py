@@ -2,13 +2,15 @@
 
 A tokenizer and a tree builder with implied tags make a tree: a block ends an open paragraph, list items, cells, rows and
 options end their like, end tags without a start are ignored. Content that is not shown is left out: scripts, styles, the
-head, templates, comments, fallback content of media, and elements with ``hidden``, ``display:none`` or ``visibility:hidden``.
-Style sheets are not read.
+head, templates, comments, fallback content of media, closed dialogs, and elements with ``hidden``, ``display:none`` or
+``visibility:hidden``. Style sheets are not read.
 
-The tree is rendered in one walk without recursion, so that deep nesting is harmless. Blocks start a line, paragraphs,
+The places of open tags are kept by name, so that the work per tag does not grow with the depth, and the tree is rendered in one
+walk without recursion: deep nesting is harmless. Lines are indented for at most ``LEVELS`` lists and quotes around them, and
+tables within ``NESTED`` tables flow like other blocks, as each level would lay out all inner ones again. Blocks start a line, paragraphs,
 headings, lists and tables are set off by an empty line; ``br`` breaks a line, ``pre`` keeps its blanks; list items get their
 mark or number and their lines are indented; cells of a table stand below each other, two blanks apart, column and row
-spans included. A cell wider than ``WIDEST`` does not widen its column.
+spans included. A cell wider than ``WIDEST`` does not widen its column. Numbers in attributes beyond 32 bits count as absent.
 
 Defined results: null and empty pages give an empty text; unfinished tags and comments reach to the end; repeated rows give
 repeated results; extra columns are ignored; an empty table gives an empty result.
@@ -17,6 +19,7 @@ repeated results; extra columns are ignored; an empty table gives an empty resul
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDEST = 60
+LEVELS = 64
+NESTED = 16
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist rp".split())
 ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul""".split())
 CLOSES = {
@@ -44,6 +49,8 @@ BLOCKS = ENDS_P | frozenset("html body li dt dd tr caption legend option optgrou
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure hr".split())
 HEAD_CONTENT = frozenset("base link meta title style script template noscript".split())
 SCOPE = frozenset("html table td th caption button object template".split())
+_LAID_OUT = BLOCKS | frozenset("br menu td th textarea".split())
+_P, _TABLE, _ROWS = {"p"}, frozenset({"table"}), frozenset("tr tbody thead tfoot".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|"
@@ -63,7 +70,13 @@ class Node:
 
     def number(self, name: str, default: int) -> int:
         found = _NUMBER[name].search(self.attributes) if self.attributes else None
-        return int(found[1][:9]) if found else default
+        return int(found[1]) if found and len(found[1]) < 12 and -2**31 <= int(found[1]) < 2**31 else default
+
+
+def _attributes(text: str) -> Iterator[tuple[str, str]]:
+    """Names in lower case and values."""
+    for found in _ATTRIBUTE.finditer(text):
+        yield found[1].lower(), found[2] or found[3] or found[4] or ""
 
 
 def _hidden(attributes: str) -> bool:
@@ -71,89 +84,123 @@ def _hidden(attributes: str) -> bool:
     if not _MAYBE_HIDDEN.search(attributes) and "&" not in attributes:
         return False
     seen = set()
-    for found in _ATTRIBUTE.finditer(attributes):
-        name = found[1].lower()
+    for name, value in _attributes(attributes):
         if name == "hidden":
             return True
-        if name == "style" and name not in seen and _NOT_DISPLAYED.search(unescape(found[2] or found[3] or found[4] or "")):
+        if name == "style" and name not in seen and _NOT_DISPLAYED.search(unescape(value)):
             return True
         seen.add(name)
     return False
 
 
+class Open:
+    """The open elements from the root down, and where those of each name lie."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, low: int) -> None:
+        for node in self.stack[low:]:
+            self.places[node.tag].pop()
+        del self.stack[low:]
+
+    def last(self, tags) -> int:
+        """Place of the innermost of the tags; 0 if none is open."""
+        deepest = 0
+        for tag in tags:
+            places = self.places[tag]
+            if places and places[-1] > deepest:
+                deepest = places[-1]
+        return deepest
+
+    def close(self, tags: set[str], limit) -> None:
+        """End the outermost of the open ``tags`` above the innermost of ``limit``, as far as they follow each other."""
+        low = self.last(tags)
+        if low > self.last(limit):
+            while low > 1 and self.stack[low - 1].tag in tags:
+                low -= 1
+            self.cut(low)
+
+    def end(self, tag: str) -> None:
+        """End tag: the innermost of its name, if no guard lies within it."""
+        places = self.places.get(tag)
+        if places:
+            guard = _TABLE if tag in _ROWS else SCOPE if tag not in SCOPE else _TABLE - {tag}
+            if places[-1] > self.last(guard):
+                self.cut(places[-1])
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
-    stack = [root]
-
-    def close(tags: set[str], limit: set[str] | frozenset[str]) -> None:
-        """End the outermost of the open ``tags`` above the innermost of ``limit``."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in limit:
-                break
-            if stack[i].tag in tags:
-                low = i
-                while low > 1 and stack[low - 1].tag in tags:
-                    low -= 1
-                del stack[low:]
-                return
+    opened = Open(root)
+    stack, places, search, at = opened.stack, opened.places, _TOKEN.search, 0
 
     def text(start: int, end: int) -> None:
-        if start < end:
-            piece = page[start:end]
-            if stack[-1].tag == "head" and not piece.isspace():
-                stack.pop()
-            stack[-1].children.append(unescape(piece) if "&" in piece else piece)
+        piece = page[start:end]
+        if stack[-1].tag == "head" and not piece.isspace():
+            opened.cut(len(stack) - 1)
+        stack[-1].children.append(unescape(piece) if "&" in piece else piece)
 
-    at = 0
     while True:
-        found = _TOKEN.search(page, at)
+        found = search(page, at)
         if not found:
-            text(at, len(page))
+            if at < len(page):
+                text(at, len(page))
             return root
-        text(at, found.start())
-        at = found.end()
-        name = found[2] or found[5]
-        if name is None:
+        start, end = found.span()
+        if at < start:
+            text(at, start)
+        at = end
+        ends, name, attributes, ends_2, name_2, attributes_2 = found.groups("")
+        tag = (name or name_2).lower()
+        if not tag:
             continue
-        tag, attributes = name.lower(), found[3] or found[6] or ""
-        if found[1] or found[4]:
-            if tag == "br":
+        if ends or ends_2:
+            if stack[-1].tag == tag and len(stack) > 1:  # the usual case
+                if tag != "body":
+                    stack.pop()
+                    places[tag].pop()
+            elif tag == "br":
                 stack[-1].children.append(Node("br"))
             elif tag not in ("html", "body"):
-                guard = SCOPE if tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot") else {"table"} - {tag}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in guard:
-                        break
+                opened.end(tag)
             continue
         if tag == "html":
             continue
+        attributes = attributes or attributes_2
         if stack[-1].tag == "head" and tag not in HEAD_CONTENT:
-            stack.pop()
-        if tag in ENDS_P:
-            close({"p"}, SCOPE)
+            opened.cut(len(stack) - 1)
+        if tag in ENDS_P and places["p"]:
+            opened.close(_P, SCOPE)
         if tag in CLOSES:
-            close(*CLOSES[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            opened.close(*CLOSES[tag])
+            if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+                row = Node("tr")
+                stack[-1].children.append(row)
+                opened.push(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "use", "circle", "rect", "line"):
+        if tag in VOID or attributes and attributes.endswith("/") and tag in ("svg", "path", "use", "circle", "rect", "line"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            stop, at = (end.start(), end.end()) if end else (len(page), len(page))
+            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            stop, at = shut.span() if shut else (len(page), len(page))
             if tag == "textarea" and at > stop:
-                node.children.append(unescape(page[found.end():stop]))
+                node.children.append(unescape(page[end:stop]))
             continue
+        places[tag].append(len(stack))
         stack.append(node)
 
 
+_NONE = 1 << 60
+
+
 class Page:
     """Lines being laid out; an indentation may come with a mark for its first line."""
 
@@ -162,14 +209,34 @@ class Page:
         self.line: list[str] = []
         self.indents: list[str] = []
         self.marks: list[str | None] = []
+        self.unwritten = _NONE  # the outermost level whose mark is not written
         self.gap = False
         self.wants_blank = False
 
+    def indent(self, by: str, mark: str | None = None) -> None:
+        if mark is not None:
+            self.unwritten = min(self.unwritten, len(self.indents))
+        self.indents.append(by)
+        self.marks.append(mark)
+
+    def outdent(self) -> None:
+        self.indents.pop()
+        self.marks.pop()
+        if self.unwritten >= len(self.indents):
+            self.unwritten = _NONE
+
     def _lead(self) -> str:
-        out = []
-        for i, indent in enumerate(self.indents):
-            out.append(indent if self.marks[i] is None else self.marks[i])
+        """Indentation of a new line, with the marks that no line has had yet."""
+        if self.unwritten == _NONE:
+            return "".join(self.indents[:LEVELS])
+        out = self.indents[:min(self.unwritten, LEVELS)]
+        for i in range(self.unwritten, len(self.indents)):
+            if self.marks[i] is not None:
+                out.append(self.marks[i])
+            elif i < LEVELS:
+                out.append(self.indents[i])
             self.marks[i] = None
+        self.unwritten = _NONE
         return "".join(out)
 
     def _write(self, piece: str) -> None:
@@ -184,7 +251,8 @@ class Page:
         self.line.append(piece)
 
     def flow(self, piece: str) -> None:
-        words = _BLANKS.sub(" ", piece)
+        odd = "\n" in piece or "  " in piece or "\t" in piece or "\r" in piece or "\f" in piece
+        words = _BLANKS.sub(" ", piece) if odd else piece
         if words.startswith(" "):
             self.gap = True
         core = words.strip(" ")
@@ -247,7 +315,7 @@ def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
 
 def render(root: Node) -> str:
     """The visible text of a tree."""
-    pages, tables = [Page()], []  # tables: rows of the tables being laid out
+    pages, tables = [Page()], []  # tables: rows of the tables being laid out; null for those that flow
     counters: list[int | None] = []
     pre = 0
     work: list[tuple[Node | str, bool]] = [(root, True)]
@@ -261,6 +329,11 @@ def render(root: Node) -> str:
         if enter:
             if tag in UNSEEN or node.attributes and _hidden(node.attributes):
                 continue
+            if tag not in _LAID_OUT:
+                work.extend([(child, True) for child in reversed(node.children)])
+                continue
+            if tag == "dialog" and not any(name == "open" for name, _ in _attributes(node.attributes)):
+                continue
             if tag == "br":
                 page.end(force=True)
                 continue
@@ -274,26 +347,27 @@ def render(root: Node) -> str:
                     count = node.number("value", count)
                     counters[-1] = count + 1
                 mark = "- " if count is None else f"{count}. "
-                page.indents.append(" " * len(mark))
-                page.marks.append(mark)
+                page.indent(" " * len(mark), mark)
             elif tag in ("blockquote", "dd"):
-                page.indents.append("  ")
-                page.marks.append(None)
+                page.indent("  ")
             elif tag in ("pre", "textarea"):
                 pre += 1
             elif tag == "table":
-                tables.append([])
+                tables.append([] if len(tables) < NESTED else None)
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                if tables[-1] is None:
+                    page.end()
+                else:
+                    tables[-1].append([])
             elif tag in ("td", "th", "caption"):
-                if tables and (tag == "caption" or tables[-1]):
+                if tables and tables[-1] is not None and (tag == "caption" or tables[-1]):
                     pages.append(Page())
                 else:
                     page.flow(" ")
             work.append((node, False))
             work.extend((child, True) for child in reversed(node.children))
             continue
-        if tag in ("td", "th", "caption") and len(pages) > 1 and tables and (tag == "caption" or tables[-1]):
+        if tag in ("td", "th", "caption") and len(pages) > 1 and tables and tables[-1] is not None and (tag == "caption" or tables[-1]):
             cell = pages.pop().text()
             if tag == "caption":
                 pages[-1].block(cell.split("\n") if cell else [])
@@ -301,13 +375,12 @@ def render(root: Node) -> str:
                 tables[-1][-1].append((cell, min(max(node.number("colspan", 1), 1), 1000), min(max(node.number("rowspan", 1), 1), 65534)))
             continue
         if tag == "table":
-            page.block(_table(tables.pop()))
+            page.block(_table(tables.pop() or []))
         elif tag in ("ul", "ol", "menu"):
             counters.pop()
         elif tag in ("li", "blockquote", "dd") and page.indents:
             page.end()
-            page.indents.pop()
-            page.marks.pop()
+            page.outdent()
         elif tag in ("pre", "textarea"):
             pre -= 1
         if tag in BLOCKS:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from arborlens.llm.components import components, merge
 from arborlens.llm.shingles import mix, sets_of
-from arborlens.llm.tables import hold
+from arborlens.llm.tables import free, hold
 
 TREES = 16
 DEPTH = 8
@@ -418,12 +418,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row of each group, that with the smallest id (null last); all rows without words but repeated ones with an id."""
-    rows = grouped(docs, percent).filter("group is not null").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
-    firsts = rows.groupBy("group").agg(F.min("rank").alias("first"))
-    copies = hold(rows.join(firsts, "group").filter(F.col("rank") != F.col("first")).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "copies")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    rest = docs.join(copies, same, "left_anti")
-    lone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return rest.filter(~lone).withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key").union(rest.filter(lone))
+    """One row of each group, that with the smallest id (null last); all rows without words but repeated ones with an id.
+
+    The marks are written first, so that their size is known: where they are few, no text moves. Of repeated rows only
+    their own texts meet.
+    """
+    rows = grouped(docs, percent)
+    ranked = rows.filter("group is not null").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    firsts = ranked.groupBy("group").agg(F.min("rank").alias("first"))
+    copies = ranked.join(firsts, "group").filter(F.col("rank") != F.col("first")).select("doc_id", "text_key", F.lit(True).alias("copy")).distinct()
+    repeated = rows.filter("doc_id is not null or group is not null").groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_key", F.lit(False).alias("copy"))
+    names = free(docs.columns, "marked_id", "marked_key", "copy", "key")
+    an_id, a_key, copy, key = names
+    marks = hold(copies.union(repeated).groupBy("doc_id", "text_key").agg(F.max("copy").alias("copy")).toDF(an_id, a_key, copy), "marks")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(an_id)) & (text_key() == F.col(a_key))
+    marked = docs.join(marks, same, "left").withColumn(key, text_key())
+    once = marked.filter(~F.col(copy)).dropDuplicates(["doc_id", key])
+    return marked.filter(F.col(copy).isNull()).union(once).drop(*names)

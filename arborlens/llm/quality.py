@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlens.llm.tables import quoted
+
 SAMPLE = 20_000
 TREES = 60
 DEPTH = 4
@@ -150,11 +152,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees fitted to labelled rows outside the held-out third; ``sample`` bounds how many."""
+    """Trees fitted to labelled rows outside the held-out third; ``sample`` bounds how many labels, and how many rows with them."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("label", "text")
-    table = rows.mapInArrow(_measure, "x array<double>, label int").toArrow()
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = texts.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_measure, "x array<double>, label int")
+    # A labelled id may stand in very many rows; the driver gets no more than the sample.
+    table = rows.orderBy(F.xxhash64("x", "label"), "label", "x").limit(sample).toArrow()
     x = np.array(table["x"].to_pylist(), float).reshape(-1, len(NAMES))
     y = np.array(table["label"].to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the rows come in any order
@@ -163,8 +167,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def score(docs: DataFrame, trees: Trees, columns: list[str]) -> DataFrame:
     """The given columns of the documents with ``score``."""
+    return _scored(docs, trees, columns).toDF(*columns, "score")
+
+
+def keep(docs: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame:
+    """The documents with a score of at least ``least``, as they are; a column may be named ``score``, too."""
+    return _scored(docs, trees, docs.columns).filter(F.col("_score") >= least).drop("_score").toDF(*docs.columns)
+
+
+def _scored(docs: DataFrame, trees: Trees, columns: list[str]) -> DataFrame:
     names = [f"_{i}" for i in range(len(columns))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(columns, names)], F.col("text").cast("string").alias("_text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +185,7 @@ def score(docs: DataFrame, trees: Trees, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(trees.score(x))], names=[*names, "_score"])
 
     schema = rows.drop("_text").withColumn("_score", F.lit(0.0)).schema
-    return rows.mapInArrow(judge, schema).toDF(*columns, "score")
+    return rows.mapInArrow(judge, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text is cut before every single blank that stands between two other characters. The two kinds of tokenizers known here
 (``_kind``) never join characters across such a place, so the ids of a text are those of its parts, one after the other.
-Parts are remembered. A new part of Latin letters and signs goes to the library's model directly, others to the whole
-tokenizer. With any other kind of tokenizer, texts are encoded as they are.
+Parts are remembered. A new part of Latin letters, also when lower-cased, and signs goes to the library's model directly,
+others to the whole tokenizer. With any other kind of tokenizer, texts are encoded as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ _LINES = re.compile(r"\S+(?:\n\S+)+")
 _BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"  # besides the blank and the line feed
 _WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _FINER = re.compile(r"(?<=\S)(?=\s\S)")
-_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_WORD = re.compile(f"[{_LETTERS}]+")
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
 
 # The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -104,7 +106,9 @@ class Encoder:
 
     def part(self, lead: str, part: str) -> bytes:
         simple = _SIMPLE.fullmatch(part)
-        if simple and not (self._offsets and self._by == "lower"):
+        if simple and self._by == "lower" and (self._offsets or not _WORD.fullmatch(simple[1].lower())):
+            simple = None  # lower-casing made something else than letters, which is cut by the library's rules
+        if simple:
             word, signs = simple.groups()
             if not signs:
                 return self._word(lead + word)

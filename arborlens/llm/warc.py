@@ -1,8 +1,9 @@
 """WARC derivatives: for each response record a linked metadata record and a plain-text conversion record.
 
-Both refer to the response by ``WARC-Refers-To`` and carry its target, date and payload digest. The metadata record
-(``application/warc-fields``) preserves the source's HTTP status and headers and its digests, as they came; the conversion
-record (``text/plain``) holds the text of an HTML or text payload. Digests are SHA-1 in base 32, new for the new blocks; a
+Both refer to the response by ``WARC-Refers-To`` and carry its target, date and payload digest (as
+``WARC-Refers-To-Payload-Digest``, if it has one). The metadata record (``application/warc-fields``) preserves the source's HTTP
+status and headers, and all headers of its record as ``source-<name>``, in their order, repeated ones each; the conversion record
+(``text/plain``) holds the visible text of an HTML payload, laid out by ``html_text``, or a text payload. Digests are SHA-1 in base 32, new for the new blocks; a
 source digest that does not fit its block is reported as ``digest-fits: no`` in the metadata.
 
 Records are read from and written to files with one gzip member per record, by tasks that hold one record at a time. A file is
@@ -23,7 +24,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from html import unescape
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,35 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlens.llm.html_text import visible_text
 from arborlens.llm.tables import hold
 
 FILE_BYTES = 1 << 26
 DATE = "1970-01-01T00:00:00Z"  # of records made from pages, which carry no date
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
 
-_NOT_SHOWN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)", re.S | re.I)
-# What is left of a head after that: a text or any tag that cannot be in it ends it.
-_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?:\s+|<(?:meta|link|base|!)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</(?!head|body|html)[^>]*>)*+(?:</head\s*>)?", re.I)
-_BREAKS = re.compile(
-    r"</?(?:p|div|br|li|ul|ol|menu|dir|tr|table|thead|tbody|tfoot|h[1-6]|hgroup|section|article|header|footer|nav|main|aside|address|search|"
-    r"figure|figcaption|form|fieldset|legend|details|summary|dialog|center|caption|option|optgroup|select|textarea|pre|blockquote|hr|dl|dt|dd|body)"
-    r"(?=[\s/>])[^>]*>", re.I)
-_CELL = re.compile(r"</?(?:td|th)(?=[\s/>])[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plain_text(html: str) -> str:
-    """The text of a page, a line for each block."""
-    shown = _HEAD.sub(" ", _NOT_SHOWN.sub(" ", html))
-    text = _TAG.sub("", _CELL.sub(" ", _BREAKS.sub("\n", shown.replace("\n", " "))))
-    text = unescape(text).replace("\t", " ").replace("\r", " ").replace("\f", " ")
-    return "\n".join(filter(None, [" ".join(filter(None, line.split(" "))) for line in text.split("\n")]))
-
-
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))])
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -81,22 +64,25 @@ def response(page_id: int | None, url: str | None, html: str | None) -> bytes:
         ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case, continued lines joined) and block of a record."""
+def parse(raw: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers in their order (names in lower case, continued lines joined, repeated ones each) and block of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    headers: dict[str, str] = {}
-    name = ""
+    headers: list[tuple[str, str]] = []
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-        if line[:1] in (" ", "\t") and name:
-            headers[name] += " " + line.strip()
+        if line[:1] in (" ", "\t") and headers:
+            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
         elif ":" in line:
             name, _, value = line.partition(":")
-            name = name.strip().lower()
-            headers[name] = value.strip()
-    length = headers.get("content-length", "")
+            headers.append((name.strip().lower(), value.strip()))
+    length = first(headers, "content-length") or ""
     return headers, rest[:int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
 
 
+def first(headers: list[tuple[str, str]], name: str) -> str | None:
+    """The first header of a name."""
+    return next((v for k, v in headers if k == name), None)
+
+
 def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload; all is payload if there is no HTTP head."""
     head, mark, payload = block.partition(b"\r\n\r\n")
@@ -110,19 +96,21 @@ def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 def derive(raw: bytes) -> list[bytes]:
     """The derivatives of a record; none if it is not a response."""
     source, block = parse(raw)
-    if source.get("warc-type") != "response":
+    if first(source, "warc-type") != "response":
         return []
     status, headers, payload = _http(block)
-    linked = [("WARC-Refers-To", source.get("warc-record-id", "")), ("WARC-Date", source.get("warc-date", DATE)),
-              ("WARC-Target-URI", source.get("warc-target-uri", ""))]
-    fits = source.get("warc-block-digest") in (None, digest(block)) and source.get("warc-payload-digest") in (None, digest(payload))
-    fields = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in headers),
-              *((f"source-{k}", source[k]) for k in ("warc-payload-digest", "warc-block-digest", "content-type", "content-length") if k in source),
+    name, whole, part = (first(source, x) for x in ("warc-record-id", "warc-block-digest", "warc-payload-digest"))
+    linked = [("WARC-Refers-To", name or ""), ("WARC-Date", first(source, "warc-date") or DATE),
+              ("WARC-Target-URI", first(source, "warc-target-uri") or "")]
+    if part is not None:
+        linked.append(("WARC-Refers-To-Payload-Digest", part))
+    fits = whole in (None, digest(block)) and part in (None, digest(payload))
+    fields = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in headers), *((f"source-{k}", v) for k, v in source),
               ("digest-fits", "yes" if fits else "no")]
 
     def made(kind: str, media: str, body: bytes) -> bytes:
-        name = uuid.uuid5(_NAMES, f"{kind} {source.get('warc-record-id', '')} {digest(body)}")
-        return record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), *linked,
+        own = uuid.uuid5(_NAMES, f"{kind} {name or ''} {digest(body)}")
+        return record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{own}>"), *linked,
                        ("WARC-Block-Digest", digest(body)), ("Content-Type", media)], body)
 
     out = [made("metadata", "application/warc-fields", "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields).encode())]
@@ -133,7 +121,7 @@ def derive(raw: bytes) -> list[bytes]:
             text = payload.decode(charset[1] if charset else "utf-8", "replace")
         except LookupError:
             text = payload.decode("utf-8", "replace")
-        out.append(made("conversion", "text/plain; charset=utf-8", (plain_text(text) if "html" in media else text).encode("utf-8", "replace")))
+        out.append(made("conversion", "text/plain; charset=utf-8", (visible_text(text) if "html" in media else text).encode("utf-8", "replace")))
     return out
 
 
@@ -247,7 +235,7 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for raw in batch.column(0):
             headers, block = parse(raw.as_py())
-            rows.append((*(headers.get(k) for k in keys), len(block), headers.get("warc-block-digest"), block.decode("utf-8", "replace")))
+            rows.append((*(first(headers, k) for k in keys), len(block), first(headers, "warc-block-digest"), block.decode("utf-8", "replace")))
         columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64() if n == "content_length" else pa.large_string() if n == "block" else pa.string())

@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_stages(spark):
-    docs = given(spark, SF, "documents").withColumn("extra", F.lit("x"))
+    docs = given(spark, SF, "documents")
+    for name in ("score", "_score", "_id", "_key", "_spots", "_words", "_gaps", "group", "copy", "key", "marked_id", "judged_id", "judged_key", "spots", "a.b", "label", "_0"):
+        docs = docs.withColumn(name, F.lit(name))
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = hold(stage(spark, docs, SF), name)
@@ -26,6 +28,8 @@ def test_stages(spark):
             assert kept == {r.component_id for r in groups.collect()} and kept < ids
         else:
             judged = decontaminate.contamination(docs, given(spark, SF, "benchmark"))
+            cut = decontaminate.cut_spans(docs, judged)
+            assert cut.columns == columns and cut.select("judged_id", "spots", "_gaps").distinct().collect() == [("judged_id", "spots", "_gaps")]
             assert ids - kept == {r.doc_id for r in judged.filter("contaminated").collect()}
         assert after.exceptAll(docs).count() == 0
         docs = after
