@@ -48,5 +48,5 @@ def settle(rows: DataFrame, *names: str) -> DataFrame:
     Spark moves a filter below the projection it refers to by copying the
     projected expression into it. It does not move one below a generator.
     """
-    keep = [c for c in rows.columns if c not in names]
+    keep = [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns if c not in names]
     return rows.select(*keep, F.inline(F.array(F.struct(*names))))

@@ -4,7 +4,7 @@ Each stage reads what the one before has written. All but the last return whole
 returns the packed pieces. The quality stage drops documents with a score below one half; the near-duplicate stage keeps
 the one with the smallest id of each group, where each row stands for its own text, also if its id is null or has other texts
 (repeated rows count as copies, but rows with neither id nor words do not); the decontamination stage drops
-contaminated documents and leaves all others as they are. Columns beyond ``doc_id`` and ``text`` pass through. Empty tables
+contaminated documents and leaves all others as they are. Columns beyond ``doc_id`` and ``text`` pass through, whatever their names. Empty tables
 stay empty.
 """
 
@@ -19,9 +19,7 @@ from arborlens.llm.tables import given, hold
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    trees = quality.train(docs, given(spark, sf_dir, "labels"))
-    scored = quality.score(docs, trees, docs.columns)
-    return scored.filter(scored[scored.columns[-1]] >= 0.5).select(*docs.columns)
+    return quality.keep(docs, quality.train(docs, given(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
