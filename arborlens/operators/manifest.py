@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
-from arborlens.operators.skew import join_per_key
 
 
 def inside(resolved: Column, root: Column) -> Column:
@@ -12,50 +11,32 @@ def inside(resolved: Column, root: Column) -> Column:
     return (resolved == root) | F.startswith(resolved, F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))
 
 
-def link_reason(root: Column) -> Column:
-    """Why a link of a listing is left out; null for other rows and for file links that stay inside.
+def judge_links(listing: DataFrame, tops: DataFrame) -> DataFrame:
+    """Rows of a listing with ``reason_code`` and ``pruned_dir`` after the verdicts on links.
 
-    Links to directories are not followed: what they show has a name of its own
-    inside the root.
+    ``tops`` holds ``repo_id`` and the real path of its root. A link is broken,
+    leads outside, or, to a directory, shows what has another name: a real
+    directory that is reached (listed and not pruned), or a link before it by
+    name. Links to files inside stay, and links to directories that are reached
+    by no other name; nothing is followed. Only links are looked up, each
+    by its target among the directories; rows pruned before stay as they are.
     """
+    open_rows = F.col("pruned_dir").isNull()
+    links = listing.where(F.col("is_link")).join(tops.toDF("repo_id", "_top"), "repo_id", "left")
     gone = ~F.col("is_dir") & F.col("length").isNull()
-    return F.when(
-        F.col("is_link"),
-        F.when(gone, V.LINK_BROKEN)
-        .when(~inside(F.col("resolved_path"), root), V.LINK_OUTSIDE)
-        .when(F.col("is_dir"), V.LINK_DUPLICATE),
-    )
-
-
-def reject_links(judged: DataFrame, tops: DataFrame) -> DataFrame:
-    """Judged rows of a listing with the verdicts on links; ``tops`` holds ``repo_id`` and the real path of its root.
-
-    Directories follow the rules of names first, files their links first. Nothing
-    below a pruned directory is judged again.
-    """
-    reason = link_reason(F.col("_top"))
-    fresh = F.col("pruned_dir").isNull() & reason.isNotNull()
-    return judged.join(tops.toDF("repo_id", "_top"), "repo_id", "left").withColumns({
+    within = inside(F.col("resolved_path"), F.col("_top"))
+    reached = listing.where(F.col("is_dir") & ~F.col("is_link") & open_rows).select(
+        "repo_id", "resolved_path", F.lit(True).alias("_reached"))
+    # Directories that the rules of names reject take no target away from others.
+    first = links.where(F.col("is_dir") & open_rows & F.col("reason_code").isNull()).groupBy("repo_id", "resolved_path").agg(
+        F.min("relative_path").alias("_first"))
+    looked = links.join(reached, ["repo_id", "resolved_path"], "left").join(first, ["repo_id", "resolved_path"], "left")
+    taken = F.col("_reached") | (F.col("resolved_path") == F.col("_top")) | (F.col("_first") != F.col("relative_path"))
+    # Directories follow the rules of names first, files their links first.
+    reason = F.when(gone, V.LINK_BROKEN).when(~within, V.LINK_OUTSIDE).when(F.col("is_dir") & F.coalesce(taken, F.lit(False)), V.LINK_DUPLICATE)
+    fresh = open_rows & reason.isNotNull()
+    judged = looked.withColumns({
         "reason_code": F.when(fresh, reason).otherwise(F.col("reason_code")),
         "pruned_dir": F.when(fresh & F.col("is_dir"), F.col("relative_path")).otherwise(F.col("pruned_dir")),
-    }).drop("_top")
-
-
-def judge_links(manifest: DataFrame, root: Column) -> DataFrame:
-    """Add ``reason_code``: null for the one row that stands for its target.
-
-    Real names win over links, then the first name. The winner of a target is
-    found with a partial aggregate; a target that very many links share is
-    joined back in salted buckets.
-    """
-    rank = F.struct("is_link", "relative_path")
-    targets = manifest.groupBy("repo_id", "resolved_path").agg(F.min(rank).alias("_first"))
-    joined = join_per_key(
-        manifest, targets, ["repo_id", "resolved_path"], ["relative_path"], "inner"
-    )
-    reason = (
-        F.when(~inside(F.col("resolved_path"), root), V.LINK_OUTSIDE)
-        .when(F.col("_first.is_link"), V.LINK_BROKEN)
-        .when(F.col("_first.relative_path") != F.col("relative_path"), V.LINK_DUPLICATE)
-    )
-    return joined.withColumn("reason_code", reason).drop("_first")
+    })
+    return listing.where(~F.col("is_link")).unionByName(judged.select(*listing.columns))

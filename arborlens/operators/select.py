@@ -1,15 +1,21 @@
 """File selection: directory pruning, the rule chain, content checks, outcomes."""
 
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborlens import fixed_values as V
 from arborlens.functions import content as C
 from arborlens.functions import ignore, language, paths, rules
-from arborlens.operators.skew import join_per_key, settle
+from arborlens.operators.skew import settle
 
 COMPLETED, SKIPPED = "completed", "skipped"
 STAGES = ("directory", "filter", "binary", "load")
+ROWS_PER_TASK = 200_000
 
 
 def with_path_parts(files: DataFrame) -> DataFrame:
@@ -36,18 +42,48 @@ def with_metadata(files: DataFrame, content: str = "content") -> DataFrame:
     })
 
 
-def with_rule_table(files: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Add ``_rules``: the ignore rules of the file's repository, in file order.
+def with_ignore_verdicts(files: DataFrame, lines: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add ``_ignored_dir`` (topmost ignored directory) and ``_ignored`` by the ignore lines of each repository.
 
-    An ignore file is one small text, so a repository's rules fit one row.
+    ``lines`` holds ``repo_id, ord, pattern``. Files are dealt by directory to as
+    many tasks as the largest repository asks for, each of which gets the lines,
+    one small text, compiles them once and judges its paths in order.
     """
-    per_repo = rule_table.groupBy("repo_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ord", "regex", "ignored"))),
-            lambda r: F.struct(r["regex"].alias("regex"), r["ignored"].alias("ignored")),
-        ).alias("_rules")
-    )
-    return join_per_key(files, per_repo, ["repo_id"], ["relative_path"])
+    n = files.groupBy("repo_id").count().agg(F.max("count")).first()[0] or 0
+    spread = max(1, -(-n // rows_per_task))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "pattern"))), lambda r: r["pattern"])
+    dealt = files.withColumn("_task", F.pmod(F.xxhash64(paths.parent(F.col("relative_path"))), F.lit(spread))).withColumn(
+        "_lines", F.lit(None).cast("array<string>"))
+    rules = lines.groupBy("repo_id").agg(texts.alias("_lines")).withColumn(
+        "_task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
+    both = dealt.unionByName(rules, allowMissingColumns=True).repartition("repo_id", "_task").sortWithinPartitions(
+        "repo_id", "_task", F.col("_lines").isNull(), "relative_path")
+    columns = files.columns
+    is_dir = "is_dir" in columns
+
+    def judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, matcher = object(), None
+        for batch in batches:
+            top, own = [], []
+            names = zip(*(batch.column(c).to_pylist() for c in ("repo_id", "relative_path", "_lines")),
+                        batch.column("is_dir").to_pylist() if is_dir else repeat(False))
+            for key, path, text, folder in names:
+                if text is not None or key != repo:
+                    repo, matcher = key, ignore.Matcher(text) if text is not None else None
+                if matcher is None or text is not None:
+                    top.append(None)
+                    own.append(False)
+                else:
+                    top.append(matcher.directory(path if folder else path.rpartition("/")[0]).ignored_dir)
+                    own.append(matcher.ignored(path))
+            out = pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.array(top, pa.string()), pa.array(own, pa.bool_())],
+                names=[*columns, "_ignored_dir", "_ignored"])
+            yield out.filter(batch.column("_lines").is_null())
+
+    schema = T.StructType([*files.schema.fields, T.StructField("_ignored_dir", T.StringType()), T.StructField("_ignored", T.BooleanType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    return both.mapInArrow(judge_rows, schema)
 
 
 def judge(files: DataFrame, include=None, exclude=None, max_kb: int | None = V.DEFAULT_MAX_KB,
@@ -57,16 +93,13 @@ def judge(files: DataFrame, include=None, exclude=None, max_kb: int | None = V.D
     A directory's verdict depends on its path alone, so every file works out
     the fate of its own ancestors: pruning needs no shuffle and no join. Rows of
     directories (``is_dir``) are judged as such and are never kept as files.
-    ``ignore_rules`` is a list for all repositories, or a table
-    ``(repo_id, ord, regex, ignored)``.
+    ``ignore_rules`` is a list for all repositories, or a table of lines
+    ``(repo_id, ord, pattern)``, for which names are dealt by directory.
     """
     rules.check_limit(max_kb)
-    verdict = None
-    if isinstance(ignore_rules, DataFrame):
-        files = with_rule_table(files, ignore_rules)
-
-        def verdict(p):
-            return ignore.ignored_by_column(p, F.col("_rules"))
+    verdict, by_table = None, isinstance(ignore_rules, DataFrame)
+    if by_table:
+        files = with_ignore_verdicts(files, ignore_rules)
     elif ignore_rules:
         def verdict(p):
             return ignore.ignored_by(p, ignore_rules)
@@ -97,12 +130,16 @@ def judge(files: DataFrame, include=None, exclude=None, max_kb: int | None = V.D
     )
     if verdict is not None:
         own = F.coalesce(own, F.when(verdict(path), V.GITIGNORED))
-    reason = F.when(
+    top, by_lines = F.col("_top.dir"), F.lit(False)
+    if by_table:
+        # Of two rejected directories above a path the shorter one is the topmost.
+        own = F.coalesce(own, F.when(F.col("_ignored"), V.GITIGNORED))
+        by_lines = F.col("_ignored_dir").isNotNull() & (top.isNull() | (F.length("_ignored_dir") < F.length(top)))
+        top = F.when(by_lines, F.col("_ignored_dir")).otherwise(top)
+    reason = F.when(by_lines, V.GITIGNORED).when(
         F.col("_top").isNotNull(), directory_reason(F.col("_top.dir"), F.col("_top.normal"))
     ).otherwise(own)
-    judged = files.withColumns({
-        "pruned_dir": F.col("_top.dir"), "reason_code": reason,
-    }).drop("_normal", "_top", "_rules")
+    judged = files.withColumns({"pruned_dir": top, "reason_code": reason}).drop("_normal", "_top", "_ignored_dir", "_ignored")
     return settle(judged, "pruned_dir", "reason_code")
 
 

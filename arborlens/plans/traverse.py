@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
 from arborlens.operators import manifest, report, select
-from arborlens.session import shared_folder
 from arborlens.sources import corpus, ignore_files
 
 
@@ -40,27 +39,25 @@ def traverse(files: DataFrame, include=None, exclude=None, max_kb: int | None =
     return Traversal(judged, select.load(judged, max_kb, error=error))
 
 
-def traverse_folders(spark: SparkSession, roots: dict[str, str], include=None, exclude=None,
+def traverse_folders(spark: SparkSession, roots: dict[str, str] | DataFrame, include=None, exclude=None,
                      max_kb: int | None = V.DEFAULT_MAX_KB, respect_ignore_files: bool = False,
                      partitions: int | None = None) -> Traversal:
     """List the roots, judge names and sizes, and read only what is kept."""
-    rules = None
-    if respect_ignore_files:
-        names = spark.createDataFrame(sorted(roots.items()), "repo_id string, root string")
-        rules = ignore_files.rule_table(ignore_files.rule_lines(names))
+    if isinstance(roots, dict):
+        roots = spark.createDataFrame(sorted(roots.items()), "repo_id string, root string")
+    lines = ignore_files.rule_lines(roots) if respect_ignore_files else None
+
+    def judge(files: DataFrame) -> DataFrame:
+        return select.judge(files, include, exclude, max_kb, lines)
+
     # Without include patterns nothing can bring an ignored directory back, so
-    # the walk need not open it.
+    # no task need open it; with them, the verdict on each directory decides.
     closed = () if include else tuple(d for d in V.IGNORED_DIRS if "/" not in d and "*" not in d)
-    listing = corpus.scan(spark, roots, closed=closed)
     # The walk is done once and held: names only, and every later step sees the
     # same files even if the trees change meanwhile.
-    shared_folder(spark)
-    tops = spark.createDataFrame(
-        [(repo, corpus.real_root(root)) for repo, root in sorted(roots.items())], "repo_id string, top string"
-    )
-    judged = manifest.reject_links(
-        select.judge(listing, include, exclude, max_kb, rules), tops
-    ).checkpoint()
+    listing = corpus.scan(spark, roots, closed=closed, judge=judge)
+    tops = roots.select("repo_id", corpus.real_roots("root").alias("top"))
+    judged = manifest.judge_links(judge(listing).checkpoint(), tops).checkpoint()
     wanted = (
         F.col("reason_code").isNull() & F.col("pruned_dir").isNull() & ~F.col("is_dir")
     )

@@ -5,16 +5,18 @@ source lists every name. It lists only; content is read later by
 :func:`read_content`, for the files that the rules keep.
 """
 
-import json
 import os
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from arborlens.fixed_values import PERMISSION_ERROR
+from arborlens.session import shared_folder
 
 LISTING = (
     "repo_id string, root string, relative_path string, length bigint, "
@@ -22,13 +24,13 @@ LISTING = (
 )
 ROWS_PER_BATCH = 4096
 BYTES_PER_BATCH = 16 * 1024 * 1024
-# Units of work per core; the driver opens no more directories than units.
 UNITS_PER_CORE = 3
+BUDGET = 4096  # names that a task lists from one directory of a round before it leaves the rest to the next
 
 _ARROW = pa.schema([
     ("repo_id", pa.string()), ("root", pa.string()), ("relative_path", pa.string()),
     ("length", pa.int64()), ("modification_time", pa.timestamp("us", tz="UTC")),
-    ("is_dir", pa.bool_()), ("is_link", pa.bool_()), ("resolved_path", pa.string()),
+    ("is_dir", pa.bool_()), ("is_link", pa.bool_()), ("resolved_path", pa.string()), ("unopened", pa.bool_()),
 ])
 
 
@@ -50,123 +52,107 @@ def real_root(path: str) -> str:
     return _printable(os.path.realpath(local_path(path)))
 
 
-class Unit(InputPartition):
-    """Directories of one or more roots, each with or without its subdirectories."""
-
-    def __init__(self, parts: list[tuple[str, str, str, bool]]):
-        super().__init__(0)
-        self.parts = parts
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.roots = [(r, local_path(p)) for r, p in json.loads(options["roots"])]
-        self.units = int(options["units"])
-        self.closed = set(json.loads(options.get("closed", "[]")))
-
-    def _subdirectories(self, root: str, below: str) -> list[str]:
-        found = []
-        with os.scandir(os.path.join(root, below)) as entries:
-            for entry in entries:
-                if entry.is_dir(follow_symlinks=False) and entry.name not in self.closed:
-                    found.append(os.path.join(below, entry.name))
-        return sorted(found)
-
-    def partitions(self) -> list[Unit]:
-        """Split the trees from the top until there are enough units of work.
-
-        The driver opens at most ``units`` directories; everything below is
-        listed by the tasks.
-        """
-        for _, root in self.roots:
-            if not os.path.isdir(root):
-                raise FileNotFoundError(f"Folder not found: {root}")
-        open_units = [(repo, root, "", True) for repo, root in self.roots]
-        split, opened = [], 0
-        while open_units and opened < self.units and len(open_units) + len(split) < self.units:
-            repo, root, below, _ = open_units.pop(0)
-            opened += 1
-            children = self._subdirectories(root, below)
-            split.append((repo, root, below, False))
-            open_units.extend((repo, root, child, True) for child in children)
-        work = split + open_units
-        count = max(1, min(self.units, len(work)))
-        return [Unit(work[i::count]) for i in range(count)]
-
-    def read(self, partition: Unit) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for repo, root, below, deep in partition.parts:
-            real_root = os.path.realpath(root)
-            stack = [below]
-            while stack:
-                current = stack.pop()
-                with os.scandir(os.path.join(root, current)) as entries:
-                    for entry in entries:
-                        row = self._row(repo, root, real_root, current, entry)
+def real_roots(root: str) -> Column:
+    """The same for a column of roots, worked out by the tasks."""
+    def resolved(roots: pd.Series) -> pd.Series:
+        return roots.map(real_root)
+
+    return F.pandas_udf(resolved, "string")(root)
+
+
+def _row(repo, root, real, current, entry):
+    link = entry.is_symlink()
+    folder = entry.is_dir()
+    target = os.path.realpath(entry.path) if link else os.path.join(real, current, entry.name)
+    if not (link and not os.path.exists(target)) and not folder and not entry.is_file():
+        return None  # neither a regular file nor a directory
+    try:
+        stat = entry.stat()
+        size, changed = stat.st_size, int(stat.st_mtime * 1_000_000)
+    except OSError:
+        size, changed = None, None
+    relative = os.path.join(current, entry.name).replace("\\", "/")
+    return [repo, root, _printable(relative), None if folder else size, changed, folder, link, _printable(target), False]
+
+
+def _listed(directory: str, is_root: bool) -> list[os.DirEntry]:
+    """What lies in a directory; nothing if it cannot be opened."""
+    try:
+        with os.scandir(directory) as entries:
+            return list(entries)
+    except OSError as problem:
+        if is_root:
+            raise FileNotFoundError(f"Folder not found: {directory}") from problem
+        return []
+
+
+def _walker(closed: frozenset[str], budget: int):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for repo, root, below in zip(*(c.to_pylist() for c in batch.columns)):
+                root = local_path(root)
+                real, rows, opened = os.path.realpath(root), [], 0
+                todo = deque([(below, None)])
+                while todo:
+                    current, own = todo.popleft()
+                    if opened >= budget:
+                        own[8] = True  # left for the next round
+                        continue
+                    found = _listed(os.path.join(root, current), not current)
+                    opened += len(found) + 1
+                    for entry in found:
+                        row = _row(repo, root, real, current, entry)
                         if row is None:
                             continue
                         rows.append(row)
                         # Links are listed, not followed.
-                        if deep and row[5] and not row[6] and entry.name not in self.closed:
-                            stack.append(os.path.join(current, entry.name))
-                        if len(rows) >= ROWS_PER_BATCH:
-                            yield _batch(rows)
-                            rows = []
-        if rows:
-            yield _batch(rows)
-
-    @staticmethod
-    def _row(repo, root, real_root, current, entry):
-        link = entry.is_symlink()
-        folder = entry.is_dir()
-        target = os.path.realpath(entry.path) if link else os.path.join(real_root, current, entry.name)
-        if not (link and not os.path.exists(target)) and not folder and not entry.is_file():
-            return None  # neither a regular file nor a directory
-        try:
-            stat = entry.stat()
-            size, changed = stat.st_size, int(stat.st_mtime * 1_000_000)
-        except OSError:
-            size, changed = None, None
-        relative = os.path.join(current, entry.name).replace("\\", "/")
-        return (repo, root, _printable(relative), None if folder else size, changed, folder, link,
-                _printable(target))
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+                        if row[5] and not row[6] and entry.name not in closed:
+                            todo.append((os.path.join(current, entry.name), row))
+                for low in range(0, len(rows), ROWS_PER_BATCH):
+                    yield _batch(rows[low:low + ROWS_PER_BATCH])
+
+    return walk
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW
     )
 
 
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "corpus_tree"
-
-    def schema(self) -> str:
-        return LISTING
+def scan(spark: SparkSession, roots: dict[str, str] | DataFrame, units: int | None = None,
+         closed: tuple[str, ...] = (), judge: Callable[[DataFrame], DataFrame] | None = None,
+         budget: int = BUDGET) -> DataFrame:
+    """Listing of several roots, keyed by ``repo_id``; written down, so that it stays as it is.
 
-    def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options)
-
-
-def scan(spark: SparkSession, roots: dict[str, str], units: int | None = None,
-         closed: tuple[str, ...] = ()) -> DataFrame:
-    """Listing of several roots, keyed by ``repo_id``.
-
-    ``closed`` names directories that are listed but not opened. Pass the
-    ignored names there when no include pattern could bring them back.
+    ``roots`` is a dictionary, or a table ``(repo_id, root)``. The trees are
+    walked in rounds over a table of directories, spread over ``units`` tasks:
+    from each directory a task goes down until it has seen about ``budget``
+    names, and what it has not opened by then is the next round's table. So a
+    tree is spread over all tasks wherever its files lie, and small trees take
+    one round. ``judge`` adds ``pruned_dir`` to listed rows; directories that it
+    rejects are not opened by a later round. ``closed`` names directories that
+    no round opens. Directories that cannot be opened have no contents.
     """
+    if isinstance(roots, dict):
+        for root in roots.values():
+            local_path(root)
+        roots = spark.createDataFrame(sorted(roots.items()), "repo_id string, root string")
     units = units or UNITS_PER_CORE * spark.sparkContext.defaultParallelism
-    spark.dataSource.register(TreeSource)
-    return (
-        spark.read.format("corpus_tree")
-        .option("roots", json.dumps(sorted(roots.items())))
-        .option("units", str(units))
-        .option("closed", json.dumps(sorted(closed)))
-        .load()
-    )
+    shared_folder(spark)
+    keys = ["repo_id", "root", "relative_path"]
+    frontier = roots.select("repo_id", "root", F.lit("").alias("relative_path"))
+    rounds = []
+    while True:
+        listed = frontier.select(*keys).repartition(units, *keys).mapInArrow(
+            _walker(frozenset(closed), budget), LISTING + ", unopened boolean").checkpoint()
+        rounds.append(listed.drop("unopened"))
+        frontier = listed.where("unopened")
+        if judge is not None:
+            frontier = judge(frontier).where(F.col("pruned_dir").isNull())
+        if frontier.isEmpty():
+            return reduce(DataFrame.union, rounds)
 
 
 def read_content(listing: DataFrame, partitions: int | None = None) -> DataFrame:

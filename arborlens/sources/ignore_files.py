@@ -5,9 +5,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from arborlens.functions.ignore import parse_rule
 from arborlens.sources.corpus import local_path
 
 # ---- fixed values: rule files of a repository, in reading order --------------
@@ -38,18 +36,3 @@ def rule_lines(roots: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["repo_id", "ord", "pattern"])
 
     return roots.select("repo_id", "root").mapInPandas(read, "repo_id string, ord int, pattern string")
-
-
-def rule_table(lines: DataFrame) -> DataFrame:
-    """Rules ``(repo_id, ord, regex, ignored)``; lines without effect drop out."""
-    @F.pandas_udf("regex string, ignored boolean")
-    def parsed(patterns: pd.Series) -> pd.DataFrame:
-        rules = [parse_rule(p) for p in patterns]
-        return pd.DataFrame({
-            "regex": [r.regex if r else None for r in rules],
-            "ignored": [r.ignored if r else None for r in rules],
-        })
-
-    return lines.withColumn("_rule", parsed("pattern")).select(
-        "repo_id", "ord", "_rule.regex", "_rule.ignored"
-    ).where(F.col("regex").isNotNull())

@@ -309,15 +309,27 @@ def sql() -> dict[str, str]:
                            "case when doc_id % 10 <> 9 and length > 4096 then concat(cast(length as varchar), ' B > 4096 B limit') end as reason_detail from vrepo",
         "ignore_filter": v + f"select f.repo_id, f.relative_path, coalesce(arg_max(t.ignored, t.ord), false) as ignored from vrepo f left join (values {tests}) t(kind, ord, rx, ignored) "
                              f"on t.kind = {kind.replace('repo_id', 'f.repo_id')} and regexp_full_match(f.relative_path, t.rx) group by all",
+        "ignore_prune": v + f", t(kind, ord, rx, ignored) as (values {tests}), "
+                            "an as (select repo_id, relative_path, i, array_to_string(s[1:i], '/') as dir from (select repo_id, relative_path, string_split(relative_path, '/') as s, unnest(range(1, len(s))) as i from vrepo) x), "
+                            "vd as (select a.repo_id, a.relative_path, a.i, a.dir, coalesce(arg_max(t.ignored, t.ord) filter (regexp_full_match(dir, t.rx)), false) "
+                            f"or coalesce(arg_max(t.ignored, t.ord) filter (regexp_full_match(concat(dir, '/'), t.rx)), false) as bad from an a left join t on t.kind = {kind} group by all), "
+                            "tops as (select repo_id, relative_path, arg_min(dir, i) filter (bad) as top from vd group by all), "
+                            f"own as (select f.repo_id, f.relative_path, coalesce(arg_max(t.ignored, t.ord) filter (regexp_full_match(f.relative_path, t.rx)), false) as bad from vrepo f left join t on t.kind = {kind} group by all) "
+                            "select distinct repo_id, concat(top, '/') as relative_path, 'ignored by gitignore' as reason_code from tops where top is not null union all "
+                            "select o.repo_id, o.relative_path, 'ignored by gitignore' from own o left join tops on tops.repo_id = o.repo_id and tops.relative_path = o.relative_path where o.bad and top is null",
         "dir_prune": using("vrepo", **judged(200, EXCLUDED + "|docs")) + "select distinct repo_id, concat(pruned_dir, '/') as relative_path, reason_code from judged where pruned_dir is not null "
                      "union all select repo_id, relative_path, reason_code from judged where pruned_dir is null",
         "binary_filter": using("vbytes", h="select doc_id, content, octet_length(content) as n, left(hex(content), 16384) as x, hex(content) as w from vbytes")
         + "select doc_id, case when n = 0 then false when regexp_matches(x, '^([0-9A-F]{2})*?00') then true when "
         + " or ".join(f"starts_with(x, '{s.hex().upper()}')" for s in V.BINARY_SIGNATURES if len(s) <= V.SIGNATURE_PREFIX)
         + " then true when n <= 8192 then try(decode(content)) is null else coalesce(try(decode(unhex(x))), try(decode(unhex(left(w, 16386)))), try(decode(unhex(left(w, 16388)))), try(decode(unhex(left(w, 16390))))) is null end as is_binary from h",
-        "manifest_alias": using("vmanifest", w="select repo_id, resolved_path, min(case when is_link then concat('1', relative_path) else concat('0', relative_path) end) as first from vmanifest group by all")
-        + "select m.repo_id, m.relative_path, case when not (m.resolved_path = concat('/repo/', m.repo_id) or starts_with(m.resolved_path, concat('/repo/', m.repo_id, '/'))) then 'symbolic link outside repository' "
-          "when first[1] = '1' then 'broken symbolic link' when first[2:] <> m.relative_path then 'circular or duplicate symbolic link' end as reason_code from vmanifest m join w on w.repo_id = m.repo_id and w.resolved_path = m.resolved_path",
+        # A link to a directory is a duplicate of a real one that is not pruned, or of a link before it.
+        "manifest_alias": using("vmanifest")
+        + "select m.repo_id, m.relative_path, case when m.is_link then case when not m.is_dir then 'broken symbolic link' "
+          "when not starts_with(m.resolved_path, concat('/repo/', m.repo_id, '/')) then 'symbolic link outside repository' "
+          "when exists (select 1 from vmanifest r where r.repo_id = m.repo_id and r.resolved_path = m.resolved_path and not r.is_link and r.pruned_dir is null) "
+          "or exists (select 1 from vmanifest l where l.repo_id = m.repo_id and l.resolved_path = m.resolved_path and l.is_link and l.pruned_dir is null and l.relative_path < m.relative_path) "
+          "then 'circular or duplicate symbolic link' end end as reason_code from vmanifest m where m.pruned_dir is null",
         # cache
         "cache_lookup": cache + f"select v.repo_id, v.relative_path as file_path, c.summary from vrepo v left join vcache c on {MATCH}",
         "cache_miss": cache + f"select v.repo_id, v.relative_path as file_path, sha256(v.content) as content_hash, v.file_type as language from vrepo v where not exists (select 1 from vcache c where {MATCH})",

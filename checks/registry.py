@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
-from arborlens.functions import content, globs, ignore, imports, language, paths, structured
+from arborlens.functions import content, globs, imports, language, paths, structured
 from arborlens.operators import enrich, graph, manifest, refine, report, rollup, select, summary_cache, tree
 from arborlens.plans import incremental
 from arborlens.plans.traverse import Traversal, traverse
@@ -74,8 +74,8 @@ def multi_root_scan(spark, sf):
     files = view(spark, sf, "vfiles", spread=True)
     _write_files(files, top)
     # The roots are an argument of the scan; here they are the repositories written.
-    names = [r["repo_id"] for r in files.select("repo_id").distinct().collect()]
-    listing = corpus.scan(spark, {name: f"{top}/{name}" for name in names})
+    roots = files.select("repo_id").distinct().select("repo_id", F.concat(F.lit(f"{top}/"), "repo_id").alias("root"))
+    listing = corpus.scan(spark, roots)
     return listing.select("repo_id", "relative_path", "length", "is_dir")
 
 
@@ -233,9 +233,18 @@ def size_filter(spark, sf):
 @query
 def ignore_filter(spark, sf):
     files = view(spark, sf, "vrepo").select("repo_id", "relative_path")
-    rules = ignore_files.rule_table(_rule_lines(files.select("repo_id").distinct()))
-    verdict = ignore.ignored_by_column(c("relative_path"), c("_rules"))
-    return select.with_rule_table(files, rules).select("repo_id", "relative_path", verdict.alias("ignored"))
+    lines = _rule_lines(files.select("repo_id").distinct())
+    return select.with_ignore_verdicts(files, lines).select("repo_id", "relative_path", c("_ignored").alias("ignored"))
+
+
+@query
+def ignore_prune(spark, sf):
+    """Directories and files that the ignore lines of their repository reject."""
+    files = view(spark, sf, "vrepo").select("repo_id", "relative_path", "length")
+    lines = _rule_lines(files.select("repo_id").distinct())
+    judged = select.judge(files, include=["*"], max_kb=None, ignore_rules=lines)
+    own = judged.where(c("pruned_dir").isNull() & c("reason_code").isNotNull()).select("repo_id", "relative_path", "reason_code")
+    return select.pruned_directories(judged).select("repo_id", "relative_path", "reason_code").unionByName(own)
 
 
 @query
@@ -252,8 +261,10 @@ def binary_filter(spark, sf):
 
 @query
 def manifest_alias(spark, sf):
-    root = F.concat(F.lit("/repo/"), "repo_id")
-    return manifest.judge_links(view(spark, sf, "vmanifest"), root).select("repo_id", "relative_path", "reason_code")
+    rows = view(spark, sf, "vmanifest").withColumn("length", F.lit(None).cast("bigint")).withColumn("reason_code", F.lit(None).cast("string"))
+    tops = rows.select("repo_id", F.concat(F.lit("/repo/"), "repo_id").alias("top")).distinct()
+    judged = manifest.judge_links(rows, tops)
+    return judged.where(~F.coalesce(c("pruned_dir") == "pruned", F.lit(False))).select("repo_id", "relative_path", "reason_code")
 
 
 # ---- cache -------------------------------------------------------------------

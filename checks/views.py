@@ -79,11 +79,12 @@ select distinct {_REPO}, 'ghost.py', 'old', '.py', 'ghost', 'cfg-a', '1.0' from
 
 # Listing with resolved names.
 VMANIFEST = f"""
-select repo_id, concat('d', n) as relative_path, doc_id%5=0 as is_link,
- case when doc_id%15=0 then '/outside/x' when doc_id%10=0 then concat('/repo/', repo_id, '/missing')
+select repo_id, concat('d', n) as relative_path, doc_id%5=0 as is_link, doc_id%15<>5 as is_dir,
+ case when doc_id%14=6 then 'pruned' end as pruned_dir,
+ case when doc_id%15=0 then '/outside/x' when doc_id%15=5 then concat('/repo/', repo_id, '/missing')
   when doc_id%5=0 then concat('/repo/', repo_id, '/d', m) else concat('/repo/', repo_id, '/d', n) end as resolved_path
 from (select doc_id, {_REPO} as repo_id,
- cast(doc_id%100 as varchar(20)) as n, cast((doc_id+1)%100 as varchar(20)) as m from {{documents}}) a
+ cast(doc_id%100 as varchar(20)) as n, cast(cast(floor(doc_id%100/20) as bigint)*20+6 as varchar(20)) as m from {{documents}}) a
 """
 
 # Stored cache texts, sound and damaged.

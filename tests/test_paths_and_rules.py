@@ -153,8 +153,51 @@ IGNORE_CASES = [
 def test_ignore_rules(values, text, expected):
     parsed = ignore.parse_rules(text.split("\n"))
     assert values(lambda p: ignore.ignored_by(p, parsed), "string", *expected) == list(expected.values())
-    table = F.array(*[F.struct(F.lit(r.regex).alias("regex"), F.lit(r.ignored).alias("ignored")) for r in parsed])
-    assert values(lambda p: ignore.ignored_by_column(p, table), "string", *expected) == list(expected.values())
+    matcher = ignore.Matcher(text.split("\n"))
+    assert [matcher.ignored(p) for p in expected] == list(expected.values())
+
+
+def test_compiled_rules_agree_with_the_regular_expressions():
+    import random
+    import re
+
+    draw = random.Random(5)
+    parts = ["a", "b", "ab", "*", "a*", "?", "**", "[ab]", "[!a]", "\\*", "a.b", "*.b"]
+    names = ["a", "b", "ab", "abc", "*", "a.b", "x.b", "c"]
+    for _ in range(600):
+        lines = [draw.choice(["", "", "!"]) + draw.choice(["", "", "/"]) + "/".join(draw.choices(parts, k=draw.randrange(1, 4))) + draw.choice(["", "", "/"])
+                 for _ in range(draw.randrange(1, 5))]
+        matcher, plain = ignore.Matcher(lines), [(re.compile(r.regex.replace(r"\z", r"\Z")), r.ignored) for r in ignore.parse_rules(lines)]
+
+        def verdict(path):
+            return next((ignored for regex, ignored in reversed(plain) if regex.match(path)), False)
+
+        for _ in range(12):
+            path = draw.choices(names, k=draw.randrange(1, 5))
+            assert matcher.ignored("/".join(path)) == verdict("/".join(path)), (lines, path)
+            above = ["/".join(path[:i]) for i in range(1, len(path) + 1)]
+            assert matcher.directory("/".join(path)).ignored_dir == next((d for d in above if verdict(d) or verdict(d + "/")), None), (lines, path)
+
+
+def test_lines_of_each_repository_judge_its_own_paths(spark):
+    files = [(repo, f"d{i % 4}/{'gen/' if i % 3 else ''}f{i}.{'md' if i % 2 else 'py'}", i) for repo in ("a", "b", "none", None) for i in range(40)]
+    lines = {"a": ["*.md", "!f7.md", "gen/"], "b": ["d1", "/d2/*"], "other": ["*"]}
+    table = spark.createDataFrame([(r, i, x) for r, v in lines.items() for i, x in enumerate(v)], "repo_id string, ord int, pattern string")
+    names = spark.createDataFrame(files, "repo_id string, relative_path string, length bigint")
+    for rows in (3, 1000):
+        found = select.with_ignore_verdicts(names, table, rows_per_task=rows).collect()
+        assert len(found) == len(files)
+        for r in found:
+            matcher = ignore.Matcher(lines.get(r["repo_id"], []))
+            assert (r["_ignored"], r["_ignored_dir"]) == (
+                matcher.ignored(r["relative_path"]), matcher.directory(r["relative_path"].rpartition("/")[0]).ignored_dir)
+    judged = select.judge(names, ["*"], ["d0/gen"], None, table)
+    reasons = {(r["repo_id"], r["relative_path"]): (r["pruned_dir"], r["reason_code"]) for r in judged.collect()}
+    assert reasons[("a", "d0/gen/f4.py")] == ("d0/gen", V.EXCLUDED) and reasons[("a", "d1/gen/f1.md")] == ("d1/gen", V.GITIGNORED)
+    assert reasons[("b", "d1/gen/f1.md")] == ("d1", V.GITIGNORED) and reasons[("none", "d1/gen/f1.md")] == (None, None)
+    assert select.with_ignore_verdicts(names.limit(0), table).count() == 0 and select.with_ignore_verdicts(names, table.limit(0)).count() == len(files)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "_lines" in plan and "RLIKE(relative_path" not in plan
 
 
 def test_ignored_directories(spark, values):

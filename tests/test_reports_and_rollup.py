@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from arborlens import fixed_values as V
 from arborlens.operators import manifest, refine, report, rollup, select, tree, watch
 from arborlens.plans.traverse import traverse
 
@@ -197,14 +198,26 @@ def test_refine_goes_on_only_with_what_is_not_done(spark):
 
 
 def test_links(spark):
-    rows = [("src", False, "/repo/src"), ("a_link", True, "/repo/src"), ("b_link", True, "/repo/src"), ("gone", True, "/repo/none"),
-            ("gone2", True, "/repo/none"), ("out", True, "/outside"), ("near", True, "/repository/x"), ("file", False, "/repo/file")]
-    table = spark.createDataFrame([("r", *r) for r in rows], "repo_id string, relative_path string, is_link boolean, resolved_path string")
-    found = {r["relative_path"]: r["reason_code"] for r in manifest.judge_links(table, F.lit("/repo")).collect()}
-    assert found == {
-        "src": None, "file": None, "a_link": "circular or duplicate symbolic link", "b_link": "circular or duplicate symbolic link",
-        "gone": "broken symbolic link", "gone2": "broken symbolic link", "out": "symbolic link outside repository",
-        "near": "symbolic link outside repository"}
+    kinds = ("repo_id string, relative_path string, length bigint, is_dir boolean, is_link boolean, resolved_path string, "
+             "pruned_dir string, reason_code string")
+    folder, file = (None, True), (5, False)
+    rows = [("src", *folder, False, "/repo/src", None), ("a_link", *folder, True, "/repo/src", None), ("b_link", *folder, True, "/repo/src", None),
+            ("gone", None, False, True, "/repo/none", None), ("out", *folder, True, "/outside", None), ("near", *folder, True, "/repository/x", None),
+            ("file", *file, False, "/repo/file", None), ("same", *file, True, "/repo/file", None), ("top", *folder, True, "/repo", None),
+            ("build", *folder, False, "/repo/build", "build"), ("to_build", *folder, True, "/repo/build", None),
+            ("to_build_2", *folder, True, "/repo/build", None), ("below", *folder, True, "/repo/build/deep", None),
+            ("build/l", *folder, True, "/repo/src", "build"), ("out_file", *file, True, "/x", None)]
+    table = spark.createDataFrame([("r", *r, "ruled" if r[5] else None) for r in rows], kinds)
+    for half in (1, 4):
+        judged = manifest.judge_links(table.repartition(half), spark.createDataFrame([("r", "/repo")], "repo_id string, top string"))
+        found = {r["relative_path"]: (r["reason_code"], r["pruned_dir"]) for r in judged.collect()}
+        assert found == {
+            "src": (None, None), "a_link": (V.LINK_DUPLICATE, "a_link"), "b_link": (V.LINK_DUPLICATE, "b_link"), "gone": (V.LINK_BROKEN, None),
+            "out": (V.LINK_OUTSIDE, "out"), "near": (V.LINK_OUTSIDE, "near"), "file": (None, None), "same": (None, None),
+            "top": (V.LINK_DUPLICATE, "top"), "build": ("ruled", "build"),
+            # An alias stands for a directory that is reached by no other name.
+            "to_build": (None, None), "to_build_2": (V.LINK_DUPLICATE, "to_build_2"), "below": (None, None),
+            "build/l": ("ruled", "build"), "out_file": (V.LINK_OUTSIDE, None)}
 
 
 def test_observer_gets_counts_and_cannot_break_the_run(spark):

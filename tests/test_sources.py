@@ -42,6 +42,44 @@ def test_closed_directories_are_listed_but_not_opened(spark, root):
         assert not any("level4" in n for n in rows)
 
 
+@pytest.mark.parametrize("budget", [1, 7, 10_000])
+def test_walk_in_rounds_lists_the_same(spark, root, budget):
+    rows = corpus.scan(spark, {"r": root, "d": root + "/deep"}, budget=budget).collect()
+    want = {(repo, os.path.relpath(os.path.join(p, n), top)) for repo, top in (("r", root), ("d", root + "/deep")) for p, ds, fs in os.walk(top) for n in ds + fs}
+    assert {(r["repo_id"], r["relative_path"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_tree_with_one_full_directory_is_spread(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / "t" / "hot" / f"d{i}").mkdir(parents=True)
+        for k in range(5):
+            (tmp_path / "t" / "hot" / f"d{i}" / f"f{k}").write_text("")
+    (tmp_path / "t" / "cold.py").write_text("")
+    listing = corpus.scan(spark, {"t": str(tmp_path / "t")}, units=8, budget=10)
+    assert listing.count() == 1 + 1 + 40 + 200
+    per_task = listing.where("not is_dir").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 5 and max(r["count"] for r in per_task) <= 80
+
+
+def test_rejected_directories_are_not_opened_with_include_patterns(spark, root, tmp_path):
+    seen = []
+
+    def judge(rows):
+        seen.extend(r["relative_path"] for r in rows.select("relative_path").collect())
+        from arborlens.operators import select
+        return select.judge(rows, ["*.log"], ["deep"])
+
+    names = {r["relative_path"] for r in corpus.scan(spark, {"r": root}, judge=judge, budget=1).collect()}
+    assert "deep" in seen and "deep" in names and not any(n.startswith(("deep/", "node_modules/a")) for n in names)
+
+
+def test_directories_that_cannot_be_opened(spark, tmp_path, monkeypatch):
+    listed = corpus._listed(str(tmp_path / "none"), False)
+    assert listed == []
+    with pytest.raises(FileNotFoundError):
+        corpus._listed(str(tmp_path / "none"), True)
+
+
 def test_missing_root_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="Folder not found"):
         corpus.scan(spark, {"r": str(tmp_path / "none")}).collect()
@@ -110,11 +148,11 @@ def test_links_are_listed_and_judged(spark, root, tmp_path):
         os.symlink(target, os.path.join(root, name))
     rows = corpus.scan(spark, {"r": root})
     assert not any(r["relative_path"].startswith(("a_link/", "src/loop/", "z_out/")) for r in rows.collect())
-    table = rows.where("is_dir or is_link").union(spark.createDataFrame(
-        [("r", root, "", None, None, True, False, os.path.realpath(root))], rows.schema))
-    found = {r["relative_path"]: r["reason_code"] for r in manifest.judge_links(table, F.lit(os.path.realpath(root))).collect()}
-    assert {n: found[n] for n in ("", *links, "src")} == {
-        "": None, "a_link": "circular or duplicate symbolic link", "z_out": "symbolic link outside repository", "broken": "broken symbolic link",
+    tops = spark.createDataFrame([("r", os.path.realpath(root))], "repo_id string, top string")
+    judged = manifest.judge_links(rows.withColumns({"pruned_dir": F.lit(None).cast("string"), "reason_code": F.lit(None).cast("string")}), tops)
+    found = {r["relative_path"]: r["reason_code"] for r in judged.collect()}
+    assert {n: found[n] for n in (*links, "src")} == {
+        "a_link": "circular or duplicate symbolic link", "z_out": "symbolic link outside repository", "broken": "broken symbolic link",
         "out.py": "symbolic link outside repository", "src/loop": "circular or duplicate symbolic link", "src": None}
 
 
