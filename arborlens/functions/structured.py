@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from arborlens.functions.text import fill
 
-REVIEW_SCHEMA = "score double, feedback string"
-
 REQUEST_TEMPLATE = (
     "Describe this file as one JSON object with file_path and description.\n"
     "Path: {file_path}\nLanguage: {language}\n\n{content}\n"
@@ -23,6 +21,12 @@ def request_text(path: Column, language: Column, content: Column,
     return fill(template, file_path=path, language=language, content=content)
 
 
+def request_of(row: dict, template: str = REQUEST_TEMPLATE) -> str:
+    """The same for a row that is at hand as a dictionary; null values are empty."""
+    named = {"file_path": row.get("file_path"), "language": row.get("language"), "content": row.get("content")}
+    return template.format(**{k: "" if v is None else v for k, v in named.items()})
+
+
 def template_hash(template: str = REQUEST_TEMPLATE) -> str:
     return hashlib.sha256(template.encode("utf-8")).hexdigest()
 
@@ -98,6 +102,26 @@ def parse_summary(answer: Column, path: Column) -> Column:
     )
 
 
+_NUMBER = r"\A\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
+
+
 def parse_review(answer: Column) -> Column:
-    """Struct of score and feedback; null fields for an unusable answer."""
-    return F.from_json(answer, REVIEW_SCHEMA)
+    """Struct of score, feedback and error.
+
+    The answer may stand in a fenced block. Both fields are required: a score
+    that is a number, a truth value or a text of a number, and a feedback that is a
+    text. Anything else is an error, and then both fields are null.
+    """
+    parsed = F.try_parse_json(json_part(answer))
+    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
+    score, feedback = (F.try_variant_get(parsed, f"$.{name}", "variant") for name in ("score", "feedback"))
+    kind, text = F.schema_of_variant(score), F.try_variant_get(score, "$", "string")
+    number = F.when(kind == "STRING", F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))).when(
+        kind == "BOOLEAN", F.try_variant_get(score, "$", "boolean").cast("double")).when(
+        kind != "VOID", F.try_variant_get(score, "$", "double"))
+    said = F.when(F.schema_of_variant(feedback) == "STRING", F.try_variant_get(feedback, "$", "string"))
+    good = F.coalesce(is_object & number.isNotNull() & said.isNotNull(), F.lit(False))
+    return F.struct(
+        F.when(good, number).alias("score"), F.when(good, said).alias("feedback"),
+        F.when(~good, F.lit("invalid review")).alias("error"),
+    )

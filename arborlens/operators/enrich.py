@@ -6,14 +6,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.functions import imports, language, paths
+from arborlens.functions import imports, language, paths, structured
 from arborlens.functions.text import strip
 
 ENRICHED = "repo_id string, file_path string, summary string, error string"
 
 
+# Lines that tell what a file holds: headings, and what it defines.
+OUTLINE = r"(?m)^[ \t]*((?:#{1,6} |class |def |function |export |interface |struct |func |fn )[^\n]*)"
+
+
 def with_default_summary(documents: DataFrame, text: str = "content") -> DataFrame:
-    """Add description, line and import counts: deterministic, in plain columns."""
+    """Add description, outline, line and import counts of the whole text: deterministic, in plain columns.
+
+    The description is the first line that is not blank; the outline lists all
+    lines that are headings or begin a definition.
+    """
     body = F.col(text)
     kind = language.graph_language(paths.extension(paths.base_name(F.col("file_path"))))
     found = (
@@ -25,26 +33,29 @@ def with_default_summary(documents: DataFrame, text: str = "content") -> DataFra
     return documents.withColumns({
         "n_lines": (line_feeds + ends_open.cast("int")).cast("bigint"),
         "n_imports": F.coalesce(F.size(found), F.lit(0)).cast("bigint"),
-        "description": strip(F.substring_index(body, "\n", 1)),
+        "description": strip(F.substring_index(strip(body), "\n", 1)),
+        "outline": F.regexp_extract_all(body, F.lit(OUTLINE), F.lit(1)),
     })
 
 
 def default_enrich(documents: DataFrame, text: str = "content") -> DataFrame:
     """Enriched rows with a JSON summary made by :func:`with_default_summary`."""
     rows = with_default_summary(documents, text)
-    summary = F.to_json(F.struct("file_path", "description", "n_lines", "n_imports"))
+    summary = F.to_json(F.struct("file_path", "description", "outline", "n_lines", "n_imports"))
     return rows.select(
         "repo_id", "file_path", summary.alias("summary"), F.lit(None).cast("string").alias("error")
     )
 
 
 def enrich(documents: DataFrame, make: Callable[[], Callable[[dict], str]],
-           concurrency: int | None = None) -> DataFrame:
+           concurrency: int | None = None, template: str = structured.REQUEST_TEMPLATE) -> DataFrame:
     """Enriched rows from a user function, made once per partition.
 
-    ``make()`` returns a function from one row (a dict) to a summary text. An
-    exception becomes the error of its row and the others go on. ``concurrency``
-    bounds the number of tasks that call the function at a time.
+    ``make()`` returns a function from one row (a dict) to a summary text. Besides
+    the columns, the row has ``request``: the ``template`` filled with its path,
+    language and whole text. An exception becomes the error of its row and the
+    others go on. ``concurrency`` bounds the number of tasks that call the
+    function at a time.
     """
     if concurrency:
         documents = documents.repartition(concurrency)
@@ -56,7 +67,7 @@ def enrich(documents: DataFrame, make: Callable[[], Callable[[dict], str]],
             for row in batch.to_dict("records"):
                 summary, error = None, None
                 try:
-                    summary = call(row)
+                    summary = call(row | {"request": structured.request_of(row, template)})
                 except Exception as problem:  # noqa: BLE001 - any failure is the row's own
                     error = f"{type(problem).__name__}: {problem}"
                 out.append((row["repo_id"], row["file_path"], summary, error))

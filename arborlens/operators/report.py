@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
 from arborlens.functions import content as C
-from arborlens.operators.select import COMPLETED, SKIPPED
+from arborlens.operators.select import COMPLETED, FAILED, SKIPPED
 from arborlens.operators.skew import positions
 
 
@@ -80,6 +80,16 @@ def dry_run(loaded: DataFrame) -> DataFrame:
     )
 
 
+def event_type() -> Column:
+    """The event of a file that has been dealt with."""
+    return F.when(F.col("outcome") == COMPLETED, "file_completed").when(F.col("outcome") == SKIPPED, "file_skipped").otherwise("file_failed")
+
+
+def event_detail() -> Column:
+    """Why a file was skipped, or what went wrong."""
+    return F.when(F.col("outcome") == FAILED, F.coalesce("reason_detail", "reason_code")).otherwise(F.col("reason_code"))
+
+
 def progress(outcomes: DataFrame) -> DataFrame:
     """One discovery event per repository, then one terminal event per file.
 
@@ -88,10 +98,7 @@ def progress(outcomes: DataFrame) -> DataFrame:
     """
     names = outcomes.select(
         "repo_id", "relative_path", F.col("rule_reason").isNull().cast("int").alias("_late"),
-        F.when(F.col("outcome") == COMPLETED, "file_completed")
-        .when(F.col("outcome") == SKIPPED, "file_skipped")
-        .otherwise("file_failed").alias("event_type"),
-        F.col("reason_code").alias("detail"),
+        event_type().alias("event_type"), event_detail().alias("detail"),
     )
     numbered = positions(names, ["repo_id"], ["_late", "relative_path"], "completed", "total").select(
         "repo_id", "event_type", "completed", "total", "relative_path", "detail"

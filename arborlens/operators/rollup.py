@@ -2,6 +2,7 @@
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from arborlens.fixed_values import ROLLUP_THRESHOLD
 from arborlens.functions import paths
 from arborlens.operators.skew import join_per_key, positions
+from arborlens.session import fresh_folder, shared_folder
 
 CONTENTS_PER_CALL = 1000
 
@@ -103,12 +105,13 @@ def default_description(n_files: Column, n_dirs: Column, n_below: Column) -> Col
     )
 
 
-def roll_up(summaries: DataFrame, threshold: int = ROLLUP_THRESHOLD) -> DataFrame:
+def roll_up(summaries: DataFrame, threshold: int = ROLLUP_THRESHOLD, directories_said: DataFrame | None = None) -> DataFrame:
     """Top-level items ``(repo_id, file_path, kind, description)`` per repository.
 
     Repositories with at most ``threshold`` summaries keep them as they are.
     The others list their top-level files and what stands for each top-level
-    directory, with the default description of the directories summarised.
+    directory, described by ``directories_said`` (of :func:`summarise_directories`
+    with the same threshold), or by the default description.
     """
     files = usable(summaries).select("repo_id", "file_path", "description")
     sizes = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
@@ -116,10 +119,14 @@ def roll_up(summaries: DataFrame, threshold: int = ROLLUP_THRESHOLD) -> DataFram
         "repo_id", F.col("representative").alias("file_path"), F.lit(True).alias("stands")
     )
     # Directories: what stands for a top-level one, described.
-    described = directories(files).where(F.col("dir") != "").select(
-        "repo_id", F.col("dir").alias("file_path"), F.lit("directory").alias("kind"),
-        default_description(F.col("n_files"), F.col("n_dirs"), F.col("n_below")).alias("description"),
-    )
+    if directories_said is None:
+        said = directories(files).where(F.col("dir") != "").withColumn(
+            "description", default_description(F.col("n_files"), F.col("n_dirs"), F.col("n_below")))
+    else:
+        said = directories_said.withColumn(
+            "description", F.coalesce(F.get_json_object("summary", "$.description"), "summary", "error"))
+    described = said.select(
+        "repo_id", F.col("dir").alias("file_path"), F.lit("directory").alias("kind"), "description")
     rolled = join_per_key(
         stands.join(described, ["repo_id", "file_path"]), sizes, ["repo_id"], ["file_path"], "inner"
     ).where(F.col("n") > threshold)
@@ -137,6 +144,24 @@ def contents_text(contents: list[str]) -> str:
     return json.dumps([json.loads(c) for c in contents], indent=2)
 
 
+def _counted(where: str, files: int, dirs: int, below: int) -> str:
+    said = f"{files} files and {dirs} directories, {below} files in all"
+    return json.dumps({"file_path": where, "description": said, "files": files, "directories": dirs, "files_in_all": below})
+
+
+def count_contents(where: str, contents: str) -> str:
+    """The default summary of a part of a directory: how many files and directories its contents are."""
+    items = json.loads(contents)
+    below = [item["files_in_all"] for item in items if "files_in_all" in item]
+    return _counted(where, len(items) - len(below), len(below), len(items) - len(below) + sum(below))
+
+
+def merge_counts(where: str, parts: list[str]) -> str:
+    """The default summary of a directory from those of its parts."""
+    rows = [json.loads(p) for p in parts]
+    return _counted(where, *(sum(r[k] for r in rows) for k in ("files", "directories", "files_in_all")))
+
+
 def as_lines(where: str, contents: list[str]) -> str:
     """The items as lines."""
     return "\n".join(contents)
@@ -147,7 +172,7 @@ def condense(items: DataFrame, call: Callable[[str, list[str]], str],
     """One text ``(repo_id, contents)`` of the items of each repository.
 
     ``call`` gets runs of up to ``per_call`` items in path order; ``merge``,
-    which must be associative, puts their texts together in that order.
+    which must be associative, puts their texts, one or many, together in that order.
     """
     rows = items.select(
         "repo_id", F.lit(".").alias("dir"), F.col("file_path").alias("item"),
@@ -159,50 +184,71 @@ def condense(items: DataFrame, call: Callable[[str, list[str]], str],
 
 
 RUN_OUT = "repo_id string, dir string, place bigint, blocks bigint, summary string, error string"
+_ITEM = ["repo_id", "dir", "item", "summary"]
+
+
+def _homes(facts: DataFrame) -> DataFrame:
+    """For every directory the nearest summarised one, itself or above: ``repo_id, dir, home``; null if there is none."""
+    own = facts.where("summarised").select("repo_id", F.col("dir").alias("above"), F.lit(True).alias("hit"))
+    lines = F.array_append(paths.ancestors(F.col("dir")), F.col("dir"))
+    return facts.select("repo_id", "dir", F.explode(lines).alias("above")).join(own, ["repo_id", "above"], "left").groupBy(
+        "repo_id", "dir").agg(F.max_by("above", F.when(F.col("hit"), F.length("above"))).alias("home"))
+
 
+def summarise_directories(summaries: DataFrame, call: Callable[[str, str], str] = count_contents,
+                          merge: Callable[[str, list[str]], str] = merge_counts,
+                          threshold: int = ROLLUP_THRESHOLD, per_call: int = CONTENTS_PER_CALL) -> DataFrame:
+    """Directory summaries ``(repo_id, dir, summary, error)`` from user functions.
 
-def summarise_directories(summaries: DataFrame, call: Callable[[str, list[str]], str],
-                          threshold: int = ROLLUP_THRESHOLD,
-                          per_call: int = CONTENTS_PER_CALL,
-                          merge: Callable[[str, list[str]], str] = as_lines) -> DataFrame:
-    """Directory summaries from a user function of a directory and its contents.
+    ``call`` gets a directory and the summaries of a part of its contents as one
+    JSON list (:func:`contents_text`), in order of their names; ``merge``, which
+    must be associative, always gets the texts of the parts, be it one or many: a
+    directory of any size is treated alike, and no task ever holds more than
+    ``per_call`` items of it.
 
-    ``call`` gets the path and the summaries of the contents, in order of their
-    names; :func:`contents_text` makes one JSON text of them. Works from the
-    deepest directories up, one level a round. A directory with more than
-    ``per_call`` items is summarised in runs of them, in that order, and
-    ``merge``, which must be associative, puts the runs' summaries together: no
-    task ever holds an unbounded directory. Each level is checkpointed, so that
-    later levels do not call the function again.
+    Works from the deepest directories up. Every file and every directory is an
+    item of the nearest summarised directory above it; it is written once, to
+    the folder of that directory's level, and a level reads its own folder only.
     """
+    spark = summaries.sparkSession
     files = usable(summaries)
     big = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
-    facts = representatives(files.join(big.select("repo_id"), "repo_id", "left_semi"))
-    facts = facts.withColumn("depth", paths.depth(F.col("dir"))).checkpoint()
-    own = facts.where("summarised")
-    # What each summarised directory holds: files, and what stands for its children.
-    held_files = files.select(
-        "repo_id", paths.parent(F.col("file_path")).alias("dir"), F.col("file_path").alias("item"), "summary"
-    )
-    levels = [r["depth"] for r in own.select("depth").distinct().collect()]
-    done = files.sparkSession.createDataFrame([], "repo_id string, dir string, summary string, error string")
-    for level in sorted(levels, reverse=True):
-        here = own.where(F.col("depth") == level).select("repo_id", "dir")
-        children = facts.where(F.col("depth") == level + 1).select(
-            "repo_id", paths.parent(F.col("dir")).alias("dir"), F.col("representative").alias("item")
-        )
-        from_dirs = children.join(
-            done.select("repo_id", F.col("dir").alias("item"), _said().alias("summary")), ["repo_id", "item"]
-        )
-        from_files = children.join(
-            files.select("repo_id", F.col("file_path").alias("item"), "summary"), ["repo_id", "item"]
-        )
-        columns = ["repo_id", "dir", "item", "summary"]
-        items = held_files.select(columns).union(from_dirs.select(columns)).union(
-            from_files.select(columns)
-        ).join(here, ["repo_id", "dir"], "left_semi")
-        done = done.union(_fold(items, call, merge, per_call)).checkpoint()
-    return done
+    files = files.join(big.select("repo_id"), "repo_id", "left_semi").select("repo_id", "file_path", "summary")
+    shared_folder(spark)
+    facts = representatives(files).checkpoint()
+    homes = _homes(facts).checkpoint()
+    folder = fresh_folder(spark, "levels")
+
+    def routed(items: DataFrame, home: Column) -> DataFrame:
+        return items.withColumn("level", F.coalesce(paths.depth(home), F.lit(-1)))
+
+    parts = homes.select("repo_id", F.col("dir").alias("at"), F.col("home").alias("dir"))
+    held = files.select("repo_id", paths.parent(F.col("file_path")).alias("at"), F.col("file_path").alias("item"), "summary")
+    routed(held.join(parts, ["repo_id", "at"]).where(F.col("dir").isNotNull()).select(_ITEM), F.col("dir")).write.partitionBy(
+        "level").parquet(f"{folder}/files")
+    own = facts.where("summarised").select("repo_id", "dir", paths.parent(F.col("dir")).alias("at"))
+    own = own.join(parts.withColumnRenamed("dir", "home"), ["repo_id", "at"], "left").select("repo_id", "dir", "home", paths.depth(F.col("dir")).alias("depth"))
+    own.write.partitionBy("depth").parquet(f"{folder}/directories")
+
+    def read(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    known = read("directories", "repo_id string, dir string, home string, depth int")
+    levels = sorted((r["depth"] for r in known.select("depth").distinct().collect()), reverse=True)
+    done: list[DataFrame] = []
+    for level in levels:
+        items = read("files", "repo_id string, dir string, item string, summary string, level int").where(F.col("level") == level).select(_ITEM)
+        for below in done:
+            items = items.union(below.where(F.col("level") == level).select(
+                "repo_id", F.col("home").alias("dir"), F.col("dir").alias("item"), _said().alias("summary")))
+        said = _fold(items, lambda where, texts: call(where, contents_text(texts)), merge, per_call)
+        here = known.where(F.col("depth") == level).drop("depth")
+        name = f"said-{level}"
+        routed(said.join(here, ["repo_id", "dir"]), F.col("home")).write.partitionBy("level").parquet(f"{folder}/{name}")
+        done.append(read(name, "repo_id string, dir string, summary string, error string, home string, level int"))
+    if not done:
+        return spark.createDataFrame([], "repo_id string, dir string, summary string, error string")
+    return reduce(DataFrame.union, done).select("repo_id", "dir", "summary", "error")
 
 
 def _said() -> Column:
@@ -213,7 +259,7 @@ def _said() -> Column:
 
 
 def _fold(items: DataFrame, call, merge, per_call: int) -> DataFrame:
-    """One summary per directory: runs of ``per_call`` items in order of their names, merged in that order.
+    """One summary per directory: runs of ``per_call`` items in order of their names, merged in that order, also if it is one.
 
     A failed run makes its directory fail, with the first error.
     """
@@ -235,12 +281,15 @@ def _fold(items: DataFrame, call, merge, per_call: int) -> DataFrame:
     key = ["repo_id", "dir"]
     runs, function, done = positions(items, key, ["item"], "place", "blocks").select(
         *key, (F.col("place") - 1).alias("place"), "blocks", "summary", F.lit(None).cast("string").alias("error")), call, None
+    merged = False
     while True:
         runs = runs.withColumn("block", F.floor(F.col("place") / per_call)).withColumn(
             "blocks", F.ceil(F.col("blocks") / per_call)
         ).groupBy(*key, "block").applyInPandas(over(function), RUN_OUT).checkpoint()
-        whole = runs.where(F.col("blocks") == 1).select(*key, "summary", "error")
-        done = whole if done is None else done.unionByName(whole)
-        runs, function = runs.where(F.col("blocks") > 1), merge
-        if runs.isEmpty():
-            return done
+        if merged:
+            whole = runs.where(F.col("blocks") == 1).select(*key, "summary", "error")
+            done = whole if done is None else done.unionByName(whole)
+            runs = runs.where(F.col("blocks") > 1)
+            if runs.isEmpty():
+                return done
+        function, merged = merge, True

@@ -13,7 +13,7 @@ from arborlens.functions import content as C
 from arborlens.functions import ignore, language, paths, rules
 from arborlens.operators.skew import settle
 
-COMPLETED, SKIPPED = "completed", "skipped"
+COMPLETED, SKIPPED, FAILED = "completed", "skipped", "failed"
 STAGES = ("directory", "filter", "binary", "load")
 ROWS_PER_TASK = 200_000
 
@@ -186,12 +186,14 @@ def load(judged: DataFrame, max_kb: int | None = V.DEFAULT_MAX_KB, content: str
     files = files.withColumn("text", F.when(~F.col("_binary"), C.decode(raw)))
     files = settle(files, "_binary", "text")
     decoded = F.col("text").isNotNull()
+    unexpected = F.coalesce(F.startswith(failed, F.lit(V.UNEXPECTED)), F.lit(False))
     return files.withColumns({
-        "outcome": F.when(decoded, COMPLETED).otherwise(SKIPPED),
+        "outcome": F.when(decoded, COMPLETED).when(~rejected & unexpected, FAILED).otherwise(SKIPPED),
         "stage": F.when(F.col("pruned_dir").isNotNull(), STAGES[0]).when(rejected, STAGES[1])
         .when(F.col("_binary"), STAGES[2]).when(~decoded, STAGES[3]),
         "reason_code": F.when(rejected, F.col("rule_reason"))
         .when(F.startswith(failed, F.lit(V.PERMISSION_ERROR)), V.PERMISSION_ERROR)
+        .when(unexpected, V.UNEXPECTED)
         .when(failed.isNotNull(), V.LOAD_ERROR)
         .when(F.col("_binary"), V.BINARY)
         .when(~decoded, V.ENCODING),
@@ -224,7 +226,7 @@ def documents(loaded: DataFrame) -> DataFrame:
 
 def skipped(judged: DataFrame, loaded: DataFrame) -> DataFrame:
     """Skipped directories and files with stage, reason and detail."""
-    files = outcomes(loaded).where(F.col("outcome") == SKIPPED)
+    files = outcomes(loaded).where(F.col("outcome") != COMPLETED)
     return pruned_directories(judged).unionByName(
         files.select("repo_id", "relative_path", "stage", "reason_code", "reason_detail")
     )
@@ -233,7 +235,7 @@ def skipped(judged: DataFrame, loaded: DataFrame) -> DataFrame:
 def errors(skips: DataFrame) -> DataFrame:
     """Skips that were failures to read, not decisions."""
     return skips.where(
-        (F.col("stage") == STAGES[3]) & F.col("reason_code").isin(V.ENCODING, V.LOAD_ERROR, V.PERMISSION_ERROR)
+        (F.col("stage") == STAGES[3]) & F.col("reason_code").isin(V.ENCODING, V.LOAD_ERROR, V.PERMISSION_ERROR, V.UNEXPECTED)
     )
 
 

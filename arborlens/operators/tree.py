@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions import paths
+from arborlens.operators.skew import positions
 
 # In a sort key this ends the name of a directory, and this starts that of a
 # file: a directory's own line comes first, then its files, then the rest.
@@ -52,3 +53,25 @@ def lines(files: DataFrame, path: str = "relative_path") -> DataFrame:
         F.repeat(F.lit("    "), depth), mark, name, F.when(F.col("is_dir"), "/").otherwise("")
     ))
     return found.select("repo_id", sort_key.alias("sort_key"), depth.alias("depth"), line.alias("line"))
+
+
+LINES_PER_PIECE = 10_000
+
+
+def pieces(rows: DataFrame, order: str, text: str, per_piece: int = LINES_PER_PIECE) -> DataFrame:
+    """The texts of a repository in order, as numbered pieces ``(repo_id, piece, text)`` of ``per_piece`` lines."""
+    named = rows.select("repo_id", F.col(order).alias("order"), F.col(text).alias("line"))
+    placed = positions(named, ["repo_id"], ["order"], "place", "total")
+    ordered = F.expr("listagg(line, '\n') within group (order by place)")
+    return placed.groupBy("repo_id", F.floor((F.col("place") - 1) / per_piece).alias("piece")).agg(ordered.alias("text"))
+
+
+def tree_and_files(files: DataFrame, path: str = "relative_path", per_piece: int = LINES_PER_PIECE) -> DataFrame:
+    """For each repository the text of its tree and the list of its files ``(repo_id, kind, piece, text)``.
+
+    Both are in pieces of bounded length, put together by ranges of places, so
+    that no task holds a whole repository.
+    """
+    tree = pieces(lines(files, path), "sort_key", "line", per_piece).withColumn("kind", F.lit("tree"))
+    names = pieces(files, path, path, per_piece).withColumn("kind", F.lit("files"))
+    return tree.unionByName(names).select("repo_id", "kind", "piece", "text")

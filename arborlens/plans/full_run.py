@@ -17,6 +17,7 @@ from arborlens.sources.cache_store import CacheStore
 
 class FullRun(NamedTuple):
     documents: DataFrame
+    directories: DataFrame
     skipped: DataFrame
     dry_run: DataFrame
     degrees: DataFrame
@@ -29,22 +30,25 @@ def full_run(spark: SparkSession, roots: dict[str, str], store: CacheStore, conf
              generate: Callable[[dict], str], review: Callable[[str], tuple[float, str]],
              describe: Callable[[DataFrame], DataFrame] = enrich.default_enrich,
              condense: Callable[[str, list[str]], str] = rollup.as_lines,
+             summarise: Callable[[str, str], str] = rollup.count_contents,
+             merge: Callable[[str, list[str]], str] = rollup.merge_counts,
              include=None, exclude=None, max_kb: int | None = V.DEFAULT_MAX_KB,
              respect_ignore_files: bool = False, output: str | None = None,
              force: bool = False, concurrency: int | None = None) -> FullRun:
     """Select, read, describe, roll up, write and review, and keep the best texts.
 
-    ``describe`` enriches documents, ``condense`` makes one text of a bounded
-    list of items, ``generate`` and ``review`` run per repository on a row with
-    ``k``, ``overview``, ``contents``, ``documents`` and ``total_bytes``, in
-    ``concurrency`` tasks.
-    Reports and trees go below ``output``. What is used more than once is
+    ``describe`` enriches documents, ``summarise`` and ``merge`` describe
+    directories from the JSON text of their contents, ``condense`` makes one text
+    of a bounded list of items, ``generate`` and ``review`` run per repository on
+    a row with ``k``, ``overview``, ``contents``, ``documents``, ``total_bytes`` and
+    ``tree``, the table of trees and file lists (see ``tree.tree_and_files``), in
+    ``concurrency`` tasks. Reports and trees go below ``output``. What is used more than once is
     written to the shared folder first: documents, degrees, fresh summaries and
     attempts. No step brings a whole repository into one task.
     """
     run = traverse_folders(spark, roots, include, exclude, max_kb, respect_ignore_files)
     folder = fresh_folder(spark, "documents")
-    sinks.write_documents(select.with_language(run.documents), folder, ordered=False)
+    sinks.write_documents(select.with_language(run.documents), folder)
     documents = spark.read.parquet(folder)
 
     degrees = graph.degrees(graph.links(documents)).checkpoint()
@@ -54,7 +58,12 @@ def full_run(spark: SparkSession, roots: dict[str, str], store: CacheStore, conf
     good = summaries.where(F.col("error").isNull()).withColumn(
         "description", F.get_json_object("summary", "$.description")
     )
-    contents = rollup.condense(rollup.roll_up(good), condense)
+    good = good.checkpoint()
+    said = rollup.summarise_directories(good, summarise, merge)
+    contents = rollup.condense(rollup.roll_up(good, directories_said=said), condense)
+
+    trees = f"{output}/trees" if output else fresh_folder(spark, "trees")
+    sinks.write_tree(tree.tree_and_files(documents), trees, force)
 
     repositories = documents.groupBy(F.col("repo_id").alias("k")).agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("content")).alias("total_bytes")
@@ -64,6 +73,7 @@ def full_run(spark: SparkSession, roots: dict[str, str], store: CacheStore, conf
         .join(overviews.withColumnRenamed("repo_id", "k"), "k", "left")
         .join(contents.withColumnRenamed("repo_id", "k"), "k", "left")
         .fillna("", ["overview", "contents"])
+        .withColumn("tree", F.lit(trees))
     )
     attempts = refine.refine(keys, generate, review, concurrency=concurrency)
     best = refine.best_texts(attempts).select(F.col("k").alias("repo_id"), "best_score", "text")
@@ -72,5 +82,4 @@ def full_run(spark: SparkSession, roots: dict[str, str], store: CacheStore, conf
     )
     if output:
         sinks.write_reports(reports, f"{output}/reports", "report", force)
-        sinks.write_tree(tree.lines(documents), f"{output}/trees", force)
-    return FullRun(documents, run.skipped, run.dry_run, degrees, summaries, attempts, reports)
+    return FullRun(documents, said, run.skipped, run.dry_run, degrees, summaries, attempts, reports)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.fixed_values import PERMISSION_ERROR
+from arborlens.fixed_values import PERMISSION_ERROR, UNEXPECTED
 from arborlens.session import shared_folder
 
 LISTING = (
@@ -158,11 +158,14 @@ def scan(spark: SparkSession, roots: dict[str, str] | DataFrame, units: int | No
 def read_content(listing: DataFrame, partitions: int | None = None) -> DataFrame:
     """Add ``content`` and ``read_error`` to listed files.
 
-    Rows are spread by path first, so that one huge directory does not stay
-    with the task that listed it. Batches are bounded by bytes, not rows.
+    Rows are dealt in ranges of paths first, names only, so that one huge
+    directory does not stay with the task that listed it, and texts lie in path
+    order without having moved. Batches are bounded by bytes, not rows.
     """
     keys = ["repo_id", "relative_path"]
-    spread = listing.repartition(*([partitions] if partitions else []), *keys)
+    partitions = partitions or max(
+        UNITS_PER_CORE * listing.sparkSession.sparkContext.defaultParallelism, int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = listing.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
     names = spread.columns
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +179,8 @@ def read_content(listing: DataFrame, partitions: int | None = None) -> DataFrame
                         data = handle.read()
                 except OSError as problem:
                     error = f"{PERMISSION_ERROR}: {problem}"
+                except Exception as problem:  # noqa: BLE001 - the failure of one file must not end the run
+                    error = f"{UNEXPECTED}: {problem}"
                 contents.append(data)
                 errors.append(error)
                 held += len(data or b"")

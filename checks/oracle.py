@@ -263,13 +263,31 @@ VALID = (f"case when json_valid(raw) then coalesce(json_type(raw) = 'OBJECT' and
          f"and json_type(raw, '$.entries') = 'ARRAY' and coalesce(list_bool_and(list_transform(cast(json_extract(raw, '$.entries[*]') as json[]), lambda e: coalesce({JSON_ENTRY}, false))), true), false) else false end")
 
 MATCH = "v.repo_id = c.repo_id and v.relative_path = c.file_path and sha256(v.content) = c.content_hash and v.file_type = c.language and c.config_hash = 'cfg-a' and c.schema_version = '1.0'"
-FIRST_LINE = r"regexp_replace(regexp_replace(split_part(content, chr(10), 1), '^[\s\v]+', ''), '[\s\v]+$', '')"
+FIRST_LINE = r"regexp_replace(split_part(regexp_replace(content, '^[\s\v]+', ''), chr(10), 1), '[\s\v]+$', '')"
 
 
 def _pruned(kb: int) -> str:
     return using("vrepo", **walked(kb))
 
 
+TREE_PARTS = f""", f as (select repo_id, relative_path as p, s, {parent_of('relative_path')} as home from judged where reason_code is null),
+            d as (select distinct repo_id, array_to_string(s[1:i], '/') as dir, i from (select repo_id, s, unnest(range(1, len(s))) as i from f) x),
+            m as (select *, row_number() over (partition by repo_id, home order by p desc) = 1 as last from f)"""
+TREE_LINES = f"""select distinct repo_id, '' as sort_key, 0 as depth, concat(repo_id, '/') as line from f
+            union all select repo_id, concat(replace(dir, '/', chr(2)), chr(2)), cast(i as int), concat(repeat('    ', i), '├── ', {name_of('dir')}, '/') from d
+            union all select repo_id, concat(case when home = '' then '' else concat(replace(home, '/', chr(2)), chr(2)) end, chr(1), {name_of('p')}), cast(len(s) as int), concat(repeat('    ', len(s)), case when last then '└── ' else '├── ' end, {name_of('p')}) from m"""
+
+
+def failing() -> dict[str, str]:
+    """The events of files, some of which cannot be read."""
+    return walked(SMALL) | {
+        "told": "select repo_id, relative_path, early, case when why is not null or doc_id % 20 = 13 then 'file_skipped' when doc_id % 20 = 3 then 'file_failed' else 'file_completed' end as event_type, "
+                "coalesce(why, case doc_id % 20 when 3 then 'unexpected_error: the disk fell' when 13 then 'permission_error' end) as detail from outcomes"}
+
+
+SMALL = 4  # KB
+
+
 def sql() -> dict[str, str]:
     v = using("vrepo")
     cache = using("vrepo", "vcache")
@@ -290,7 +308,7 @@ def sql() -> dict[str, str]:
           "left join (select repo_id, unnest(cast(json_extract(raw, '$.entries[*]') as json[])) as e from checked where valid) x on x.repo_id = c.repo_id",
         "cache_write": cache + "select repo_id, file_path, content_hash, language, case when content_hash = 'old' then 'new' else summary end as summary, config_hash from vcache",
         "documents_table": _pruned(200) + f"select repo_id, relative_path as file_path, {name_of('relative_path')} as file_name, {ext_of(name_of('relative_path'))} as file_type, relative_path, content from outcomes where why is null",
-        "report_write": using("vcode", **REPORT) + "select repo_id, concat(overview, chr(10)) as text from report",
+        "report_write": using("vcode", **REPORT) + "select repo_id, overview as text from report",
         # projections
         "path_parts": v + f"select repo_id, relative_path, trim(lower(replace(relative_path, '\\', '/'))) as normal_path, {name_of('relative_path')} as file_name, {ext_of(name_of('relative_path'))} as file_type from vrepo",
         "file_metadata": v + "select repo_id, relative_path, file_name, file_type, length as file_size from vrepo",
@@ -379,25 +397,43 @@ def sql() -> dict[str, str]:
             g as (select repo_id, reason_code, count(*) as n from skips group by all),
             t as (select repo_id, cast(sum(n) as bigint) as skipped, string_agg(concat(reason_code, ': ', n), chr(10) order by {PLACE.format('reason_code')}, reason_code) as skip_summary from g group by repo_id)
             select k.repo_id, files_selected, estimated_tokens, total_bytes, {human('total_bytes')} as request_size, coalesce(skipped, 0) as skipped, coalesce(skip_summary, '') as skip_summary from k left join t on t.repo_id = k.repo_id""",
-        "progress_events": _pruned(4) + "select repo_id, case when why is null then 'file_completed' else 'file_skipped' end as event_type, row_number() over (partition by repo_id order by early desc, relative_path) as completed, "
-                           "count(*) over (partition by repo_id) as total, relative_path, why as detail from outcomes union all select repo_id, 'files_discovered', 0, count(*), null, null from outcomes group by repo_id",
-        "tree_lines": using("vrepo", **judged(200)) + f""", f as (select repo_id, relative_path as p, s, {parent_of('relative_path')} as home from judged where reason_code is null),
-            d as (select distinct repo_id, array_to_string(s[1:i], '/') as dir, i from (select repo_id, s, unnest(range(1, len(s))) as i from f) x),
-            m as (select *, row_number() over (partition by repo_id, home order by p desc) = 1 as last from f)
-            select distinct repo_id, '' as sort_key, 0 as depth, concat(repo_id, '/') as line from f
-            union all select repo_id, concat(replace(dir, '/', chr(2)), chr(2)), cast(i as int), concat(repeat('    ', i), '├── ', {name_of('dir')}, '/') from d
-            union all select repo_id, concat(case when home = '' then '' else concat(replace(home, '/', chr(2)), chr(2)) end, chr(1), {name_of('p')}), cast(len(s) as int), concat(repeat('    ', len(s)), case when last then '└── ' else '├── ' end, {name_of('p')}) from m""",
+        "progress_events": using("vrepo", **failing()) + "select repo_id, event_type, row_number() over (partition by repo_id order by early desc, relative_path) as completed, "
+                           "count(*) over (partition by repo_id) as total, relative_path, detail from told union all select repo_id, 'files_discovered', 0, count(*), null, null from told group by repo_id",
+        "observer_events": using("vrepo", **failing()) + "select repo_id, relative_path, event_type, detail, case when event_type = 'file_completed' and ends_with(relative_path, '.js') then 'ValueError: no scripts' end as observer_error from told",
+        "tree_lines": using("vrepo", **judged(200)) + TREE_PARTS + TREE_LINES,
+        "tree_and_files": using("vrepo", **judged(200)) + TREE_PARTS + f""", t as ({TREE_LINES}),
+            a as (select repo_id, 'tree' as kind, sort_key as k, line from t union all select repo_id, 'files', p, p from f),
+            n as (select *, row_number() over (partition by repo_id, kind order by k) - 1 as place from a)
+            select repo_id, kind, cast(place // 25 as bigint) as piece, string_agg(line, chr(10) order by place) as text from n group by all""",
         "dir_tree": using("vsummary", **DIRS) + "select repo_id, dir, n_files, n_dirs from facts",
+        # What stands for each directory, and what each summarised directory then holds.
+        "dir_summaries": using("vsummary", **ROLLUP) + f""", follow as (select repo_id, dir, dir as item from dirs union all
+              select w.repo_id, w.dir, coalesce(d.dir, f.file_path) from follow w join facts x on x.repo_id = w.repo_id and x.dir = w.item and x.n_files + x.n_dirs = 1
+              left join dirs d on d.repo_id = w.repo_id and {parent_of('d.dir')} = w.item left join fs f on f.repo_id = w.repo_id and {parent_of('f.file_path')} = w.item),
+            stands as (select repo_id, dir, arg_max(item, length(item)) as item from follow group by all),
+            items as (select repo_id, {parent_of('file_path')} as dir, false as is_dir from fs union all
+              select s.repo_id, {parent_of('s.dir')}, x.dir is not null from stands s left join facts x on x.repo_id = s.repo_id and x.dir = s.item),
+            held as (select repo_id, dir, count(*) filter (not is_dir) as n_files, count(*) filter (is_dir) as n_dirs from items group by all)
+            select h.repo_id, h.dir, concat(h.n_files, ' files and ', h.n_dirs, ' directories, ', b.n, ' files in all') as said, cast(null as varchar) as error
+            from held h join stands s on s.repo_id = h.repo_id and s.dir = h.dir and s.item = h.dir join below b on b.repo_id = h.repo_id and b.dir = h.dir
+            join sizes z on z.repo_id = h.repo_id and z.n > 15""",
         "dir_rollup": using("vsummary", **ROLLUP) + """select f.repo_id, f.file_path, 'file' as kind, f.description from fs f join sizes z on z.repo_id = f.repo_id
             where z.n <= 15 or not contains(f.file_path, '/') or exists (select 1 from ends e where e.repo_id = f.repo_id and e.item = f.file_path)
             union all select e.repo_id, e.item, 'directory', concat(x.n_files, ' files and ', x.n_dirs, ' directories, ', b.n, ' files in all') from ends e join sizes z on z.repo_id = e.repo_id and z.n > 15
             join facts x on x.repo_id = e.repo_id and x.dir = e.item join below b on b.repo_id = e.repo_id and b.dir = e.item""",
         "enrich_rows": using("vcode", **SOURCES, **JS_LISTS) + f"""select v.repo_id, v.relative_path as file_path, {FIRST_LINE.replace('content', 'v.content')} as description,
             cast(len(string_split(v.content, chr(10))) - case when v.content = '' or v.content[-1] = chr(10) then 1 else 0 end as bigint) as n_lines,
-            cast(coalesce((select len({PY_LIST}) from py where py.repo_id = v.repo_id and py.path = v.relative_path), (select count(*) from jsmods j where j.repo_id = v.repo_id and j.path = v.relative_path), 0) as bigint) as n_imports from vcode v""",
+            cast(coalesce((select len({PY_LIST}) from py where py.repo_id = v.repo_id and py.path = v.relative_path), (select count(*) from jsmods j where j.repo_id = v.repo_id and j.path = v.relative_path), 0) as bigint) as n_imports,
+            array_to_string(regexp_extract_all(v.content, '(?m)^[ \\t]*((?:#{{1,6}} |class |def |function |export |interface |struct |func |fn )[^\\n]*)', 1), '|') as outline from vcode v""",
+        "enrich_udf": v + "select repo_id, relative_path as file_path, case kind when 2 then 'invalid JSON' when 3 then 'RuntimeError: busy' when 4 then 'too long' end as error, "
+                          "case when kind < 2 then concat(length(concat(relative_path, ' in ', file_type, ': ', content)), ' characters') end as said from "
+                          "(select *, list_sum(list_transform(regexp_extract_all(relative_path, '[0-9]'), lambda d: cast(d as int))) % 5 as kind from vrepo) x",
         "parse_summary": using("vanswers") + """select doc_id, case when ok then json_extract_string(answer, '$.file_path') else path end as file_path, case when ok then json_extract_string(answer, '$.description') end as description,
             case when ok then json_extract_string(answer, '$.error') else 'invalid JSON' end as error from (select *, case when json_valid(answer) then json_type(answer) = 'OBJECT' else false end as ok from vanswers) x""",
-        "parse_review": using("vreviews") + "select event_id, case when json_valid(answer) then cast(json_extract(answer, '$.score') as double) end as score, case when json_valid(answer) then json_extract_string(answer, '$.feedback') end as feedback from vreviews",
+        "parse_review": using("vreviews", p=r"select event_id, coalesce(nullif(regexp_extract(answer, '(?s)```(?:json)?\s*(.*)```', 1), ''), answer) as a from vreviews",
+                              q="select event_id, case json_type(a, '$.score') when 'VARCHAR' then try_cast(json_extract_string(a, '$.score') as double) when 'DOUBLE' then cast(json_extract(a, '$.score') as double) end as s, "
+                                "case when json_type(a, '$.feedback') = 'VARCHAR' then json_extract_string(a, '$.feedback') end as f from p where json_valid(a)")
+        + "select p.event_id, case when f is not null then s end as score, case when s is not null then f end as feedback, case when s is null or f is null then 'invalid review' end as error from p left join q using (event_id)",
         "refine_best": using("vattempts") + """, t as (select *, coalesce(max(case when score >= 8.5 then 1 else 0 end) over (partition by k order by iteration rows between unbounded preceding and 1 preceding), 0) as stopped from vattempts where iteration <= 3)
             select k, cast(count(*) as bigint) as rounds, cast(arg_max(iteration, (score, -iteration)) filter (where score > 0) as bigint) as best_iteration, max(score) filter (where score > 0) as best_score from t where stopped = 0 group by k""",
         "refine_loop": f"""with recursive r as (select cast(doc_id as varchar) as k, source, length(text) as n, cast(1 as bigint) as iteration, concat(source, ':', length(text), ':1;') as text from documents

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arborlens import fixed_values as V
 from arborlens.functions import content, globs, imports, language, paths, structured
-from arborlens.operators import enrich, graph, manifest, refine, report, rollup, select, summary_cache, tree
+from arborlens.operators import enrich, graph, manifest, refine, report, rollup, select, summary_cache, tree, watch
 from arborlens.plans import incremental
 from arborlens.plans.traverse import Traversal, traverse
 from arborlens.session import fresh_folder, shared_folder
@@ -130,7 +130,8 @@ def cache_write(spark, sf):
 @query
 def documents_table(spark, sf):
     path = fresh_folder(spark, "documents")
-    sinks.write_documents(walk(spark, sf).documents, path)
+    run = walk(spark, sf)
+    sinks.write_documents(run.documents, path, names=run.judged)
     return spark.read.parquet(path)
 
 
@@ -140,7 +141,7 @@ def report_write(spark, sf):
     docs = view(spark, sf, "vcode", spread=True)
     shared_folder(spark)
     sinks.write_reports(graph.overview(_degrees(docs).checkpoint()), path, "overview")
-    return spark.read.text(path, wholetext=True).select("repo_id", c("value").alias("text"))
+    return sinks.read_reports(spark, path).select("repo_id", c("report").alias("text"))
 
 
 # ---- projections -------------------------------------------------------------
@@ -507,8 +508,32 @@ def dry_run(spark, sf):
 
 @query
 def progress_events(spark, sf):
-    run = walk(spark, sf, SMALL_KB)
-    return report.progress(run.outcomes)
+    return report.progress(_with_failures(spark, sf).outcomes)
+
+
+def _with_failures(spark, sf) -> Traversal:
+    """Some files could not be read, for a known reason or another."""
+    failure = F.when(c("doc_id") % 20 == 3, f"{V.UNEXPECTED}: the disk fell").when(c("doc_id") % 20 == 13, f"{V.PERMISSION_ERROR}: no")
+    return traverse(view(spark, sf, "vrepo", spread=True).withColumn("read_error", failure), INCLUDE, EXCLUDE, SMALL_KB)
+
+
+def _strict_observer() -> Callable[[dict], None]:
+    def see(event):
+        if event["event_type"] == "file_completed" and event["relative_path"].endswith(".js"):
+            raise ValueError("no scripts")
+    return see
+
+
+@query
+def observer_events(spark, sf):
+    events = watch.with_events(_with_failures(spark, sf).outcomes).select(*watch.EVENT)
+    return watch.tell_each(events, _strict_observer)
+
+
+@query
+def tree_and_files(spark, sf):
+    kept = select.judge(view(spark, sf, "vrepo"), INCLUDE, EXCLUDE).where("reason_code is null")
+    return tree.tree_and_files(kept, per_piece=25)
 
 
 @query
@@ -521,6 +546,12 @@ def dir_tree(spark, sf):
     return rollup.tree_facts(rollup.usable(view(spark, sf, "vsummary")))
 
 
+@query
+def dir_summaries(spark, sf):
+    files = view(spark, sf, "vsummary").withColumn("summary", F.to_json(F.struct("file_path", "description")))
+    return rollup.summarise_directories(files, per_call=4).select("repo_id", "dir", F.get_json_object("summary", "$.description").alias("said"), "error")
+
+
 @query
 def dir_rollup(spark, sf):
     return rollup.roll_up(view(spark, sf, "vsummary"))
@@ -529,7 +560,26 @@ def dir_rollup(spark, sf):
 @query
 def enrich_rows(spark, sf):
     docs = view(spark, sf, "vcode", spread=True).withColumn("file_path", c("relative_path"))
-    return enrich.with_default_summary(docs).select("repo_id", "file_path", "description", "n_lines", "n_imports")
+    return enrich.with_default_summary(docs).select("repo_id", "file_path", "description", "n_lines", "n_imports", F.array_join("outline", "|").alias("outline"))
+
+
+def _answers() -> Callable[[dict], str]:
+    """Good, fenced, broken and failing answers, by the digits of the name; they tell how long the request was."""
+    def answer(row):
+        kind = sum(map(int, filter(str.isdigit, row["file_path"]))) % 5
+        said = json.dumps({"file_path": row["file_path"], "description": f"{len(row['request'])} characters"})
+        if kind == 3:
+            raise RuntimeError("busy")
+        return (said, f"Here:\n```json\n{said}\n```", "no JSON", "", '{"error": "too long"}')[kind]
+    return answer
+
+
+@query
+def enrich_udf(spark, sf):
+    docs = _cache_documents(spark, sf).repartition(spark.sparkContext.defaultParallelism, "repo_id", "file_path")
+    rows = enrich.enrich(docs.drop("doc_id"), _answers, template="{file_path} in {language}: {content}")
+    said = structured.parse_summary(c("summary"), c("file_path"))
+    return rows.select("repo_id", "file_path", F.coalesce("error", said["error"]).alias("error"), F.when(c("error").isNull(), said["description"]).alias("said"))
 
 
 @query
@@ -542,7 +592,7 @@ def parse_summary(spark, sf):
 @query
 def parse_review(spark, sf):
     return view(spark, sf, "vreviews").select("event_id", structured.parse_review(c("answer")).alias("r")).select(
-        "event_id", "r.score", "r.feedback")
+        "event_id", "r.score", "r.feedback", "r.error")
 
 
 @query

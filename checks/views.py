@@ -112,9 +112,11 @@ from (select doc_id, lang, source, cast(doc_id as varchar(20)) as n from {docume
 """
 
 VREVIEWS = """
-select event_id, case event_id%3 when 0 then concat('{"score": ', cast(cast(user_id%100 as double)/10 as varchar(20)), ', "feedback": "', event_type, '"}')
-  when 1 then concat('{"feedback": "', event_type, '"}') else event_type end as answer
-from {events}
+select event_id, case event_id%7 when 0 then concat('{"score": ', n, ', "feedback": "', event_type, '"}')
+  when 1 then concat('{"feedback": "', event_type, '"}') when 2 then event_type when 3 then concat('{"score": "', n, '", "feedback": "', event_type, '"}')
+  when 4 then concat('{"score": ', n, ', "feedback": 7}') when 5 then concat('```json', chr(10), '{"score": ', n, ', "feedback": "', event_type, '"}', chr(10), '```')
+  else concat('{"score": "', event_type, '", "feedback": "', event_type, '"}') end as answer
+from (select event_id, event_type, cast(cast(user_id%100 as double)/10 as varchar(20)) as n from {events}) a
 """
 
 # Files to be written to a disk; some names would be hidden to Spark's readers.

@@ -315,7 +315,22 @@ def test_default_summary(spark):
     rows = {r["file_path"]: (r["description"], r["n_lines"], r["n_imports"]) for r in enrich.with_default_summary(docs).collect()}
     assert rows == {"a.py": ("# head", 2, 2), "b.js": ("import x from 'y'", 1, 1), "c.md": ("", 0, 0)}
     summary = enrich.default_enrich(docs).where("file_path = 'a.py'").first()
-    assert json.loads(summary["summary"]) == {"file_path": "a.py", "description": "# head", "n_lines": 2, "n_imports": 2}
+    assert json.loads(summary["summary"]) == {"file_path": "a.py", "description": "# head", "outline": ["# head "], "n_lines": 2, "n_imports": 2}
+
+
+def test_outline_covers_the_whole_text(spark):
+    text = "\n\n  \nfirst\n" + "x\n" * 5000 + "class A:\n    def b(self):\n# c\nfunctional\nexport const d = 1"
+    row = enrich.with_default_summary(documents(spark, {"a.py": ("python", text)})).first()
+    assert row["description"] == "first" and row["outline"] == ["class A:", "def b(self):", "# c", "export const d = 1"]
+
+
+def test_user_functions_get_the_request(spark):
+    docs = documents(spark, {"a.py": ("python", "x"), "b.md": (None, "{y}")})
+    rows = enrich.enrich(docs, lambda: lambda row: row["request"], template="{file_path}|{language}|{content}")
+    assert sorted(r["summary"] for r in rows.collect()) == ["a.py|python|x", "b.md||{y}"]
+    from arborlens.functions import structured
+    plain = docs.select(structured.request_text(F.col("file_path"), F.col("language"), F.col("content")).alias("t")).collect()
+    assert {r["t"] for r in plain} == {r["summary"] for r in enrich.enrich(docs, lambda: lambda row: row["request"]).collect()}
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -327,12 +342,12 @@ def test_enrichment_does_not_depend_on_partitions(spark, tmp_path, partitions):
 
 
 def test_reports_of_other_repositories_stay(spark, tmp_path):
-    from arborlens.sources.sinks import write_reports
+    from arborlens.sources.sinks import read_reports, write_reports
 
     both = spark.createDataFrame([("a", "one"), ("b", "two")], "repo_id string, report string")
     write_reports(both, str(tmp_path / "r"), "report")
     write_reports(spark.createDataFrame([("a", "new")], both.schema), str(tmp_path / "r"), "report", force=True)
-    assert {tuple(r) for r in spark.read.text(str(tmp_path / "r")).collect()} == {("new", "a"), ("two", "b")}
+    assert {tuple(r) for r in read_reports(spark, str(tmp_path / "r")).collect()} == {("a", "new"), ("b", "two")}
 
 
 def test_long_lists_stay_whole():

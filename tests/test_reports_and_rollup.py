@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -86,7 +87,7 @@ PATHS = ["a/b/c/x", "a/b/c/y", "a/b/d/z", "e/f/only", "g/1", "g/h/2", "top"]
 
 
 def summaries(spark, names, repo="r"):
-    return spark.createDataFrame([(repo, n, f"about {n}", f"S({n})") for n in names],
+    return spark.createDataFrame([(repo, n, f"about {n}", json.dumps(f"S({n})")) for n in names],
                                  "repo_id string, file_path string, description string, summary string")
 
 
@@ -133,24 +134,46 @@ def test_user_function_per_directory(spark):
     rng = random.Random(3)
     names = sorted({"/".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) + f"/f{i}" for i in range(25)} | set(PATHS))
     names = [n.lstrip("/") for n in names]
-    done = rollup.summarise_directories(summaries(spark, names), lambda d, c: f"{d}[{'|'.join(c)}]", threshold=3)
-    assert {r["dir"]: r["summary"] for r in done.collect()} == plain_roll_up(names)
-    assert rollup.summarise_directories(summaries(spark, names), lambda d, c: "x", threshold=100).count() == 0
+    def call(where, contents):
+        return json.dumps("|".join(json.loads(contents)))
+
+    def merge(where, parts):
+        return json.dumps(f"{where}[{'|'.join(map(json.loads, parts))}]")
+
+    done = rollup.summarise_directories(summaries(spark, names), call, merge, threshold=3)
+    assert {r["dir"]: json.loads(r["summary"]) for r in done.collect()} == plain_roll_up(names)
+    assert rollup.summarise_directories(summaries(spark, names), call, merge, threshold=100).count() == 0
 
 
 def test_user_function_on_a_huge_directory_and_failures(spark):
-    names = [f"big/f{i:03}" for i in range(50)] + ["bad/1", "bad/2", "fine/1", "fine/2", "fine/3"]
+    names = [f"big/f{i:04}" for i in range(5000)] + ["bad/1", "bad/2", "fine/1", "fine/2", "fine/3", "fine/deep/4", "fine/deep/5"]
 
     def call(where, contents):
+        items = json.loads(contents)
+        assert len(items) <= 800
         if where == "bad":
             raise ValueError("no")
-        if len(contents) > 20:
-            raise ValueError("too many")
-        return "n" + str(sum(int(c[1:]) if c[0] == "n" else 1 for c in contents))
+        return json.dumps([len(items), items[0] if where == "big" else None])
+
+    def merge(where, parts):
+        rows = [json.loads(p) for p in parts]
+        return json.dumps([sum(r[0] for r in rows), rows[0][1]])
 
-    done = rollup.summarise_directories(summaries(spark, names), call, threshold=3, per_call=8, merge=call)
-    assert {r["dir"]: (r["summary"], r["error"]) for r in done.collect()} == {
-        "big": ("n50", None), "fine": ("n3", None), "bad": (None, "ValueError: no")}
+    done = rollup.summarise_directories(summaries(spark, names), call, merge, threshold=3, per_call=800)
+    assert {r["dir"]: (r["summary"] and json.loads(r["summary"]), r["error"]) for r in done.collect()} == {
+        "big": ([5000, "S(big/f0000)"], None), "fine": ([4, None], None), "fine/deep": ([2, None], None), "bad": (None, "ValueError: no")}
+
+
+def test_a_directory_is_treated_alike_at_every_size(spark):
+    names = [f"d/f{i:02}" for i in range(40)] + [f"d/e/g{i}" for i in range(9)] + ["x"]
+    files = summaries(spark, names).withColumn("summary", F.to_json(F.struct("file_path")))
+    said = []
+    for per_call in (3, 1000):
+        rows = rollup.summarise_directories(files, threshold=3, per_call=per_call).collect()
+        said.append({r["dir"]: json.loads(r["summary"])["description"] for r in rows})
+    assert said[0] == said[1] == {"d": "40 files and 1 directories, 49 files in all", "d/e": "9 files and 0 directories, 9 files in all"}
+    rolled = rollup.roll_up(files, 3, rollup.summarise_directories(files, threshold=3)).collect()
+    assert {(r["file_path"], r["description"]) for r in rolled} == {("d", said[0]["d"]), ("x", "about x")}
 
 
 def test_lists_of_every_length_come_in_path_order(spark):
@@ -229,3 +252,27 @@ def test_observer_gets_counts_and_cannot_break_the_run(spark):
 
     assert watched.tell(broken) == {"total": 7, "completed": 3, "skipped": 4}
     assert watched.errors == ["RuntimeError: observer"]
+
+
+def test_observer_of_every_event_while_the_run_goes_on(spark, tmp_path):
+    folder = str(tmp_path)
+    outcomes = traverse(listing(spark, TREE), max_kb=1).outcomes.repartition(3)
+
+    def make():
+        import os
+
+        def see(event):
+            with open(os.path.join(folder, event["relative_path"].replace("/", "_")), "w") as handle:
+                handle.write(event["event_type"])
+            if event["relative_path"] == "main.py":
+                raise RuntimeError("observer")
+        return see
+
+    rows = watch.tell_each(watch.with_events(outcomes), make).collect()
+    assert {r["relative_path"]: r["observer_error"] for r in rows if r["observer_error"]} == {"main.py": "RuntimeError: observer"}
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {r["relative_path"].replace("/", "_"): r["event_type"] for r in rows} and len(rows) == 7
+    numbered = watch.tell_each(report.progress(outcomes), lambda: lambda event: 1 / (event["total"] - event["completed"]))
+    assert [r["completed"] for r in numbered.where("observer_error is not null").collect()] == [7]
+    broken = watch.tell_each(watch.with_events(outcomes), lambda: 1 / 0).select("observer_error").distinct().collect()
+    assert [r[0] for r in broken] == ["ZeroDivisionError: division by zero"]
+    assert watch.tell_each(watch.with_events(outcomes).limit(0), make).count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from arborlens.operators import manifest, tree
+from arborlens.operators import manifest, report, tree
 from arborlens.plans.traverse import traverse, traverse_folders
 from arborlens.sources import corpus, ignore_files, sinks
 
@@ -196,22 +196,51 @@ def test_fast_reader_agrees_where_no_name_is_hidden(spark, root):
     assert "LessThanOrEqual(length,1024)" in plan
 
 
+def test_documents_in_order(spark, root, tmp_path):
+    run = traverse_folders(spark, {"r": root, "s": root + "/deep"}, partitions=4)
+    sinks.write_documents(run.documents, str(tmp_path / "docs"))  # dealt by name before they were read
+    sinks.write_documents(run.documents, str(tmp_path / "split"), names=run.judged, parts=3)
+    with pytest.raises(AnalysisException):
+        sinks.write_documents(run.documents, str(tmp_path / "docs"))
+    for name in ("docs", "split"):
+        files = sorted(p for p in (tmp_path / name).iterdir() if p.name.startswith("part-"))
+        keys = [(r["repo_id"], r["relative_path"]) for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert keys == sorted(keys) and len(keys) == run.documents.count() and len(files) > 1
+
+
+def test_split_points_part_like_a_sort(spark):
+    names = [("r", f"{i:03}") for i in range(300)] + [("s", "x"), ("q", "y")]
+    table = spark.createDataFrame(names, "repo_id string, relative_path string")
+    points = sinks._split_points(table, 150)
+    assert points == sorted(points) and len(points) > 100
+    found = {(r["repo_id"], r["relative_path"]): r["n"] for r in table.withColumn("n", sinks._range_of(points)).collect()}
+    assert found == {k: max(sum(p <= k for p in points) - 1, 0) for k in names}
+
+
 def test_sinks(spark, root, tmp_path):
     run = traverse_folders(spark, {"r": root})
-    path = str(tmp_path / "docs")
-    sinks.write_documents(run.documents, path)
-    assert spark.read.parquet(path).count() == run.documents.count()
-    with pytest.raises(AnalysisException):
-        sinks.write_documents(run.documents, path)
     reports = run.dry_run.select("repo_id", "skip_summary")
     target = str(tmp_path / "reports")
     sinks.write_reports(reports, target, "skip_summary")
-    with pytest.raises(AnalysisException):
+    with pytest.raises(FileExistsError):
         sinks.write_reports(reports, target, "skip_summary")
-    sinks.write_reports(reports, target, "skip_summary", force=True)
-    assert spark.read.text(target, wholetext=True).first()["value"] == "ignored by default rules: 4\n"
+    sinks.write_reports(reports.withColumn("repo_id", F.lit("other")), target, "skip_summary")  # another repository: no conflict
+    sinks.write_reports(reports.withColumn("skip_summary", F.concat("skip_summary", F.lit("!"))), target, "skip_summary", force=True)
+    assert {tuple(r) for r in sinks.read_reports(spark, target).collect()} == {("r", "ignored by default rules: 4!"), ("other", "ignored by default rules: 4")}
+    sinks.export_report(spark, target, "r", str(tmp_path / "one"))
+    assert spark.read.text(str(tmp_path / "one"), wholetext=True).first()["value"] == "ignored by default rules: 4!\n"
     lines = tree.lines(run.documents)
-    sinks.write_tree(lines, str(tmp_path / "tree"))
-    parts = sorted(p for p in (tmp_path / "tree").iterdir() if p.name.startswith("part-"))
-    text = "".join(p.read_text() for p in parts)
-    assert text == "\n".join(r["line"] for r in lines.orderBy("repo_id", "sort_key").collect()) + "\n"
+    sinks.write_tree(tree.tree_and_files(run.documents, per_piece=3), str(tmp_path / "tree"))
+    pieces = spark.read.parquet(str(tmp_path / "tree")).orderBy("repo_id", "kind", "piece").collect()
+    assert all(r["text"].count("\n") < 3 for r in pieces) and {r["repo_id"] for r in pieces} == {"r"}
+    assert "\n".join(r["text"] for r in pieces if r["kind"] == "tree") == "\n".join(r["line"] for r in lines.orderBy("repo_id", "sort_key").collect())
+    assert "\n".join(r["text"] for r in pieces if r["kind"] == "files").split("\n") == sorted(r["relative_path"] for r in run.documents.collect())
+    assert tree.tree_and_files(run.documents.limit(0)).count() == 0
+
+
+def test_failures_of_one_file_do_not_end_the_run(spark, root):
+    listing = corpus.scan(spark, {"r": root}).where(~F.col("is_dir")).limit(1).withColumn("relative_path", F.lit("a\x00b.py"))
+    run = traverse(corpus.read_content(listing))
+    assert [(r["stage"], r["reason_code"]) for r in run.skipped.collect()] == [("load", "unexpected_error")]
+    events = report.progress(run.outcomes).where("completed = 1").collect()
+    assert events[0]["event_type"] == "file_failed" and events[0]["detail"].startswith("unexpected_error: ")
