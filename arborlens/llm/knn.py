@@ -9,9 +9,9 @@ query of it that is not below the query's bound. Data goes only to the groups th
 gives k rows a query, and the best k of these are kept.
 
 Scores are exact: components are integers, products are formed in doubles while all sums stay below 2^53, else in Python's
-integers. The bounds have a margin for the rounding of distances.
+integers; beyond 64 bits they count as the nearest number of 64 bits. The bounds have a margin for the rounding of distances.
 
-Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; of vectors with
+Defined results: vectors that are null, empty, or hold a component that is null or not finite (times 1024) take no part; of vectors with
 different lengths the shorter ones count as filled up with zeros; ties go to the smaller id; repeated ids are vectors of
 their own, but one query (the least of the vectors), and a query is not matched with rows of its own id; extra columns are ignored; an empty table gives an empty result.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlens.llm.tables import hold
@@ -36,9 +36,12 @@ MARGIN = 1e-6
 
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, v``: floor(1024 x) of sound vectors, as doubles."""
-    values = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    def whole(x: Column) -> Column:  # beyond 2^52 a double has no fraction
+        return F.when(F.abs(x) < 2.0 ** 52, F.floor(x).cast("double")).otherwise(x)
+
+    values = F.transform(F.transform(F.col("embedding"), lambda x: x.cast("double") * SCALE), whole)
     sound = F.size("embedding").cast("int") > 0
-    fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * SCALE) == float("inf")))
     return vectors.filter(F.col("vec_id").isNotNull() & sound & fine).select(F.col("vec_id").cast("bigint"), values.alias("v"))
 
 
@@ -70,10 +73,11 @@ def _cell_of(pivots: np.ndarray):
 
 
 def _products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    most = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1]
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
     if most < 2 ** 53:
         return (queries @ data.T).astype(np.int64)
-    return (queries.astype(object) @ data.astype(object).T).astype(np.int64)
+    whole = [np.array([int(x) for x in rows.flat], object).reshape(rows.shape) for rows in (queries, data)]
+    return np.clip(whole[0] @ whole[1].T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> pa.Table:

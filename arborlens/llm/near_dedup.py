@@ -364,19 +364,24 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     several = F.min("comp") != F.max("comp")
     met = rows.groupBy("shingle").agg(F.count("*").alias("seen"), several.alias("several")).filter("several").drop("several")
     ordered = rows.join(met, "shingle").groupBy("doc_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("order"))
+    # Of a pair, the larger set shares at least percent of its own shingles, and the smaller one (equal sizes: the one with the
+    # larger id) 2 percent / (100 + percent): a shorter prefix, in which a passage that many sets share does not come up.
     prefix = hold(
         ordered.select("doc_id", "comp", "n", F.size("order").alias("size"), F.posexplode("order").alias("at", "next"))
         .select(F.col("next.shingle").alias("shingle"), "doc_id", "comp", "n", (F.col("size") - F.col("at")).cast("bigint").alias("left"))
-        .filter(100 * F.col("left") >= percent * F.col("n")), "prefix")
-    blocks = prefix.groupBy("shingle").agg(F.ceil(F.count("*") / PREFIX_BLOCK).cast("int").alias("blocks"), several.alias("several")).filter("several")
-    dealt = prefix.join(blocks.drop("several"), "shingle").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .filter(100 * F.col("left") >= percent * F.col("n"))
+        .withColumn("short", (100 + percent) * F.col("left") >= 2 * percent * F.col("n")), "prefix")
+    blocks = prefix.groupBy("shingle").agg(F.ceil(F.count("*") / PREFIX_BLOCK).cast("int").alias("blocks"), several.alias("several"),
+                                           F.max("short").alias("any_short")).filter("several and any_short")
+    dealt = prefix.join(blocks.select("shingle", "blocks"), "shingle").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    first = dealt.select("shingle", F.col("own").alias("r"), every.alias("c"), *(F.col(x).alias(x + "_a") for x in ("doc_id", "comp", "n", "left")))
-    second = dealt.select("shingle", every.alias("r"), F.col("own").alias("c"), *(F.col(x).alias(x + "_b") for x in ("doc_id", "comp", "n", "left")))
-    return first.join(second, ["shingle", "r", "c"]).filter(
-        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b"))
+    larger = dealt.select("shingle", F.col("own").alias("r"), every.alias("c"), *(F.col(x).alias(x + "_a") for x in ("doc_id", "comp", "n", "left")))
+    smaller = dealt.filter("short").select("shingle", every.alias("r"), F.col("own").alias("c"), *(F.col(x).alias(x + "_b") for x in ("doc_id", "comp", "n", "left")))
+    return larger.join(smaller, ["shingle", "r", "c"]).filter(
+        ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))))
+        & (F.col("comp_a") != F.col("comp_b"))
         & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
-    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    ).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def _rejoin(docs: DataFrame, split: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

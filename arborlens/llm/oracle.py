@@ -1,5 +1,7 @@
 """SQL (DuckDB) for the queries that SQL can express."""
 
+from arborlens.llm.url_filter import SUFFIXES
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 # Exact groups: sets of shingles, all pairs that share a shingle by an inverted index, and reachability.
@@ -30,7 +32,9 @@ p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
 h0 as (select host, count(quality) as n, coalesce(sum(quality), 0) as good from p left join labels on doc_id = page_id group by host),
-h as (select *, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from h0),
+l as (select *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as labels from h0),
+h as (select * exclude (labels), case when array_to_string(labels[-2:], '.') in ({", ".join(f"'{x}'" for x in SUFFIXES)}) then array_to_string(labels[-3:], '.') else array_to_string(labels[-2:], '.') end as domain,
+  case when array_to_string(labels[-2:], '.') in ({", ".join(f"'{x}'" for x in SUFFIXES)}) then array_to_string(labels[-2:], '.') else labels[-1] end as suffix from l),
 d as (select suffix, domain, sum(n) as n, sum(good) as good from h group by all),
 s as (select suffix, sum(n) as n, sum(good) as good, (select (sum(good) + 1) / (sum(n) + 2) from h) as prior from d group by suffix),
 s2 as (select suffix, (good + prior * k) / (n + k) as mean from s, (select {_STRENGTH} as k from s)),

@@ -124,6 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
     cut = hold(pieces(docs, tokenizer, end_id, window), "pieces", compression="zstd")
     full = cut.filter(F.col("length") == window).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn(
         "offset", F.lit(0).cast("bigint"))
-    short = cut.filter(F.col("length") < window).withColumn("group", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups)))
+    # The row's number spreads rows that are alike.
+    short = cut.filter(F.col("length") < window).withColumn("row", F.monotonically_increasing_id())
+    short = short.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids", "row"), F.lit(groups))).drop("row")
     return full.unionByName(
         short.groupBy("group").applyInArrow(_packer(window), _PIECE + ", sequence_id bigint, offset bigint"))

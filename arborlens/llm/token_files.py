@@ -128,9 +128,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_id
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names), pa.array(counts, pa.int64()), pa.array(ids, pa.int64())], names=["file", "n_docs", "n_ids"])
 
+    # Rows of one id are in the order of their hashes; the row's number spreads rows that are alike.
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return hold(dealt.mapInArrow(write, "file string, n_docs bigint, n_ids bigint"), "manifest")
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
+    return hold(dealt.select("doc_id", "text").mapInArrow(write, "file string, n_docs bigint, n_ids bigint"), "manifest")
 
 
 def _index(file) -> dict:

@@ -11,7 +11,7 @@ any take the domain's value. A url is blocked if the upper bound of its host's p
 ``THRESHOLD``: only on firm evidence.
 
 Registered domains are a suffix and one label more; suffixes are the last label, or the last two if listed in
-``suffixes``, a parameter.
+``suffixes``, a parameter (``SUFFIXES`` are common ones). A port is no part of either.
 
 Pages are counted per host before anything is shuffled; the join back from hosts to pages can be split at a hot host.
 
@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 
 from arborlens.llm.tables import hold
 
+# Common public suffixes of two labels.
+SUFFIXES = ["ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co",
+            "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.cn",
+            "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk"]
 Z = 1.64
 THRESHOLD = 0.5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -42,12 +46,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def bare(host: Column) -> Column:
+    """A host without its port."""
+    return F.regexp_replace(host, r":[0-9]*\z", "")
+
+
 def suffix_of(host: Column, suffixes: list[str]) -> Column:
+    host = bare(host)
     last = F.substring_index(host, ".", -1)
     return F.when(F.substring_index(host, ".", -2).isin(suffixes), F.substring_index(host, ".", -2)).otherwise(last) if suffixes else last
 
 
 def domain_of(host: Column, suffixes: list[str]) -> Column:
+    host = bare(host)
     two = F.substring_index(host, ".", -2)
     return F.when(two.isin(suffixes), F.substring_index(host, ".", -3)).otherwise(two) if suffixes else two
 
@@ -108,7 +119,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, suffixes: lis
 
     ``outcomes`` are labelled pages ``(page_id, good)``.
     """
-    suffixes = suffixes or []
+    suffixes = SUFFIXES if suffixes is None else suffixes
     placed = pages.select(F.col("page_id").cast("bigint"), host_of(F.col("url").cast("string")).alias("host"),
                           path_of(F.col("url").cast("string")).alias("path"))
     labelled = placed.join(outcomes.select(F.col("page_id").cast("bigint"), F.col("good").cast("bigint")), "page_id", "left")

@@ -98,6 +98,22 @@ def test_crowded_regions_go_deeper(spark, monkeypatch):
     check_groups(spark, texts)
 
 
+def test_prefixes_leave_out_what_all_share(spark):
+    passage = [f"p{i}" for i in range(160)]
+    texts = [" ".join(passage + [f"d{i}x{k}" for k in range(40)]) for i in range(300)]  # 0.65 alike
+    texts += [" ".join(passage + [f"q{i // 2}x{k}" for k in range(36)] + [f"e{i}x{k}" for k in range(4)]) for i in range(20)]  # and pairs above 0.75
+    texts += [" ".join(passage + [f"q{i}x{k}" for k in range(30)]) for i in range(5)]  # of other sizes
+    docs = docs_of(spark, texts)
+    full = near_dedup.signatures(docs).selectExpr("text_key as doc_id", "text_key as label")
+    sets = near_dedup._sets_for(docs, full.select("doc_id"))
+    pairs = {tuple(r) for r in near_dedup._prefix_pairs(sets, full, 75).collect()}
+    keys = [r[0] for r in docs.select("doc_id", near_dedup.text_key().alias("k")).orderBy("doc_id").select("k").collect()]
+    shingles = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i in range(len(texts)) for j in range(i)
+             if 100 * len(shingles[i] & shingles[j]) >= 75 * len(shingles[i] | shingles[j])}
+    assert len(links) >= 10 and links <= pairs and len(pairs) < 300  # not 300 * 299 / 2
+
+
 def pairs_in_a_passage(n_docs, n_pairs, words, own, alike):
     """Texts that share a passage and are no links, and pairs of them that are links by a few words more."""
     passage, texts = prose(7, words, 10**6), []
@@ -355,6 +371,43 @@ def test_warc_damage():
     assert b"http-status: \r\n" in warc.derive(headless)[0] and len(warc.derive(headless)) == 1
 
 
+def test_scores_of_large_numbers(spark):
+    draw = random.Random(9)
+    for scale in (2.0**20, 2.0**40, 1e30):
+        rows = [(i, [draw.uniform(-scale, scale) for _ in range(3)]) for i in range(40)]
+        rows += [(40, [131072.0009765625, 0.0, 0.0]), (100, [131072.0009765625, 0.0, 0.0])]
+        table = spark.createDataFrame(rows + [(50, [1e308, 0.0, 0.0])], "vec_id bigint, embedding array<double>")
+        whole = {i: [int(np.floor(x * 1024)) if abs(x) < 2.0**42 else int(x * 1024) for x in v] for i, v in rows}
+        got = [(r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(table, 3).collect()]
+        for q in (0, 100):
+            scores = {i: min(max(sum(a * b for a, b in zip(whole[q], v)), -2**63), 2**63 - 1) for i, v in whole.items() if i != q}
+            best = sorted(((-s, i) for i, s in scores.items()))[:3]
+            assert sorted(r for r in got if r[0] == q) == [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_suffixes_and_ports(spark):
+    hosts = spark.createDataFrame([("a.x.co.uk",), ("x.co.uk:8080",), ("b.example.com:",), ("com",), ("",)], "host string")
+    got = [tuple(r) for r in hosts.select(url_filter.domain_of(F.col("host"), url_filter.SUFFIXES), url_filter.suffix_of(F.col("host"), url_filter.SUFFIXES)).collect()]
+    assert got == [("x.co.uk", "co.uk"), ("x.co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", "")]
+    # Sites below one suffix of two labels are domains of their own.
+    pages = [(i, f"http://bad.co.uk/{i}") for i in range(60)] + [(100 + i, f"http://good.co.uk:81/{i}") for i in range(60)] + [(200, "http://new.bad.co.uk/"), (201, "http://new.good.co.uk/")]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in pages[:120]], "page_id bigint, good int")
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    judged = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string"), labels, rules).collect()}
+    assert judged[200] == "block" and judged[201] == "allow" and judged[0] == "block" and judged[100] == "allow"
+
+
+def test_rows_alike_are_spread(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "same words here")] * 400 + [(7, "seven")] * 400, "doc_id bigint, text string").repartition(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.pack(docs, path, 0, 64, 100)
+    assert rows.count() == 800 and rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 64
+    assert rows.groupBy((F.col("sequence_id") / 2**33).cast("int")).count().count() == 8
+    folder = str(tmp_path / "ids")
+    manifest = token_files.write_ids(docs, folder, path, 0)
+    assert manifest.count() > 1 and manifest.agg(F.sum("n_docs")).first()[0] == 800
+
+
 # Quality
 
 
