@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlens.functions.text import BLANK, INLINE_BLANK, strip
 
+# ---- fixed values: statements that name modules ------------------------------
 _LINE = f"(?md)^[{INLINE_BLANK}]*"
 _IMPORT = _LINE + f"import[{BLANK}]+([^\\n#]+)"
 _FROM = _LINE + f"from[{BLANK}]+([^{BLANK}]+)[{BLANK}]+import[{BLANK}]+([^\\n#]+)"

@@ -44,11 +44,18 @@ def config_hash(provider=None, model=None, base_url=None, template: str = REQUES
 
 def config_hash_column(provider: Column, model: Column, base_url: Column,
                        template: str = REQUEST_TEMPLATE) -> Column:
-    """The same hash for configurations held as rows (ASCII settings)."""
+    """The same hash for configurations held as rows."""
+    def escaped(sign: Column) -> Column:
+        """A sign beyond ASCII as its UTF-16 numbers."""
+        number = F.lower(F.hex(F.encode(sign, "UTF-16BE")))
+        return F.when(F.ascii(sign) < 127, sign).otherwise(F.regexp_replace(number, "(.{4})", r"\\\\u$1"))
+
     def quoted(value: Column) -> Column:
         inner = F.to_json(F.array(value))
+        inner = F.substr(inner, F.lit(2), F.length(inner) - 2)
+        plain = (F.octet_length(inner) == F.length(inner)) & ~F.contains(inner, F.lit("\x7f"))
         return F.coalesce(
-            F.when(value.isNotNull(), F.substr(inner, F.lit(2), F.length(inner) - 2)),
+            F.when(value.isNotNull(), F.when(plain, inner).otherwise(F.array_join(F.transform(F.split(inner, ""), escaped), ""))),
             F.lit("null"),
         )
 

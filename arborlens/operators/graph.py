@@ -325,24 +325,17 @@ def overview(degree: DataFrame) -> DataFrame:
     entry_lines = lines(False, lambda r: F.concat(F.lit("- `"), paths.base_name(r["path"]), F.lit("`\n")))
     rest = F.col("entry_points") - V.REPORT_ENTRIES
     core_part = F.when(core_lines != "", F.concat(
-        F.lit("### Core Modules\nFiles most depended on by other modules:\n"), core_lines, F.lit("\n")))
+        F.lit(V.CORE_HEADING), core_lines, F.lit("\n")))
     entry_part = F.when(entry_lines != "", F.concat(
-        F.lit("### Entry Points\nFiles with no incoming dependencies:\n"), entry_lines,
+        F.lit(V.ENTRY_HEADING), entry_lines,
         F.when(rest > 0, F.concat(F.lit("- ... and "), rest.cast("string"), F.lit(" more\n"))).otherwise(""),
         F.lit("\n")))
-    average = tenths(F.col("avg_dependencies_per_file"))
-    number_lines = [
-        ("Total files analyzed", F.col("total_files").cast("string")),
-        ("Total dependencies", F.col("total_dependencies").cast("string")),
-        ("Entry points", F.col("entry_points").cast("string")),
-        ("Isolated files", F.col("isolated_files").cast("string")),
-        ("Leaf modules", F.col("leaf_modules").cast("string")),
-        ("Avg dependencies per file", average),
-    ]
-    numbers = [x for label, value in number_lines for x in (F.lit(f"- **{label}**: "), value, F.lit("\n"))]
+    value = {name: F.col(name).cast("string") for name in V.STATISTICS_LABELS}
+    value["avg_dependencies_per_file"] = tenths(F.col("avg_dependencies_per_file"))
+    numbers = [x for name, label in V.STATISTICS_LABELS.items() for x in (F.lit(f"- **{label}**: "), value[name], F.lit("\n"))]
     text = F.concat(
         F.lit(V.OVERVIEW_HEADING + "\n"), F.coalesce(core_part, F.lit("")),
-        F.coalesce(entry_part, F.lit("")), F.lit("### Dependency Statistics\n"), *numbers,
+        F.coalesce(entry_part, F.lit("")), F.lit(V.STATISTICS_HEADING), *numbers,
     )
     return stats.join(listed, "repo_id").select("repo_id", text.alias("overview"))
 

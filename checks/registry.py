@@ -419,13 +419,13 @@ def js_imports(spark, sf):
 @query
 def py_edges(spark, sf):
     docs = view(spark, sf, "vcode", spread=True)
-    return graph.edges(docs).where(F.endswith("src", F.lit(".py")))
+    return graph.edges(docs).where(F.endswith(F.lower("src"), F.lit(".py")))
 
 
 @query
 def js_edges(spark, sf):
     docs = view(spark, sf, "vcode", spread=True)
-    return graph.edges(docs).where(~F.endswith("src", F.lit(".py")))
+    return graph.edges(docs).where(~F.endswith(F.lower("src"), F.lit(".py")))
 
 
 @query

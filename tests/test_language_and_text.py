@@ -89,6 +89,10 @@ def test_configuration_hash(spark):
     rows = spark.createDataFrame([("p", None, 'u"x\\')], "a string, b string, c string")
     got = rows.select(structured.config_hash_column(F.col("a"), F.col("b"), F.col("c"))).first()[0]
     assert got == structured.config_hash("p", None, 'u"x\\')
+    settings = ["é", "漢字 \U0001f600 x", "\x7f~", "a", "tab\t", None]
+    rows = spark.createDataFrame([(s, i) for i, s in enumerate(settings)], "a string, i int")
+    got = rows.orderBy("i").select(structured.config_hash_column(F.col("a"), F.lit("m"), F.lit(None).cast("string"))).collect()
+    assert [r[0] for r in got] == [structured.config_hash(s, "m") for s in settings]
     assert len({structured.config_hash("p"), structured.config_hash("q"), structured.config_hash("p", template="t")}) == 3
 
 
@@ -101,5 +105,11 @@ def test_request_and_answers(spark, values):
     assert [(p["file_path"], p["description"], p["error"]) for p in parsed] == [
         ("f", "d", None), ("p", None, "invalid JSON"), ("p", None, "invalid JSON"), ("p", None, "invalid JSON"), (None, None, "e")]
     assert json.loads(parsed[0]["summary"].toJson()) == {"file_path": "f", "description": "d", "n": 1}
-    reviews = values(structured.parse_review, "string", '{"score": 7.5, "feedback": "ok"}', "bad")
-    assert [(r["score"], r["feedback"]) for r in reviews] == [(7.5, "ok"), (None, None)]
+    reviews = {
+        '{"score": 7.5, "feedback": "ok"}': (7.5, "ok", None), '```json\n{"score": "8", "feedback": "x"}\n```': (8.0, "x", None), '{"score": true, "feedback": ""}': (1.0, "", None),
+        '{"score": " 1e1 ", "feedback": "x", "more": 1}': (10.0, "x", None),
+    } | {bad: (None, None, "invalid review") for bad in (
+        "bad", "", '{"score": 7}', '{"feedback": "x"}', '{"score": null, "feedback": "x"}', '{"score": "high", "feedback": "x"}', '{"score": "1d", "feedback": "x"}',
+        '{"score": [1], "feedback": "x"}', '{"score": 1, "feedback": 2}', '{"score": 1, "feedback": null}', "[1]", "7")}
+    assert [tuple(r) for r in values(structured.parse_review, "string", *reviews)] == list(reviews.values())
+    assert tuple(values(structured.parse_review, "string", None)[0]) == (None, None, "invalid review")
