@@ -48,7 +48,7 @@ def config_hash_column(provider: Column, model: Column, base_url: Column,
     def escaped(sign: Column) -> Column:
         """A sign beyond ASCII as its UTF-16 numbers."""
         number = F.lower(F.hex(F.encode(sign, "UTF-16BE")))
-        return F.when(F.ascii(sign) < 127, sign).otherwise(F.regexp_replace(number, "(.{4})", r"\\\\u$1"))
+        return F.when(F.ascii(sign) < 127, sign).otherwise(F.regexp_replace(number, "(.{4})", r"\\u$1"))
 
     def quoted(value: Column) -> Column:
         inner = F.to_json(F.array(value))
