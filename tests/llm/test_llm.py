@@ -437,6 +437,46 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def plain_fit(x, y, trees, depth):
+    """Boosted trees by looking at every row for every cut of every statistic."""
+    start = np.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2)))
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1]))) for f in range(x.shape[1])]
+    total = [start] * len(y)
+
+    def grow(rows, gradient, weight, level):
+        best = (1e-9, None)
+        g, h = sum(gradient[i] for i in rows), sum(weight[i] for i in rows)
+        for f, edges in enumerate(cuts if level < depth else []):
+            for e in edges:
+                left = [i for i in rows if x[i, f] <= e]
+                gl, hl = sum(gradient[i] for i in left), sum(weight[i] for i in left)
+                if hl < quality.FEWEST / 4 or h - hl < quality.FEWEST / 4:
+                    continue
+                gain = gl ** 2 / (hl + quality.SMOOTH) + (g - gl) ** 2 / (h - hl + quality.SMOOTH) - g ** 2 / (h + quality.SMOOTH)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (f, e))
+        if best[1] is None:
+            return {i: -quality.RATE * g / (h + quality.SMOOTH) for i in rows}
+        f, e = best[1]
+        return grow([i for i in rows if x[i, f] <= e], gradient, weight, level + 1) | grow([i for i in rows if x[i, f] > e], gradient, weight, level + 1)
+
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-t)) for t in total]
+        steps = grow(range(len(y)), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], 0)
+        total = [t + steps[i] for i, t in enumerate(total)]
+    return 1 / (1 + np.exp(-np.array(total)))
+
+
+def test_trees_against_a_plain_search(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 3)
+    monkeypatch.setattr(quality, "BINS", 8)
+    monkeypatch.setattr(quality, "DEPTH", 3)
+    draw = np.random.default_rng(5)
+    x = np.round(draw.normal(size=(150, 4)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] + draw.normal(size=150) / 3 > 0)).astype(float)
+    assert np.allclose(quality.fit(x, y).score(x), plain_fit(x, y, 3, 3))
+
+
 def test_trees_go_the_same_way_one_by_one():
     draw = np.random.default_rng(3)
     x = draw.normal(size=(400, 3))
@@ -528,6 +568,34 @@ def test_long_pages_take_time_in_proportion(page):
     assert time.process_time() - start < 20
 
 
+def random_page(draw, depth, number):
+    """A well-formed part of a page, and the words that a reader sees of it."""
+    html, words = "", []
+    for _ in range(draw.randrange(1, 4)):
+        kind = draw.randrange(9 if depth else 2)
+        word = f"w{next(number)}"
+        if kind < 2:
+            html, words = f"{html} {word} ", [*words, word]
+        elif kind == 2:
+            html += draw.choice([f"<script>{word}</script>", f"<p hidden>{word}</p>", f"<!-- {word} -->", f"<i style='display:none'>{word}</i>", f"<rp>{word}</rp>"])
+        else:
+            inner, seen = random_page(draw, depth - 1, number)
+            opening, closing = draw.choice([("<div>", "</div>"), ("<b class='hidden x'>", "</b>"), ("<section title='a > b'>", "</section>"), ("<blockquote>", "</blockquote>"),
+                                            ("<ul><li>", "</li></ul>"), ("<ul><li>", "</ul>"), ("<dl><dd>", "</dl>"), ("<pre>", "</pre>"), ("<table><tr><td>", "</table>")])
+            html, words = html + opening + inner + closing, words + seen
+    return html, words
+
+
+def test_all_that_is_seen_is_there_in_order():
+    import itertools
+
+    draw = random.Random(12)
+    for _ in range(800):
+        html, words = random_page(draw, draw.randrange(7), itertools.count())
+        got = html_text.visible_text(f"<html><head><title>no</title></head><body>{html}</body></html>")
+        assert re.findall(r"w[0-9]+", got) == words, html
+
+
 def test_extract_odd_rows(spark):
     kinds = "page_id bigint, url string, html string, text string"
     pages = spark.createDataFrame([(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None), (2, "u", "<b>" * 100_000 + "x", "t")], kinds)
