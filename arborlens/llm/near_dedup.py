@@ -425,8 +425,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def drop_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row of each group, that with the smallest id (null last); all rows without words but repeated ones with an id.
 
-    The marks are written first, so that their size is known: where they are few, no text moves. Of repeated rows only
-    their own texts meet.
+    The marks are written first and counted: up to ``BROADCAST_IDS`` they are sent to the texts, which then stay where they
+    are. Of repeated rows only their own texts meet.
     """
     rows = grouped(docs, percent)
     ranked = rows.filter("group is not null").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
@@ -437,6 +437,7 @@ def drop_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     names = free(docs.columns, "marked_id", "marked_key", "copy", "key")
     an_id, a_key, copy, key = names
     marks = hold(copies.union(repeated).groupBy("doc_id", "text_key").agg(F.max("copy").alias("copy")).toDF(an_id, a_key, copy), "marks")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(an_id)) & (text_key() == F.col(a_key))
     marked = docs.join(marks, same, "left").withColumn(key, text_key())
     once = marked.filter(~F.col(copy)).dropDuplicates(["doc_id", key])
