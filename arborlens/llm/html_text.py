@@ -157,11 +157,13 @@ def parse(page: str) -> Node:
         if at < start:
             text(at, start)
         at = end
-        ends, name, attributes, ends_2, name_2, attributes_2 = found.groups("")
-        tag = (name or name_2).lower()
-        if not tag:
-            continue
-        if ends or ends_2:
+        ends, name, attributes = found.group(1, 2, 3)
+        if not name:
+            ends, name, attributes = found.group(4, 5, 6)  # with a quote that is not closed
+            if not name:
+                continue
+        tag = name.lower()
+        if ends:
             if stack[-1].tag == tag and len(stack) > 1:  # the usual case
                 if tag != "body":
                     stack.pop()
@@ -173,7 +175,6 @@ def parse(page: str) -> Node:
             continue
         if tag == "html":
             continue
-        attributes = attributes or attributes_2
         if stack[-1].tag == "head" and tag not in HEAD_CONTENT:
             opened.cut(len(stack) - 1)
         if tag in ENDS_P and places["p"]:

@@ -16,7 +16,6 @@ repeated pages give records with equal identifiers; extra columns are ignored; a
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import posixpath
@@ -39,8 +38,14 @@ DATE = "1970-01-01T00:00:00Z"  # of records made from pages, which carry no date
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # of base 32
+_PAIRS = [a + b for a in _LETTERS for b in _LETTERS]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """SHA-1 in base 32, two letters for every ten bits."""
+    number = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "sha1:" + "".join([_PAIRS[(number >> shift) & 1023] for shift in range(150, -1, -10)])
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -49,18 +54,18 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def _one_line(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value)
+    return re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value
 
 
 def response(page_id: int | None, url: str | None, html: str | None) -> bytes:
     """A page as a response record."""
     url, payload = _one_line(url or ""), (html or "").encode("utf-8", "surrogatepass")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page: {'' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n"
-    block = http.encode() + payload
-    name = uuid.uuid5(_NAMES, f"{page_id} {url} {digest(payload)}")
+    block, part = http.encode() + payload, digest(payload)
+    name = uuid.uuid5(_NAMES, f"{page_id} {url} {part}")
     return record([
         ("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url),
-        ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)),
+        ("WARC-Payload-Digest", part), ("WARC-Block-Digest", digest(block)),
         ("Content-Type", "application/http; msgtype=response")], block)
 
 
@@ -109,9 +114,10 @@ def derive(raw: bytes) -> list[bytes]:
               ("digest-fits", "yes" if fits else "no")]
 
     def made(kind: str, media: str, body: bytes) -> bytes:
-        own = uuid.uuid5(_NAMES, f"{kind} {name or ''} {digest(body)}")
+        sum_of = digest(body)
+        own = uuid.uuid5(_NAMES, f"{kind} {name or ''} {sum_of}")
         return record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{own}>"), *linked,
-                       ("WARC-Block-Digest", digest(body)), ("Content-Type", media)], body)
+                       ("WARC-Block-Digest", sum_of), ("Content-Type", media)], body)
 
     out = [made("metadata", "application/warc-fields", "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields).encode())]
     media = next((v for k, v in headers if k.lower() == "content-type"), "").lower()
@@ -235,7 +241,8 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for raw in batch.column(0):
             headers, block = parse(raw.as_py())
-            rows.append((*(first(headers, k) for k in keys), len(block), first(headers, "warc-block-digest"), block.decode("utf-8", "replace")))
+            named = dict(reversed(headers))  # of repeated headers the first counts
+            rows.append((*map(named.get, keys), len(block), named.get("warc-block-digest"), block.decode("utf-8", "replace")))
         columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64() if n == "content_length" else pa.large_string() if n == "block" else pa.string())

@@ -1,6 +1,8 @@
 """Operators for training data against brute force, round trips, held-out accuracy and odd rows."""
 
+import base64
 import gzip
+import hashlib
 import random
 import re
 import time
@@ -363,6 +365,11 @@ def test_no_warc_files_of_nothing(spark, tmp_path):
     assert made.count() == 0 and warc.read_files(made, "file://" + str(tmp_path / "w")).count() == 0
 
 
+def test_warc_digests():
+    for data in (b"", b"a", bytes(range(256)) * 9):
+        assert warc.digest(data) == "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 def test_warc_damage():
     good = warc.response(1, "http://x", "<p>x")
     assert b"digest-fits: no" in warc.derive(good.replace(b"<p>x", b"<p>y"))[0]
