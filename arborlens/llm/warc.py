@@ -7,7 +7,8 @@ status and headers, and all headers of its record as ``source-<name>``, in their
 source digest that does not fit its block is reported as ``digest-fits: no`` in the metadata.
 
 Records are read from and written to files with one gzip member per record, by tasks that hold one record at a time. A file is
-written under a name of its own and then moved to its place, so that repeated tasks leave whole files only.
+written under a name of its own and then moved to its place, so that repeated tasks leave whole files only. Where records are
+made from rows or files and written, or read and turned into columns, a task does both in one pass (``make``).
 
 Defined results: a null page or url is an empty payload or target; records other than responses are passed over; a response
 without a readable HTTP head has an empty status and counts as payload as a whole; other media give a metadata record only;
@@ -22,7 +23,7 @@ import posixpath
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,6 +36,7 @@ from arborlens.llm.tables import hold
 
 FILE_BYTES = 1 << 26
 DATE = "1970-01-01T00:00:00Z"  # of records made from pages, which carry no date
+Make = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
 
 
@@ -137,16 +139,19 @@ def _from_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([response(*r) for r in rows], pa.large_binary())], names=["record"])
 
 
+def _typed(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
+
+
 def responses(pages: DataFrame) -> DataFrame:
     """Pages ``(page_id, url, html)`` as response records, ``record`` each."""
-    return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(
-        _from_pages, "record binary")
+    return _typed(pages).mapInArrow(_from_pages, "record binary")
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made, size = [], 0
-        for raw in batch.column(0):
+        for raw in batch.column("record"):
             made += derive(raw.as_py())
             size += len(made[-1]) if made else 0
             if size > 1 << 20:
@@ -161,8 +166,11 @@ def derivatives(records: DataFrame) -> DataFrame:
     return records.select("record").mapInArrow(_derive, "record binary")
 
 
-def write_files(records: DataFrame, folder: str, prefix: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write records to ``.warc.gz`` files; the manifest ``file, n_records`` as a table."""
+def write_files(rows: DataFrame, folder: str, prefix: str, file_bytes: int = FILE_BYTES, make: Make | None = None) -> DataFrame:
+    """Write records to ``.warc.gz`` files; the manifest ``file, n_records`` as a table.
+
+    The records are the column ``record``, or what ``make`` turns the batches of rows into.
+    """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
@@ -174,8 +182,8 @@ def write_files(records: DataFrame, folder: str, prefix: str, file_bytes: int =
             system.move(draft, posixpath.join(root, name))
             written.append((name, count))
 
-        for batch in batches:
-            for raw in batch.column(0):
+        for batch in make(batches) if make else batches:
+            for raw in batch.column("record"):
                 if out is None:
                     draft, size, count = posixpath.join(root, f".{uuid.uuid4().hex}"), 0, 0
                     out = system.open_output_stream(draft, compression=None)
@@ -191,7 +199,7 @@ def write_files(records: DataFrame, folder: str, prefix: str, file_bytes: int =
             names, counts = zip(*written)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts, pa.int64())], names=["file", "n_records"])
 
-    return hold(records.select("record").mapInArrow(write, "file string, n_records bigint"), "manifest")
+    return hold((rows if make else rows.select("record")).mapInArrow(write, "file string, n_records bigint"), "manifest")
 
 
 def members(stream, size: int = 1 << 15) -> Iterator[bytes]:
@@ -212,8 +220,7 @@ def members(stream, size: int = 1 << 15) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """``file, record`` of the files of a manifest."""
+def _reader(folder: str) -> Make:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
@@ -229,7 +236,28 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(rows, pa.large_binary())], names=["file", "record"])
 
-    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(read, "file string, record binary")
+    return read
+
+
+def _by_file(manifest: DataFrame) -> DataFrame:
+    """A task for each file."""
+    return manifest.select("file").repartition(max(1, manifest.count()))
+
+
+def read_files(manifest: DataFrame, folder: str) -> DataFrame:
+    """``file, record`` of the files of a manifest."""
+    return _by_file(manifest).mapInArrow(_reader(folder), "file string, record binary")
+
+
+def write_responses(pages: DataFrame, folder: str, prefix: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write pages ``(page_id, url, html)`` as response records; the manifest."""
+    return write_files(_typed(pages), folder, prefix, file_bytes, _from_pages)
+
+
+def write_derivatives(manifest: DataFrame, folder: str, prefix: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the derivatives of the files of a manifest to the same folder; their manifest."""
+    read = _reader(folder)
+    return write_files(_by_file(manifest), folder, prefix, file_bytes, lambda batches: _derive(read(batches)))
 
 
 _FIELDS = ("record_id", "type", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "block")
@@ -239,7 +267,7 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ("warc-record-id", "warc-type", "warc-refers-to", "warc-target-uri", "warc-date", "content-type")
     for batch in batches:
         rows = []
-        for raw in batch.column(0):
+        for raw in batch.column("record"):
             headers, block = parse(raw.as_py())
             named = dict(reversed(headers))  # of repeated headers the first counts
             rows.append((*map(named.get, keys), len(block), named.get("warc-block-digest"), block.decode("utf-8", "replace")))
@@ -249,7 +277,15 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              for n, c in zip(_FIELDS, columns)], names=list(_FIELDS))
 
 
+_COLUMNS = ", ".join(f"{n} {'bigint' if n == 'content_length' else 'string'}" for n in _FIELDS)
+
+
 def fields(records: DataFrame) -> DataFrame:
     """Headers and block of each record as columns."""
-    return records.select("record").mapInArrow(
-        _fields, ", ".join(f"{n} {'bigint' if n == 'content_length' else 'string'}" for n in _FIELDS))
+    return records.select("record").mapInArrow(_fields, _COLUMNS)
+
+
+def file_fields(manifest: DataFrame, folder: str) -> DataFrame:
+    """The same of the records in the files of a manifest."""
+    read = _reader(folder)
+    return _by_file(manifest).mapInArrow(lambda batches: _fields(read(batches)), _COLUMNS)

@@ -677,3 +677,17 @@ def test_hidden_is_an_attribute(attributes, seen):
     ("<html><head><meta content='1 > 0'><link y></head><body>a</body>", "a"), ("<head></head><header>a</header>b", "a\nb")])
 def test_heads_without_ends(page, text):
     assert html_text.visible_text(page) == text
+
+
+def test_warc_files_are_made_in_one_pass_over_the_records(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>text {i}" * 5) for i in range(9)], "page_id long, url string, html string")
+    folder = "file://" + str(tmp_path)
+    slow = warc.write_files(warc.responses(pages), folder, "slow", file_bytes=500)
+    made = warc.write_files(warc.derivatives(warc.read_files(slow, folder)), folder, "slow-made")
+    manifest = warc.write_responses(pages, folder, "r", file_bytes=500)
+    derived = warc.write_derivatives(manifest, folder, "d")
+    assert manifest.count() > 1 and manifest.agg({"n_records": "sum"}).first()[0] == 9
+    expected = sorted(map(tuple, warc.fields(warc.read_files(made, folder)).collect()))
+    rows = warc.file_fields(derived, folder)
+    assert len(expected) == 18 and sorted(map(tuple, rows.collect())) == expected
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
