@@ -2,7 +2,7 @@
 
 A text is cut before every single blank that stands between two other characters. The two kinds of tokenizers known here
 (``_kind``) never join characters across such a place, so the ids of a text are those of its parts, one after the other.
-Parts are remembered. A new part of Latin letters, also when lower-cased, and signs goes to the library's model directly,
+Parts are remembered, in two generations, so that common ones stay while rare ones go. A new part of Latin letters, also when lower-cased, and signs goes to the library's model directly,
 others to the whole tokenizer. With any other kind of tokenizer, texts are encoded as they are.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-REMEMBERED = 1 << 21  # parts kept by a worker; the memory starts anew beyond
+REMEMBERED = 1 << 17  # parts of a generation; beyond, it takes the place of the one before it
 LONG_PART = 200  # longer parts are not remembered
 BLOCK = 1 << 16  # characters of a part beyond which it is cut further
 
@@ -56,18 +56,27 @@ def _kind(path: str) -> str:
 
 
 class _Memory(dict):
-    """Encoding of parts, worked out when first asked for."""
+    """Encoding of parts, worked out when first asked for; those asked for since the last turn, and those of before it."""
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
         self.encoder, self.lead = encoder, lead
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        value = self.encoder.part(self.lead, part)
+        value = self.before.get(part)
+        if value is None:
+            value = self.encoder.part(self.lead, part)
         if len(part) <= LONG_PART:
             self[part] = value
         return value
 
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before.clear()
+            self.before.update(self)
+            self.clear()
+
 
 class Encoder:
     """Encodes texts with the file at ``path``; ``offsets`` gives character spans in place of ids."""
@@ -144,9 +153,10 @@ class Encoder:
 
     def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids (uint32), or spans (int64, two columns), of each text; null counts as empty."""
-        if len(self._first) + len(self._later) > REMEMBERED:
-            for memory in (self._first, self._later, self._signs):
-                memory.clear()
+        self._first.turn()
+        self._later.turn()
+        if len(self._signs) > REMEMBERED:
+            self._signs.clear()
         later, out = self._later, []
         for text in texts:
             if not text or not self._by:

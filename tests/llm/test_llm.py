@@ -691,3 +691,17 @@ def test_warc_files_are_made_in_one_pass_over_the_records(spark, tmp_path):
     rows = warc.file_fields(derived, folder)
     assert len(expected) == 18 and sorted(map(tuple, rows.collect())) == expected
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_rare_words_leave_the_encoder_and_common_ones_stay(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)
+    encode, asked = tokens.Encoder(path), []
+    part = encode.part
+    monkeypatch.setattr(encode, "part", lambda lead, word: asked.append(word) or part(lead, word))
+    plain = tokens.Encoder(path)._tokenizer
+    for n in range(20):
+        text = "start common " + " ".join(f"w{n}x{i}" for i in range(90)) + " common end"
+        assert encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert sum(len(m) + len(m.before) for m in (encode._first, encode._later)) <= 4 * (100 + 95)
+    assert asked.count("common") == 1 and asked.count("start") == 1
