@@ -1,10 +1,10 @@
 """Directory facts and roll-up of file summaries."""
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from arborlens.operators.skew import join_per_key, positions
 from arborlens.session import fresh_folder, shared_folder
 
 CONTENTS_PER_CALL = 1000
+RUNS_AT_ONCE = 16  # runs that are Python values at a time
 
 
 def usable(summaries: DataFrame) -> DataFrame:
@@ -264,28 +265,32 @@ def _fold(items: DataFrame, call, merge, per_call: int) -> DataFrame:
     A failed run makes its directory fail, with the first error.
     """
     def over(function):
-        def one(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("place")
-            first, summary = group.iloc[0], None
-            error = next((e for e in group["error"] if isinstance(e, str)), None)
-            try:
-                summary = function(first["dir"], group["summary"].tolist()) if error is None else None
-            except Exception as problem:  # noqa: BLE001 - any failure is the directory's own
-                error = f"{type(problem).__name__}: {problem}"
-            return pd.DataFrame(
-                [(first["repo_id"], first["dir"], first["block"], first["blocks"], summary, error)],
-                columns=["repo_id", "dir", "place", "blocks", "summary", "error"],
-            )
-        return one
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, RUNS_AT_ONCE):
+                    out = []
+                    for row in batch.slice(at, RUNS_AT_ONCE).to_pylist():
+                        summary, error = None, next((r["error"] for r in row["run"] if r["error"] is not None), None)
+                        try:
+                            summary = function(row["dir"], [r["summary"] for r in row["run"]]) if error is None else None
+                        except Exception as problem:  # noqa: BLE001 - any failure is the directory's own
+                            error = f"{type(problem).__name__}: {problem}"
+                        out.append((row["repo_id"], row["dir"], row["block"], row["blocks"], summary, error))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v, kind) for v, kind in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                        names=["repo_id", "dir", "place", "blocks", "summary", "error"])
+        return run
 
     key = ["repo_id", "dir"]
     runs, function, done = positions(items, key, ["item"], "place", "blocks").select(
         *key, (F.col("place") - 1).alias("place"), "blocks", "summary", F.lit(None).cast("string").alias("error")), call, None
     merged = False
     while True:
-        runs = runs.withColumn("block", F.floor(F.col("place") / per_call)).withColumn(
-            "blocks", F.ceil(F.col("blocks") / per_call)
-        ).groupBy(*key, "block").applyInPandas(over(function), RUN_OUT).checkpoint()
+        # A run is one row: its items are few, and a task passes over many runs at a time.
+        runs = runs.withColumn("block", F.floor(F.col("place") / per_call)).groupBy(*key, "block").agg(
+            F.ceil(F.first("blocks") / per_call).alias("blocks"),
+            F.array_sort(F.collect_list(F.struct("place", "summary", "error"))).alias("run"),
+        ).mapInArrow(over(function), RUN_OUT).checkpoint()
         if merged:
             whole = runs.where(F.col("blocks") == 1).select(*key, "summary", "error")
             done = whole if done is None else done.unionByName(whole)

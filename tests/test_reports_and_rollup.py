@@ -276,3 +276,17 @@ def test_observer_of_every_event_while_the_run_goes_on(spark, tmp_path):
     broken = watch.tell_each(watch.with_events(outcomes), lambda: 1 / 0).select("observer_error").distinct().collect()
     assert [r[0] for r in broken] == ["ZeroDivisionError: division by zero"]
     assert watch.tell_each(watch.with_events(outcomes).limit(0), make).count() == 0
+
+
+def test_runs_of_items_are_rows_and_not_groups_of_python(spark, monkeypatch):
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", None)
+    items = spark.createDataFrame([("r", f"f{i:03d}", f"d{i}") for i in range(50)], "repo_id string, file_path string, description string")
+
+    def call(where, texts):
+        if "f049: d49" in texts:
+            raise ValueError("busy")
+        return "|".join(texts)
+
+    few = items.where("file_path < 'f049'")
+    assert rollup.condense(few, call, 4).first()["contents"].replace("\n", "|") == "|".join(f"f{i:03d}: d{i}" for i in range(49))
+    assert rollup.condense(items, call, 4).first()["contents"] == "ValueError: busy"
