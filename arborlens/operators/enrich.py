@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from arborlens.functions import imports, language, paths, structured
 from arborlens.functions.text import strip
 
 ENRICHED = "repo_id string, file_path string, summary string, error string"
+ROWS_AT_ONCE = 64  # rows of a batch that are Python values at a time
 
 
 # Lines that tell what a file holds: headings, and what it defines.
@@ -60,17 +62,27 @@ def enrich(documents: DataFrame, make: Callable[[], Callable[[dict], str]],
     if concurrency:
         documents = documents.repartition(concurrency)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                summary, error = None, None
-                try:
-                    summary = call(row | {"request": structured.request_of(row, template)})
-                except Exception as problem:  # noqa: BLE001 - any failure is the row's own
-                    error = f"{type(problem).__name__}: {problem}"
-                out.append((row["repo_id"], row["file_path"], summary, error))
-            yield pd.DataFrame(out, columns=["repo_id", "file_path", "summary", "error"])
-
-    return documents.mapInPandas(run, ENRICHED)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                out = []
+                for row in _frame(batch.slice(at, ROWS_AT_ONCE)).to_dict("records"):
+                    summary, error = None, None
+                    try:
+                        summary = call(row | {"request": structured.request_of(row, template)})
+                    except Exception as problem:  # noqa: BLE001 - any failure is the row's own
+                        error = f"{type(problem).__name__}: {problem}"
+                    out.append((row["repo_id"], row["file_path"], summary, error))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, pa.string()) for column in zip(*out)], names=["repo_id", "file_path", "summary", "error"])
+
+    return documents.mapInArrow(run, ENRICHED)
+
+
+def _frame(rows: pa.RecordBatch) -> pd.DataFrame:
+    """Rows as Spark gives them to pandas: times without their zone, which is the session's."""
+    frame = rows.to_pandas()
+    for name in frame.select_dtypes("datetimetz"):
+        frame[name] = frame[name].dt.tz_localize(None)
+    return frame

@@ -365,3 +365,24 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_few_rows_of_a_batch_are_python_values_at_a_time():
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    asked = []
+    run = enrich.enrich(Rows(), lambda: lambda row: asked.append(row) or row["request"], template="{content}")
+    when = pa.array([1_000_000] * 1000, pa.timestamp("us", "UTC"))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["r"] * 1000), pa.array([f"f{i}" for i in range(1000)]), pa.array([None] + [f"t{i}" for i in range(1, 1000)]), when],
+        names=["repo_id", "file_path", "content", "modification_time"])
+    made = run(iter([batch]))
+    first = next(made)
+    assert len(asked) == first.num_rows == enrich.ROWS_AT_ONCE < 1000
+    rows = [first, *made]
+    assert [s for r in rows for s in r.column(2).to_pylist()] == ["", *(f"t{i}" for i in range(1, 1000))]
+    assert asked[0]["modification_time"].tzinfo is None
