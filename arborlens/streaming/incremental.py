@@ -54,19 +54,21 @@ class Describe(StatefulProcessor):
         for row in rows:  # versions of one file may be many: only the last is held
             if row["version"] is not None and (last is None or row["version"] > last["version"]):
                 last = row
-        known = self._known.get() if self._known.exists() else None
-        if last is None or (known is not None and last["version"] <= known[0]):
+        if last is None:
+            return
+        known = self._known.get()  # each call asks the store in the JVM: none is made in vain
+        if known is not None and last["version"] <= known[0]:
             return
         if last["deleted"]:
             self._known.update((last["version"], True, None, None, None))
-            self._waiting.clear()
+            self._stop_waiting(known)
             if known is not None and not known[1]:
                 yield self._row(key, last, removed=True)
             return
         made_for = (last["content_hash"], last["language"], self._config)
         if known is not None and tuple(known[2:]) == made_for:  # the summary at hand is still right
             self._known.update((last["version"], False, *made_for))
-            self._waiting.clear()
+            self._stop_waiting(known)
             return
         yield self._describe(key, last, known, timerValues)
 
@@ -86,7 +88,7 @@ class Describe(StatefulProcessor):
             error = f"{type(problem).__name__}: {problem}"
         if error is None:
             self._known.update((row["version"], False, row["content_hash"], row["language"], self._config))
-            self._waiting.clear()
+            self._stop_waiting(known)
         else:
             # What is stored was made for an older text, if for any: it is no hit for a later version.
             self._known.update((row["version"], False, *(known[2:] if known is not None else (None, None, None))))
@@ -94,6 +96,11 @@ class Describe(StatefulProcessor):
             self._handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self._retry)
         return self._row(key, row, answer, error)
 
+    def _stop_waiting(self, known) -> None:
+        """A file that was not known before has no version that waits."""
+        if known is not None:
+            self._waiting.clear()
+
     @staticmethod
     def _fault(answer: str | None) -> str | None:
         return structured.summary_fault(answer)
