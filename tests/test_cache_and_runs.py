@@ -386,3 +386,43 @@ def test_few_rows_of_a_batch_are_python_values_at_a_time():
     rows = [first, *made]
     assert [s for r in rows for s in r.column(2).to_pylist()] == ["", *(f"t{i}" for i in range(1, 1000))]
     assert asked[0]["modification_time"].tzinfo is None
+
+
+def test_a_new_file_asks_the_state_store_twice():
+    from types import SimpleNamespace
+
+    asked = []
+
+    class Value:
+        def __init__(self, name):
+            self.name, self.held = name, None
+
+        def exists(self):
+            asked.append((self.name, "exists"))
+            return self.held is not None
+
+        def get(self):
+            asked.append((self.name, "get"))
+            return self.held
+
+        def update(self, value):
+            asked.append((self.name, "update"))
+            self.held = value
+
+        def clear(self):
+            asked.append((self.name, "clear"))
+            self.held = None
+
+    states = {}
+    describe = stream.Describe(lambda: lambda row: json.dumps({"file_path": row["file_path"], "description": row["content"]}), "cfg")
+    describe.init(SimpleNamespace(getValueState=lambda name, schema: states.setdefault(name, Value(name))))
+
+    def put(text, number):
+        del asked[:]
+        row = {"language": "python", "content": text, "content_hash": text, "modification_time": None, "version": number, "deleted": False}
+        return [r["version"] for r in describe.handleInputRows(("r", "a.py"), iter([row]), None)]
+
+    assert put("one", 1) == [1] and asked == [("known", "get"), ("known", "update")]
+    assert put("one", 1) == [] and asked == [("known", "get")]
+    states["waiting"].held = ("python", "old", "old", None, 1)
+    assert put("two", 2) == [2] and ("waiting", "clear") in asked and states["waiting"].held is None
