@@ -5,6 +5,10 @@ its summary was made for, and, while a description has failed, the version to be
 tried again. It lies in Spark's state store, so a restart goes on where the
 stream was and a replayed batch changes nothing; the changes are an append-only
 table, in which a file's last good row counts (:func:`summaries`).
+
+Spark keeps one value per bucket of files, as each call for a value goes to the
+JVM and back: the calls of a batch grow with its files up to the number of
+buckets, not beyond.
 """
 
 from collections.abc import Callable, Iterator
@@ -29,6 +33,8 @@ _SAID = ("repo_id string, file_path string, content_hash string, language string
          "modification_time timestamp, version bigint, removed boolean, error string")
 _STATE = "version bigint, deleted boolean, content_hash string, language string, config_hash string"
 _WAITING = "language string, content string, content_hash string, modification_time timestamp, version bigint"
+_FILES = f"files array<struct<repo_id string, file_path string, {_STATE}, due bigint>>"
+BUCKETS = 1 << 14  # a task holds the new texts of one: 8 TB of them in a batch are 500 MB in each
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -115,13 +121,119 @@ class Describe(StatefulProcessor):
         pass
 
 
-def changes(versions: DataFrame, config_hash: str, make: Callable[[], Callable[[dict], str]], retry_ms: int = 1) -> DataFrame:
-    """The stream of changes (``CHANGES``) that a stream of document versions makes."""
+class _Files:
+    """The files of the bucket at hand, and the state of one of them as :class:`Describe` asks for it."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self._handle = handle
+        self._stored = handle.getValueState("files", _FILES)
+        self.texts = handle.getMapState("texts", "repo_id string, file_path string", _WAITING)
+
+    def open(self) -> None:
+        """Ask for all files of the bucket."""
+        stored = self._stored.get()
+        self.held = {tuple(file[:2]): tuple(file[2:]) for file in (stored[0] if stored else ())}
+        self._before, self._timers = dict(self.held), set()
+
+    def store(self) -> None:
+        if self.held != self._before:
+            self._stored.update(([(*file, *value) for file, value in self.held.items()],))
+
+    def due(self) -> int | None:
+        """When the version of this file that waits is to be tried again; null if none waits."""
+        return self.held[self.file][-1] if self.file in self.held else None
+
+    def set_due(self, time: int | None) -> None:
+        self.held[self.file] = (*self.held[self.file][:-1], time)
+
+    def getValueState(self, name: str, schema: str) -> "_Known | _Waiting":
+        return {"known": _Known, "waiting": _Waiting}[name](self)
+
+    def registerTimer(self, time: int) -> None:
+        self.set_due(time)
+        if time not in self._timers:
+            self._handle.registerTimer(time)
+            self._timers.add(time)
+
+
+class _Known:
+    def __init__(self, files: _Files):
+        self._files = files
+
+    def get(self) -> tuple | None:
+        value = self._files.held.get(self._files.file)
+        return None if value is None else value[:-1]
+
+    def update(self, value: tuple) -> None:
+        self._files.held[self._files.file] = (*value, self._files.due())
+
+
+class _Waiting:
+    """Versions that wait are rare, and their texts are long: each has a value of its own."""
+
+    def __init__(self, files: _Files):
+        self._files = files
+
+    def exists(self) -> bool:
+        return self._files.due() is not None
+
+    def get(self) -> tuple:
+        return self._files.texts.getValue(self._files.file)
+
+    def update(self, value: tuple) -> None:
+        self._files.texts.updateValue(self._files.file, value)
+
+    def clear(self) -> None:
+        if self.exists():
+            self._files.texts.removeKey(self._files.file)
+            self._files.set_due(None)
+
+
+class DescribeBucket(StatefulProcessor):
+    """:class:`Describe` for each file of a bucket."""
+
+    def __init__(self, make: Callable[[], Callable[[dict], str]], config_hash: str, retry_ms: int = 1):
+        self._each = Describe(make, config_hash, retry_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._files = _Files(handle)
+        self._each.init(self._files)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last: dict[tuple, Row] = {}
+        for row in rows:
+            file = row["repo_id"], row["file_path"]
+            if row["version"] is not None and (file not in last or row["version"] > last[file]["version"]):
+                last[file] = row
+        self._files.open()
+        for file, row in last.items():
+            self._files.file = file
+            yield from self._each.handleInputRows(file, iter([row]), timerValues)
+        self._files.store()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._files.open()
+        time = expiredTimerInfo.getExpiryTimeInMs()
+        for file in [file for file, value in self._files.held.items() if value[-1] is not None and value[-1] <= time]:
+            self._files.file = file
+            yield from self._each.handleExpiredTimer(file, timerValues, expiredTimerInfo)
+        self._files.store()
+
+    def close(self) -> None:
+        self._each.close()
+
+
+def changes(versions: DataFrame, config_hash: str, make: Callable[[], Callable[[dict], str]], retry_ms: int = 1,
+            buckets: int = BUCKETS) -> DataFrame:
+    """The stream of changes (``CHANGES``) that a stream of document versions makes.
+
+    ``buckets`` must stay as it is for as long as the checkpoint is used.
+    """
     hashed = versions.select(
-        "repo_id", "file_path", "language", "content", content_hash(F.col("content")).alias("content_hash"),
+        F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(buckets)).alias("bucket"), "repo_id", "file_path", "language", "content", content_hash(F.col("content")).alias("content_hash"),
         "modification_time", "version", F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted"))
-    said = hashed.groupBy("repo_id", "file_path").transformWithState(
-        Describe(make, config_hash, retry_ms), _SAID, "append", "processingTime")
+    said = hashed.groupBy("bucket").transformWithState(
+        DescribeBucket(make, config_hash, retry_ms), _SAID, "append", "processingTime")
     return said.select(
         "repo_id", "file_path", "content_hash", "language", structured.json_part(F.col("answer")).alias("summary"),
         "modification_time", F.lit(config_hash).alias("config_hash"), F.lit(CACHE_SCHEMA_VERSION).alias("schema_version"),
@@ -129,7 +241,7 @@ def changes(versions: DataFrame, config_hash: str, make: Callable[[], Callable[[
 
 
 def start(versions: DataFrame, path: str, config_hash: str, checkpoint: str,
-          make: Callable[[], Callable[[dict], str]], retry_ms: int = 1, **trigger) -> StreamingQuery:
+          make: Callable[[], Callable[[dict], str]], retry_ms: int = 1, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Append the changes to the table at ``path``. Each stream has a table and a checkpoint of its own.
 
     Versions come from an append-only table of documents: a file stream reports
@@ -145,7 +257,7 @@ def start(versions: DataFrame, path: str, config_hash: str, checkpoint: str,
     # With timers, Spark would go on to run empty batches for ever.
     conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str("availableNow" not in trigger).lower())
     return (
-        changes(versions, config_hash, make, retry_ms).writeStream.format("parquet").outputMode("append")
+        changes(versions, config_hash, make, retry_ms, buckets).writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 

@@ -426,3 +426,81 @@ def test_a_new_file_asks_the_state_store_twice():
     assert put("one", 1) == [] and asked == [("known", "get")]
     states["waiting"].held = ("python", "old", "old", None, 1)
     assert put("two", 2) == [2] and ("waiting", "clear") in asked and states["waiting"].held is None
+
+
+def test_state_of_a_bucket_is_asked_for_once_for_all_its_files():
+    from types import SimpleNamespace
+
+    asked, timers = [], []
+
+    class State(dict):
+        def __init__(self, name):
+            self.name, self.held = name, None
+
+        def get(self):
+            asked.append((self.name, "get"))
+            return self.held
+
+        def update(self, value):
+            asked.append((self.name, "update"))
+            self.held = value
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+    def answer(row):
+        if row["content"] == "bad":
+            raise ValueError("cannot")
+        return json.dumps({"file_path": row["file_path"], "description": row["content"]})
+
+    texts = State("texts")
+    files = State("files")
+    describe = stream.DescribeBucket(lambda: answer, "cfg", 10)
+    describe.init(SimpleNamespace(getValueState=lambda name, schema: files, getMapState=lambda name, key, value: texts, registerTimer=timers.append))
+    now = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: time)
+
+    def put(*rows):
+        del asked[:]
+        rows = [{"repo_id": "r", "file_path": p, "language": "python", "content": t, "content_hash": t, "modification_time": None,
+                 "version": n, "deleted": t is None} for p, t, n in rows]
+        return {r["file_path"]: "removed" if r["removed"] else r["error"] or r["version"] for r in describe.handleInputRows((0,), iter(rows), now)}
+
+    def expire(at):
+        return [r["file_path"] for r in describe.handleExpiredTimer((0,), now, SimpleNamespace(getExpiryTimeInMs=lambda: at))]
+
+    time = 100
+    assert put(*((f"f{i}", "text", 1) for i in range(50)), ("f7", "later", 3), ("f7", "between", 2)) == {f"f{i}": 3 if i == 7 else 1 for i in range(50)}
+    assert asked == [("files", "get"), ("files", "update")]
+    assert put(("f7", "late", 2), ("f8", "text", 1)) == {} and asked == [("files", "get")]
+    failed = "ValueError: cannot"
+    assert put(("f1", "bad", 2), ("f2", "bad", 2), ("f3", None, 2)) == {"f1": failed, "f2": failed, "f3": "removed"} and timers == [110]
+    time = 105
+    assert put(("f4", "bad", 2), ("f2", "good", 3)) == {"f4": failed, "f2": 3} and timers == [110, 115] and len(texts) == 2
+    time = 111
+    assert expire(110) == ["f1"] and timers == [110, 115, 121]  # the other one is not due yet, the third has had a later version
+    assert put(("f1", None, 5), ("f4", "good", 4)) == {"f1": "removed", "f4": 4} and not texts
+    assert expire(115) == [] == expire(121)
+
+
+def test_files_of_one_bucket_go_their_own_ways(spark, tmp_path):
+    _, calls, make = counting(spark, tmp_path)
+
+    def put(*rows):
+        spark.createDataFrame(rows, stream.VERSIONS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/versions")
+        versions = spark.readStream.schema(stream.VERSIONS).parquet(f"{tmp_path}/versions")
+        query = stream.start(versions, f"{tmp_path}/changes", "cfg", f"{tmp_path}/checkpoint", make, buckets=1)
+        assert query.awaitTermination(60) and query.exception() is None
+        rows = stream.summaries(stream.told(spark, f"{tmp_path}/changes")).collect()
+        return {(r["repo_id"], r["file_path"]): json.loads(r["summary"])["description"] for r in rows}
+
+    first = put(version("a.py", "one", 1), version("b.py", "bad", 1), version("a.py", "two", 2, repo="s"), version("a.py", "three", 3, repo="s"))
+    assert first == {("r", "a.py"): "ONE", ("s", "a.py"): "THREE"}
+    assert put(version("b.py", "good", 2), version("a.py", "", 4, True), version("a.py", "three", 5, repo="s")) == {("r", "b.py"): "GOOD", ("s", "a.py"): "THREE"}
+    assert [p for p in calls() if p != "b.py"] == ["a.py", "a.py"]
+    assert {r["file_path"] for r in stream.told(spark, f"{tmp_path}/changes").where("error is not null").collect()} == {"b.py"}
