@@ -36,23 +36,23 @@ from arborlens.llm.tokens import blocks, encoder
 
 BLOCK = 1 << 16
 FILE_IDS = 1 << 25
+REMEMBERED = 1 << 19  # parts of a generation of the encoder, as a task here holds little else: about 100 MB
 MAGIC = b"PLANES01"
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
     """The 32 bit planes of a block, each compressed; a plane without ones is empty."""
-    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     used = int(np.bitwise_or.reduce(ids, initial=0))
     press = zstandard.ZstdCompressor(level=3)
-    return [press.compress(np.packbits(bits[:, k])) if used >> k & 1 else b"" for k in range(32)]
+    return [press.compress(np.packbits((ids & np.uint32(1 << k)).astype(bool))) if used >> k & 1 else b"" for k in range(32)]
 
 
 def from_planes(planes: list[bytes], count: int) -> np.ndarray:
-    bits = np.zeros((count, 32), np.uint8)
+    ids, press = np.zeros(count, np.uint32), zstandard.ZstdDecompressor()
     for k, plane in enumerate(planes):
         if plane:
-            bits[:, k] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(plane), np.uint8), count=count)
-    return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4").astype(np.uint32)
+            ids |= np.unpackbits(np.frombuffer(press.decompress(plane), np.uint8), count=count).astype(np.uint32) << np.uint32(k)
+    return ids
 
 
 class _Writer:
@@ -107,7 +107,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_id
     folder = absolute(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, written = encoder(tokenizer), None, []
+        encode, writer, written = encoder(tokenizer, remembered=REMEMBERED), None, []
         partition = TaskContext.get().partitionId()
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)

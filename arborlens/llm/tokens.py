@@ -2,8 +2,9 @@
 
 A text is cut before every single blank that stands between two other characters. The two kinds of tokenizers known here
 (``_kind``) never join characters across such a place, so the ids of a text are those of its parts, one after the other.
-Parts are remembered, in two generations, so that common ones stay while rare ones go. A new part of Latin letters, also when lower-cased, and signs goes to the library's model directly,
-others to the whole tokenizer. With any other kind of tokenizer, texts are encoded as they are.
+Parts are remembered, in two generations, so that common ones stay while rare ones go. A new part of Latin letters, also
+when lower-cased, and signs goes to the library's model directly, others to the whole tokenizer. With any other kind of
+tokenizer, texts are encoded as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-REMEMBERED = 1 << 17  # parts of a generation; beyond, it takes the place of the one before it
+REMEMBERED = 1 << 17  # parts of a generation, about 200 bytes each; beyond, it takes the place of the one before it
 LONG_PART = 200  # longer parts are not remembered
 BLOCK = 1 << 16  # characters of a part beyond which it is cut further
 
@@ -26,7 +27,7 @@ _WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u
 _FINER = re.compile(r"(?<=\S)(?=\s\S)")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _WORD = re.compile(f"[{_LETTERS}]+")
-_SIMPLE = re.compile(f"([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # of ASCII, without the apostrophe
 
 # The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,17 +72,20 @@ class _Memory(dict):
             self[part] = value
         return value
 
-    def turn(self) -> None:
-        if len(self) > REMEMBERED:
+    def turn(self, remembered: int) -> None:
+        if len(self) > remembered:
             self.before.clear()
             self.before.update(self)
             self.clear()
 
 
 class Encoder:
-    """Encodes texts with the file at ``path``; ``offsets`` gives character spans in place of ids."""
+    """Encodes texts with the file at ``path``; ``offsets`` gives character spans in place of ids.
 
-    def __init__(self, path: str, offsets: bool = False):
+    ``remembered`` is for tasks that have memory to spare, or little; else it is ``REMEMBERED``.
+    """
+
+    def __init__(self, path: str, offsets: bool = False, remembered: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,6 +95,7 @@ class Encoder:
         self._model, self._offsets, self._by = self._tokenizer.model, offsets, _kind(path)
         self._first, self._later = _Memory(self, ""), _Memory(self, " ")
         self._signs: dict[str, bytes] = {}
+        self._remembered = remembered or REMEMBERED
 
     def _whole(self, text: str) -> np.ndarray:
         if self._offsets:
@@ -99,6 +104,9 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """A word of Latin letters, with its blank if it has one."""
+        if word.isascii() and not self._offsets:
+            shown = word.replace(" ", _SIGN[32]) if self._by == "bytes" else word.lstrip(" ").lower()
+            return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
         raw = (word if self._by == "bytes" else word.strip(" ").lower()).encode()
         shown = raw.decode("latin-1")
         tokens = self._model.tokenize(shown.replace(" ", _SIGN[32]) if shown.isascii() else shown.translate(_SIGN))
@@ -114,11 +122,12 @@ class Encoder:
         return spans.tobytes()
 
     def part(self, lead: str, part: str) -> bytes:
-        simple = _SIMPLE.fullmatch(part)
-        if simple and self._by == "lower" and (self._offsets or not _WORD.fullmatch(simple[1].lower())):
-            simple = None  # lower-casing made something else than letters, which is cut by the library's rules
+        word = part.rstrip(_SIGNS)
+        simple = word.isalpha() and (word.isascii() or _WORD.fullmatch(word))
+        if simple and self._by == "lower" and (self._offsets or not word.isascii() and not _WORD.fullmatch(word.lower())):
+            simple = False  # lower-casing made something else than letters, which is cut by the library's rules
         if simple:
-            word, signs = simple.groups()
+            signs = part[len(word):]
             if not signs:
                 return self._word(lead + word)
             more = self._signs.get(signs)
@@ -140,7 +149,7 @@ class Encoder:
         feed = self._signs.get("\n")
         if feed is None:
             feed = self._signs["\n"] = self._whole("\n").tobytes()
-        raw, start = [self.part(lead, pieces[0])], len(lead) + len(pieces[0])
+        raw, start = [(self._later if lead else self._first)[pieces[0]]], len(lead) + len(pieces[0])
         for piece in pieces[1:]:
             more = self._first[piece]
             if self._offsets:
@@ -153,9 +162,9 @@ class Encoder:
 
     def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids (uint32), or spans (int64, two columns), of each text; null counts as empty."""
-        self._first.turn()
-        self._later.turn()
-        if len(self._signs) > REMEMBERED:
+        self._first.turn(self._remembered)
+        self._later.turn(self._remembered)
+        if len(self._signs) > self._remembered:
             self._signs.clear()
         later, out = self._later, []
         for text in texts:
@@ -177,14 +186,14 @@ def _moved(raw: list[bytes], parts: list[str]) -> np.ndarray:
     return spans + np.repeat(starts, np.fromiter(map(len, raw), np.int64, len(raw)) // 16)[:, None]
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int | None], Encoder] = {}
 
 
-def encoder(path: str, offsets: bool = False) -> Encoder:
+def encoder(path: str, offsets: bool = False, remembered: int | None = None) -> Encoder:
     """The encoder of this worker for a file."""
-    key = (path, offsets)
+    key = (path, offsets, remembered)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, offsets)
+        _encoders[key] = Encoder(path, offsets, remembered)
     return _encoders[key]
 
 

@@ -705,3 +705,26 @@ def test_rare_words_leave_the_encoder_and_common_ones_stay(monkeypatch):
         assert encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
         assert sum(len(m) + len(m.before) for m in (encode._first, encode._later)) <= 4 * (100 + 95)
     assert asked.count("common") == 1 and asked.count("start") == 1
+
+
+def test_words_before_a_line_feed_are_remembered_and_a_memory_has_its_own_size(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "REMEMBERED", 10)
+    encode, asked = tokens.Encoder(path, remembered=1000), []
+    part = encode.part
+    monkeypatch.setattr(encode, "part", lambda lead, word: asked.append(word) or part(lead, word))
+    words = ["the", "Élan,", "it's", "\\[a]", "x~", "ǅa", "İstanbul.", "a_b", "...", "'", "don't!", "E=mc²"]
+    for n in range(30):
+        text = " ".join(f"{word}\n{chr(97 + n % 26)}{n}" for word in words) + f" the n{n}"
+        assert encode([text])[0].tolist() == encode._tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("the") <= 2  # at the start and after a blank
+
+
+def test_planes_are_bits_of_the_ids():
+    import zstandard
+
+    ids = np.array([0, 1, 6, 2**31, 2**32 - 1, 49407, 5, 2], np.uint32)
+    planes = token_files.to_planes(ids)
+    bits = [np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8))[:8].tolist() for p in planes]
+    assert bits == [[int(i) >> k & 1 for i in ids] for k in range(32)]
+    assert token_files.from_planes(planes, 8).tolist() == ids.tolist() and token_files.from_planes([b""] * 32, 3).tolist() == [0, 0, 0]
