@@ -85,10 +85,10 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 _PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, remembered: int | None = None) -> DataFrame:
     """Full windows and the rest of every document; ``ids`` are little-endian unsigned 32-bit integers."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, remembered=remembered)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high in blocks(texts):
@@ -116,12 +116,16 @@ def _packer(window: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """``doc_id, start, length, doc_tokens, ids, sequence_id, offset``: every piece and its place."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, group: int = GROUP,
+         remembered: int | None = None) -> DataFrame:
+    """``doc_id, start, length, doc_tokens, ids, sequence_id, offset``: every piece and its place.
+
+    ``remembered`` is the encoder's; about 300 MB a worker at 1 << 20, where tasks have that to spare.
+    """
     if window < 1 or group < 1:
         raise ValueError("window and group must be positive")
     groups = max(1, -(-docs.count() // group))
-    cut = hold(pieces(docs, tokenizer, end_id, window), "pieces", compression="zstd")
+    cut = hold(pieces(docs, tokenizer, end_id, window, remembered), "pieces", compression="zstd")
     full = cut.filter(F.col("length") == window).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn(
         "offset", F.lit(0).cast("bigint"))
     # The row's number spreads rows that are alike.

@@ -728,3 +728,10 @@ def test_planes_are_bits_of_the_ids():
     bits = [np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8))[:8].tolist() for p in planes]
     assert bits == [[int(i) >> k & 1 for i in ids] for k in range(32)]
     assert token_files.from_planes(planes, 8).tolist() == ids.tolist() and token_files.from_planes([b""] * 32, 3).tolist() == [0, 0, 0]
+
+
+def test_pieces_do_not_depend_on_what_the_encoder_remembers(spark):
+    docs = spark.createDataFrame([(i, f"Some words, {i} of them.\nOthers " * (i % 5) + "some words") for i in range(40)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    few, many = ({(r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in packing.pack(docs, path, 0, 16, remembered=n).collect()} for n in (1, 1 << 20))
+    assert few == many and len(few) > 40
